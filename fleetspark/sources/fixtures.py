@@ -84,12 +84,26 @@ SELECT DISTINCT 'repo-' || CAST(o_custkey % 25 AS STRING) AS repository, o_order
 FROM orders
 """
 
+# Repositories configured for a repository-scoped fleet, in config order.
+VIEWS["fx_configured_repos"] = """
+SELECT DISTINCT 'repo-' || CAST(c_custkey % 25 AS STRING) AS repository, c_custkey % 25 AS repo_pos
+FROM customer
+"""
+
 VIEWS["fx_size_classes"] = """
 SELECT * FROM (VALUES (0, 'default', 'self-hosted,pool,ci', 3, 40),
                       (1, 'large', 'self-hosted,pool,ci,large', 0, 25),
                       (2, 'large-b', 'self-hosted,pool,ci,xl', 0, 5)) AS t(class_pos, name, labels, min_idle, max_live)
 """
 
+# The same classes with caps sized for a fleet the registry fixture can fill
+# (warm floor on ``default``), so the spawn plan has work at every scale.
+VIEWS["fx_size_classes_fleet"] = """
+SELECT * FROM (VALUES (0, 'default', 'self-hosted,pool,ci', 1500, 4000),
+                      (1, 'large', 'self-hosted,pool,ci,large', 0, 2500),
+                      (2, 'large-b', 'self-hosted,pool,ci,xl', 0, 500)) AS t(class_pos, name, labels, min_idle, max_live)
+"""
+
 VIEWS["fx_registry"] = """
 SELECT event_id AS cycle_id, CASE WHEN user_id % 3 = 0 THEN 'large' ELSE 'default' END AS cls_name,
        CASE WHEN event_id % 5 = 0 THEN 'SPAWNING' WHEN event_id % 5 = 1 THEN 'BUSY'
