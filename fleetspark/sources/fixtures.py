@@ -158,6 +158,24 @@ VIEWS["fx_group_repos"] = """
 SELECT 'repo-' || CAST(c_custkey + 7 AS STRING) AS name FROM customer WHERE c_custkey % 4 <> 0
 """
 
+# Runner groups visible to each configured repository.
+VIEWS["fx_repo_groups"] = """
+SELECT DISTINCT 'repo-' || CAST(c_custkey % 25 AS STRING) AS repository, c_nationkey % 4 + 1 AS group_id,
+       CASE WHEN c_nationkey % 4 = 0 THEN 'marsh'
+            WHEN c_nationkey = 7 AND c_custkey % 25 < 5 THEN 'marsh'
+            ELSE 'group-' || CAST(c_nationkey % 4 AS STRING) END AS group_name
+FROM customer
+"""
+
+# Organization runner groups.
+VIEWS["fx_runner_groups"] = """
+SELECT CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_nationkey END AS id,
+       CASE WHEN n_nationkey % 5 = 0 THEN 'marsh' ELSE 'group-' || CAST(n_nationkey % 7 AS STRING) END AS name,
+       CASE WHEN n_regionkey % 2 = 0 THEN 'selected' ELSE 'all' END AS visibility,
+       CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey % 3 = 0 END AS allows_public_repositories
+FROM nation
+"""
+
 VIEWS["fx_snapshots"] = """
 SELECT 'snapshot-' || CAST(p_partkey AS STRING) AS snapshot_id,
        CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_name || ' ' || CAST(p_partkey % 50 AS STRING) END AS name,
