@@ -187,6 +187,47 @@ SELECT 'snapshot-' || CAST(p_partkey AS STRING) AS snapshot_id,
 FROM part
 """
 
+# Raw provider JSON for the same parts: alternate key spellings, nested
+# resources / buildInfo, wrong types, a present-but-null createdAt, junk
+# regions and a few repeated ids.
+VIEWS["fx_snapshot_json"] = """
+SELECT p_partkey AS pos, CAST(floor(p_partkey / 200) AS BIGINT) + 1 AS page,
+  '{"id":"snapshot-' || CAST(CASE WHEN p_partkey % 53 = 0 THEN p_partkey - 1 ELSE p_partkey END AS STRING) || '"'
+  || CASE WHEN p_partkey % 41 = 0 THEN '' ELSE ',"name":"' || p_name || ' ' || CAST(p_partkey % 50 AS STRING) || '"' END
+  || ',"state":"' || CASE WHEN p_size % 5 = 0 THEN 'inactive' ELSE 'Active' END || '"'
+  || CASE WHEN p_partkey % 23 = 0 THEN ',"size":null' WHEN p_partkey % 29 = 0 THEN ',"size":"12"'
+          ELSE ',"size":' || CAST(p_size AS STRING) END
+  || CASE WHEN p_partkey % 3 = 0 THEN ',"createdAt":"2024-01-01T00:00:00Z"'
+          WHEN p_partkey % 3 = 1 THEN ',"created_at":"2024-02-01T00:00:00Z"'
+          ELSE ',"createdAt":null,"created_at":"2024-03-01T00:00:00Z"' END
+  || CASE WHEN p_partkey % 4 = 0 THEN ',"imageName":"' || p_brand || '"'
+          WHEN p_partkey % 4 = 1 THEN ',"image_name":"' || p_brand || '"'
+          WHEN p_partkey % 4 = 2 THEN ',"image":"' || p_brand || '"' ELSE ',"imageName":""' END
+  || CASE WHEN p_partkey % 43 = 0 THEN ',"cpu":-2,"mem":4,"disk":10,"gpu":0'
+          WHEN p_partkey % 37 = 0 THEN ',"cpu":2,"mem":4,"disk":10,"gpu":true'
+          WHEN p_partkey % 2 = 0 THEN ',"cpu":2,"mem":4.0,"disk":10,"gpu":0'
+          ELSE ',"resources":{"cpu":2,"memory":4,"disk":10.5,"gpu":0}' END
+  || CASE WHEN p_partkey % 5 = 0 THEN ',"buildInfo":{"snapshotRef":"ref-' || CAST(p_partkey AS STRING) || '"}'
+          WHEN p_partkey % 5 = 1 THEN ',"ref":"r-' || CAST(p_partkey AS STRING) || '"'
+          WHEN p_partkey % 5 = 2 THEN ',"build_info":{"snapshot_ref":"sr-' || CAST(p_partkey AS STRING) || '"}' ELSE '' END
+  || CASE WHEN p_partkey % 2 = 0 THEN ',"sandboxClass":"container"' ELSE ',"sandbox_class":"container"' END
+  || CASE WHEN p_type = 'PROMO' THEN ',"regionIds":["us","eu",""]'
+          WHEN p_type = 'SMALL' THEN ',"region_ids":["us",5]'
+          WHEN p_partkey % 47 = 0 THEN ',"regionIds":"us"' ELSE ',"regionIds":["us"]' END
+  || '}' AS raw
+FROM part
+"""
+
+# Captured inventory page headers, in capture order (position), with one
+# page reporting a different total.
+VIEWS["fx_inventory_pages"] = """
+SELECT DISTINCT CAST(floor(p_partkey / 200) AS BIGINT) + 1 AS position,
+       CAST(floor(p_partkey / 200) AS BIGINT) + 1 AS page,
+       CASE WHEN CAST(floor(p_partkey / 200) AS BIGINT) = 3 THEN 1001
+            ELSE CAST(floor((count(*) OVER () - 1) / 200) AS BIGINT) + 1 END AS total_pages
+FROM part
+"""
+
 VIEWS["fx_profile_refs"] = """
 SELECT CASE WHEN p_partkey % 6 = 0 THEN 'missing-' || CAST(p_partkey AS STRING)
             ELSE p_name || ' ' || CAST(p_partkey % 50 AS STRING) END AS snapshot,
