@@ -245,6 +245,66 @@ SELECT event_id, ts, 'f' || CAST(user_id % 3 AS STRING) AS fleet,
 FROM events
 """
 
+# Epoch marks of finished cycles plus the facts that ended each cycle.
+VIEWS["fx_cycle_marks"] = """
+SELECT event_id AS cycle_id, 'snap-' || event_type AS snapshot,
+  CAST(1700000000 + event_id * 10 AS DOUBLE) AS spawned_at,
+  CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(1700000000 + event_id * 10 AS DOUBLE) + 0.125 END AS jit_started_at,
+  CASE WHEN event_id % 23 = 0 OR event_id % 47 = 0 THEN NULL
+       ELSE CAST(1700000000 + event_id * 10 AS DOUBLE) + 0.125 + (event_id % 5) * 0.25 END AS jit_completed_at,
+  CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST(1700000000 + event_id * 10 AS DOUBLE) + 2.5 END AS sandbox_started_at,
+  CASE WHEN event_id % 29 = 0 OR event_id % 31 = 0 THEN NULL WHEN event_id % 53 = 0 THEN CAST(1700000000 + event_id * 10 AS DOUBLE) + 7.0
+       ELSE CAST(1700000000 + event_id * 10 AS DOUBLE) + 2.5 + (event_id % 7) * 0.375 END AS sandbox_ready_at,
+  CASE WHEN event_id % 29 = 0 OR event_id % 31 = 0 OR event_id % 37 = 0 THEN NULL
+       ELSE CAST(1700000000 + event_id * 10 AS DOUBLE) + 6.0 END AS runner_command_started_at,
+  CASE WHEN event_id % 4 = 1 THEN CAST(1700000000 + event_id * 10 AS DOUBLE) + 6.0 + (event_id % 11) END AS busy_at,
+  CAST(1700000000 + event_id * 10 AS DOUBLE) + 7.0 + (event_id % 11) + (event_id % 13) * 2.125 AS completed_at,
+  CASE WHEN event_id % 29 = 0 OR event_id % 43 = 0 THEN NULL
+       ELSE CAST(1700000000 + event_id * 10 AS DOUBLE) + 8.5 + (event_id % 11) + (event_id % 13) * 2.125 END AS allocation_completed_at,
+  CASE WHEN event_id % 17 = 0 THEN 'exception' WHEN event_id % 6 = 0 THEN 'runner_exit'
+       WHEN event_id % 6 = 1 THEN 'session_unreadable' WHEN event_id % 6 = 2 THEN 'job_max'
+       WHEN event_id % 6 = 3 THEN 'drain' WHEN event_id % 6 = 4 THEN 'quiesce' ELSE 'idle_deadline' END AS ended_by,
+  CASE WHEN event_id % 6 = 0 THEN CAST(event_id % 3 AS INT) END AS exit_code,
+  event_id % 29 <> 0 OR event_id % 58 = 0 AS create_attempted,
+  event_id % 29 <> 0 AS sandbox_created,
+  event_id % 43 = 0 AS delete_failed,
+  event_id % 59 <> 0 AS jit_attempted,
+  event_id % 61 <> 0 AS runner_registered,
+  CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 5 = 1 THEN '' ELSE 'fleet-' || CAST(user_id % 3 AS STRING) END AS label_fleet,
+  CASE WHEN user_id % 7 = 0 THEN NULL ELSE 'org-' || CAST(user_id % 2 AS STRING) END AS label_org
+FROM events
+"""
+
+# Lifecycle events per cycle (one cycle per user), in time order.
+VIEWS["fx_cycle_events"] = """
+SELECT user_id AS cycle_id, event_id, ts,
+       CASE event_type WHEN 'signup' THEN 'spawned' WHEN 'view' THEN 'online' WHEN 'click' THEN 'busy'
+                       WHEN 'purchase' THEN 'completed' ELSE 'deleted' END AS event
+FROM events
+"""
+
+# Session polls per cycle: an unreadable session with the runner confirmed
+# idle advances the failure streak; anything else resets it.
+VIEWS["fx_polls"] = """
+SELECT user_id % 97 AS cycle_id, event_id, ts,
+       CASE WHEN event_type IN ('error', 'view') THEN 'unreadable_idle'
+            WHEN event_type = 'click' THEN 'unreadable_busy' ELSE 'ok' END AS result
+FROM events
+"""
+
+# API responses with rate-limit headers (Retry-After as seconds or HTTP
+# date; X-RateLimit-Reset as epoch seconds).
+VIEWS["fx_api_responses"] = """
+SELECT event_id, ts, 'f' || CAST(user_id % 3 AS STRING) AS fleet,
+       CASE WHEN event_type = 'error' THEN 403 WHEN event_type = 'signup' THEN 429 ELSE 200 END AS status,
+       CASE WHEN event_id % 40 = 0 THEN 'Wed, 31 Jan 2024 00:00:00 GMT'
+            WHEN event_id % 8 = 0 THEN ' ' || CAST(event_id % 30 AS STRING) || ' '
+            WHEN event_id % 9 = 0 THEN 'soon' ELSE NULL END AS retry_after,
+       CASE WHEN event_id % 24 = 0 THEN '1706659200' WHEN event_id % 12 = 0 THEN '1704067200' ELSE NULL END AS reset,
+       CASE WHEN event_id % 12 = 0 THEN '0' ELSE '4876' END AS remaining
+FROM events
+"""
+
 VIEWS["fx_deliveries"] = """
 SELECT event_id, ts, CASE WHEN event_id % 14 = 0 THEN 'ping' WHEN event_id % 15 = 0 THEN 'push' ELSE 'workflow_job' END AS event,
        CASE WHEN event_type = 'click' THEN 'queued' ELSE 'completed' END AS action,
