@@ -312,6 +312,27 @@ SELECT event_id, ts, CASE WHEN event_id % 14 = 0 THEN 'ping' WHEN event_id % 15
 FROM events
 """
 
+# Webhook HTTP requests built from the deliveries: path, Content-Length,
+# event header and the JSON body (some malformed).  The sender's signature
+# is added by the query (HMAC needs the secret).
+VIEWS["fx_webhook_requests"] = """
+SELECT event_id, ts,
+       CASE WHEN event_id % 41 = 0 THEN '/other' WHEN event_id % 3 = 0 THEN '/webhook' ELSE '/github' END AS path,
+       CASE WHEN event_id % 45 = 0 THEN 'abc' WHEN event_id % 46 = 0 THEN '2000000' WHEN event_id % 47 = 0 THEN '-1'
+            ELSE CAST(length(body) AS STRING) END AS content_length,
+       event, body
+FROM (
+  SELECT event_id, ts, CASE WHEN event_id % 14 = 0 THEN 'ping' WHEN event_id % 15 = 0 THEN 'push' ELSE 'workflow_job' END AS event,
+         CASE WHEN event_id % 33 = 0 THEN 'not json' WHEN event_id % 35 = 0 THEN '[1,2]'
+              WHEN event_id % 37 = 0 THEN '{"action":"queued","workflow_job":"x"}'
+              ELSE '{"action":"' || CASE WHEN event_type = 'click' THEN 'queued' ELSE 'completed' END
+                   || '","workflow_job":{"labels":['
+                   || CASE WHEN user_id % 3 = 0 THEN '"self-hosted","pool","ci","extra"' WHEN user_id % 3 = 1 THEN '"self-hosted"'
+                           WHEN user_id % 9 = 2 THEN '"self-hosted","pool","ci",7,""' ELSE '' END
+                   || ']}}' END AS body
+  FROM events) d
+"""
+
 VIEWS["fx_workflow_lines"] = """
 SELECT 'repo-' || source AS repo, doc_id AS line_no,
        CASE WHEN doc_id % 7 = 0 THEN '    runs-on: ubuntu-latest' WHEN doc_id % 7 = 1 THEN '  runs-on: [self-hosted, old]'
