@@ -365,3 +365,25 @@ def oracle_with(names: list[str] | tuple[str, ...], body: str) -> str:
     """DuckDB oracle text: the named fixture views as CTEs, then ``body``."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
     return f"WITH {ctes}\n{body.strip()}"
+
+
+# More workflow line shapes (quoted refs, comments, pinned SHAs, docker and
+# expression refs, credential names, array and scalar runs-on forms).
+VIEWS["fx_workflow_extra"] = """
+SELECT 'repo-' || source AS repo, doc_id + 1000000000 AS line_no,
+       CASE doc_id % 13
+         WHEN 0 THEN '      - uses: actions/setup-python@v5'
+         WHEN 1 THEN '        uses: ''docker://alpine:3'''
+         WHEN 2 THEN '    uses: "org/action@' || md5(CAST(doc_id AS STRING)) || substr(md5(lang), 1, 8) || '" # pinned'
+         WHEN 3 THEN '      AWS_ACCESS_KEY_ID: ${{ secrets.KEY }}'
+         WHEN 4 THEN '      aws-session-token: x'
+         WHEN 5 THEN '  runs-on: "ubuntu-22.04"'
+         WHEN 6 THEN '  runs-on: [ self-hosted , "marsh", large ]'
+         WHEN 7 THEN '  runs-on: [self-hosted, daytona]'
+         WHEN 8 THEN '  runs-on: blacksmith-4vcpu-ubuntu-2204  '
+         WHEN 9 THEN '  runs-on: macos-latest'
+         WHEN 10 THEN '    uses: ${{ matrix.action }}'
+         WHEN 11 THEN '    uses: actions/cache@v4 # comment'
+         ELSE 'runs-on: ' END AS text
+FROM documents
+"""
