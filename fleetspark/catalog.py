@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .plans import queries_audit, queries_cycles, queries_demand, queries_health, queries_telemetry, queries_text, queries_webhook  # noqa: F401
+    from .plans import queries_audit, queries_config, queries_cycles, queries_demand, queries_health, queries_telemetry, queries_text, queries_webhook  # noqa: F401

@@ -387,3 +387,63 @@ SELECT 'repo-' || source AS repo, doc_id + 1000000000 AS line_no,
          ELSE 'runs-on: ' END AS text
 FROM documents
 """
+
+
+# Fleet manifest rows (one per supplier) with deliberate configuration faults.
+VIEWS["fx_fleets"] = """
+SELECT s_suppkey AS fleet_pos,
+  CASE WHEN s_suppkey % 19 = 0 THEN 'Fleet_' || CAST(s_suppkey AS STRING) ELSE 'fleet-' || CAST(s_suppkey % 90 AS STRING) END AS fleet,
+  CASE WHEN s_suppkey % 29 = 0 THEN 'enterprise' WHEN s_suppkey % 3 = 0 THEN 'repository' ELSE 'organization' END AS scope,
+  CASE WHEN s_suppkey % 23 = 0 THEN '-bad' ELSE 'Org-' || CAST(s_nationkey AS STRING) END AS owner,
+  'profiles/' || CAST(s_suppkey AS STRING) || '.toml' AS profile,
+  CASE s_suppkey % 4 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'am-1' WHEN 2 THEN 'us' ELSE 'Eu_1' END AS target,
+  CASE WHEN s_suppkey % 17 = 0 THEN 'https://app.daytona.io/api/' WHEN s_suppkey % 31 = 0 THEN 'https://other.example/api'
+       ELSE 'https://app.daytona.io/api' END AS api_base,
+  CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN '' ELSE 'vol-' || CAST(s_suppkey * 7 % 400 AS STRING) END AS cache_volume,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'daytona' WHEN s_suppkey % 7 = 1 THEN 'marsh-ci' WHEN s_suppkey % 7 = 2 THEN 'Bad Name' END AS runner_group,
+  CASE WHEN s_suppkey % 7 IN (1, 3) THEN s_suppkey % 4 END AS runner_group_id,
+  s_suppkey % 90 AS poll_interval_secs,
+  s_suppkey % 11 - 1 AS request_spacing_secs,
+  CASE WHEN s_suppkey % 13 = 0 THEN 'allow' WHEN s_suppkey % 2 = 0 THEN 'deny-by-default' END AS network_policy,
+  CASE s_suppkey % 6 WHEN 0 THEN '10.0.0.0/8,192.168.1.0/24' WHEN 1 THEN '10.0.0.1/8' WHEN 2 THEN '8.8.8.0/24'
+       WHEN 3 THEN '172.16.0.0/12,172.16.0.0/12' WHEN 4 THEN '10.1.0.0/16,10.2.0.0/16,10.3.0.0/16,10.4.0.0/16,10.5.0.0/16,10.6.0.0/16'
+       ELSE '192.168.0.0/33' END AS cidr_allow_list,
+  CASE s_suppkey % 4 WHEN 0 THEN 'github.com,*.githubusercontent.com' WHEN 1 THEN 'GitHub.com,github.com'
+       WHEN 2 THEN 'bad_domain' ELSE 'pypi.org' END AS domain_allow_list
+FROM supplier
+"""
+
+# Size classes declared by each fleet profile.
+VIEWS["fx_fleet_classes"] = """
+SELECT 'profiles/' || CAST(p_partkey % 100 AS STRING) || '.toml' AS profile, p_partkey AS class_pos,
+  CASE WHEN p_partkey % 100 < 50 AND p_partkey < 100 THEN 'default' WHEN p_partkey % 100 < 80 AND p_partkey < 200 THEN 'large'
+       ELSE 'c' || CAST(p_partkey % 7 AS STRING) END AS name,
+  CASE WHEN p_partkey % 9 = 0 THEN 'self-hosted,pool' ELSE 'self-hosted,daytona,' || p_type END AS labels,
+  p_name || ' ' || CAST(p_partkey % 50 AS STRING) AS snapshot,
+  p_size % 4 - 1 AS min_idle, p_size % 9 AS max_live,
+  CASE WHEN p_size % 3 = 0 THEN 'warm pool for bursts' END AS warm_floor_reason
+FROM part
+"""
+
+VIEWS["fx_regions"] = """
+SELECT lower(substr(r_name, 1, 2)) || '-' || CAST(r_regionkey AS STRING) AS id, r_name AS name FROM region
+"""
+
+VIEWS["fx_volumes"] = """
+SELECT p_partkey AS pos, 'v-' || CAST(p_partkey AS STRING) AS id, 'vol-' || CAST(p_partkey % 300 AS STRING) AS name FROM part
+"""
+
+# Repository rulesets: what exists and what the bootstrap wants.
+VIEWS["fx_rulesets_actual"] = """
+SELECT 'rule-' || CAST(s_suppkey AS STRING) AS name,
+       CASE s_suppkey % 3 WHEN 1 THEN 'tag' ELSE 'branch' END AS target,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'Organization' ELSE 'Repository' END AS source_type,
+       CASE WHEN s_suppkey % 4 = 0 THEN 'evaluate' ELSE 'active' END AS enforcement
+FROM supplier
+"""
+
+VIEWS["fx_rulesets_desired"] = """
+SELECT 'rule-' || CAST(s_suppkey + 30 AS STRING) AS name, 'branch' AS target, 'Repository' AS source_type,
+       'active' AS enforcement
+FROM supplier
+"""
