@@ -447,3 +447,16 @@ SELECT 'rule-' || CAST(s_suppkey + 30 AS STRING) AS name, 'branch' AS target, 'R
        'active' AS enforcement
 FROM supplier
 """
+
+
+def fixture_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Bind a (stateless, single-table) fixture view to a file *stream* of
+    its driver table, for the Structured Streaming operators."""
+    from ..streaming.runner import stream_source
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    tables = view_tables(name)
+    if len(tables) != 1:
+        raise ValueError(f"{name} reads {tables}; streams bind one table")
+    t = tables[0]
+    text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
+    return spark.sql(text, **{t: stream_source(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")})
