@@ -262,3 +262,9 @@ def audit_summary(status: DataFrame, unresolved: DataFrame, unreferenced: DataFr
     d = rollup.agg(F.count(F.lit(1)).alias("duplicate_candidate_count"),
                    F.count_if("shared_candidate").alias("shared_candidate_count"))
     return s.crossJoin(u).crossJoin(r).crossJoin(c).crossJoin(d)
+
+
+def read_items_payload(payloads: DataFrame, json_col: str = "payload", keep: list[str] | None = None) -> DataFrame:
+    """A regions (or any inventory) response that is a list or an object
+    with an ``items`` list; one row per item as JSON text, or an error row."""
+    return read_snapshot_payload(payloads, json_col, keep)

@@ -222,3 +222,16 @@ SELECT (SELECT count(*) FROM status) AS snapshot_count,
 
 register("inventory_order", oracle_with(["fx_snapshots"], "SELECT snapshot_id, name FROM fx_snapshots"))(
     lambda spark, sf: au.inventory_order(snaps_typed(spark, sf)).select("snapshot_id", "name"))
+
+
+def _regions(spark, sf):
+    r = fixture(spark, sf, "fx_regions").withColumn("_rk", F.regexp_extract("id", r"-(\d+)$", 1).cast("int"))
+    item = F.to_json(F.struct("id", "name"))
+    payload = F.when(F.col("_rk") % 2 == 0, F.concat(F.lit("["), item, F.lit("]"))) \
+        .otherwise(F.concat(F.lit('{"items":['), item, F.lit("]}")))
+    items = au.read_items_payload(r.select(payload.alias("payload")))
+    v = F.parse_json("raw")
+    return items.select(F.variant_get(v, "$.id", "string").alias("id"), F.variant_get(v, "$.name", "string").alias("name"))
+
+
+register("read_regions", oracle_with(["fx_regions"], "SELECT id, name FROM fx_regions"))(_regions)

@@ -220,3 +220,18 @@ register("cycle_record_roundtrip", oracle_with(["fx_cycles"], """
 SELECT cycle_id, snapshot, size_class, repository, outcome, cleanup_status, total_secs, allocated_secs,
        sandbox_create_secs, cpu FROM fx_cycles
 """))(_roundtrip)
+
+
+def _ranks(spark, sf):
+    c = _cycles(spark, sf).withColumn("v", F.col("total_secs"))
+    return c.groupBy("instance").agg(*[tm.nearest_rank("v", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)])
+
+
+register("nearest_rank", oracle_with(["fx_cycles"], f"""
+, pv AS (SELECT instance, total_secs AS v FROM fx_cycles),
+{nearest_rank_cte("r50", "pv", ["instance"], "p50", 0.5)},
+{nearest_rank_cte("r90", "pv", ["instance"], "p90", 0.9)},
+{nearest_rank_cte("r95", "pv", ["instance"], "p95", 0.95)},
+{nearest_rank_cte("r99", "pv", ["instance"], "p99", 0.99)}
+SELECT * FROM r50 JOIN r90 USING (instance) JOIN r95 USING (instance) JOIN r99 USING (instance)
+"""))(_ranks)
