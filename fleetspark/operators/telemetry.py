@@ -171,34 +171,38 @@ def legacy_spawn_counts(journal: DataFrame, keys: list[str] | None = None, line_
             .groupBy(*keys, "size_class").agg(F.count(F.lit(1)).alias("spawns")))
 
 
-def usage_report(instances: DataFrame, journal: DataFrame, parsed: DataFrame,
-                 line_col: str = "line") -> DataFrame:
+def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str = "line") -> DataFrame:
     """The per-instance report as (instance, line_no, text).
 
     ``instances`` has (instance, unit); an instance without a unit is
-    skipped.  ``journal`` holds raw lines per instance and ``parsed`` the
-    records ``parse_cycle_telemetry`` kept.  With structured records an
-    instance gets a header line (all parsed records, runner-up line count)
-    and one indented line per snapshot; otherwise one legacy line with the
-    spawn counts per class, or ``no spawns``.
+    skipped.  ``parsed_lines`` is every journal line with its parse result
+    (``parse_cycle_telemetry(..., keep_all=True)``).  With structured
+    records an instance gets a header line (all parsed records, runner-up
+    line count) and one indented line per snapshot; otherwise one legacy
+    line with the spawn counts per class, or ``no spawns``.
+
+    The journal is read twice: once for the per-snapshot summary and once
+    for a (instance, spawn class) count that also yields the header totals.
     """
     inst = instances.filter(F.coalesce(F.col("unit"), F.lit("")) != "").select("instance").distinct()
     line = F.col(line_col)
     is_spawn = line.contains(RUNNER_UP) & line.contains("[")
-    line_stats = journal.groupBy("instance").agg(F.count_if(is_spawn).alias("runner_up"))
-    parsed_n = parsed.groupBy("instance").agg(F.count(F.lit(1)).alias("completions"))
-    lines = usage_report_lines(usage_summary(parsed, ["instance"]), ["instance"])
+    per_cls = (parsed_lines.select("instance", legacy_spawn_class(line).alias("size_class"),
+                                   is_spawn.alias("_spawn"), "valid")
+               .groupBy("instance", "size_class")
+               .agg(F.count_if("_spawn").alias("spawns"), F.count_if("valid").alias("completions")))
+    totals = per_cls.groupBy("instance").agg(F.sum("spawns").alias("runner_up"),
+                                             F.sum("completions").alias("completions"))
+    legacy = (per_cls.filter(F.col("size_class").isNotNull()).groupBy("instance")
+              .agg(F.array_sort(F.collect_list(F.struct("size_class", "spawns"))).alias("c"))
+              .select("instance", F.concat_ws(", ", F.transform(
+                  "c", lambda x: F.concat(x["spawns"].cast("string"), F.lit(" "), x["size_class"]))).alias("legacy")))
+    lines = usage_report_lines(usage_summary(parsed_lines.filter("valid"), ["instance"]), ["instance"])
     w = Window.partitionBy("instance").orderBy("snapshot")
     snap_lines = lines.select("instance", F.row_number().over(w).alias("line_no"),
                               F.concat(F.lit("  "), F.col("line")).alias("text"))
     with_summary = snap_lines.select("instance").distinct().withColumn("structured", F.lit(True))
-    counts = legacy_spawn_counts(journal, ["instance"], line_col)
-    legacy = (counts.groupBy("instance")
-              .agg(F.array_sort(F.collect_list(F.struct("size_class", "spawns"))).alias("c"))
-              .select("instance", F.concat_ws(", ", F.transform(
-                  "c", lambda x: F.concat(x["spawns"].cast("string"), F.lit(" "), x["size_class"]))).alias("legacy")))
-    base = (inst.join(with_summary, "instance", "left").join(line_stats, "instance", "left")
-            .join(parsed_n, "instance", "left").join(legacy, "instance", "left"))
+    base = inst.join(with_summary, "instance", "left").join(totals, "instance", "left").join(legacy, "instance", "left")
     header = base.select(
         "instance", F.lit(0).alias("line_no"),
         F.when(F.col("structured"),

@@ -160,8 +160,8 @@ FROM fx_journal WHERE contains(line, 'runner up:') AND contains(line, '[') GROUP
 
 def _usage_report(spark, sf):
     journal = fixture(spark, sf, "fx_journal")
-    parsed = parse_cycle_telemetry(journal, keep=["instance"])
-    return tm.usage_report(fixture(spark, sf, "fx_instances"), journal, parsed)
+    parsed = parse_cycle_telemetry(journal, keep=["instance"], keep_all=True)
+    return tm.usage_report(fixture(spark, sf, "fx_instances"), parsed)
 
 
 def _usage_report_oracle() -> str:

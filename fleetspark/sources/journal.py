@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import ts_lit
 from ..schemas import CYCLE_RECORD_JSON, TELEMETRY_EVENT, TELEMETRY_SCHEMA_VERSION
@@ -31,33 +32,43 @@ def scan_journal(journal: DataFrame, as_of: str, since_secs: int, ts_col: str =
     return journal.filter((ts >= lo) & (ts <= ts_lit(as_of)))
 
 
-def _strict_json_object(payload: Column) -> Column:
-    """True only when ``payload`` is one complete JSON value and nothing else.
-
-    ``from_json`` ignores text after the first value; wrapping the payload
-    in an object and in an array makes trailing text a syntax error.
-    """
-    as_field = F.from_json(F.concat(F.lit('{"r":'), payload, F.lit("}")), "r STRING")
-    as_item = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "ARRAY<STRING>")
-    return as_field["r"].isNotNull() & (F.coalesce(F.size(as_item), F.lit(0)) == 1)
-
-
-def parse_cycle_telemetry(lines: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:
+def parse_cycle_telemetry(lines: DataFrame, line_col: str = "line", keep: list[str] | None = None,
+                          keep_all: bool = False) -> DataFrame:
     """Cycle records from journal lines.
 
     Takes the text after the *first* marker, parses it as one JSON object
     and keeps it only when ``event`` and ``schema_version`` match the v1
     contract.  Malformed lines are dropped, never raised.
+
+    ``from_json`` ignores text after the first value, so the payload is
+    parsed wrapped in an object (``{"r": payload}``: trailing text becomes
+    a syntax error) and, to reject a second top-level value smuggled in as
+    an extra wrapper key, also wrapped in an array that must hold exactly
+    one element.  Two parses per line, both JVM-side.
+
+    With ``keep_all`` every line is returned with a ``valid`` flag (record
+    fields null when invalid) so callers can count lines and records in
+    the same pass.
     """
     line = F.col(line_col)
     pos = F.instr(line, TELEMETRY_PREFIX)
     payload = F.expr(f"substr({line_col}, instr({line_col}, '{TELEMETRY_PREFIX}') + {len(TELEMETRY_PREFIX)})")
-    rec = F.from_json(payload, CYCLE_RECORD_JSON)
+    wrapped = F.from_json(F.concat(F.lit('{"r":'), payload, F.lit("}")),
+                          T.StructType([T.StructField("r", CYCLE_RECORD_JSON)]))
+    as_item = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "ARRAY<STRING>")
     keep = [c for c in (keep if keep is not None else lines.columns) if c != line_col]
-    parsed = lines.select(*keep, rec.alias("_r"), (pos > 0).alias("_has"), payload.alias("_p"))
-    ok = (F.col("_has") & (F.col("_r.event") == TELEMETRY_EVENT)
-          & (F.col("_r.schema_version") == float(TELEMETRY_SCHEMA_VERSION))
-          & _strict_json_object(F.col("_p")))
+    if keep_all:
+        has = pos > 0
+        parsed = lines.select(*keep, line.alias(line_col), F.when(has, wrapped["r"]).alias("_r"),
+                              F.when(has, as_item).alias("_a"))
+    else:
+        candidates = lines.filter(pos > 0)  # cheap substring test before any JSON work
+        parsed = candidates.select(*keep, wrapped["r"].alias("_r"), as_item.alias("_a"))
+    ok = F.coalesce(F.col("_r").isNotNull() & (F.col("_r.event") == TELEMETRY_EVENT)
+                    & (F.col("_r.schema_version") == float(TELEMETRY_SCHEMA_VERSION))
+                    & (F.coalesce(F.size("_a"), F.lit(0)) == 1), F.lit(False))
+    if keep_all:
+        return parsed.select(*keep, line_col, ok.alias("valid"), "_r.*")
     return parsed.filter(ok).select(*keep, "_r.*")
 
 

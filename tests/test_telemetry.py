@@ -53,8 +53,8 @@ def test_usage_report_mixed_window(spark):
     journal = lines_df(spark, ["[default] runner up: sandbox=one runner_id=1 idle_deadline=300s",
                                TELEMETRY_PREFIX + json.dumps(complete), TELEMETRY_PREFIX + json.dumps(incomplete)])
     inst = spark.createDataFrame([("example-fleet", "marsh.service")], "instance string, unit string")
-    parsed = parse_cycle_telemetry(journal, keep=["instance"])
-    rows = tm.usage_report(inst, journal, parsed).orderBy("line_no").collect()
+    parsed = parse_cycle_telemetry(journal, keep=["instance"], keep_all=True)
+    rows = tm.usage_report(inst, parsed).orderBy("line_no").collect()
     body = "\n".join(r.text for r in rows)
     assert "structured completions=2; runner-up lines=1" in body
     assert "allocation unavailable (coverage=1/2)" in body
@@ -64,8 +64,8 @@ def test_legacy_window_and_no_spawns(spark):
     journal = lines_df(spark, ["[default] runner up: a", "[large] runner up: b", "[default] runner up: c", "noise"])
     journal = journal.unionByName(lines_df(spark, ["quiet"], "other"))
     inst = spark.createDataFrame([("example-fleet", "u1"), ("other", "u2"), ("skipped", "")], "instance string, unit string")
-    parsed = parse_cycle_telemetry(journal, keep=["instance"])
-    rows = {r.instance: r.text for r in tm.usage_report(inst, journal, parsed).collect()}
+    parsed = parse_cycle_telemetry(journal, keep=["instance"], keep_all=True)
+    rows = {r.instance: r.text for r in tm.usage_report(inst, parsed).collect()}
     assert rows == {"example-fleet": "example-fleet: legacy window; 2 default, 1 large",
                     "other": "other: legacy window; no spawns"}
 
