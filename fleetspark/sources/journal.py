@@ -55,18 +55,21 @@ def parse_cycle_telemetry(lines: DataFrame, line_col: str = "line", keep: list[s
     payload = F.expr(f"substr({line_col}, instr({line_col}, '{TELEMETRY_PREFIX}') + {len(TELEMETRY_PREFIX)})")
     wrapped = F.from_json(F.concat(F.lit('{"r":'), payload, F.lit("}")),
                           T.StructType([T.StructField("r", CYCLE_RECORD_JSON)]))
-    as_item = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "ARRAY<STRING>")
+    n_items = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]")))
     keep = [c for c in (keep if keep is not None else lines.columns) if c != line_col]
+    # The parse runs inside ``inline`` (a Generate): filters on the parsed
+    # fields cannot be pushed below it, so the JSON is parsed once per line
+    # instead of once per predicate that mentions it.
     if keep_all:
         has = pos > 0
-        parsed = lines.select(*keep, line.alias(line_col), F.when(has, wrapped["r"]).alias("_r"),
-                              F.when(has, as_item).alias("_a"))
+        parsed = lines.select(*keep, line.alias(line_col), F.inline(F.array(F.struct(
+            F.when(has, wrapped["r"]).alias("_r"), F.when(has, n_items).alias("_a")))))
     else:
         candidates = lines.filter(pos > 0)  # cheap substring test before any JSON work
-        parsed = candidates.select(*keep, wrapped["r"].alias("_r"), as_item.alias("_a"))
+        parsed = candidates.select(*keep, F.inline(F.array(F.struct(wrapped["r"].alias("_r"), n_items.alias("_a")))))
     ok = F.coalesce(F.col("_r").isNotNull() & (F.col("_r.event") == TELEMETRY_EVENT)
                     & (F.col("_r.schema_version") == float(TELEMETRY_SCHEMA_VERSION))
-                    & (F.coalesce(F.size("_a"), F.lit(0)) == 1), F.lit(False))
+                    & (F.coalesce(F.col("_a"), F.lit(0)) == 1), F.lit(False))
     if keep_all:
         return parsed.select(*keep, line_col, ok.alias("valid"), "_r.*")
     return parsed.filter(ok).select(*keep, "_r.*")
