@@ -140,3 +140,53 @@ def class_rule_violations(classes: DataFrame, fleets: DataFrame) -> DataFrame:
         "profile", F.lit(None).cast("long").alias("class_pos"), "name", F.lit(21).alias("rule_no"),
         F.lit("R21_required_class").alias("rule_id"))
     return row.unionByName(dup).unionByName(missing)
+
+
+# Fixed values for the profile rules: allowed top-level sections, shared
+# runner labels, credential-like key pattern, listen defaults.
+PROFILE_SECTIONS = ("github", "daytona", "lifecycle", "size_class", "network", "routing", "cache", "webhook",
+                    "watchdog", "report", "checks", "notify")
+SHARED_LABELS = ("self-hosted", "daytona", "marsh", "large")
+REPOSITORY_NAME = r"^(?:\.github|[A-Za-z0-9][A-Za-z0-9._-]*)$"
+FORBIDDEN_CONFIG_KEYS = r"(?i)(?:api[_-]?key|token|secret|password|private)"
+ENV_NAME = r"^[A-Z_][A-Z0-9_]*$"
+LOOPBACK_HOSTS = ("127.0.0.1", "::1", "localhost")
+
+
+def profile_rule_violations(profiles: DataFrame) -> DataFrame:
+    """Profile rules: R1 manifest version, R5 allowed sections, R8
+    repositories (non-empty, pattern, unique ignoring case; repository
+    scope), R12 routing labels (pattern, not shared, unique, equal to the
+    runner group), R15 webhook listen host/port/secret env name, R16
+    lifecycle values, R17 watchdog flag, R22 credential-like keys anywhere,
+    R23 installation metadata (id, target type, login, selection 'all')."""
+    c = F.col
+    is_repo = c("scope") == "repository"
+    repos = F.filter(F.split(c("repositories"), ","), lambda x: x != "")
+    labels = F.split(c("routing_labels"), ",")
+    keys = F.split(c("config_keys"), ",")
+    paths = F.split(c("config_paths"), ",")
+    target = F.when(is_repo, "User").otherwise("Organization")
+    rules = [
+        (1, "R1_manifest_version", c("manifest_version") != 1),
+        (5, "R5_unknown_section", F.size(F.array_except(keys, F.array(*[F.lit(x) for x in PROFILE_SECTIONS]))) > 0),
+        (8, "R8_repositories_empty", is_repo & (F.size(repos) == 0)),
+        (8, "R8_repository_name", is_repo & F.exists(repos, lambda r: ~_full(r, REPOSITORY_NAME))),
+        (8, "R8_repository_duplicate", is_repo & (F.size(F.array_distinct(F.transform(repos, F.lower))) != F.size(repos))),
+        (12, "R12_label_name", F.exists(labels, lambda l: ~_full(l, RUNNER_GROUP_NAME))),
+        (12, "R12_label_shared", F.exists(labels, lambda l: l.isin(*SHARED_LABELS))),
+        (12, "R12_label_duplicate", F.size(F.array_distinct(labels)) != F.size(labels)),
+        (12, "R12_label_group", ~F.array_contains(labels, c("runner_group"))),
+        (15, "R15_listen_host", ~c("listen_host").isin(*LOOPBACK_HOSTS)),
+        (15, "R15_listen_port", (c("listen_port") < 1) | (c("listen_port") > 65535)),
+        (15, "R15_secret_env", ~_full(c("secret_env"), ENV_NAME)),
+        (16, "R16_idle_refresh", c("idle_refresh_secs") < 0),
+        (16, "R16_poll", (c("idle_poll_secs") < 1) | (c("busy_poll_secs") < 1)),
+        (17, "R17_watchdog_bool", ~c("watchdog_enabled").isin("true", "false")),
+        (22, "R22_forbidden_key", F.exists(paths, lambda p: p.rlike(FORBIDDEN_CONFIG_KEYS))),
+        (23, "R23_installation_id", c("installation_id").isNull()),
+        (23, "R23_target_type", c("target_type") != target),
+        (23, "R23_login", F.lower("login") != F.lower("owner")),
+        (23, "R23_selection", c("repository_selection") != "all"),
+    ]
+    return _rows(profiles, ["fleet_pos", "profile"], rules)

@@ -170,3 +170,41 @@ UNION ALL SELECT p.profile, NULL, r.name, 21, 'R21_required_class' FROM (SELECT
   (VALUES ('default'), ('large')) r(name)
   WHERE NOT EXISTS (SELECT 1 FROM fx_fleet_classes c WHERE c.profile = p.profile AND c.name = r.name)
 """))(lambda spark, sf: rl.class_rule_violations(fixture(spark, sf, "fx_fleet_classes"), fixture(spark, sf, "fx_fleets")))
+
+
+def _profile_rules_sql() -> str:
+    sec = ", ".join(f"'{x}'" for x in rl.PROFILE_SECTIONS)
+    shared = ", ".join(f"'{x}'" for x in rl.SHARED_LABELS)
+    hosts = ", ".join(f"'{x}'" for x in rl.LOOPBACK_HOSTS)
+    isrepo = "scope = 'repository'"
+    repos = "list_filter(string_split(repositories, ','), lambda x: x <> '')"
+    labels = "string_split(routing_labels, ',')"
+    rules = [
+        (1, "R1_manifest_version", "manifest_version <> 1"),
+        (5, "R5_unknown_section", f"len(list_filter(string_split(config_keys, ','), lambda k: k NOT IN ({sec}))) > 0"),
+        (8, "R8_repositories_empty", f"{isrepo} AND len({repos}) = 0"),
+        (8, "R8_repository_name", f"{isrepo} AND list_bool_or(list_transform({repos}, lambda r: NOT {_full('r', rl.REPOSITORY_NAME)}))"),
+        (8, "R8_repository_duplicate", f"{isrepo} AND len(list_distinct(list_transform({repos}, lambda r: lower(r)))) <> len({repos})"),
+        (12, "R12_label_name", f"list_bool_or(list_transform({labels}, lambda l: NOT {_full('l', rl.RUNNER_GROUP_NAME)}))"),
+        (12, "R12_label_shared", f"list_bool_or(list_transform({labels}, lambda l: l IN ({shared})))"),
+        (12, "R12_label_duplicate", f"len(list_distinct({labels})) <> len({labels})"),
+        (12, "R12_label_group", f"NOT list_contains({labels}, runner_group)"),
+        (15, "R15_listen_host", f"listen_host NOT IN ({hosts})"),
+        (15, "R15_listen_port", "listen_port < 1 OR listen_port > 65535"),
+        (15, "R15_secret_env", f"NOT {_full('secret_env', rl.ENV_NAME)}"),
+        (16, "R16_idle_refresh", "idle_refresh_secs < 0"),
+        (16, "R16_poll", "idle_poll_secs < 1 OR busy_poll_secs < 1"),
+        (17, "R17_watchdog_bool", "watchdog_enabled NOT IN ('true', 'false')"),
+        (22, "R22_forbidden_key", "list_bool_or(list_transform(string_split(config_paths, ','), lambda p: regexp_matches(p, '(?:api[_-]?key|token|secret|password|private)', 'i')))"),
+        (23, "R23_installation_id", "installation_id IS NULL"),
+        (23, "R23_target_type", f"target_type <> CASE WHEN {isrepo} THEN 'User' ELSE 'Organization' END"),
+        (23, "R23_login", "lower(login) <> lower(owner)"),
+        (23, "R23_selection", "repository_selection <> 'all'"),
+    ]
+    return "\nUNION ALL ".join(
+        f"SELECT fleet_pos, profile, {n} AS rule_no, '{rid}' AS rule_id FROM fx_profiles WHERE coalesce({cond}, false)"
+        for n, rid, cond in rules)
+
+
+register("profile_rule_violations", oracle_with(["fx_profiles"], _profile_rules_sql()))(
+    lambda spark, sf: rl.profile_rule_violations(fixture(spark, sf, "fx_profiles")))

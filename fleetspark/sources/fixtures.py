@@ -460,3 +460,32 @@ def fixture_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     t = tables[0]
     text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **{t: stream_source(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")})
+
+
+# Fleet profile sections flattened to columns (lists as comma text), with
+# faults: bad manifest versions, unknown and credential-like keys, bad
+# repository names, shared routing labels, bad ports and lifecycle values.
+VIEWS["fx_profiles"] = """
+SELECT s_suppkey AS fleet_pos, 'profiles/' || CAST(s_suppkey AS STRING) || '.toml' AS profile,
+  CASE WHEN s_suppkey % 37 = 0 THEN 2 ELSE 1 END AS manifest_version,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'repository' ELSE 'organization' END AS scope,
+  'Org-' || CAST(s_nationkey AS STRING) AS owner,
+  CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'app,.github,Tools' WHEN 2 THEN 'api,API' WHEN 3 THEN '.hidden,web'
+       ELSE 'svc-' || CAST(s_suppkey AS STRING) END AS repositories,
+  CASE s_suppkey % 4 WHEN 0 THEN 'edge-' || CAST(s_suppkey AS STRING) WHEN 1 THEN 'self-hosted' WHEN 2 THEN 'gpu,gpu' ELSE 'Bad_Label' END AS routing_labels,
+  'edge-' || CAST(s_suppkey AS STRING) AS runner_group,
+  CASE WHEN s_suppkey % 6 = 0 THEN 'github,daytona,lifecycle,colour' ELSE 'github,daytona,lifecycle' END AS config_keys,
+  CASE WHEN s_suppkey % 8 = 0 THEN 'github.app_id,daytona.api_key,lifecycle.idle_poll_secs'
+       WHEN s_suppkey % 8 = 1 THEN 'github.app_id,notify.Webhook_Token'
+       ELSE 'github.app_id,lifecycle.idle_poll_secs' END AS config_paths,
+  s_suppkey % 7 - 1 AS idle_refresh_secs, s_suppkey % 5 AS idle_poll_secs, s_suppkey % 9 AS busy_poll_secs,
+  CASE WHEN s_suppkey % 10 = 0 THEN 'yes' ELSE 'true' END AS watchdog_enabled,
+  CASE WHEN s_suppkey % 12 = 0 THEN '0.0.0.0' ELSE '127.0.0.1' END AS listen_host,
+  CASE WHEN s_suppkey % 14 = 0 THEN 70000 ELSE 8080 + s_suppkey % 10 END AS listen_port,
+  CASE WHEN s_suppkey % 15 = 0 THEN 'BAD-NAME' ELSE 'MARSH_WEBHOOK_SECRET' END AS secret_env,
+  CASE WHEN s_suppkey % 16 = 0 THEN NULL ELSE s_suppkey + 1000 END AS installation_id,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'User' ELSE 'Organization' END AS target_type,
+  CASE WHEN s_suppkey % 18 = 0 THEN 'someone-else' ELSE 'org-' || CAST(s_nationkey AS STRING) END AS login,
+  CASE WHEN s_suppkey % 20 = 0 THEN 'selected' ELSE 'all' END AS repository_selection
+FROM supplier
+"""
