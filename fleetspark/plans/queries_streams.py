@@ -45,3 +45,28 @@ def _cycles(spark, sf):
 register("delivery_stream", ORACLES["classify_delivery"])(_delivery)
 register("wake_coalesce_stream", ORACLES["wake_coalesce"])(_wake)
 register("cycle_state_stream", ORACLES["cycle_state"])(_cycles)
+
+
+def _usage_stream(spark, sf):
+    from ..streaming.usage import usage_report_stream
+    return usage_report_stream(fixture_stream(spark, sf, "fx_cycles"), 86400)
+
+
+def _usage_stream_oracle() -> str:
+    from .queries_telemetry import _summary_sql
+    from ..sources.fixtures import oracle_with
+    ctes, body = _summary_sql(["window_start"])
+    return oracle_with(["fx_cycles"], f"""
+, cyc AS (SELECT date_trunc('day', completed_at) AS window_start, * FROM fx_cycles),
+{ctes}
+SELECT * FROM ({body}) s""")
+
+
+def _streak(spark, sf):
+    from ..streaming.failure_streak import OUTPUT_SCHEMA, failure_streak_stream
+    out = run_to_table(failure_streak_stream(fixture_stream(spark, sf, "fx_polls")), "append", "failure-streak")
+    return read_all(spark, out, OUTPUT_SCHEMA)
+
+
+register("usage_report_stream", _usage_stream_oracle())(_usage_stream)
+register("failure_streak_stream", ORACLES["failure_runs"])(_streak)
