@@ -235,3 +235,27 @@ def _regions(spark, sf):
 
 
 register("read_regions", oracle_with(["fx_regions"], "SELECT id, name FROM fx_regions"))(_regions)
+
+
+def _retire(spark, sf):
+    from ..operators import retirement as rt
+    status = _status(spark, sf)
+    succ = rt.replacement_successes(fixture(spark, sf, "fx_cycles"))
+    return rt.retirement_candidates(status, fixture(spark, sf, "fx_snapshot_history"), succ)
+
+
+register("retirement_candidates", oracle_with(_AUD_VIEWS + ["fx_snapshot_history", "fx_cycles"], _STATUS + """,
+succ AS (SELECT snapshot AS replacement, count(*) AS successes FROM fx_cycles WHERE outcome = 'job' GROUP BY snapshot),
+h AS (SELECT h.*, s.successes FROM fx_snapshot_history h LEFT JOIN succ s USING (replacement)),
+j AS (SELECT st.snapshot_id, st.reference_status, h.* EXCLUDE (snapshot_id),
+             CASE WHEN incident = 'resolved' THEN least(unreferenced_days, incident_resolved_days) ELSE unreferenced_days END AS age
+      FROM status st LEFT JOIN h USING (snapshot_id)),
+r AS (SELECT snapshot_id, CASE WHEN reference_status <> 'unreferenced' THEN reference_status
+        WHEN unreferenced_days IS NULL OR build_failed IS NULL THEN 'ambiguous'
+        WHEN incident = 'open' THEN 'open_incident'
+        WHEN build_failed THEN CASE WHEN age >= 7 THEN 'failed_build' ELSE 'failed_build_recent' END
+        WHEN replacement IS NOT NULL AND coalesce(successes, 0) >= 100 THEN CASE WHEN age >= 14 THEN 'replaced' ELSE 'replaced_recent' END
+        WHEN age >= 30 THEN 'unreferenced_30d' ELSE 'unreferenced_recent' END AS reason FROM j)
+SELECT snapshot_id, CASE WHEN reason IN ('failed_build', 'replaced', 'unreferenced_30d') THEN 'retire' ELSE 'retain' END AS decision,
+       reason FROM r
+"""))(_retire)

@@ -489,3 +489,16 @@ SELECT s_suppkey AS fleet_pos, 'profiles/' || CAST(s_suppkey AS STRING) || '.tom
   CASE WHEN s_suppkey % 20 = 0 THEN 'selected' ELSE 'all' END AS repository_selection
 FROM supplier
 """
+
+
+# Reference history per snapshot (days unreferenced at as_of, failed build,
+# replacement snapshot, incident state) for the retirement policy.
+VIEWS["fx_snapshot_history"] = """
+SELECT 'snapshot-' || CAST(p_partkey AS STRING) AS snapshot_id,
+       CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE p_partkey % 60 END AS unreferenced_days,
+       p_type = 'SMALL' AS build_failed,
+       CASE p_partkey % 5 WHEN 0 THEN 'snap-click' WHEN 1 THEN 'snap-view' WHEN 2 THEN 'snap-missing' ELSE NULL END AS replacement,
+       CASE WHEN p_partkey % 17 = 0 THEN 'open' WHEN p_partkey % 19 = 0 THEN 'resolved' ELSE NULL END AS incident,
+       CASE WHEN p_partkey % 19 = 0 THEN p_partkey % 10 END AS incident_resolved_days
+FROM part
+"""
