@@ -17,6 +17,8 @@ def broadcast_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     frame is returned unhinted and the planner (and AQE at runtime) picks a
     shuffle join instead.
     """
+    if df.isLocal():  # literal rows already held by the driver: bounded, no job needed
+        return F.broadcast(df)
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df

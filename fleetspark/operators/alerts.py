@@ -46,7 +46,7 @@ def alert_message(transitions: DataFrame, order_col: str = "key") -> DataFrame:
     can reach the cut, so only those are gathered."""
     cur = transitions.filter(F.col("status") != "recovered")
     stats = cur.agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("status") == "fresh").alias("fresh"))
-    head = top_k(cur.select(F.lit(1).alias("_g"), order_col, "text"), ["_g"], [F.col(order_col)], MESSAGE_CHARS // 2)
-    body = head.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_t")).select(
+    head = top_k(cur.select(order_col, "text"), [], [F.col(order_col)], MESSAGE_CHARS // 2)
+    body = head.agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_t")).select(
         F.left(F.concat_ws("\n", F.transform("_t", lambda x: x["text"])), F.lit(MESSAGE_CHARS)).alias("body"))
     return stats.filter(F.col("fresh") > 0).crossJoin(body).select("findings", "fresh", "body")

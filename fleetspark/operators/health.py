@@ -14,7 +14,7 @@ from ..functions.core import queue_wait_secs, sandbox_age_secs
 from ..functions.labels import (PROVIDER_LABEL, RUNNER_NAME_PREFIX, SCOPE_ORGANIZATION,
                                 fleet_runner, fleet_sandbox, has_label)
 from .labels import match_class
-from .topk import joined_top
+from .topk import joined_top_global
 
 FINDING_COLS = ("instance", "check", "entity", "text")
 ORPHAN_SWEEP_GRACE_SECS = 180
@@ -61,7 +61,7 @@ def profile_roster_diff(configured: DataFrame, private_roster: DataFrame) -> Dat
 
 def roster_finding(rows: DataFrame, instance: str, check: str, template: str) -> DataFrame:
     """One finding per non-empty list: the first 10 names (sorted) joined."""
-    joined = joined_top(rows.select(F.lit(1).alias("_g"), "name"), ["_g"], "name", MESSAGE_TOP)
+    joined = joined_top_global(rows.select("name"), "name", MESSAGE_TOP)
     return joined.select(F.lit(instance).alias("instance"), F.lit(check).alias("check"),
                          F.lit("").alias("entity"),
                          F.format_string(template, F.col("names")).alias("text"))
@@ -150,11 +150,10 @@ def old_sandboxes(sandboxes: DataFrame, as_of: str, limit_secs: int, scope: str,
     count plus the first five 8-character ids."""
     mine = sandboxes.filter(fleet_sandbox(F.col("labels"), scope, owner, fleet))
     old = mine.filter(F.coalesce(sandbox_age_secs("created_at", as_of), F.lit(0.0)) > limit_secs)
-    n = old.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0).withColumn("_g", F.lit(1))
-    ids = joined_top(old.select(F.lit(1).alias("_g"), F.col(order_col).alias("_o"),
-                                F.substring("sandbox_id", 1, ID_CHARS).alias("id8")),
-                     ["_g"], "id8", ID_TOP, order=[F.col("_o")], out_col="ids")
-    return n.join(ids, "_g").select(
+    n = old.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+    ids = joined_top_global(old.select(F.col(order_col).alias("_o"), F.substring("sandbox_id", 1, ID_CHARS).alias("id8")),
+                            "id8", ID_TOP, order=[F.col("_o")], out_col="ids")
+    return n.crossJoin(ids).select(
         F.lit(instance).alias("instance"), F.lit("old_sandboxes").alias("check"), F.lit("").alias("entity"),
         F.format_string(f"[{instance}] %d sandbox(es) older than {limit_secs // 60}m still running — possible orphans: %s",
                         "n", "ids").alias("text"))

@@ -16,6 +16,11 @@ DEFAULT_SALTS = 64
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
           salts: int = DEFAULT_SALTS, rank_col: str = "rank") -> DataFrame:
+    if not keys:
+        # One global group: ``orderBy().limit(k)`` plans as TakeOrderedAndProject
+        # (each task keeps its own k best, then one merge of k x tasks rows).
+        best = df.orderBy(*order).limit(k)
+        return best.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
     salt = (F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % salts).alias("_salt")
     staged = df.select("*", salt)
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
@@ -31,3 +36,14 @@ def joined_top(df: DataFrame, keys: list[str], value: str, k: int, sep: str = ",
     top = top_k(df, keys, order, k)
     agg = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", value))).alias("_t"))
     return agg.select(*keys, F.concat_ws(sep, F.transform("_t", lambda x: x[value])).alias(out_col))
+
+
+def joined_top_global(df: DataFrame, value: str, k: int, sep: str = ", ",
+                      order: list[Column] | None = None, out_col: str = "names") -> DataFrame:
+    """P24 over the whole frame: one row with the first ``k`` values joined
+    (no row when the frame is empty)."""
+    order = order or [F.col(value)]
+    top = top_k(df, [], order, k)
+    return (top.agg(F.array_sort(F.collect_list(F.struct("rank", value))).alias("_t"))
+            .filter(F.size("_t") > 0)
+            .select(F.concat_ws(sep, F.transform("_t", lambda x: x[value])).alias(out_col)))
