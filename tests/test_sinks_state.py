@@ -38,9 +38,9 @@ def test_health_check_passes(spark):
     base = scratch_path(spark, "hc-test")
     f1 = spark.createDataFrame([("i", "stuck", "1", "job 1 queued 5m"), ("i", "cap", "", "too many")],
                                "instance string, check string, entity string, text string")
-    t1, m1 = health_check([f1], base, 1, 1000.0, 3600)
+    t1, m1 = health_check([f1], base, 1, 1.7e9, 3600)
     assert {r.status for r in t1.collect()} == {"fresh"} and m1.count() == 1
     f2 = spark.createDataFrame([("i", "stuck", "1", "job 1 queued 6m")], "instance string, check string, entity string, text string")
-    t2, m2 = health_check([f2], base, 2, 1060.0, 3600)
+    t2, m2 = health_check([f2], base, 2, 1.7e9 + 60, 3600)
     assert {r.key: r.status for r in t2.collect()} == {"i|stuck|1": "suppressed", "i|cap|": "recovered"}
     assert m2.count() == 0
