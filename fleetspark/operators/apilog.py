@@ -7,14 +7,20 @@ with the previous start and the running maximum cooldown end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import ntz_epoch_secs
+from .scan import Running, running
 
 BACKOFF_INITIAL_SECS = 60
 BACKOFF_MAX_SECS = 900
 RATE_LIMITED = (403, 429)
+SCAN_BUCKET_SECS = 3600  # time slice of the running scans (see operators/scan.py)
+
+
+def _hour_bucket(ts: str = "ts") -> Column:
+    return F.floor(ntz_epoch_secs(ts) / SCAN_BUCKET_SECS)
 
 
 def _finite(x: Column) -> Column:
@@ -54,23 +60,29 @@ def backoff_sequence(log: DataFrame, key: str = "fleet", order: tuple[str, ...]
     the last reset and waits ``min(60 * 2^(k-1), 900)``; a directed one
     waits the server's delay and does not advance k.  A reset happens only
     at a completed tick (``tick_completed``) with no 403/429 inside that
-    tick.  Output adds ``cooldown_secs`` and ``cooldown_source``.
+    tick.  Output adds ``cooldown_secs``, ``cooldown_source`` and
+    ``backoff_reset``.
+
+    Two time-sliced running scans (``scan.running``) replace the
+    per-fleet window, so a fleet with most of the log still spreads over
+    the cluster: scan 1 numbers ticks and counts undirected failures (U);
+    the tick error counts are a grouped aggregate; scan 2 carries U at the
+    last reset, and k = U - U_at_last_reset.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     limited = F.col("status").isin(*RATE_LIMITED)
     d = directed if directed is not None else F.lit(None).cast("struct<delay_secs:double,source:string>")
-    x = (log.withColumn("_limited", limited).withColumn("_directed", d)
-         .withColumn("_tick", F.coalesce(F.sum(F.col("tick_completed").cast("int")).over(before), F.lit(0))))
-    tick_errors = Window.partitionBy(key, "_tick")
-    x = x.withColumn("_reset", F.col("tick_completed")
-                     & (F.sum(F.col("_limited").cast("int")).over(tick_errors) == 0))
-    x = x.withColumn("_seg", F.coalesce(F.sum(F.col("_reset").cast("int")).over(before), F.lit(0)))
+    x = log.withColumn("_limited", limited).withColumn("_directed", d)
     undirected = F.col("_limited") & F.col("_directed").isNull()
-    x = x.withColumn("_k", F.sum(undirected.cast("int")).over(
-        Window.partitionBy(key, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    fallback = F.least(F.lit(float(BACKOFF_INITIAL_SECS)) * F.pow(F.lit(2.0), F.col("_k") - 1),
-                       F.lit(float(BACKOFF_MAX_SECS)))
+    x = running(x, [key], list(order), [
+        Running("_tick", F.col("tick_completed").cast("long"), "sum", inclusive=False),
+        Running("_u", undirected.cast("long"), "sum")], _hour_bucket())
+    errors = x.groupBy(key, "_tick").agg(F.sum(F.col("_limited").cast("long")).alias("_tick_errors"))
+    x = x.join(errors, [key, "_tick"]).withColumn(
+        "_reset", F.coalesce(F.col("tick_completed"), F.lit(False)) & (F.col("_tick_errors") == 0))
+    x = running(x, [key], list(order), [
+        Running("_u_at_reset", F.when(F.col("_reset"), F.col("_u")), "max", inclusive=False)], _hour_bucket())
+    k = F.col("_u") - F.coalesce(F.col("_u_at_reset"), F.lit(0))
+    fallback = F.least(F.lit(float(BACKOFF_INITIAL_SECS)) * F.pow(F.lit(2.0), k - 1), F.lit(float(BACKOFF_MAX_SECS)))
     secs = F.when(~F.col("_limited"), F.lit(None).cast("double")).when(
         F.col("_directed").isNotNull(), F.col("_directed.delay_secs")).otherwise(fallback)
     source = F.when(~F.col("_limited"), F.lit(None).cast("string")).when(
@@ -85,14 +97,17 @@ def pacing_gaps(log: DataFrame, spacing_secs: float, key: str = "fleet",
 
     The earliest allowed start is the later of the previous start plus the
     configured spacing and the running maximum cooldown end of earlier
-    rate-limited responses.  Needs ``cooldown_secs`` (from W6).
+    rate-limited responses.  Needs ``cooldown_secs`` (from W6).  Starts are
+    in time order, so the previous start is the running maximum of earlier
+    starts: both are exclusive running maxima from one time-sliced scan.
     """
-    w = Window.partitionBy(key).orderBy(*order)
     start = ntz_epoch_secs("ts")
     x = log.withColumn("_start", start).withColumn(
         "_cool_end", F.when(F.col("cooldown_secs").isNotNull(), start + F.col("cooldown_secs")))
-    prev = F.lag("_start").over(w)
-    cool = F.max("_cool_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    allowed = F.greatest(prev + F.lit(float(spacing_secs)), cool)
-    return x.select(*log.columns, (F.col("_start") - prev).alias("gap_secs"), allowed.alias("allowed_from"),
+    x = running(x, [key], list(order), [Running("_prev", F.col("_start"), "max", inclusive=False),
+                                        Running("_cool", F.col("_cool_end"), "max", inclusive=False)],
+                _hour_bucket())
+    allowed = F.greatest(F.col("_prev") + F.lit(float(spacing_secs)), F.col("_cool"))
+    allowed = F.when(F.col("_prev").isNotNull(), allowed)
+    return x.select(*log.columns, (F.col("_start") - F.col("_prev")).alias("gap_secs"), allowed.alias("allowed_from"),
                     F.coalesce(F.col("_start") < allowed, F.lit(False)).alias("early"))
