@@ -44,3 +44,15 @@ def test_health_check_passes(spark):
     t2, m2 = health_check([f2], base, 2, 1.7e9 + 60, 3600)
     assert {r.key: r.status for r in t2.collect()} == {"i|stuck|1": "suppressed", "i|cap|": "recovered"}
     assert m2.count() == 0
+
+
+def test_alert_stream_two_passes(spark):
+    from fleetspark.streaming.alerts import alert_stream
+    src = scratch_path(spark, "alert-src")
+    rows = [(1, 1.7e9, "a", "A"), (1, 1.7e9, "b", "B"), (2, 1.7e9 + 60, "a", "A")]
+    spark.createDataFrame(rows, "pass_id long, now_epoch double, key string, text string").write.parquet(src)
+    stream = spark.readStream.schema("pass_id long, now_epoch double, key string, text string").parquet(src)
+    out = scratch_path(spark, "alert-out")
+    alert_stream(stream, 3600, scratch_path(spark, "alert-state"), out).awaitTermination()
+    got = {(r.pass_id, r.key): r.status for r in spark.read.parquet(out).collect()}
+    assert got == {(1, "a"): "fresh", (1, "b"): "fresh", (2, "a"): "suppressed", (2, "b"): "recovered"}
