@@ -20,12 +20,34 @@ OUTCOMES = ("job", "idle", "failed", "unknown")
 
 
 def nearest_rank(c: str, p: float) -> Column:
-    """A3: ``sorted(x)[max(0, ceil(p*n) - 1)]`` over non-null ``c``.
+    """A3 as an aggregate expression: ``sorted(x)[max(0, ceil(p*n) - 1)]``
+    over non-null ``c`` (``percentile_disc`` is exactly this rank).  Fine
+    for bounded groups; for groups that may hold a large share of the data
+    use ``nearest_rank_table``, which never merges a group in one task."""
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)")
+
 
-    ``percentile_disc`` is exactly this rank; it keeps a value->count map
-    per group and merges partial aggregates, so it runs map-side.
+def nearest_rank_table(df: DataFrame, keys: list[str], fields: list[str], p: float,
+                       suffix: str = "_p") -> DataFrame:
+    """A3 for many fields at once, exact and skew-safe.
+
+    Values are counted per (keys, field, value): a partial (map-side)
+    aggregate, shuffled by value, so a group holding a third of all rows
+    is spread over many tasks.  A running count over the *distinct* values
+    of each (keys, field) then finds the first value whose cumulative count
+    reaches ``max(1, ceil(p * n))``.  Output: keys + one ``<field><suffix>``
+    column per field (null when the field has no value in the group).
     """
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])
+    long = df.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.field", "_x.v").filter(F.col("v").isNotNull())
+    counts = long.groupBy(*keys, "field", "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*keys, "field")
+    cum = counts.select("*", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                        .alias("cum"), F.sum("c").over(w).alias("n"))
+    target = F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n")))
+    picked = cum.filter(F.col("cum") >= target).groupBy(*keys, "field").agg(F.min("v").alias("v"))
+    out = picked.groupBy(*keys).pivot("field", list(fields)).agg(F.first("v"))
+    return out.select(*keys, *[F.col(f).alias(f + suffix) for f in fields])
 
 
 def _flat_resources(cycles: DataFrame) -> DataFrame:
@@ -79,13 +101,20 @@ def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame
     n = F.count(F.lit(1))
     aggs = [n.alias("n")]
     aggs += [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    aggs += [F.count("v_total").alias("duration_count"),
-             F.avg("v_total").alias("_avg"), nearest_rank("v_total", 0.95).alias("_p95")]
+    aggs += [F.count("v_total").alias("duration_count"), F.avg("v_total").alias("_avg")]
     for f in STAGE_FIELDS:
-        aggs += [F.count("v_" + f).alias("_n_" + f), nearest_rank("v_" + f, 0.95).alias("_p_" + f)]
+        aggs += [F.count("v_" + f).alias("_n_" + f)]
     aggs += [F.count_if("alloc_counted").alias("alloc_count"),
              _hours("cpu_s").alias("_cpu"), _hours("ram_s").alias("_ram"), _hours("disk_s").alias("_disk")]
     g = p.groupBy(*keys, "snapshot").agg(*aggs)
+    value_cols = ["v_total"] + ["v_" + f for f in STAGE_FIELDS]
+    ranks = nearest_rank_table(p, [*keys, "snapshot"], value_cols, 0.95, suffix="")
+    # join on renamed keys (null-safe: a group key such as instance may be null)
+    gk = [*keys, "snapshot"]
+    ranks = ranks.select(*[F.col(k).alias("_rk_" + k) for k in gk], F.col("v_total").alias("_p95"),
+                         *[F.col("v_" + f).alias("_p_" + f) for f in STAGE_FIELDS])
+    on = [F.col(k).eqNullSafe(F.col("_rk_" + k)) for k in gk]
+    g = g.join(ranks, on, "left").drop(*["_rk_" + k for k in gk])
     full_dur = F.col("duration_count") == F.col("n")
     full_alloc = F.col("alloc_count") == F.col("n")
     out = [F.col(k) for k in keys] + [

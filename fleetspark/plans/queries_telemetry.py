@@ -223,8 +223,12 @@ SELECT cycle_id, snapshot, size_class, repository, outcome, cleanup_status, tota
 
 
 def _ranks(spark, sf):
-    c = _cycles(spark, sf).withColumn("v", F.col("total_secs"))
-    return c.groupBy("instance").agg(*[tm.nearest_rank("v", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)])
+    c = _cycles(spark, sf).select("instance", F.col("total_secs").alias("v"))
+    out = None
+    for p in (0.5, 0.9, 0.95, 0.99):
+        r = tm.nearest_rank_table(c, ["instance"], ["v"], p, suffix="").withColumnRenamed("v", f"p{int(p * 100)}")
+        out = r if out is None else out.join(r, "instance")
+    return out
 
 
 register("nearest_rank", oracle_with(["fx_cycles"], f"""
