@@ -28,8 +28,9 @@ def alert_stream(findings: DataFrame, realert_secs: int, state_base: str, out_pa
         for pass_id, now in passes:
             cur = batch.filter(F.col("pass_id") == pass_id).select("key", "text").dropDuplicates(["key"])
             prev = load_alert_state(spark, state_base, pass_id - 1)
-            t = al.alert_transitions(cur, prev, float(now), realert_secs).withColumn("pass_id", F.lit(pass_id))
-            t.write.mode("append").parquet(out_path)
+            t = al.alert_transitions(cur, prev, float(now), realert_secs)
+            # one folder per pass, overwritten on replay: exactly-once output
+            t.write.mode("overwrite").parquet(f"{out_path}/pass_id={pass_id}")
             save_alert_state(al.next_state(t), state_base, pass_id)
 
     return (findings.writeStream.foreachBatch(per_batch)

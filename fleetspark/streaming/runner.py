@@ -1,9 +1,11 @@
 """Run a streaming query to completion (``availableNow``) into a table.
 
-Every micro-batch is appended with its batch id to Parquet under the
-shared checkpoint folder (``foreachBatch``), so ``update``-mode outputs can
-be read back as the latest row per key.  The checkpoint makes a rerun
-continue where a failed run stopped.
+Every micro-batch is written to its own ``_batch_id=N`` folder under the
+shared checkpoint folder (``foreachBatch``, overwrite), so a batch that is
+replayed after a failure replaces its own output instead of duplicating
+it (exactly-once results).  ``update``-mode outputs are read back as the
+latest row per key.  The checkpoint makes a rerun continue where a failed
+run stopped.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def run_to_table(stream: DataFrame, output_mode: str = "append", name: str = "st
     ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_batch_id={batch_id}")
 
     q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(write_batch).trigger(availableNow=True).start())
