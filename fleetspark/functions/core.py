@@ -69,16 +69,18 @@ def sandbox_age_secs(created_at: ColumnOrName, as_of: str) -> Column:
     """P10: age of an ISO creation time at ``as_of`` (UTC), in seconds.
 
     Null when absent, unparsable, or without a zone offset (a naive time
-    cannot be compared with an aware clock).  Accepts ``Z`` or ``±HH:MM``.
+    cannot be compared with an aware clock).  Accepts what the provider
+    SDK's ISO text looks like: ``T`` or space separator, minutes or seconds
+    with 1-6 fraction digits, and ``Z``, ``±HH:MM`` or ``±HHMM``.
     """
-    text = col(created_at)
-    has_zone = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    parsed = F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XX")),
-    )
+    text = F.regexp_replace(F.regexp_replace(col(created_at), "Z", "+00:00"),
+                            r"^(\d{4}-\d{2}-\d{2}) ", "$1T")
+    has_zone = text.rlike(r"[+-]\d{2}:?\d{2}$")
+    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in (
+        "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XX",
+        "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mmXX")])
     # ``as_of`` is UTC wall-clock text; read it as an instant the same way.
-    as_of_ts = F.try_to_timestamp(F.lit(as_of + "Z"), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
+    as_of_ts = F.try_to_timestamp(F.lit(as_of + "+00:00"), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
     age = (F.unix_micros(as_of_ts) - F.unix_micros(parsed)) / F.lit(1e6)
     return F.when(has_zone, age)
 
