@@ -85,10 +85,17 @@ def sandbox_age_secs(created_at: ColumnOrName, as_of: str) -> Column:
     return F.when(has_zone, age)
 
 
-def queue_wait_secs(created_at: ColumnOrName, as_of: str) -> Column:
-    """Seconds a job waited; ``created_at`` is ``%Y-%m-%dT%H:%M:%SZ`` text
-    or a TIMESTAMP_NTZ.  Unparsable text gives null (the caller drops it)."""
+def queue_wait_secs(created_at: ColumnOrName, as_of: str, text: bool = False) -> Column:
+    """Seconds a job has waited at ``as_of``.
+
+    ``created_at`` is a TIMESTAMP_NTZ (UTC wall clock) or, with ``text``,
+    ``%Y-%m-%dT%H:%M:%SZ`` text as the API sends it; text that does not
+    parse gives null (callers drop those jobs).  Single-letter fields accept
+    unpadded numbers as ``strptime`` does.
+    """
     c = col(created_at)
+    if text:
+        c = F.try_to_timestamp(c, F.lit("yyyy-M-d'T'H:m:s'Z'")).cast("timestamp_ntz")
     return secs_between(c, F.lit(as_of).cast("timestamp_ntz"))
 
 

@@ -114,7 +114,8 @@ def stuck_jobs(jobs: DataFrame, classes: DataFrame, group_roster: DataFrame | No
     does not parse are skipped.
     """
     m = match_class(jobs, classes, required=required).filter(F.col("size_class").isNotNull())
-    waited = queue_wait_secs("created_at", as_of)
+    is_text = dict(jobs.dtypes).get("created_at") == "string"
+    waited = queue_wait_secs("created_at", as_of, text=is_text)
     m = m.withColumn("waited_secs", waited).filter(F.col("waited_secs").isNotNull()
                                                    & (F.col("waited_secs") >= stuck_after_secs))
     if scope == SCOPE_ORGANIZATION and group_roster is not None:

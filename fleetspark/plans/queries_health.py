@@ -284,3 +284,17 @@ SELECT coalesce(cur.key, prev.key) AS key, cur.text,
             WHEN {AS_OF_EPOCH} - coalesce(prev.last_alert, 0) >= {REALERT} THEN {AS_OF_EPOCH} ELSE prev.last_alert END AS last_alert
 FROM cur FULL OUTER JOIN prev ON cur.key = prev.key
 """))(_transitions)
+
+
+def _queue_wait_text(spark, sf):
+    jobs = fixture(spark, sf, "fx_jobs")
+    text = F.when(F.col("job_id") % 17 == 0, F.lit("unknown")).otherwise(
+        F.concat(F.regexp_replace(F.col("created_at").cast("string"), " ", "T"), F.lit("Z")))
+    w = queue_wait_secs(text, ORDERS_AS_OF, text=True)
+    return jobs.select("job_id", w.alias("wait_secs")).filter(F.col("wait_secs").isNotNull())
+
+
+register("queue_wait_text", oracle_with(["fx_jobs"], f"""
+SELECT job_id, epoch(TIMESTAMP '{ORDERS_AS_OF}') - epoch(strptime(replace(CAST(created_at AS VARCHAR), ' ', 'T') || 'Z',
+       '%Y-%m-%dT%H:%M:%SZ')) AS wait_secs FROM fx_jobs WHERE job_id % 17 <> 0
+"""))(_queue_wait_text)
