@@ -42,42 +42,46 @@ def normalize_snapshot(raw: DataFrame, json_col: str = "raw", keep: list[str] |
     Alternate spellings are tried in the provider's order (camelCase, then
     snake_case, then nested ``resources`` / ``buildInfo``); a wrong type
     becomes null; regions are the sorted non-empty strings of a list.
+
+    ``variant_get(..., 'variant')`` is SQL NULL for an absent key but a
+    VARIANT null for a JSON null, so ``coalesce`` over the spellings is
+    exactly "first *present* key".  The JSON is parsed once (behind a
+    generator) and each field is extracted once before typing, so the
+    expressions stay small and inside whole-stage codegen.
     """
     keep = keep or []
-    v = F.try_parse_json(F.col(json_col))
-    res = _v_object(F.variant_get(v, "$.resources", "variant"))
-
-    def res_get(key: str) -> Column:
-        return F.variant_get(res, f"$.{key}", "variant")
-
-    def first(*cands) -> Column:
-        out = None
-        for c in reversed(cands):
-            got = F.variant_get(v, c, "variant") if isinstance(c, str) else c
-            out = got if out is None else F.when(got.isNotNull(), got).otherwise(out)
-        return out
-
-    build = _v_object(first("$.buildInfo", "$.build_info"))
-    regions = first("$.regionIds", "$.region_ids")
+    parsed = raw.select(*keep, F.inline(F.array(F.struct(F.try_parse_json(F.col(json_col)).alias("_v")))))
+    v = F.col("_v")
+
+    def at(path: str, base: Column | None = None) -> Column:
+        return F.variant_get(v if base is None else base, path, "variant")
+
+    res = _v_object(at("$.resources"))
+    build = _v_object(F.coalesce(at("$.buildInfo"), at("$.build_info")))
+    fields = parsed.select(
+        *keep, F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"),
+        at("$.id").alias("_id"), at("$.name").alias("_name"), at("$.state").alias("_state"),
+        at("$.size").alias("_size"), F.coalesce(at("$.createdAt"), at("$.created_at")).alias("_created"),
+        F.coalesce(at("$.imageName"), at("$.image_name"), at("$.image")).alias("_image"),
+        F.coalesce(at("$.ref"), at("$.snapshotRef", build), at("$.snapshot_ref", build)).alias("_ref"),
+        F.coalesce(at("$.cpu"), at("$.cpu", res)).alias("_cpu"),
+        F.coalesce(at("$.mem"), at("$.memory"), at("$.memory", res)).alias("_mem"),
+        F.coalesce(at("$.disk"), at("$.disk", res)).alias("_disk"),
+        F.coalesce(at("$.gpu"), at("$.gpu", res)).alias("_gpu"),
+        F.coalesce(at("$.sandboxClass"), at("$.sandbox_class")).alias("_class"),
+        F.coalesce(at("$.regionIds"), at("$.region_ids")).alias("_regions"))
+    regions = F.col("_regions")
     region_arr = F.when(F.schema_of_variant(regions).startswith("ARRAY"),
                         F.variant_get(regions, "$", "array<variant>"))
-    region_strs = F.transform(F.filter(region_arr, lambda e: _v_string(e).isNotNull()), lambda e: _v_string(e))
-    return raw.select(
-        *keep,
-        F.when(F.schema_of_variant(v).startswith("OBJECT"), F.lit(True)).otherwise(F.lit(False)).alias("is_object"),
-        _v_string(F.variant_get(v, "$.id", "variant")).alias("snapshot_id"),
-        _v_string(F.variant_get(v, "$.name", "variant")).alias("name"),
-        _v_string(F.variant_get(v, "$.state", "variant")).alias("state"),
-        _v_number(F.variant_get(v, "$.size", "variant")).alias("size"),
-        _v_string(first("$.createdAt", "$.created_at")).alias("created_at"),
-        _v_string(first("$.imageName", "$.image_name", "$.image")).alias("image_name"),
-        _v_string(first("$.ref", F.variant_get(build, "$.snapshotRef", "variant"),
-                        F.variant_get(build, "$.snapshot_ref", "variant"))).alias("snapshot_ref"),
-        _v_number(first("$.cpu", res_get("cpu"))).alias("cpu"),
-        _v_number(first("$.mem", "$.memory", res_get("memory"))).alias("memory_gib"),
-        _v_number(first("$.disk", res_get("disk"))).alias("disk_gib"),
-        _v_number(first("$.gpu", res_get("gpu"))).alias("gpu"),
-        _v_string(first("$.sandboxClass", "$.sandbox_class")).alias("sandbox_class"),
+    region_strs = F.filter(F.transform(region_arr, lambda e: _v_string(e)), lambda s: s.isNotNull())
+    return fields.select(
+        *keep, "is_object",
+        _v_string(F.col("_id")).alias("snapshot_id"), _v_string(F.col("_name")).alias("name"),
+        _v_string(F.col("_state")).alias("state"), _v_number(F.col("_size")).alias("size"),
+        _v_string(F.col("_created")).alias("created_at"), _v_string(F.col("_image")).alias("image_name"),
+        _v_string(F.col("_ref")).alias("snapshot_ref"), _v_number(F.col("_cpu")).alias("cpu"),
+        _v_number(F.col("_mem")).alias("memory_gib"), _v_number(F.col("_disk")).alias("disk_gib"),
+        _v_number(F.col("_gpu")).alias("gpu"), _v_string(F.col("_class")).alias("sandbox_class"),
         F.array_sort(F.coalesce(region_strs, F.array().cast("array<string>"))).alias("region_ids"),
     )
 
