@@ -23,10 +23,6 @@ def finite_nonnegative(c: ColumnOrName) -> Column:
     return F.when(~F.isnan(x) & (x >= F.lit(0.0)) & (x < F.lit(float("inf"))), x)
 
 
-def is_valid_number(c: ColumnOrName) -> Column:
-    return finite_nonnegative(c).isNotNull()
-
-
 def stage_secs(start: ColumnOrName, end: ColumnOrName) -> Column:
     """Null if either mark is null, else round(max(end - start, 0), 3).
 
@@ -100,4 +96,5 @@ def queue_wait_secs(created_at: ColumnOrName, as_of: str, text: bool = False) ->
 
 
 def floor_minutes(secs: ColumnOrName) -> Column:
+    """Whole minutes waited (``int(secs // 60)``)."""
     return F.floor(col(secs) / F.lit(60)).cast("long")

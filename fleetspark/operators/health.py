@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import queue_wait_secs, sandbox_age_secs
+from ..functions.core import floor_minutes, queue_wait_secs, sandbox_age_secs
 from ..functions.labels import (PROVIDER_LABEL, RUNNER_NAME_PREFIX, SCOPE_ORGANIZATION,
                                 fleet_runner, fleet_sandbox, has_label)
 from .labels import match_class
@@ -124,7 +124,7 @@ def stuck_jobs(jobs: DataFrame, classes: DataFrame, group_roster: DataFrame | No
         kind = F.when(F.col("_in_group").isNull(), "never_reachable").otherwise("waiting")
     else:
         kind = F.lit("waiting")
-    mins = F.floor(F.col("waited_secs") / 60).cast("long")
+    mins = floor_minutes("waited_secs")
     text = F.when(kind == "never_reachable", F.format_string(
         f"[{instance}] {owner}/%s: job queued %dm but the repo is NOT in runner group '{group_name}' "
         "— jobs will queue forever until it is added", "repository", mins)).otherwise(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..functions.core import queue_wait_secs, sandbox_age_secs
+from ..functions.core import floor_minutes, queue_wait_secs, sandbox_age_secs
 from ..functions.labels import fleet_sandbox, label_map
 from ..operators import alerts as al
 from ..operators import demand as dm
@@ -171,7 +171,7 @@ SELECT job_id, epoch(TIMESTAMP '{ORDERS_AS_OF}') - epoch(created_at) AS wait_sec
        CAST(floor((epoch(TIMESTAMP '{ORDERS_AS_OF}') - epoch(created_at)) / 60) AS BIGINT) AS wait_minutes FROM fx_jobs
 """))(lambda spark, sf: fixture(spark, sf, "fx_jobs").select(
     "job_id", queue_wait_secs("created_at", ORDERS_AS_OF).alias("wait_secs"),
-    F.floor(queue_wait_secs("created_at", ORDERS_AS_OF) / 60).cast("long").alias("wait_minutes")))
+    floor_minutes(queue_wait_secs("created_at", ORDERS_AS_OF)).alias("wait_minutes")))
 
 
 def _stuck(spark, sf):
