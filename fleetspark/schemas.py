@@ -19,15 +19,18 @@ DECLARED_RESOURCES = T.StructType([
 # Cycle telemetry record v1 as read from JSON.  Numbers are DOUBLE so that a
 # boolean or numeric text becomes null (never cast), and schema_version 1.0
 # still equals 1.  Timestamps stay ISO text as written by the producer.
-_STRING_FIELDS = ("event", "cycle_id", "profile", "scope", "size_class", "snapshot",
+_STRING_FIELDS = ("event", "cycle_id", "profile", "scope", "size_class",
                   "repository", "outcome", "termination_reason", "cleanup_status",
                   "started_at", "jit_started_at", "jit_completed_at", "sandbox_started_at",
                   "sandbox_ready_at", "runner_command_started_at", "busy_at", "completed_at",
                   "allocation_completed_at")
 _DOUBLE_FIELDS = ("schema_version", "total_secs", "allocated_secs", "launch_secs") + STAGE_FIELDS
 
+# ``snapshot`` is read as VARIANT: from_json would turn a JSON number into
+# text ("5"), while the report only groups real, non-empty strings.
 CYCLE_RECORD_JSON = T.StructType(
     [T.StructField(f, T.StringType()) for f in _STRING_FIELDS]
+    + [T.StructField("snapshot", T.VariantType())]
     + [T.StructField(f, T.DoubleType()) for f in _DOUBLE_FIELDS]
     + [T.StructField("job_phase_observed", T.BooleanType()),
        T.StructField("runner_exit_code", T.DoubleType()),

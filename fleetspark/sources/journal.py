@@ -70,9 +70,12 @@ def parse_cycle_telemetry(lines: DataFrame, line_col: str = "line", keep: list[s
     ok = F.coalesce(F.col("_r").isNotNull() & (F.col("_r.event") == TELEMETRY_EVENT)
                     & (F.col("_r.schema_version") == float(TELEMETRY_SCHEMA_VERSION))
                     & (F.coalesce(F.col("_a"), F.lit(0)) == 1), F.lit(False))
+    snap = F.col("_r.snapshot")
+    fields = [F.when(F.schema_of_variant(snap) == "STRING", F.variant_get(snap, "$", "string")).alias(f.name)
+              if f.name == "snapshot" else F.col(f"_r.{f.name}").alias(f.name) for f in CYCLE_RECORD_JSON.fields]
     if keep_all:
-        return parsed.select(*keep, line_col, ok.alias("valid"), "_r.*")
-    return parsed.filter(ok).select(*keep, "_r.*")
+        return parsed.select(*keep, line_col, ok.alias("valid"), *fields)
+    return parsed.filter(ok).select(*keep, *fields)
 
 
 def cycle_record_lines(records: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
