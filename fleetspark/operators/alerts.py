@@ -50,3 +50,15 @@ def alert_message(transitions: DataFrame, order_col: str = "key") -> DataFrame:
     body = head.agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_t")).select(
         F.left(F.concat_ws("\n", F.transform("_t", lambda x: x["text"])), F.lit(MESSAGE_CHARS)).alias("body"))
     return stats.filter(F.col("fresh") > 0).crossJoin(body).select("findings", "fresh", "body")
+
+
+def recovered_message(transitions: DataFrame, order_col: str = "key") -> DataFrame:
+    """One row when any finding recovered: their previous keys, newline-joined
+    and cut at 3500 characters (the text of a recovered finding is its key
+    when keyed by text)."""
+    rec = transitions.filter(F.col("status") == "recovered")
+    head = top_k(rec.select(order_col), [], [F.col(order_col)], MESSAGE_CHARS // 2)
+    return (head.agg(F.array_sort(F.collect_list(F.struct("rank", order_col))).alias("_t"))
+            .filter(F.size("_t") > 0)
+            .select(F.size("_t").alias("recovered"),
+                    F.left(F.concat_ws("\n", F.transform("_t", lambda x: x[order_col])), F.lit(MESSAGE_CHARS)).alias("body")))

@@ -203,8 +203,9 @@ def legacy_spawn_counts(journal: DataFrame, keys: list[str] | None = None, line_
 def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str = "line") -> DataFrame:
     """The per-instance report as (instance, line_no, text).
 
-    ``instances`` has (instance, unit); an instance without a unit is
-    skipped.  ``parsed_lines`` is every journal line with its parse result
+    ``instances`` has (instance, unit[, journal_exit]); an instance without
+    a unit is skipped, and one whose journal read failed (non-zero
+    ``journal_exit``) gets the single line ``journal unavailable (exit N)``.  ``parsed_lines`` is every journal line with its parse result
     (``parse_cycle_telemetry(..., keep_all=True)``).  With structured
     records an instance gets a header line (all parsed records, runner-up
     line count) and one indented line per snapshot; otherwise one legacy
@@ -213,7 +214,12 @@ def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str =
     The journal is read twice: once for the per-snapshot summary and once
     for a (instance, spawn class) count that also yields the header totals.
     """
-    inst = instances.filter(F.coalesce(F.col("unit"), F.lit("")) != "").select("instance").distinct()
+    exit_col = F.col("journal_exit") if "journal_exit" in instances.columns else F.lit(0)
+    inst_all = instances.filter(F.coalesce(F.col("unit"), F.lit("")) != "").select("instance", exit_col.alias("_exit"))
+    failed = inst_all.filter(F.coalesce(F.col("_exit"), F.lit(0)) != 0).select(
+        "instance", F.lit(0).alias("line_no"),
+        F.format_string("%s: journal unavailable (exit %d)", "instance", "_exit").alias("text"))
+    inst = inst_all.filter(F.coalesce(F.col("_exit"), F.lit(0)) == 0).select("instance").distinct()
     line = F.col(line_col)
     is_spawn = line.contains(RUNNER_UP) & line.contains("[")
     per_cls = (parsed_lines.select("instance", legacy_spawn_class(line).alias("size_class"),
@@ -240,4 +246,4 @@ def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str =
         .otherwise(F.concat(F.col("instance"), F.lit(": legacy window; "),
                             F.coalesce(F.nullif(F.col("legacy"), F.lit("")), F.lit("no spawns")))).alias("text"))
     body = snap_lines.join(inst, "instance", "left_semi")
-    return header.unionByName(body)
+    return header.unionByName(body).unionByName(failed)

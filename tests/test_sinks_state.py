@@ -31,6 +31,8 @@ def test_alert_state_cycle(spark):
     msg = al.alert_message(t1).collect()
     assert msg[0].findings == 2 and msg[0].body == "A\nB"
     assert al.alert_message(t2).count() == 0
+    rec = al.recovered_message(t2).collect()
+    assert rec[0].recovered == 1 and rec[0].body == "b"
 
 
 def test_health_check_passes(spark):

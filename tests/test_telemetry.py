@@ -63,11 +63,12 @@ def test_usage_report_mixed_window(spark):
 def test_legacy_window_and_no_spawns(spark):
     journal = lines_df(spark, ["[default] runner up: a", "[large] runner up: b", "[default] runner up: c", "noise"])
     journal = journal.unionByName(lines_df(spark, ["quiet"], "other"))
-    inst = spark.createDataFrame([("example-fleet", "u1"), ("other", "u2"), ("skipped", "")], "instance string, unit string")
+    inst = spark.createDataFrame([("example-fleet", "u1", 0), ("other", "u2", 0), ("skipped", "", 0), ("down", "u3", 1)],
+                                 "instance string, unit string, journal_exit int")
     parsed = parse_cycle_telemetry(journal, keep=["instance"], keep_all=True)
     rows = {r.instance: r.text for r in tm.usage_report(inst, parsed).collect()}
     assert rows == {"example-fleet": "example-fleet: legacy window; 2 default, 1 large",
-                    "other": "other: legacy window; no spawns"}
+                    "other": "other: legacy window; no spawns", "down": "down: journal unavailable (exit 1)"}
 
 
 def test_strict_json(spark):
