@@ -74,3 +74,25 @@ def webhook_labels_match(df: DataFrame, classes: DataFrame, labels_col: str = "l
            .withColumn(out_col, F.lit(True)))
     return (df.withColumn("_set", key).join(hit, "_set", "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))).drop("_set"))
+
+
+def label_sets_literal(classes: DataFrame, max_rows: int | None = None) -> Column:
+    """The class label sets as a literal ``array<array<string>>``.
+
+    Size classes are configuration (a handful of rows); after a row-count
+    check they are inlined so per-row matching is a plain expression: no
+    join, usable on streams, evaluated once per row inside codegen.
+    """
+    from ._plan import MAX_BROADCAST_ROWS
+    bound = max_rows or MAX_BROADCAST_ROWS
+    rows = classes.select("labels").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError("size-class table exceeds the configuration bound")
+    return F.array(*[F.array(*[F.lit(x) for x in (r.labels or [])]).cast("array<string>") for r in rows])
+
+
+def covers_some_class(labels: Column, label_sets: Column) -> Column:
+    """J2 as an expression: some class's labels are all among ``labels``
+    (already cleaned of null/empty); an empty or null list never matches."""
+    return F.coalesce((F.size(labels) > 0)
+                      & F.exists(label_sets, lambda cls: F.size(F.array_except(cls, labels)) == 0), F.lit(False))

@@ -2,37 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.webhook import classify_delivery, json_object_strict, signature_ok
-from .labels import webhook_labels_match
+from ..functions.webhook import classify_delivery, signature_ok
+from .labels import clean_labels, covers_some_class
 
 
-def deliveries_status(requests: DataFrame, secret: bytes, classes: DataFrame) -> DataFrame:
-    """Per request: status, signature_ok and ``wake`` (status 202, action
-    queued, workflow_job an object whose labels cover some class).
+def deliveries_status(requests: DataFrame, secret: bytes, label_sets: Column) -> DataFrame:
+    """Per request: status, signature_ok and ``wake`` (status 202,
+    workflow_job event, action queued, workflow_job an object whose string
+    labels cover some class).  ``requests`` has path, content_length,
+    signature, event, body (string); ``label_sets`` is
+    ``labels.label_sets_literal(classes)``.  Stateless: works on a batch or
+    a stream, one pass, no join.
 
-    ``requests`` has path, content_length, signature, event, body (string).
+    The body is parsed once (behind a generator so later expressions reuse
+    it); strictness (exactly one JSON value) uses the wrapped-array check.
     """
-    body_bin = F.encode(F.col("body"), "UTF-8")
-    sig = signature_ok(secret, body_bin, F.col("signature"))
-    is_obj = json_object_strict(F.col("body"))
-    v = F.try_parse_json("body")
+    body = F.col("body")
+    parsed = requests.select("*", F.inline(F.array(F.struct(
+        F.try_parse_json(body).alias("_v"),
+        F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))).alias("_n"),
+        signature_ok(secret, F.encode(body, "UTF-8"), F.col("signature")).alias("signature_ok")))))
+    v = F.col("_v")
+    wrapped_ok = F.from_json(F.concat(F.lit('{"r":'), body, F.lit("}")), "r STRING")["r"].isNotNull()
+    is_obj = (F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+              & (F.coalesce(F.col("_n"), F.lit(0)) == 1) & wrapped_ok)
     job = F.variant_get(v, "$.workflow_job", "variant")
-    job_is_obj = F.coalesce(F.schema_of_variant(job).startswith("OBJECT"), F.lit(False))
     labels_v = F.variant_get(job, "$.labels", "variant")
-    labels = F.when(F.schema_of_variant(labels_v).startswith("ARRAY"), F.transform(
+    labels = F.when(F.schema_of_variant(labels_v).startswith("ARRAY"), clean_labels(F.transform(
         F.filter(F.variant_get(labels_v, "$", "array<variant>"), lambda e: F.schema_of_variant(e) == "STRING"),
-        lambda e: F.variant_get(e, "$", "string")))
-    status = classify_delivery(F.col("path"), F.col("content_length"), sig, F.col("event"), is_obj)
-    base = requests.select("*", sig.alias("signature_ok"), status.alias("status"),
-                           F.variant_get(v, "$.action", "string").alias("_action"), job_is_obj.alias("_job_obj"),
-                           labels.alias("_labels"))
-    matched = webhook_labels_match(base, classes, labels_col="_labels", out_col="_match")
-    wake = ((F.col("status") == 202) & (F.col("event") == "workflow_job") & (F.col("_action") == "queued")
-            & F.col("_job_obj") & F.col("_match"))
-    return matched.select(*requests.columns, "signature_ok", "status", wake.alias("wake"))
+        lambda e: F.variant_get(e, "$", "string"))))
+    status = classify_delivery(F.col("path"), F.col("content_length"), F.col("signature_ok"), F.col("event"), is_obj)
+    wake = ((status == 202) & (F.col("event") == "workflow_job") & (F.variant_get(v, "$.action", "string") == "queued")
+            & F.coalesce(F.schema_of_variant(job).startswith("OBJECT"), F.lit(False))
+            & covers_some_class(labels, label_sets))
+    return parsed.select(*requests.columns, "signature_ok", status.alias("status"), wake.alias("wake"))
 
 
 def wake_coalesce(deliveries: DataFrame, interval: str, key: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import ORACLES, register
+from ..operators.labels import label_sets_literal
 from ..sources.fixtures import fixture_stream
 from ..streaming import cycle_state as cs
 from ..streaming import deliveries as ds
@@ -20,7 +21,7 @@ def _requests_stream(spark, sf):
 
 
 def _delivery_stream(spark, sf):
-    sets = ds.class_label_sets(classes_df(spark, sf))
+    sets = label_sets_literal(classes_df(spark, sf))
     return ds.delivery_stream(_requests_stream(spark, sf), SECRET, sets)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions.webhook import _pads, hmac_sha256_hex, signature_ok
 from ..operators import webhook as wh
+from ..operators.labels import label_sets_literal
 from ..sources.fixtures import fixture, oracle_with
 from .queries_demand import classes_df
 
@@ -31,7 +32,7 @@ def requests_df(spark, sf):
 
 
 def _statuses(spark, sf):
-    return wh.deliveries_status(requests_df(spark, sf), SECRET, classes_df(spark, sf))
+    return wh.deliveries_status(requests_df(spark, sf), SECRET, label_sets_literal(classes_df(spark, sf)))
 
 
 _IPAD, _OPAD = _pads(SECRET)

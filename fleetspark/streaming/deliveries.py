@@ -1,8 +1,8 @@
 """T-7 / T-2 on a stream: stateless delivery checks, windowed wake flags.
 
-The class label sets are configuration (a handful of rows); they are
-size-checked and inlined as a literal so the per-delivery match is a
-stateless expression (no stream-static aggregation needed).
+The per-request checks are ``operators.webhook.deliveries_status`` (a
+stateless projection with the class label sets inlined as a literal), so
+the stream and the batch share one definition.
 """
 
 from __future__ import annotations
@@ -11,36 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import EPOCH_NTZ, epoch_to_ts
-from ..functions.webhook import classify_delivery, json_object_strict, signature_ok
-from ..operators._plan import MAX_BROADCAST_ROWS
-
-
-def class_label_sets(classes: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Column:
-    """Literal array of each class's label set (bounded config table)."""
-    rows = classes.select("labels").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("size-class table exceeds the configuration bound")
-    return F.array(*[F.array(*[F.lit(x) for x in (r.labels or [])]).cast("array<string>") for r in rows])
+from ..operators.webhook import deliveries_status
 
 
 def delivery_stream(requests: DataFrame, secret: bytes, label_sets: Column) -> DataFrame:
     """T-7: status, signature check and wake flag for each request (stateless)."""
-    body_bin = F.encode(F.col("body"), "UTF-8")
-    sig = signature_ok(secret, body_bin, F.col("signature"))
-    is_obj = json_object_strict(F.col("body"))
-    v = F.try_parse_json("body")
-    job = F.variant_get(v, "$.workflow_job", "variant")
-    labels_v = F.variant_get(job, "$.labels", "variant")
-    labels = F.filter(F.transform(F.filter(F.variant_get(labels_v, "$", "array<variant>"),
-                                           lambda e: F.schema_of_variant(e) == "STRING"),
-                                  lambda e: F.variant_get(e, "$", "string")), lambda s: s != "")
-    labels = F.when(F.schema_of_variant(labels_v).startswith("ARRAY"), labels)
-    status = classify_delivery(F.col("path"), F.col("content_length"), sig, F.col("event"), is_obj)
-    matches = F.coalesce((F.size(labels) > 0) & F.exists(label_sets, lambda cls: F.size(F.array_except(cls, labels)) == 0),
-                         F.lit(False))
-    wake = ((status == 202) & (F.col("event") == "workflow_job") & (F.variant_get(v, "$.action", "string") == "queued")
-            & F.coalesce(F.schema_of_variant(job).startswith("OBJECT"), F.lit(False)) & matches)
-    return requests.select("event_id", "ts", sig.alias("signature_ok"), status.alias("status"), wake.alias("wake"))
+    return deliveries_status(requests, secret, label_sets).select("event_id", "ts", "signature_ok", "status", "wake")
 
 
 def wake_windows(deliveries: DataFrame, interval: str, watermark: str) -> DataFrame:
