@@ -1,10 +1,11 @@
-"""Label-set joins.
-
-Both matches are containment theta-joins.  Instead of testing every job
-against every class, the distinct *label sets* are matched once against
-the (size-checked, broadcast) class table, and the small result is
-equi-joined back on the normalised set.  Distinct sets are few even when
-jobs are billions, and the aggregate that finds them combines map-side.
+"""Label-set matching.
+
+Both matches are containment tests against the size classes.  Size classes
+are configuration (a handful of rows), so after a row-count check they are
+inlined as a literal array and every job is matched by a higher-order
+expression (``filter`` / ``exists`` over the classes) inside whole-stage
+codegen: no job x class join, no shuffle, one read of the job table, and
+the same expression works on streams.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import broadcast_bounded
 
 
 def label_set(c: Column) -> Column:
@@ -45,19 +45,32 @@ def match_class(jobs: DataFrame, classes: DataFrame, labels_col: str = "labels",
     ``classes`` has (name, labels array, class_pos).  Fewest labels wins
     (duplicates counted, as list length), ties go to the earlier class.
     Jobs with null or empty labels, or missing a required label, get null.
+
+    Size classes are configuration: after a row-count check they are
+    inlined, ordered by (label count, position), and each job takes the
+    first class that covers it.  One projection: no join, no shuffle, the
+    job table is read once.
     """
-    cls = broadcast_bounded(classes.select(
-        F.col("name").alias("_cls_name"), F.col("labels").alias("_cls_labels"),
-        F.size("labels").alias("_cls_n"), F.col("class_pos").alias("_cls_pos")))
-    key = label_set(F.col(labels_col))
-    sets = jobs.select(key.alias("_set")).filter(F.size("_set") > 0).distinct()
+    cls = ordered_classes(classes)
+    job = label_set(F.col(labels_col))
+    covering = F.filter(cls, lambda c: F.size(F.array_except(job, c["labels"])) == 0)
+    ok = F.coalesce(F.size(job) > 0, F.lit(False))
     if required:
-        sets = sets.filter(subset_of(F.array(*[F.lit(x) for x in required]), F.col("_set")))
-    best = (sets.join(cls, subset_of(F.col("_set"), F.col("_cls_labels")))
-            .groupBy("_set")
-            .agg(F.min_by("_cls_name", F.struct("_cls_n", "_cls_pos")).alias(out_col)))
-    return (jobs.withColumn("_set", key)
-            .join(best, "_set", "left").drop("_set"))
+        ok = ok & subset_of(F.array(*[F.lit(x) for x in required]), F.col(labels_col))
+    return jobs.withColumn(out_col, F.when(ok, F.try_element_at(covering, F.lit(1))["name"]))
+
+
+def ordered_classes(classes: DataFrame, max_rows: int | None = None) -> Column:
+    """Literal array<struct<name, labels>> in match order (label count, position)."""
+    from ._plan import MAX_BROADCAST_ROWS
+    bound = max_rows or MAX_BROADCAST_ROWS
+    rows = classes.select("name", "labels", "class_pos").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError("size-class table exceeds the configuration bound")
+    rows = sorted(rows, key=lambda r: (len(r.labels or []), r.class_pos))
+    return F.array(*[F.struct(F.lit(r.name).alias("name"),
+                              F.array(*[F.lit(x) for x in (r.labels or [])]).cast("array<string>").alias("labels"))
+                     for r in rows])
 
 
 def webhook_labels_match(df: DataFrame, classes: DataFrame, labels_col: str = "labels",
@@ -65,15 +78,10 @@ def webhook_labels_match(df: DataFrame, classes: DataFrame, labels_col: str = "l
     """True when some class's labels are all among the job's labels.
 
     The opposite direction from J1.  Null, empty, and non-string labels are
-    ignored; a job with no usable label never matches.
+    ignored; a job with no usable label never matches.  The class label
+    sets are inlined (configuration, size-checked): one projection.
     """
-    cls = broadcast_bounded(classes.select(label_set(F.col("labels")).alias("_cls_set")))
-    key = label_set(clean_labels(F.col(labels_col)))
-    sets = df.select(key.alias("_set")).filter(F.size("_set") > 0).distinct()
-    hit = (sets.join(cls, subset_of(F.col("_cls_set"), F.col("_set")), "left_semi")
-           .withColumn(out_col, F.lit(True)))
-    return (df.withColumn("_set", key).join(hit, "_set", "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))).drop("_set"))
+    return df.withColumn(out_col, covers_some_class(clean_labels(F.col(labels_col)), label_sets_literal(classes)))
 
 
 def label_sets_literal(classes: DataFrame, max_rows: int | None = None) -> Column:
