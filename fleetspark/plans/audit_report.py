@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from ..operators import audit as au
 
 
-def audit_report(payloads: DataFrame, refs: DataFrame, payload_col: str = "payload") -> dict[str, DataFrame]:
+def audit_report(payloads: DataFrame, refs: DataFrame, payload_col: str = "payload",
+                 checkpoint: bool = False) -> dict[str, DataFrame]:
     """All report sections as DataFrames (write them with
     ``sources.report.write_audit_report``).
 
     ``payloads``: one row per captured response (array or ``{items}``);
     ``refs``: (snapshot, fleet, profile, size_class).  The normalised
-    inventory feeds six consumers; persist it on a cluster run.
+    inventory feeds six consumers; with ``checkpoint`` it is written once to
+    ``spark.checkpoint.dir`` (reliable checkpoint) so the JSON is parsed
+    once.
     """
     items = au.read_snapshot_payload(payloads, payload_col)
     errors = items.filter(F.col("error").isNotNull()).select("error")
     snaps = au.normalize_snapshot(items.filter(F.col("raw").isNotNull()))
+    if checkpoint:
+        snaps = snaps.checkpoint(eager=True)
     collisions = au.name_collisions(snaps)
     numbered = au.candidate_numbering(au.duplicate_candidates(snaps))
     members = au.candidate_members(snaps, numbered)
