@@ -38,15 +38,6 @@ def signature_ok(secret: bytes, body: Column, header: Column) -> Column:
     return F.coalesce(header.startswith(SIGNATURE_PREFIX) & (header == expected), F.lit(False))
 
 
-def json_object_strict(text: Column) -> Column:
-    """True when ``text`` is exactly one JSON object (nothing after it)."""
-    as_field = F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), "r STRING")
-    as_item = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "ARRAY<STRING>")
-    v = F.try_parse_json(text)
-    return (as_field["r"].isNotNull() & (F.coalesce(F.size(as_item), F.lit(0)) == 1)
-            & F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
-
-
 def classify_delivery(path: Column, content_length: Column, sig_ok: Column, event: Column,
                       body_is_object: Column) -> Column:
     """HTTP status, first failing rule wins (404, 400, 413, 401, 200
