@@ -125,11 +125,12 @@ def stuck_jobs(jobs: DataFrame, classes: DataFrame, group_roster: DataFrame | No
     else:
         kind = F.lit("waiting")
     mins = floor_minutes("waited_secs")
-    text = F.when(kind == "never_reachable", F.format_string(
-        f"[{instance}] {owner}/%s: job queued %dm but the repo is NOT in runner group '{group_name}' "
-        "— jobs will queue forever until it is added", "repository", mins)).otherwise(
-        F.format_string(f"[{instance}] {owner}/%s: job queued %dm — %s", "repository", mins,
-                        F.coalesce(F.col("html_url") if "html_url" in jobs.columns else F.lit(""), F.lit(""))))
+    url = F.coalesce(F.col("html_url"), F.lit("")) if "html_url" in jobs.columns else F.lit("")
+    head = F.concat(F.lit(f"[{instance}] {owner}/"), F.col("repository"), F.lit(": job queued "),
+                    mins.cast("string"), F.lit("m"))
+    text = F.when(kind == "never_reachable", F.concat(
+        head, F.lit(f" but the repo is NOT in runner group '{group_name}' — jobs will queue forever until it is added"))
+    ).otherwise(F.concat(head, F.lit(" — "), url))
     return m.select("job_id", "repository", "size_class", kind.alias("kind"), mins.alias("minutes"), text.alias("text"))
 
 
