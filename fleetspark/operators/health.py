@@ -7,7 +7,7 @@ finding row is (instance, check, entity, text) so checks union by name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import floor_minutes, queue_wait_secs, sandbox_age_secs
@@ -59,12 +59,19 @@ def profile_roster_diff(configured: DataFrame, private_roster: DataFrame) -> Dat
     return missing.unionByName(extra).select("kind", "key", "name")
 
 
+def _fill(template: str, value: Column) -> Column:
+    """``template`` with its single ``%s`` replaced by ``value`` (literal parts
+    are never read as a format string)."""
+    before, _, after = template.partition("%s")
+    return F.concat(F.lit(before), value, F.lit(after))
+
+
 def roster_finding(rows: DataFrame, instance: str, check: str, template: str) -> DataFrame:
     """One finding per non-empty list: the first 10 names (sorted) joined."""
     joined = joined_top_global(rows.select("name"), "name", MESSAGE_TOP)
     return joined.select(F.lit(instance).alias("instance"), F.lit(check).alias("check"),
                          F.lit("").alias("entity"),
-                         F.format_string(template, F.col("names")).alias("text"))
+                         _fill(template, F.col("names")).alias("text"))
 
 
 def orphan_sandboxes(sandboxes: DataFrame, live_ids: DataFrame, as_of: str, scope: str, owner: str,
@@ -142,8 +149,8 @@ def sandbox_cap(sandboxes: DataFrame, max_sandboxes: int, scope: str, owner: str
     mine = sandboxes.filter(fleet_sandbox(F.col("labels"), scope, owner, fleet))
     n = mine.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_sandboxes)
     return n.select(F.lit(instance).alias("instance"), F.lit("sandbox_cap").alias("check"), F.lit("").alias("entity"),
-                    F.format_string(f"[{instance}] %d fleet-labeled sandboxes exceed the configured max of {max_sandboxes}",
-                                    "n").alias("text"))
+                    F.concat(F.lit(f"[{instance}] "), F.col("n").cast("string"),
+                             F.lit(f" fleet-labeled sandboxes exceed the configured max of {max_sandboxes}")).alias("text"))
 
 
 def old_sandboxes(sandboxes: DataFrame, as_of: str, limit_secs: int, scope: str, owner: str, fleet: str,
@@ -157,8 +164,9 @@ def old_sandboxes(sandboxes: DataFrame, as_of: str, limit_secs: int, scope: str,
                             "id8", ID_TOP, order=[F.col("_o")], out_col="ids")
     return n.crossJoin(ids).select(
         F.lit(instance).alias("instance"), F.lit("old_sandboxes").alias("check"), F.lit("").alias("entity"),
-        F.format_string(f"[{instance}] %d sandbox(es) older than {limit_secs // 60}m still running — possible orphans: %s",
-                        "n", "ids").alias("text"))
+        F.concat(F.lit(f"[{instance}] "), F.col("n").cast("string"),
+                 F.lit(f" sandbox(es) older than {limit_secs // 60}m still running — possible orphans: "),
+                 F.col("ids")).alias("text"))
 
 
 def group_id_consistency(repo_groups: DataFrame, group_name: str) -> DataFrame:
