@@ -217,7 +217,7 @@ def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str =
     exit_col = F.col("journal_exit") if "journal_exit" in instances.columns else F.lit(0)
     inst_all = instances.filter(F.coalesce(F.col("unit"), F.lit("")) != "").select("instance", exit_col.alias("_exit"))
     failed = inst_all.filter(F.coalesce(F.col("_exit"), F.lit(0)) != 0).select(
-        "instance", F.lit(0).alias("line_no"),
+        "instance", F.lit(0).cast("long").alias("line_no"),
         F.format_string("%s: journal unavailable (exit %d)", "instance", "_exit").alias("text"))
     inst = inst_all.filter(F.coalesce(F.col("_exit"), F.lit(0)) == 0).select("instance").distinct()
     line = F.col(line_col)
@@ -234,12 +234,12 @@ def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str =
                   "c", lambda x: F.concat(x["spawns"].cast("string"), F.lit(" "), x["size_class"]))).alias("legacy")))
     lines = usage_report_lines(usage_summary(parsed_lines.filter("valid"), ["instance"]), ["instance"])
     w = Window.partitionBy("instance").orderBy("snapshot")
-    snap_lines = lines.select("instance", F.row_number().over(w).alias("line_no"),
+    snap_lines = lines.select("instance", F.row_number().over(w).cast("long").alias("line_no"),
                               F.concat(F.lit("  "), F.col("line")).alias("text"))
     with_summary = snap_lines.select("instance").distinct().withColumn("structured", F.lit(True))
     base = inst.join(with_summary, "instance", "left").join(totals, "instance", "left").join(legacy, "instance", "left")
     header = base.select(
-        "instance", F.lit(0).alias("line_no"),
+        "instance", F.lit(0).cast("long").alias("line_no"),
         F.when(F.col("structured"),
                F.format_string("%s: structured completions=%d; runner-up lines=%d; window may span the telemetry rollout",
                                "instance", F.coalesce("completions", F.lit(0)), F.coalesce("runner_up", F.lit(0))))
