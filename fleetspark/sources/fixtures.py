@@ -167,13 +167,14 @@ SELECT DISTINCT 'repo-' || CAST(c_custkey % 25 AS STRING) AS repository, c_natio
 FROM customer
 """
 
-# Organization runner groups.
+# Organization runner groups (one per supplier, so the table grows with
+# the data): repeated names, missing ids, public or non-selected groups.
 VIEWS["fx_runner_groups"] = """
-SELECT CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_nationkey END AS id,
-       CASE WHEN n_nationkey % 5 = 0 THEN 'marsh' ELSE 'group-' || CAST(n_nationkey % 7 AS STRING) END AS name,
-       CASE WHEN n_regionkey % 2 = 0 THEN 'selected' ELSE 'all' END AS visibility,
-       CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey % 3 = 0 END AS allows_public_repositories
-FROM nation
+SELECT CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE s_suppkey END AS id,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'marsh' ELSE 'group-' || CAST(s_suppkey % 97 AS STRING) END AS name,
+       CASE WHEN s_nationkey % 2 = 0 THEN 'selected' ELSE 'all' END AS visibility,
+       CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 3 = 0 END AS allows_public_repositories
+FROM supplier
 """
 
 VIEWS["fx_snapshots"] = """
@@ -425,8 +426,11 @@ SELECT 'profiles/' || CAST(p_partkey % 100 AS STRING) || '.toml' AS profile, p_p
 FROM part
 """
 
+# Provider targets (one per supplier): ids and names, some shared.
 VIEWS["fx_regions"] = """
-SELECT lower(substr(r_name, 1, 2)) || '-' || CAST(r_regionkey AS STRING) AS id, r_name AS name FROM region
+SELECT CASE s_suppkey % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'eu' ELSE 'rg-' || CAST(s_suppkey AS STRING) END AS id,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'AFRICA' ELSE 'region-' || CAST(s_suppkey AS STRING) END AS name
+FROM supplier
 """
 
 VIEWS["fx_volumes"] = """
