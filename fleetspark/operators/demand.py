@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._plan import broadcast_bounded
-from .labels import match_class
+from .labels import match_class, ordered_classes
 
 RUN_LISTINGS = ("queued", "in_progress")
 SUPPLY_STATES = ("SPAWNING",)
@@ -59,13 +58,14 @@ def demand_by_repo_class(jobs: DataFrame, classes: DataFrame, repos: DataFrame,
                          required: list[str] | None = None) -> DataFrame:
     """A10: matched count per (configured repository, class), zero-filled.
 
-    The zero-fill grid is configured repositories x size classes, both
-    configuration dimensions; the class side is size-checked and broadcast.
+    The zero-fill grid is every configured repository with every size
+    class (both configuration): each repository row expands the inlined,
+    size-checked class-name list, so no join builds the grid.
     """
     counts = (_matched(jobs, classes, required)
               .groupBy("repository", "size_class").agg(F.count(F.lit(1)).alias("queued")))
-    grid = repos.select("repository").crossJoin(
-        broadcast_bounded(classes.select(F.col("name").alias("size_class"))))
+    names = F.transform(ordered_classes(classes), lambda c: c["name"])
+    grid = repos.select("repository", F.explode(names).alias("size_class"))
     return (grid.join(counts, ["repository", "size_class"], "left")
             .select("repository", "size_class", F.coalesce("queued", F.lit(0)).alias("queued")))
 
