@@ -1,24 +1,10 @@
-"""Physical-plan helpers: size-checked broadcast of configuration tables."""
+"""Plan guards shared by the operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 # Configuration dimensions (size classes, fleets, rule tables) are tiny by
-# construction; this bound only guards against a misconfigured input.
+# construction.  Operators that inline such a table into an expression
+# (``labels.ordered_classes``, ``labels.label_sets_literal``) first check
+# it holds at most this many rows and refuse otherwise, so nothing that
+# grows with the data is ever gathered.
 MAX_BROADCAST_ROWS = 100_000
-
-
-def broadcast_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Above the bound the
-    frame is returned unhinted and the planner (and AQE at runtime) picks a
-    shuffle join instead.
-    """
-    if df.isLocal():  # literal rows already held by the driver: bounded, no job needed
-        return F.broadcast(df)
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
