@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values used by the fleet label contract.
-RUNNER_ROLE = "gha-runner"
-SCOPE_REPOSITORY = "repository"
-SCOPE_ORGANIZATION = "organization"
-FLEET_LABEL_PREFIX = "marsh-fleet-"
-RUNNER_NAME_PREFIX = "marsh-"
-PROVIDER_LABEL = "daytona"
+from ..fixed import FLEET_LABEL_PREFIX, PROVIDER_LABEL, RUNNER_NAME_PREFIX, RUNNER_ROLE, SCOPE_ORGANIZATION, SCOPE_REPOSITORY  # noqa: F401
 
 
 def label_map(**cols: Column) -> Column:
@@ -39,7 +33,7 @@ def fleet_sandbox(labels: Column, scope: str, owner: str, fleet: str) -> Column:
 
 def fleet_runner(labels: Column, scope: str, fleet: str) -> Column:
     """Organization scope keeps every runner; repository scope requires
-    the exact ``marsh-fleet-<fleet>`` label.  ``labels`` is array<struct<name>>."""
+    the exact ``FLEET_LABEL_PREFIX + fleet`` label.  ``labels`` is array<struct<name>>."""
     if scope != SCOPE_REPOSITORY:
         return F.lit(True)
     return F.coalesce(F.exists(labels, lambda l: l["name"] == FLEET_LABEL_PREFIX + fleet), F.lit(False))

@@ -12,9 +12,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_BODY_BYTES = 1024 * 1024
-WEBHOOK_PATHS = ("/github", "/webhook", "/")
-SIGNATURE_PREFIX = "sha256="
+from ..fixed import MAX_BODY_BYTES, SIGNATURE_PREFIX, WEBHOOK_PATHS  # noqa: F401
+
 _BLOCK = 64
 
 

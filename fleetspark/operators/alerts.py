@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .topk import top_k
-
-MESSAGE_CHARS = 3500
+from ..fixed import MESSAGE_CHARS  # noqa: F401
 
 
 def alert_transitions(findings: DataFrame, state: DataFrame, now_epoch: float, realert_secs: int) -> DataFrame:

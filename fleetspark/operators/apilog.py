@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ntz_epoch_secs
 from .scan import Running, running
+from ..fixed import BACKOFF_INITIAL_SECS, BACKOFF_MAX_SECS, RATE_LIMITED  # noqa: F401
 
-BACKOFF_INITIAL_SECS = 60
-BACKOFF_MAX_SECS = 900
-RATE_LIMITED = (403, 429)
 SCAN_BUCKET_SECS = 3600  # time slice of the running scans (see operators/scan.py)
 
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_TOTAL_PAGES = 1000
+from ..fixed import MAX_TOTAL_PAGES  # noqa: F401
+
 CANDIDATE_KEY = ("image_name", "cpu", "memory_gib", "disk_gib", "gpu", "sandbox_class", "regions_key")
 
 # ------------------------------------------------------------------ P15 / S3

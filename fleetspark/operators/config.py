@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the provider API base every profile must use.
-DAYTONA_API_BASE = "https://app.daytona.io/api"
+from ..fixed import PROVIDER_API_BASE  # noqa: F401
 
 
 def flatten_profile_refs(fleets: DataFrame, profile_classes: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import iso_millis, stage_secs
+from ..fixed import SESSION_READ_MAX_ERRS  # noqa: F401
 
-SESSION_READ_MAX_ERRS = 3
 STATES = ("SPAWNING", "IDLE", "BUSY", "CLEANUP_PENDING")
 
 

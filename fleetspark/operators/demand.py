@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import match_class, ordered_classes
+from ..fixed import MAX_LIVE_DEFAULT  # noqa: F401
 
 RUN_LISTINGS = ("queued", "in_progress")
 SUPPLY_STATES = ("SPAWNING",)
-MAX_LIVE_DEFAULT = 10**9
 
 
 def queued_jobs(runs: DataFrame, jobs: DataFrame) -> DataFrame:

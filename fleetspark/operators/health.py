@@ -15,12 +15,9 @@ from ..functions.labels import (PROVIDER_LABEL, RUNNER_NAME_PREFIX, SCOPE_ORGANI
                                 fleet_runner, fleet_sandbox, has_label)
 from .labels import match_class
 from .topk import joined_top_global
+from ..fixed import ID_CHARS, ID_TOP, MESSAGE_TOP, ORPHAN_SWEEP_GRACE_SECS  # noqa: F401
 
 FINDING_COLS = ("instance", "check", "entity", "text")
-ORPHAN_SWEEP_GRACE_SECS = 180
-MESSAGE_TOP = 10
-ID_TOP = 5
-ID_CHARS = 8
 
 
 def normalize_roster(repos: DataFrame, owner: str, private_only: bool = False) -> DataFrame:
@@ -92,7 +89,7 @@ def _stale_runner(scope: str, fleet: str):
 
 
 def orphan_runners(runners: DataFrame, live: DataFrame, scope: str, fleet: str) -> DataFrame:
-    """Offline ``marsh-`` runners labelled for the provider (and fleet)
+    """Offline runners named with the fleet prefix, labelled for the provider (and fleet)
     that no live cycle owns.  Null-safe anti-join on (runner_id, repository)."""
     cand = runners.filter(_stale_runner(scope, fleet))
     l = live.select(F.col("runner_id").alias("_lid"), F.col("repository").alias("_lrepo")).filter(

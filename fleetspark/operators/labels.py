@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ._plan import MAX_BROADCAST_ROWS
 
 
-
 def label_set(c: Column) -> Column:
     """Normalised set key: distinct, sorted labels."""
     return F.array_sort(F.array_distinct(c))

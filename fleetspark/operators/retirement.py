@@ -12,11 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values from the governance policy.
-FAILED_BUILD_DAYS = 7
-REPLACED_DAYS = 14
-DEFAULT_DAYS = 30
-MIN_REPLACEMENT_SUCCESSES = 100
+from ..fixed import DEFAULT_DAYS, FAILED_BUILD_DAYS, MIN_REPLACEMENT_SUCCESSES, REPLACED_DAYS  # noqa: F401
 
 
 def replacement_successes(cycles: DataFrame) -> DataFrame:

@@ -11,25 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .config import DAYTONA_API_BASE
-
-# Name patterns, scopes, the network policy literal, shared
-# runner labels and the required size classes.
-FLEET_NAME = r"^[a-z0-9][a-z0-9-]*$"
-OWNER_NAME = r"^[A-Za-z0-9][A-Za-z0-9-]*$"
-RUNNER_GROUP_NAME = r"^[a-z0-9][a-z0-9-]*$"
-DAYTONA_TARGET = r"^[a-z0-9][a-z0-9-]{0,62}$"
-DOMAIN_NAME = r"^(?:\*\.)?(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
-SCOPES = ("organization", "repository")
-NETWORK_POLICY = "deny-by-default"
-ORG_RUNNER_GROUP = "daytona"
-REQUIRED_CLASSES = ("default", "large")
-
-# Fixed value: IPv4 ranges Python's ipaddress treats as private
-# (IANA special-purpose registry), as (first address, prefix length).
-PRIVATE_V4 = (("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
-              ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
-              ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4), ("255.255.255.255", 32))
+from ..fixed import (DOMAIN_NAME, ENV_NAME, FLEET_NAME, FORBIDDEN_CONFIG_KEYS, LOOPBACK_HOSTS,  # noqa: F401
+                     NETWORK_POLICY, ORG_RUNNER_GROUP, OWNER_NAME, PRIVATE_V4, PROFILE_SECTIONS,
+                     PROVIDER_API_BASE, PROVIDER_TARGET, REPOSITORY_NAME, REQUIRED_CLASSES, RUNNER_GROUP_NAME,
+                     SCOPES, SHARED_LABELS)
 
 # Octets: no leading zeros (rejected by Python's parser); prefix length:
 # any run of digits, so leading zeros are skipped before the value.
@@ -90,7 +75,7 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
         (7, "R7_repo_group_exactly_one", is_repo & (c("runner_group").isNull() == c("runner_group_id").isNull())),
         (7, "R7_repo_group_id", is_repo & c("runner_group_id").isNotNull() & (c("runner_group_id") < 1)),
         (7, "R7_repo_group_name", is_repo & c("runner_group").isNotNull() & ~_full(c("runner_group"), RUNNER_GROUP_NAME)),
-        (9, "R9_target", ~_full(c("target"), DAYTONA_TARGET)),
+        (9, "R9_target", ~_full(c("target"), PROVIDER_TARGET)),
         (10, "R10_network_scope", has_net & ~is_repo),
         (10, "R10_network_policy", has_net & (c("network_policy") != NETWORK_POLICY)),
         (10, "R10_cidr_count", has_net & ((F.size(cidr_texts) < 1) | (F.size(cidr_texts) > 5))),
@@ -103,7 +88,7 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
         (13, "R13_cache_volume", c("cache_volume").isNotNull() & (c("cache_volume") == "")),
         (14, "R14_poll_interval", (c("poll_interval_secs") < 1) | (is_repo & (c("poll_interval_secs") < 60))),
         (14, "R14_request_spacing", c("request_spacing_secs") < 0),
-        (24, "R24_api_base", c("api_base") != DAYTONA_API_BASE),
+        (24, "R24_api_base", c("api_base") != PROVIDER_API_BASE),
     ]
     row = _rows(fleets, ["fleet_pos", "fleet"], rules)
     dup_name = (fleets.join(fleets.groupBy("fleet").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "fleet")
@@ -144,17 +129,6 @@ def class_rule_violations(classes: DataFrame, fleets: DataFrame) -> DataFrame:
     return row.unionByName(dup).unionByName(missing)
 
 
-# Fixed values for the profile rules: allowed top-level sections, shared
-# runner labels, credential-like key pattern, listen defaults.
-PROFILE_SECTIONS = ("github", "daytona", "lifecycle", "size_class", "network", "routing", "cache", "webhook",
-                    "watchdog", "report", "checks", "notify")
-SHARED_LABELS = ("self-hosted", "daytona", "marsh", "large")
-REPOSITORY_NAME = r"^(?:\.github|[A-Za-z0-9][A-Za-z0-9._-]*)$"
-FORBIDDEN_CONFIG_KEYS = r"(?i)(?:api[_-]?key|token|secret|password|private)"
-ENV_NAME = r"^[A-Z_][A-Z0-9_]*$"
-LOOPBACK_HOSTS = ("127.0.0.1", "::1", "localhost")
-
-
 def profile_rule_violations(profiles: DataFrame) -> DataFrame:
     """Profile rules: R1 manifest version, R5 allowed sections, R8
     repositories (non-empty, pattern, unique ignoring case; repository

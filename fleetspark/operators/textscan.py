@@ -9,16 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The rewrite target, the runs-on line and scalar patterns,
-# the skipped platforms, and the forbidden credential names.
-RUNS_ON_TARGET = "[self-hosted, daytona]"
-RUNS_ON_LINE = r"^(\s*)runs-on:\s*(.+?)\s*$"
-REWRITE_SCALAR = r"^(marsh|daytona|blacksmith[\w.-]*|ubuntu-[\w.-]+|ubuntu-latest)$"
-SKIP_PLATFORMS = ("windows", "macos", "macOS")
-USES_LINE = r"^\s*uses:\s*[^#\s]+"
-PINNED_REF = r"@[0-9a-fA-F]{40}$"
-FORBIDDEN_NAMES = ("AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY", "AWS_SESSION_TOKEN",
-                   "aws-access-key-id", "aws-secret-access-key", "aws-session-token")
+from ..fixed import (FORBIDDEN_NAMES, PINNED_REF, REWRITE_ARRAY_LABELS, REWRITE_SCALAR,  # noqa: F401
+                     RUNS_ON_LINE, RUNS_ON_TARGET, SKIP_PLATFORMS, USES_LINE)
 
 
 def _strip_quotes(c: Column) -> Column:
@@ -27,14 +19,15 @@ def _strip_quotes(c: Column) -> Column:
 
 def should_rewrite(val: Column) -> Column:
     """P21 rule: expressions and already-retargeted values stay; arrays are
-    retargeted when self-hosted/marsh/a rewritable scalar appears and no
+    retargeted when a self-hosted or project label or a rewritable scalar
+    appears and no
     Windows/macOS label; scalars when they match the rewritable pattern."""
     v = F.trim(val)
     is_array = v.startswith("[") & v.endswith("]")
     inner = F.transform(F.split(F.substring(v, F.lit(2), F.length(v) - 2), ","),
                         lambda x: _strip_quotes(F.trim(x)))
     array_rule = (~F.exists(inner, lambda x: x.isin(*SKIP_PLATFORMS))
-                  & F.exists(inner, lambda x: x.isin("self-hosted", "marsh") | x.rlike(REWRITE_SCALAR)))
+                  & F.exists(inner, lambda x: x.isin(*REWRITE_ARRAY_LABELS) | x.rlike(REWRITE_SCALAR)))
     scalar_rule = _strip_quotes(v).rlike(REWRITE_SCALAR)
     return (F.when(v.contains("${{"), False)
             .when(v.contains("daytona") & v.contains("self-hosted"), False)

@@ -12,7 +12,7 @@ from ..operators import rules as rl
 from ..sources.fixtures import fixture, oracle_with
 from .queries_health import OWNER
 
-GROUP = "marsh"
+GROUP = "ci-runners"
 
 register("flatten_profile_refs", oracle_with(["fx_fleets", "fx_fleet_classes"], """
 SELECT c.snapshot, f.fleet, f.profile, c.name AS size_class FROM fx_fleets f JOIN fx_fleet_classes c ON c.profile = f.profile
@@ -111,7 +111,7 @@ def _fleet_rules_sql() -> str:
         (7, "R7_repo_group_exactly_one", f"{isrepo} AND ((runner_group IS NULL) = (runner_group_id IS NULL))"),
         (7, "R7_repo_group_id", f"{isrepo} AND runner_group_id IS NOT NULL AND runner_group_id < 1"),
         (7, "R7_repo_group_name", f"{isrepo} AND runner_group IS NOT NULL AND NOT {_full('runner_group', rl.RUNNER_GROUP_NAME)}"),
-        (9, "R9_target", f"NOT {_full('target', rl.DAYTONA_TARGET)}"),
+        (9, "R9_target", f"NOT {_full('target', rl.PROVIDER_TARGET)}"),
         (10, "R10_network_scope", f"{net} AND NOT {isrepo}"),
         (10, "R10_network_policy", f"{net} AND network_policy <> 'deny-by-default'"),
         (10, "R10_cidr_count", f"{net} AND (len(string_split(cidr_allow_list, ',')) < 1 OR len(string_split(cidr_allow_list, ',')) > 5)"),
@@ -123,7 +123,7 @@ def _fleet_rules_sql() -> str:
         (13, "R13_cache_volume", "cache_volume IS NOT NULL AND cache_volume = ''"),
         (14, "R14_poll_interval", f"poll_interval_secs < 1 OR ({isrepo} AND poll_interval_secs < 60)"),
         (14, "R14_request_spacing", "request_spacing_secs < 0"),
-        (24, "R24_api_base", f"api_base <> '{cf.DAYTONA_API_BASE}'"),
+        (24, "R24_api_base", f"api_base <> '{cf.PROVIDER_API_BASE}'"),
     ]
     body = "\nUNION ALL ".join(
         f"SELECT fleet_pos, fleet, {n} AS rule_no, '{rid}' AS rule_id FROM fc WHERE coalesce({cond}, false)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..catalog import register
+from ..fixed import REWRITE_ARRAY_LABELS, REWRITE_SCALAR, RUNS_ON_TARGET
 from ..operators import textscan as ts
 from ..sources.fixtures import fixture, oracle_with
 
@@ -13,6 +14,8 @@ def lines_df(spark, sf):
 
 _L = "wl AS (SELECT * FROM fx_workflow_lines UNION ALL SELECT * FROM fx_workflow_extra)"
 _VIEWS = ["fx_workflow_lines", "fx_workflow_extra"]
+_ARR = ", ".join(f"'{x}'" for x in REWRITE_ARRAY_LABELS)
+_SCALAR = REWRITE_SCALAR.removeprefix("^").removesuffix("$")
 _SQ = "regexp_replace({x}, '^[''\"]+|[''\"]+$', '', 'g')"
 _RW = f"""
 m AS (SELECT *, trim(regexp_extract(text, '^(\\s*)runs-on:\\s*(.+?)\\s*$', 2)) AS v,
@@ -20,14 +23,14 @@ m AS (SELECT *, trim(regexp_extract(text, '^(\\s*)runs-on:\\s*(.+?)\\s*$', 2)) A
       FROM wl WHERE regexp_matches(text, '^(\\s*)runs-on:\\s*(.+?)\\s*$')),
 r AS (SELECT *, list_transform(string_split(substring(v, 2, length(v) - 2), ','), lambda x: {_SQ.format(x='trim(x)')}) AS parts
       FROM m),
-rw AS (SELECT repo, line_no, text, v AS old_value, indent || 'runs-on: [self-hosted, daytona]' AS new_line FROM r
+rw AS (SELECT repo, line_no, text, v AS old_value, indent || 'runs-on: {RUNS_ON_TARGET}' AS new_line FROM r
        WHERE CASE WHEN contains(v, '${{{{') THEN false
                   WHEN contains(v, 'daytona') AND contains(v, 'self-hosted') THEN false
                   WHEN starts_with(v, '[') AND ends_with(v, ']') THEN
                        NOT list_bool_or(list_transform(parts, lambda x: x IN ('windows', 'macos', 'macOS')))
-                       AND list_bool_or(list_transform(parts, lambda x: x IN ('self-hosted', 'marsh')
-                           OR regexp_full_match(x, 'marsh|daytona|blacksmith[\\w.-]*|ubuntu-[\\w.-]+|ubuntu-latest')))
-                  ELSE regexp_full_match({_SQ.format(x='v')}, 'marsh|daytona|blacksmith[\\w.-]*|ubuntu-[\\w.-]+|ubuntu-latest') END)
+                       AND list_bool_or(list_transform(parts, lambda x: x IN ({_ARR})
+                           OR regexp_full_match(x, '{_SCALAR}')))
+                  ELSE regexp_full_match({_SQ.format(x='v')}, '{_SCALAR}') END)
 """
 
 register("runs_on_rewrite", oracle_with(_VIEWS, f", {_L}, {_RW} SELECT * FROM rw"))(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-TELEMETRY_EVENT = "runner_cycle_complete"
-TELEMETRY_SCHEMA_VERSION = 1
+from .fixed import TELEMETRY_EVENT, TELEMETRY_SCHEMA_VERSION  # noqa: F401
+
 
 STAGE_FIELDS = ("jit_mint_secs", "sandbox_create_secs", "runner_start_secs",
                 "idle_secs", "busy_secs", "teardown_secs")

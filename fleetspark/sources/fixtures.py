@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..fixed import FLEET_LABEL_PREFIX, PROVIDER_LABEL, REWRITE_ARRAY_LABELS, RUNNER_NAME_PREFIX
 from .tables import table
 
 # Fixed as-of instants (TIMESTAMP_NTZ): end of the events month, and a day
@@ -61,7 +62,7 @@ FROM events
 # its systemd unit name (an instance without a unit is skipped).
 VIEWS["fx_instances"] = """
 SELECT DISTINCT 'inst-' || CAST(user_id % 4 AS STRING) AS instance,
-       CASE WHEN user_id % 4 = 3 THEN '' ELSE 'marsh-' || CAST(user_id % 4 AS STRING) || '.service' END AS unit
+       CASE WHEN user_id % 4 = 3 THEN '' ELSE 'runner-' || CAST(user_id % 4 AS STRING) || '.service' END AS unit
 FROM events
 """
 
@@ -117,8 +118,9 @@ VIEWS["fx_runners"] = """
 SELECT event_id AS runner_id,
        CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'repo-' || CAST(user_id % 25 AS STRING) END AS repository,
        CASE WHEN event_id % 3 = 0 THEN 'offline' ELSE 'online' END AS status,
-       CASE WHEN event_id % 10 = 0 THEN 'other-' ELSE 'marsh-' END || CAST(event_id AS STRING) AS name,
-       CASE WHEN event_id % 4 = 0 THEN 'daytona' ELSE 'daytona,marsh-fleet-f' || CAST(user_id % 3 AS STRING) END AS labels,
+       CASE WHEN event_id % 10 = 0 THEN 'other-' ELSE '""" + RUNNER_NAME_PREFIX + """' END || CAST(event_id AS STRING) AS name,
+       CASE WHEN event_id % 4 = 0 THEN '""" + PROVIDER_LABEL + """'
+            ELSE '""" + PROVIDER_LABEL + "," + FLEET_LABEL_PREFIX + """f' || CAST(user_id % 3 AS STRING) END AS labels,
        event_id % 6 = 1 AS busy
 FROM events
 """
@@ -161,8 +163,8 @@ SELECT 'repo-' || CAST(c_custkey + 7 AS STRING) AS name FROM customer WHERE c_cu
 # Runner groups visible to each configured repository.
 VIEWS["fx_repo_groups"] = """
 SELECT DISTINCT 'repo-' || CAST(c_custkey % 25 AS STRING) AS repository, c_nationkey % 4 + 1 AS group_id,
-       CASE WHEN c_nationkey % 4 = 0 THEN 'marsh'
-            WHEN c_nationkey = 7 AND c_custkey % 25 < 5 THEN 'marsh'
+       CASE WHEN c_nationkey % 4 = 0 THEN 'ci-runners'
+            WHEN c_nationkey = 7 AND c_custkey % 25 < 5 THEN 'ci-runners'
             ELSE 'group-' || CAST(c_nationkey % 4 AS STRING) END AS group_name
 FROM customer
 """
@@ -171,7 +173,7 @@ FROM customer
 # the data): repeated names, missing ids, public or non-selected groups.
 VIEWS["fx_runner_groups"] = """
 SELECT CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE s_suppkey END AS id,
-       CASE WHEN s_suppkey % 5 = 0 THEN 'marsh' ELSE 'group-' || CAST(s_suppkey % 97 AS STRING) END AS name,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'ci-runners' ELSE 'group-' || CAST(s_suppkey % 97 AS STRING) END AS name,
        CASE WHEN s_nationkey % 2 = 0 THEN 'selected' ELSE 'all' END AS visibility,
        CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 3 = 0 END AS allows_public_repositories
 FROM supplier
@@ -379,7 +381,7 @@ SELECT 'repo-' || source AS repo, doc_id + 1000000000 AS line_no,
          WHEN 3 THEN '      AWS_ACCESS_KEY_ID: ${{ secrets.KEY }}'
          WHEN 4 THEN '      aws-session-token: x'
          WHEN 5 THEN '  runs-on: "ubuntu-22.04"'
-         WHEN 6 THEN '  runs-on: [ self-hosted , "marsh", large ]'
+         WHEN 6 THEN '  runs-on: [ self-hosted , "<project-label>", large ]'
          WHEN 7 THEN '  runs-on: [self-hosted, daytona]'
          WHEN 8 THEN '  runs-on: blacksmith-4vcpu-ubuntu-2204  '
          WHEN 9 THEN '  runs-on: macos-latest'
@@ -387,7 +389,7 @@ SELECT 'repo-' || source AS repo, doc_id + 1000000000 AS line_no,
          WHEN 11 THEN '    uses: actions/cache@v4 # comment'
          ELSE 'runs-on: ' END AS text
 FROM documents
-"""
+""".replace("<project-label>", REWRITE_ARRAY_LABELS[1])
 
 
 # Fleet manifest rows (one per supplier) with deliberate configuration faults.
@@ -401,7 +403,7 @@ SELECT s_suppkey AS fleet_pos,
   CASE WHEN s_suppkey % 17 = 0 THEN 'https://app.daytona.io/api/' WHEN s_suppkey % 31 = 0 THEN 'https://other.example/api'
        ELSE 'https://app.daytona.io/api' END AS api_base,
   CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN '' ELSE 'vol-' || CAST(s_suppkey * 7 % 400 AS STRING) END AS cache_volume,
-  CASE WHEN s_suppkey % 7 = 0 THEN 'daytona' WHEN s_suppkey % 7 = 1 THEN 'marsh-ci' WHEN s_suppkey % 7 = 2 THEN 'Bad Name' END AS runner_group,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'daytona' WHEN s_suppkey % 7 = 1 THEN 'edge-ci' WHEN s_suppkey % 7 = 2 THEN 'Bad Name' END AS runner_group,
   CASE WHEN s_suppkey % 7 IN (1, 3) THEN s_suppkey % 4 END AS runner_group_id,
   s_suppkey % 90 AS poll_interval_secs,
   s_suppkey % 11 - 1 AS request_spacing_secs,
@@ -486,7 +488,7 @@ SELECT s_suppkey AS fleet_pos, 'profiles/' || CAST(s_suppkey AS STRING) || '.tom
   CASE WHEN s_suppkey % 10 = 0 THEN 'yes' ELSE 'true' END AS watchdog_enabled,
   CASE WHEN s_suppkey % 12 = 0 THEN '0.0.0.0' ELSE '127.0.0.1' END AS listen_host,
   CASE WHEN s_suppkey % 14 = 0 THEN 70000 ELSE 8080 + s_suppkey % 10 END AS listen_port,
-  CASE WHEN s_suppkey % 15 = 0 THEN 'BAD-NAME' ELSE 'MARSH_WEBHOOK_SECRET' END AS secret_env,
+  CASE WHEN s_suppkey % 15 = 0 THEN 'BAD-NAME' ELSE 'FLEET_WEBHOOK_SECRET' END AS secret_env,
   CASE WHEN s_suppkey % 16 = 0 THEN NULL ELSE s_suppkey + 1000 END AS installation_id,
   CASE WHEN s_suppkey % 3 = 0 THEN 'User' ELSE 'Organization' END AS target_type,
   CASE WHEN s_suppkey % 18 = 0 THEN 'someone-else' ELSE 'org-' || CAST(s_nationkey AS STRING) END AS login,

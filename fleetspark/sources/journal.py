@@ -13,9 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.core import ts_lit
 from ..schemas import CYCLE_RECORD_JSON, TELEMETRY_EVENT, TELEMETRY_SCHEMA_VERSION
-
-# Fixed value: the marker the producer writes before each JSON record.
-TELEMETRY_PREFIX = "cycle_telemetry "
+from ..fixed import TELEMETRY_PREFIX  # noqa: F401
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
