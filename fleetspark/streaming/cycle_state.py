@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUTPUT_SCHEMA = ("cycle_id long, state string, spawned_at timestamp_ntz, online_at timestamp_ntz, "
                  "busy_at timestamp_ntz")
 STATE_SCHEMA = ("spawned_at timestamp_ntz, online_at timestamp_ntz, completed_at timestamp_ntz, "
-                "deleted_at timestamp_ntz, busy_at timestamp_ntz, pending_busy timestamp_ntz")
+                "deleted_at timestamp_ntz, busy_times array<timestamp_ntz>")
 
 
 def _min(a, b):
@@ -29,12 +29,11 @@ def _min(a, b):
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    spawned = online = completed = deleted = busy = None
+    spawned = online = completed = deleted = None
     busy_events: list = []
     if state.exists:
-        spawned, online, completed, deleted, busy, pending = state.get
-        if pending is not None and not pd.isna(pending):
-            busy_events.append(pending)
+        spawned, online, completed, deleted, kept = state.get
+        busy_events = [t for t in (kept if kept is not None else []) if t is not None and not pd.isna(t)]
     for pdf in batches:
         spawned = _min(spawned, pdf["ts"].min())
         for ev, col in (("online", "online"), ("completed", "completed"), ("deleted", "deleted")):
@@ -47,12 +46,14 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 else:
                     deleted = _min(deleted, sel.min())
         busy_events.extend(pdf.loc[pdf["event"] == "busy", "ts"].tolist())
-    # busy counts only after the first online; keep the earliest busy seen so
-    # far in case online arrives in a later batch with an earlier time
-    pending = min(busy_events) if busy_events else None
+    # busy counts only after the first online.  An earlier online may still
+    # arrive in a later batch, so every busy time of the cycle is kept (a
+    # cycle claims few jobs, so the list stays short).
+    busy_events = sorted(set(busy_events))
+    busy = None
     if online is not None:
         after = [t for t in busy_events if t > online]
-        busy = _min(busy, min(after) if after else None)
+        busy = min(after) if after else None
     if deleted is not None:
         st = "REMOVED"
     elif completed is not None:
@@ -63,7 +64,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         st = "IDLE"
     else:
         st = "SPAWNING"
-    state.update((spawned, online, completed, deleted, busy, pending))
+    state.update((spawned, online, completed, deleted, busy_events))
     yield pd.DataFrame({"cycle_id": [key[0]], "state": [st], "spawned_at": [spawned], "online_at": [online],
                         "busy_at": [busy]})
 

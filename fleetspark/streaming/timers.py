@@ -19,8 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.core import EPOCH_NTZ
 
 OUTPUT_SCHEMA = "cycle_id long, state string, timer string"
-STATE_SCHEMA = ("spawned long, online long, busy long, completed long, deleted long, "
-                "pending_busy long, fired boolean")
+STATE_SCHEMA = "spawned long, online long, completed long, deleted long, busy_times array<long>, fired boolean"
 
 
 def _ms(ts) -> int:
@@ -35,6 +34,14 @@ def _min(a, b):
     return min(a, b)
 
 
+def _first_after(times: list[int], online):
+    """First busy time after going online (busy only promotes an IDLE cycle)."""
+    if online is None:
+        return None
+    after = [t for t in times if t > online]
+    return min(after) if after else None
+
+
 def _state(online, busy, completed, deleted) -> str:
     if deleted is not None:
         return "REMOVED"
@@ -47,19 +54,21 @@ def _state(online, busy, completed, deleted) -> str:
 
 def make_timer_fn(idle_deadline_secs: int, job_max_secs: int):
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spawned = online = busy = completed = deleted = pending = None
+        spawned = online = completed = deleted = None
+        busy_events: list[int] = []
         fired = False
         if state.exists:
-            spawned, online, busy, completed, deleted, pending, fired = state.get
-            spawned, online, busy, completed, deleted, pending = (
-                None if pd.isna(x) else int(x) for x in (spawned, online, busy, completed, deleted, pending))
+            spawned, online, completed, deleted, kept, fired = state.get
+            spawned, online, completed, deleted = (
+                None if x is None or pd.isna(x) else int(x) for x in (spawned, online, completed, deleted))
+            busy_events = [int(t) for t in (kept if kept is not None else [])]
+        busy = _first_after(busy_events, online)
         st = _state(online, busy, completed, deleted)
         if state.hasTimedOut:
-            state.update((spawned, online, busy, completed, deleted, pending, True))
+            state.update((spawned, online, completed, deleted, busy_events, True))
             yield pd.DataFrame({"cycle_id": [key[0]], "state": [st],
                                 "timer": ["idle_deadline" if st == "IDLE" else "job_max_secs"]})
             return
-        busy_events = [pending] if pending is not None else []
         for pdf in batches:
             ms = pdf["ts"].map(_ms)
             spawned = _min(spawned, int(ms.min()))
@@ -74,10 +83,8 @@ def make_timer_fn(idle_deadline_secs: int, job_max_secs: int):
                     else:
                         deleted = _min(deleted, first)
             busy_events += [int(x) for x in ms[pdf["event"] == "busy"]]
-        pending = min(busy_events) if busy_events else None
-        if online is not None:
-            after = [t for t in busy_events if t > online]
-            busy = _min(busy, min(after) if after else None)
+        busy_events = sorted(set(busy_events))
+        busy = _first_after(busy_events, online)
         st = _state(online, busy, completed, deleted)
         due = None
         if not fired and st == "IDLE":
@@ -90,7 +97,7 @@ def make_timer_fn(idle_deadline_secs: int, job_max_secs: int):
                                 "timer": ["idle_deadline" if st == "IDLE" else "job_max_secs"]})
         elif due is not None:
             state.setTimeoutTimestamp(due)
-        state.update((spawned, online, busy, completed, deleted, pending, fired))
+        state.update((spawned, online, completed, deleted, busy_events, fired))
     return fn
 
 

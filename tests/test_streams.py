@@ -31,3 +31,28 @@ def test_deadline_timers_fire_like_batch(spark):
     want = {(r.cycle_id, r.timer) for r in
             cy.deadline_timers(states, ts_lit("2024-01-01 03:00:00"), 3600, 4 * 3600).collect()}
     assert got == want == {(1, "idle_deadline")}
+
+
+def test_cycle_state_stream_out_of_order_batches(spark):
+    from fleetspark.streaming.cycle_state import OUTPUT_SCHEMA as CS_SCHEMA
+    from fleetspark.streaming.cycle_state import cycle_state_stream
+    from fleetspark.streaming.runner import read_latest
+    src = scratch_path(spark, "cs-src")
+    # busy events arrive before the online that precedes them
+    batches = [[(1, "2024-01-01 00:00:02", "busy"), (1, "2024-01-01 00:00:05", "busy"),
+                (2, "2024-01-01 00:00:00", "spawned")],
+               [(1, "2024-01-01 00:00:03", "online"), (2, "2024-01-01 00:00:04", "busy")],
+               [(2, "2024-01-01 00:00:01", "online"), (3, "2024-01-01 00:00:09", "completed")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "cycle_id long, ts string, event string") \
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{src}/part{i}")
+    stream = (spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out = run_to_table(cycle_state_stream(stream), "update", "cs-test")
+    got = {r.cycle_id: (r.state, r.busy_at) for r in read_latest(spark, out, CS_SCHEMA, ["cycle_id"]).collect()}
+    all_rows = [r for b in batches for r in b]
+    batch = cy.cycle_state(spark.createDataFrame(all_rows, "cycle_id long, ts string, event string")
+                           .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    want = {r.cycle_id: (r.state, r.busy_at) for r in batch.collect()}
+    assert got == want
+    assert got[1][0] == "BUSY" and got[2][0] == "BUSY" and got[3][0] == "CLEANUP_PENDING"
