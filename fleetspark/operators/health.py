@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import APP_NAME
 from ..functions.core import floor_minutes, queue_wait_secs, sandbox_age_secs
 from ..functions.labels import (PROVIDER_LABEL, RUNNER_NAME_PREFIX, SCOPE_ORGANIZATION,
                                 fleet_runner, fleet_sandbox, has_label)
@@ -201,3 +202,30 @@ def all_findings(*checks: DataFrame) -> DataFrame:
         c = c.select(*FINDING_COLS)
         out = c if out is None else out.unionByName(c)
     return out
+
+
+def repo_scope_findings(configured: DataFrame, private_roster: DataFrame, repo_groups: DataFrame,
+                        group_name: str, instance: str, owner: str) -> DataFrame:
+    """Repository-scope watchdog findings: the roster difference (J7) as two
+    list findings, one finding per configured repository the named runner
+    group is not exactly once available to, and one when the group's id
+    differs across repositories (A18)."""
+    diff = profile_roster_diff(configured, private_roster)
+    missing = roster_finding(diff.filter(F.col("kind") == "missing"), instance, "profile_missing",
+                             f"[{instance}] repository profile includes private {APP_NAME} "
+                             "repository/repositories no longer visible: %s")
+    extra = roster_finding(diff.filter(F.col("kind") == "unconfigured"), instance, "profile_unconfigured",
+                           f"[{instance}] private {APP_NAME} repository/repositories are not covered by "
+                           "this repository profile: %s")
+    cons = group_id_consistency(repo_groups.join(configured.select(F.col("name").alias("repository")),
+                                                 "repository", "left_semi"), group_name)
+    unavailable = cons.filter(~F.col("ok")).select(
+        F.lit(instance).alias("instance"), F.lit("group_unavailable").alias("check"),
+        F.col("repository").alias("entity"),
+        F.concat(F.lit(f"[{instance}] configured runner group '{group_name}' is unavailable to {owner}/"),
+                 F.col("repository")).alias("text"))
+    inconsistent = cons.agg(F.max("distinct_ids").alias("d")).filter(F.col("d") > 1).select(
+        F.lit(instance).alias("instance"), F.lit("group_inconsistent").alias("check"), F.lit("").alias("entity"),
+        F.lit(f"[{instance}] configured runner group '{group_name}' has inconsistent IDs across repositories")
+        .alias("text"))
+    return all_findings(missing, extra, unavailable, inconsistent)

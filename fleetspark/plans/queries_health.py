@@ -300,3 +300,38 @@ register("queue_wait_text", oracle_with(["fx_jobs"], f"""
 SELECT job_id, epoch(TIMESTAMP '{ORDERS_AS_OF}') - epoch(strptime(replace(CAST(created_at AS VARCHAR), ' ', 'T') || 'Z',
        '%Y-%m-%dT%H:%M:%SZ')) AS wait_secs FROM fx_jobs WHERE job_id % 17 <> 0
 """))(_queue_wait_text)
+
+
+def _repo_findings(spark, sf):
+    configured = hl.lower_key_roster(fixture(spark, sf, "fx_configured_repos").withColumnRenamed("repository", "name"))
+    return hl.repo_scope_findings(configured, visible(spark, sf, True), fixture(spark, sf, "fx_repo_groups"),
+                                  GROUP, INSTANCE, OWNER)
+
+
+_T_MISS = f"[{INSTANCE}] repository profile includes private {APP_NAME} repository/repositories no longer visible: %s"
+_T_EXTRA = f"[{INSTANCE}] private {APP_NAME} repository/repositories are not covered by this repository profile: %s"
+
+
+def _top10(src: str) -> str:
+    return f"(SELECT string_agg(name, ', ' ORDER BY name) FROM (SELECT name FROM {src} ORDER BY name LIMIT 10))"
+
+
+register("repo_scope_findings", oracle_with(["fx_repos", "fx_configured_repos", "fx_repo_groups"], f"""
+, {_VISP}, cfg AS (SELECT lower(repository) AS key, any_value(repository) AS name FROM fx_configured_repos GROUP BY 1),
+miss AS (SELECT name FROM cfg ANTI JOIN visp USING (key)),
+extra AS (SELECT name FROM visp ANTI JOIN cfg USING (key)),
+rg AS (SELECT * FROM fx_repo_groups WHERE repository IN (SELECT name FROM cfg)),
+pr AS (SELECT r.repository, coalesce(m.matches, 0) AS matches FROM (SELECT DISTINCT repository FROM rg) r
+       LEFT JOIN (SELECT repository, count(*) AS matches FROM rg WHERE group_name = '{GROUP}' AND group_id IS NOT NULL
+                  GROUP BY repository) m USING (repository)),
+ids AS (SELECT count(DISTINCT group_id) AS d FROM rg WHERE group_name = '{GROUP}' AND group_id IS NOT NULL
+        AND repository IN (SELECT repository FROM pr WHERE matches = 1))
+SELECT '{INSTANCE}' AS instance, 'profile_missing' AS "check", '' AS entity,
+       replace('{_T_MISS}', '%s', {_top10('miss')}) AS text WHERE EXISTS (SELECT 1 FROM miss)
+UNION ALL SELECT '{INSTANCE}', 'profile_unconfigured', '', replace('{_T_EXTRA}', '%s', {_top10('extra')})
+  WHERE EXISTS (SELECT 1 FROM extra)
+UNION ALL SELECT '{INSTANCE}', 'group_unavailable', repository,
+  '[{INSTANCE}] configured runner group ''{GROUP}'' is unavailable to {OWNER}/' || repository FROM pr WHERE matches <> 1
+UNION ALL SELECT '{INSTANCE}', 'group_inconsistent', '',
+  '[{INSTANCE}] configured runner group ''{GROUP}'' has inconsistent IDs across repositories' FROM ids WHERE d > 1
+"""))(_repo_findings)
