@@ -109,3 +109,33 @@ def pacing_gaps(log: DataFrame, spacing_secs: float, key: str = "fleet",
     allowed = F.when(F.col("_prev").isNotNull(), allowed)
     return x.select(*log.columns, (F.col("_start") - F.col("_prev")).alias("gap_secs"), allowed.alias("allowed_from"),
                     F.coalesce(F.col("_start") < allowed, F.lit(False)).alias("early"))
+
+
+def pacing_gate(log: DataFrame, spacing_secs: float, key: str = "fleet",
+                order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """W7, exact gate form: the earliest allowed start of each request is the
+    gate's ``next_request_at`` after the previous request.
+
+    After a success the gate is ``start + spacing``; after a rate-limited
+    response it is the maximum of its previous value, ``start + spacing``
+    and ``start + cooldown``.  So after row i it equals ``start_i + spacing``
+    raised, for a failure, to the largest cooldown end since the last
+    success.  Computed with time-sliced running scans (segment number =
+    successes before the row; largest cooldown end within the segment; the
+    previous row's gate as the running maximum of (order, gate)).  Needs
+    ``cooldown_secs`` (from W6).
+    """
+    start = ntz_epoch_secs("ts")
+    ok = ~F.col("status").isin(*RATE_LIMITED)
+    x = log.withColumn("_start", start).withColumn(
+        "_cool_end", F.when(F.col("cooldown_secs").isNotNull(), start + F.col("cooldown_secs")))
+    x = running(x, [key], list(order), [Running("_seg", ok.cast("long"), "sum", inclusive=False),
+                                        Running("_prev", F.col("_start"), "max", inclusive=False)], _hour_bucket())
+    x = running(x, [key, "_seg"], list(order), [Running("_cmax", F.col("_cool_end"), "max")], _hour_bucket())
+    spaced = F.col("_start") + F.lit(float(spacing_secs))
+    gate = F.when(ok, spaced).otherwise(F.greatest(spaced, F.col("_cmax")))
+    x = x.withColumn("_gate", F.struct(*[F.col(o) for o in order], gate.alias("g")))
+    x = running(x, [key], list(order), [Running("_prev_gate", F.col("_gate"), "max", inclusive=False)], _hour_bucket())
+    allowed = F.col("_prev_gate.g")
+    return x.select(*log.columns, (F.col("_start") - F.col("_prev")).alias("gap_secs"), allowed.alias("allowed_from"),
+                    F.coalesce(F.col("_start") < allowed, F.lit(False)).alias("early"))

@@ -182,3 +182,18 @@ q AS (SELECT event_id, fleet, st - lag(st) OVER w AS gap_secs,
 SELECT event_id, fleet, gap_secs, allowed_from, coalesce(st < allowed_from, false) AS early FROM q
 """))(lambda spark, sf: ap.pacing_gaps(_backoff(spark, sf), SPACING).select(
     "event_id", "fleet", "gap_secs", "allowed_from", "early"))
+
+
+register("pacing_gate", oracle_with(["fx_api_log"], _BACKOFF_SQL + f"""
+, p AS (SELECT *, epoch(ts) AS st, CASE WHEN cooldown_secs IS NOT NULL THEN epoch(ts) + cooldown_secs END AS ce,
+               status NOT IN (403, 429) AS ok FROM bo),
+sg AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY fleet ORDER BY ts, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM p),
+cm AS (SELECT *, max(ce) OVER (PARTITION BY fleet, seg ORDER BY ts, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cmax FROM sg),
+gt AS (SELECT *, CASE WHEN ok THEN st + {SPACING} ELSE greatest(st + {SPACING}, coalesce(cmax, st + {SPACING})) END AS gate FROM cm),
+q AS (SELECT event_id, fleet, st - lag(st) OVER w AS gap_secs, lag(gate) OVER w AS allowed_from, st
+      FROM gt WINDOW w AS (PARTITION BY fleet ORDER BY ts, event_id))
+SELECT event_id, fleet, gap_secs, allowed_from, coalesce(st < allowed_from, false) AS early FROM q
+"""))(lambda spark, sf: ap.pacing_gate(_backoff(spark, sf), SPACING).select(
+    "event_id", "fleet", "gap_secs", "allowed_from", "early"))
