@@ -32,9 +32,11 @@ def normalize_roster(repos: DataFrame, owner: str, private_only: bool = False) -
 
 
 def lower_key_roster(names: DataFrame, name_col: str = "name", pos_col: str | None = None) -> DataFrame:
-    """(key=lower(name), name); duplicates by key keep the last by ``pos_col``."""
+    """(key=lower(name), name); duplicates by key keep the last by
+    ``pos_col`` (listing order), or without one the greatest spelling, so
+    the choice is deterministic under retries."""
     if pos_col is None:
-        return names.select(F.lower(name_col).alias("key"), F.col(name_col).alias("name")).dropDuplicates(["key"])
+        return names.groupBy(F.lower(name_col).alias("key")).agg(F.max(name_col).alias("name"))
     return (names.groupBy(F.lower(name_col).alias("key"))
             .agg(F.max_by(name_col, pos_col).alias("name")))
 
