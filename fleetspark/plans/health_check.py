@@ -19,7 +19,8 @@ def finding_keys(findings: DataFrame, key: str = "entity") -> DataFrame:
         k = F.col("text")
     else:
         k = F.concat_ws("|", "instance", "check", "entity")
-    return findings.select(k.alias("key"), "text").dropDuplicates(["key"])
+    # one text per key, chosen deterministically
+    return findings.groupBy(k.alias("key")).agg(F.min("text").alias("text"))
 
 
 def health_check(checks: list[DataFrame], state_base: str, run_id: int, now_epoch: float,

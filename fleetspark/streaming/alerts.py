@@ -26,7 +26,8 @@ def alert_stream(findings: DataFrame, realert_secs: int, state_base: str, out_pa
         passes = [(r.pass_id, r.now_epoch) for r in
                   batch.select("pass_id", "now_epoch").distinct().orderBy("pass_id").collect()]  # a few passes
         for pass_id, now in passes:
-            cur = batch.filter(F.col("pass_id") == pass_id).select("key", "text").dropDuplicates(["key"])
+            cur = (batch.filter(F.col("pass_id") == pass_id).groupBy("key")
+                   .agg(F.min("text").alias("text")))
             prev = load_alert_state(spark, state_base, pass_id - 1)
             t = al.alert_transitions(cur, prev, float(now), realert_secs)
             # one folder per pass, overwritten on replay: exactly-once output
