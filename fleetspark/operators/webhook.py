@@ -38,7 +38,8 @@ def deliveries_status(requests: DataFrame, secret: bytes, label_sets: Column) ->
     wake = ((status == 202) & (F.col("event") == "workflow_job") & (F.variant_get(v, "$.action", "string") == "queued")
             & F.coalesce(F.schema_of_variant(job).startswith("OBJECT"), F.lit(False))
             & covers_some_class(labels, label_sets))
-    return parsed.select(*requests.columns, "signature_ok", status.alias("status"), wake.alias("wake"))
+    return parsed.select(*requests.columns, "signature_ok", status.alias("status"),
+                         F.coalesce(wake, F.lit(False)).alias("wake"))
 
 
 def wake_coalesce(deliveries: DataFrame, interval: str, key: list[str] | None = None) -> DataFrame:
