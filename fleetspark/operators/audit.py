@@ -113,8 +113,9 @@ def union_inventory_pages(pages: DataFrame, items_col: str = "items") -> DataFra
 
 def page_consistency(pages: DataFrame) -> DataFrame:
     """Violations among captured page headers (position, page, total_pages):
-    total_pages must be an integer in 1..1000 and equal on every page, each
-    page number must equal its position, and pages 1..N must all be present."""
+    total_pages must be an integer in 1..1000 and equal on every page, a
+    reported page number must equal its position (an unreported one is
+    accepted), and pages 1..N must all be present."""
     t = F.col("total_pages")
     bad_total = pages.filter(t.isNull() | (t < 1) | (t > MAX_TOTAL_PAGES) | (t != F.floor(t))).select(
         F.lit("invalid_total_pages").alias("violation"), F.col("position"))
@@ -122,7 +123,8 @@ def page_consistency(pages: DataFrame) -> DataFrame:
                       F.count_distinct("page").alias("distinct_pages"))
     mixed = stats.filter(F.col("lo") != F.col("hi")).select(F.lit("inconsistent_total_pages").alias("violation"),
                                                             F.lit(None).cast("long").alias("position"))
-    out_of_order = pages.filter(F.col("page").isNull() | (F.col("page") != F.col("position"))).select(
+    # a page that does not report its number is accepted
+    out_of_order = pages.filter(F.col("page").isNotNull() & (F.col("page") != F.col("position"))).select(
         F.lit("page_out_of_order").alias("violation"), F.col("position"))
     incomplete = stats.filter((F.col("lo") == F.col("hi")) & (F.col("n") != F.col("hi"))).select(
         F.lit("incomplete_pages").alias("violation"), F.lit(None).cast("long").alias("position"))

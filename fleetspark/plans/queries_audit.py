@@ -102,7 +102,7 @@ register("page_consistency", oracle_with(["fx_inventory_pages"], """
 SELECT 'invalid_total_pages' AS violation, position FROM fx_inventory_pages
  WHERE total_pages IS NULL OR total_pages < 1 OR total_pages > 1000
 UNION ALL SELECT 'inconsistent_total_pages', CAST(NULL AS BIGINT) FROM st WHERE lo <> hi
-UNION ALL SELECT 'page_out_of_order', position FROM fx_inventory_pages WHERE page IS NULL OR page <> position
+UNION ALL SELECT 'page_out_of_order', position FROM fx_inventory_pages WHERE page IS NOT NULL AND page <> position
 UNION ALL SELECT 'incomplete_pages', CAST(NULL AS BIGINT) FROM st WHERE lo = hi AND n <> hi
 """))(lambda spark, sf: au.page_consistency(fixture(spark, sf, "fx_inventory_pages")))
 
