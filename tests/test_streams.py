@@ -56,3 +56,44 @@ def test_cycle_state_stream_out_of_order_batches(spark):
     want = {r.cycle_id: (r.state, r.busy_at) for r in batch.collect()}
     assert got == want
     assert got[1][0] == "BUSY" and got[2][0] == "BUSY" and got[3][0] == "CLEANUP_PENDING"
+
+
+def test_failure_streak_carries_across_batches(spark):
+    from fleetspark.streaming.failure_streak import OUTPUT_SCHEMA as FS_SCHEMA
+    from fleetspark.streaming.failure_streak import failure_streak_stream
+    src = scratch_path(spark, "fs-src")
+    batches = [[(1, 1, "2024-01-01 00:00:01", "unreadable_idle"), (1, 2, "2024-01-01 00:00:02", "unreadable_idle"),
+                (2, 3, "2024-01-01 00:00:01", "unreadable_idle"), (2, 4, "2024-01-01 00:00:02", "ok")],
+               [(1, 5, "2024-01-01 00:00:03", "unreadable_idle"), (2, 6, "2024-01-01 00:00:03", "unreadable_idle"),
+                (1, 7, "2024-01-01 00:00:04", "unreadable_idle")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "cycle_id long, event_id long, ts string, result string") \
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{src}/part{i}")
+    stream = (spark.readStream.schema("cycle_id long, event_id long, ts timestamp_ntz, result string")
+              .option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src))
+    out = run_to_table(failure_streak_stream(stream), "append", "fs-test")
+    got = {(r.cycle_id, r.event_id) for r in read_all(spark, out, FS_SCHEMA).collect()}
+    batch = spark.createDataFrame([r for b in batches for r in b], "cycle_id long, event_id long, ts string, result string") \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = {(r.cycle_id, r.event_id) for r in cy.failure_runs(batch).collect()}
+    assert got == want == {(1, 5)}
+
+
+def test_usage_stream_over_several_batches(spark):
+    from fleetspark.operators import telemetry as tm
+    from fleetspark.streaming.usage import usage_facts, usage_report_stream
+    src = scratch_path(spark, "us-src")
+    schema = "snapshot string, outcome string, cleanup_status string, total_secs double, completed_at timestamp_ntz"
+    batches = [[("a", "job", "deleted", 60.0, "2024-01-01 10:00:00"), ("a", "idle", "deleted", 120.0, "2024-01-01 11:00:00")],
+               [("a", "job", "deleted", 30.0, "2024-01-02 10:00:00"), ("b", "failed", "deleted", None, "2024-01-01 12:00:00")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema.replace("timestamp_ntz", "string")) \
+            .withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{src}/part{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    got = {(str(r.window_start), r.snapshot): (r.n, r.avg_minutes) for r in usage_report_stream(stream, 86400).collect()}
+    batch = spark.createDataFrame([r for b in batches for r in b], schema.replace("timestamp_ntz", "string")) \
+        .withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))
+    want = {(str(r.window_start), r.snapshot): (r.n, r.avg_minutes)
+            for r in tm.usage_summary(usage_facts(batch, 86400), ["window_start"]).collect()}
+    assert got == want
+    assert got[("2024-01-01 00:00:00", "a")] == (2, 1.5)
