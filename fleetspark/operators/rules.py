@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..fixed import (DOMAIN_NAME, ENV_NAME, FLEET_NAME, FORBIDDEN_CONFIG_KEYS, LOOPBACK_HOSTS,  # noqa: F401
                      NETWORK_POLICY, ORG_RUNNER_GROUP, OWNER_NAME, PRIVATE_V4, PROFILE_SECTIONS,
                      PROVIDER_API_BASE, PROVIDER_TARGET, REPOSITORY_NAME, REQUIRED_CLASSES, RUNNER_GROUP_NAME,
-                     SCOPES, SHARED_LABELS)
+                     PROVIDER_LABEL, SCOPES, SHARED_LABELS)
 
 # Octets: no leading zeros (rejected by Python's parser); prefix length:
 # any run of digits, so leading zeros are skipped before the value.
@@ -102,14 +102,14 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
 
 def class_rule_violations(classes: DataFrame, fleets: DataFrame) -> DataFrame:
     """Size-class rules per profile: R18 labels include self-hosted and
-    daytona, unique class name; R19 min_idle/max >= 0, min <= max,
+    the provider label, unique class name; R19 min_idle/max >= 0, min <= max,
     repository scope min_idle = 0; R20 warm_floor_reason iff min_idle > 0;
     R21 required classes present (large carrying label 'large')."""
     c = F.col
     scope = fleets.select("profile", "scope").dropDuplicates(["profile"])
     j = classes.join(scope, "profile", "left").withColumn("_labels", F.split("labels", ","))
     rules = [
-        (18, "R18_labels", ~(F.array_contains("_labels", "self-hosted") & F.array_contains("_labels", "daytona"))),
+        (18, "R18_labels", ~(F.array_contains("_labels", "self-hosted") & F.array_contains("_labels", PROVIDER_LABEL))),
         (19, "R19_min_idle", c("min_idle") < 0),
         (19, "R19_max", c("max_live") < 0),
         (19, "R19_min_le_max", c("min_idle") > c("max_live")),

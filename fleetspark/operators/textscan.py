@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import (FORBIDDEN_NAMES, PINNED_REF, REWRITE_ARRAY_LABELS, REWRITE_SCALAR,  # noqa: F401
+from ..fixed import (FORBIDDEN_NAMES, PINNED_REF, PROVIDER_LABEL, REWRITE_ARRAY_LABELS, REWRITE_SCALAR,  # noqa: F401
                      RUNS_ON_LINE, RUNS_ON_TARGET, SKIP_PLATFORMS, USES_LINE)
 
 
@@ -30,7 +30,7 @@ def should_rewrite(val: Column) -> Column:
                   & F.exists(inner, lambda x: x.isin(*REWRITE_ARRAY_LABELS) | x.rlike(REWRITE_SCALAR)))
     scalar_rule = _strip_quotes(v).rlike(REWRITE_SCALAR)
     return (F.when(v.contains("${{"), False)
-            .when(v.contains("daytona") & v.contains("self-hosted"), False)
+            .when(v.contains(PROVIDER_LABEL) & v.contains("self-hosted"), False)
             .when(is_array, array_rule).otherwise(scalar_rule))
 
 

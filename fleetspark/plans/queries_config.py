@@ -107,7 +107,7 @@ def _fleet_rules_sql() -> str:
         (2, "R2_fleet_name", f"NOT {_full('fleet', rl.FLEET_NAME)}"),
         (3, "R3_owner_name", f"NOT {_full('owner', rl.OWNER_NAME)}"),
         (4, "R4_scope", "scope NOT IN ('organization', 'repository')"),
-        (6, "R6_org_runner_group", "scope = 'organization' AND NOT coalesce(runner_group = 'daytona', false)"),
+        (6, "R6_org_runner_group", f"scope = 'organization' AND NOT coalesce(runner_group = '{rl.ORG_RUNNER_GROUP}', false)"),
         (7, "R7_repo_group_exactly_one", f"{isrepo} AND ((runner_group IS NULL) = (runner_group_id IS NULL))"),
         (7, "R7_repo_group_id", f"{isrepo} AND runner_group_id IS NOT NULL AND runner_group_id < 1"),
         (7, "R7_repo_group_name", f"{isrepo} AND runner_group IS NOT NULL AND NOT {_full('runner_group', rl.RUNNER_GROUP_NAME)}"),
@@ -157,7 +157,7 @@ SELECT fleet_pos, fleet, arg_min(rule_id, struct_pack(n := rule_no, r := rule_id
 register("class_rule_violations", oracle_with(["fx_fleet_classes", "fx_fleets"], """
 , sc AS (SELECT profile, any_value(scope) AS scope FROM fx_fleets GROUP BY profile),
 j AS (SELECT c.*, sc.scope, string_split(c.labels, ',') AS l FROM fx_fleet_classes c LEFT JOIN sc USING (profile))
-SELECT profile, class_pos, name, 18 AS rule_no, 'R18_labels' AS rule_id FROM j WHERE NOT (list_contains(l, 'self-hosted') AND list_contains(l, 'daytona'))
+SELECT profile, class_pos, name, 18 AS rule_no, 'R18_labels' AS rule_id FROM j WHERE NOT (list_contains(l, 'self-hosted') AND list_contains(l, '<provider>'))
 UNION ALL SELECT profile, class_pos, name, 19, 'R19_min_idle' FROM j WHERE min_idle < 0
 UNION ALL SELECT profile, class_pos, name, 19, 'R19_max' FROM j WHERE max_live < 0
 UNION ALL SELECT profile, class_pos, name, 19, 'R19_min_le_max' FROM j WHERE min_idle > max_live
@@ -169,7 +169,7 @@ UNION ALL SELECT profile, class_pos, name, 18, 'R18_unique_name' FROM fx_fleet_c
 UNION ALL SELECT p.profile, NULL, r.name, 21, 'R21_required_class' FROM (SELECT DISTINCT profile FROM fx_fleet_classes) p,
   (VALUES ('default'), ('large')) r(name)
   WHERE NOT EXISTS (SELECT 1 FROM fx_fleet_classes c WHERE c.profile = p.profile AND c.name = r.name)
-"""))(lambda spark, sf: rl.class_rule_violations(fixture(spark, sf, "fx_fleet_classes"), fixture(spark, sf, "fx_fleets")))
+""".replace("<provider>", rl.PROVIDER_LABEL)))(lambda spark, sf: rl.class_rule_violations(fixture(spark, sf, "fx_fleet_classes"), fixture(spark, sf, "fx_fleets")))
 
 
 def _profile_rules_sql() -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..catalog import register
-from ..fixed import REWRITE_ARRAY_LABELS, REWRITE_SCALAR, RUNS_ON_TARGET
+from ..fixed import PROVIDER_LABEL, REWRITE_ARRAY_LABELS, REWRITE_SCALAR, RUNS_ON_TARGET
 from ..operators import textscan as ts
 from ..sources.fixtures import fixture, oracle_with
 
@@ -25,7 +25,7 @@ r AS (SELECT *, list_transform(string_split(substring(v, 2, length(v) - 2), ',')
       FROM m),
 rw AS (SELECT repo, line_no, text, v AS old_value, indent || 'runs-on: {RUNS_ON_TARGET}' AS new_line FROM r
        WHERE CASE WHEN contains(v, '${{{{') THEN false
-                  WHEN contains(v, 'daytona') AND contains(v, 'self-hosted') THEN false
+                  WHEN contains(v, '{PROVIDER_LABEL}') AND contains(v, 'self-hosted') THEN false
                   WHEN starts_with(v, '[') AND ends_with(v, ']') THEN
                        NOT list_bool_or(list_transform(parts, lambda x: x IN ('windows', 'macos', 'macOS')))
                        AND list_bool_or(list_transform(parts, lambda x: x IN ({_ARR})
