@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import FLEET_LABEL_PREFIX, PROVIDER_LABEL, RUNNER_NAME_PREFIX, RUNNER_ROLE, SCOPE_ORGANIZATION, SCOPE_REPOSITORY  # noqa: F401
+from ..fixed import (FLEET_LABEL_PREFIX, NETWORK_POLICY, PROVIDER_LABEL, RUNNER_NAME_PREFIX,  # noqa: F401
+                     RUNNER_ROLE, SCOPE_ORGANIZATION, SCOPE_REPOSITORY)
 
 
 def label_map(**cols: Column) -> Column:
@@ -45,10 +46,12 @@ def has_label(labels: Column, name: str) -> Column:
 
 def base_labels(scope: Column, org: Column, fleet: Column, network_policy: Column,
                 size_class: Column, repository: Column) -> Column:
-    """P25: sandbox attribution labels; scope/fleet/network_policy appear only
-    for repository scope, repository only when set."""
+    """P25: sandbox attribution labels: role and org always; scope and fleet
+    for repository scope; the network policy when the profile restricts
+    egress; size class and repository when set (non-empty)."""
     is_repo = scope == SCOPE_REPOSITORY
+    restricted = network_policy == NETWORK_POLICY
     return label_map(role=F.lit(RUNNER_ROLE), org=F.lower(org),
                      scope=F.when(is_repo, scope), fleet=F.when(is_repo, fleet),
-                     network_policy=F.when(is_repo, network_policy),
-                     size_class=size_class, repository=repository)
+                     network_policy=F.when(restricted, F.lit(NETWORK_POLICY)),
+                     size_class=F.nullif(size_class, F.lit("")), repository=F.nullif(repository, F.lit("")))

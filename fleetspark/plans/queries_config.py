@@ -77,7 +77,7 @@ SELECT fleet_pos, array_to_string(list_sort(list_filter([
     'role=gha-runner', 'org=' || lower(owner),
     CASE WHEN scope = 'repository' THEN 'scope=' || scope END,
     CASE WHEN scope = 'repository' THEN 'fleet=' || fleet END,
-    CASE WHEN scope = 'repository' AND network_policy IS NOT NULL THEN 'network_policy=' || network_policy END,
+    CASE WHEN network_policy = 'deny-by-default' THEN 'network_policy=deny-by-default' END,
     'size_class=default',
     CASE WHEN scope = 'repository' THEN 'repository=repo-' || CAST(fleet_pos % 25 AS VARCHAR) END], lambda x: x IS NOT NULL)), ',') AS labels
 FROM fx_fleets
