@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{module}")
 
 
-MODULES = ["topk_search", "mixing"]
+MODULES = ["topk_search", "mixing", "quality_rules"]
