@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{module}")
 
 
-MODULES = ["topk_search", "mixing", "quality_rules", "simhash"]
+MODULES = ["packing", "mixing", "quality_rules", "simhash", "topk_search"]
