@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import read, register
-from .staging import stage
+from .staging import numbered, stage
 from .text import n_words
 
 MAX_REPEAT = 3
@@ -139,8 +139,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it."""
-    kept = docs.withColumn("row_id", F.monotonically_increasing_id())
-    mixed = mix(spark, sized_rows(docs)).where(F.col("copies") > 0).select("row_id", "copies")
-    return (kept.join(mixed, "row_id")
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*docs.columns))
+    rows = numbered(spark, docs, "mixing-rows")
+    sized = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"),
+                        F.col("row.source").cast("string").alias("source"), n_words(F.col("row.text")).alias("size"))
+    mixed = mix(spark, sized).where(F.col("copies") > 0).select("row_id", "copies")
+    return (rows.join(mixed, "row_id")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*"))

@@ -94,8 +94,13 @@ def measurements(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 
 
 def ledger(measured: DataFrame) -> DataFrame:
-    """Adds ``fail_bits``: one bit per failed rule, each rule evaluated once."""
-    bits = F.lit(0).cast("long")
+    """Adds ``fail_bits``: one bit per failed rule, each rule evaluated once.
+
+    The zero that the bits start from is not deterministic to the optimiser,
+    so a later filter on the bits stays above them: pushed below, it would
+    evaluate the measurements' nested expressions again for every element.
+    """
+    bits = F.spark_partition_id().cast("long") * 0
     for i, test in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return measured.withColumn("fail_bits", bits)

@@ -32,4 +32,5 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{module}")
 
 
-MODULES = ["packing", "mixing", "quality_rules", "toxicity", "secret_scan", "quality_knn", "language_id", "simhash", "topk_search"]
+MODULES = ["packing", "mixing", "quality_rules", "suffix_dedup", "toxicity", "secret_scan", "quality_knn", "language_id",
+           "simhash", "topk_search"]

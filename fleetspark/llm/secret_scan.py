@@ -167,7 +167,7 @@ def redacted(spark: SparkSession, docs: DataFrame, formats: Formats, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value.scorer()
         for batch in batches:
-            texts = [None if t is None else redact(t, find_spans(t, gain)) for t in map(pa.Scalar.as_py, batch.column(place))]
+            texts = [None if t is None else redact(t, find_spans(t, gain)) for t in (v.as_py() for v in batch.column(place))]
             columns = list(batch.columns)
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
