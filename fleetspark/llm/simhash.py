@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import component_labels
 from .registry import read, register
-from .staging import stage
+from .staging import numbered, stage
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -216,6 +216,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group."""
-    keepers = near_duplicates(spark, with_row_id(docs)).where("row_id = keeper").select("row_id")
-    return (docs.withColumn("row_id", F.monotonically_increasing_id())
-            .join(keepers, "row_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = numbered(spark, docs, "simhash-rows")
+    texts = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    keepers = near_duplicates(spark, texts).where("row_id = keeper").select("row_id")
+    return rows.join(keepers, "row_id", "left_semi").select("row.*")
