@@ -7,9 +7,9 @@ Hamming distance of the fingerprints.  Counts are written in unary (0, 01,
 11), so that Manhattan distance is the number of differing bits of two
 embeddings, and a grid cell is an embedding under a mask.
 
-Range join: the segments form seven groups.  At distance ``r`` at most ``r``
+Range join: the segments form eight groups.  At distance ``r`` at most ``r``
 groups differ, so two points within range share the cell of some choice of
-``7 - r`` groups.  Points meet in those cells, the Manhattan bound drops most
+``8 - r`` groups.  Points meet in those cells, the Manhattan bound drops most
 pairs, and the rest is verified on the fingerprints.  A cell larger than
 ``CELL_ROWS`` is split into blocks and every pair of blocks is a task of its
 own, so hot cells spread and nothing is capped.  Each task sends a spanning
@@ -38,7 +38,7 @@ from .staging import numbered, stage
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-GROUPS = 7
+GROUPS = 8
 #: Rows of a cell compared in one block; larger cells are split into pairs of blocks.
 CELL_ROWS = 4096
 #: Shingles hashed at once, so that very long texts take bounded memory.
