@@ -1,0 +1,403 @@
+"""Every operator against a brute-force version over rows with all odd cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from fleetspark.llm import registry
+from fleetspark.llm.oracle import compare
+from tests.conftest import SF_SMALL
+
+registry.load_all()
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def run(spark, name, sf):
+    return registry.QUERIES[name](spark, sf).collect()
+
+
+def key(doc_id):
+    return -1 if doc_id is None else doc_id
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables(spark, empty_sf, name):
+    assert run(spark, name, empty_sf) == []
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_matches_sql(spark, name):
+    got = compare(spark, SF_SMALL, name)
+    assert got["match"], got
+
+
+def test_packing(spark, sf, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = run(spark, "op1_pack_documents", sf)
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[key(r.doc_id)].append(r)
+        windows[r.sequence_id].append(r)
+    expected = Counter()
+    for doc_id, text, *_ in docs:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        expected[key(doc_id), len(ids)] += 1
+        whole = {}
+        for r in pieces[key(doc_id)]:
+            if r.doc_tokens == len(ids):
+                cut = np.array(ids[r.start:r.start + r.length], "<u4").tobytes()
+                assert zlib.crc32(cut) == r.ids_crc32
+                whole[r.start, r.length] = True
+        assert whole
+    for (doc_id, n), times in expected.items():
+        assert sum(r.length for r in pieces[doc_id] if r.doc_tokens == n) == n * times
+    padding = tokens = 0
+    for window in windows.values():
+        window.sort(key=lambda r: r.offset)
+        assert [r.offset for r in window] == [sum(x.length for x in window[:i]) for i in range(len(window))]
+        n = sum(r.length for r in window)
+        assert n <= 4096
+        tokens += n
+        padding += 0 if n & (n - 1) == 0 else 4096 - n
+    assert padding <= 0.03 * tokens
+
+
+def test_best_cuts_is_optimal():
+    from fleetspark.llm.packing import HARD_CUT, SENTENCE_CUT, WINDOW_COST, best_cuts
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        capacity = 16
+        pos = np.concatenate([[0], np.cumsum(rng.integers(1, 9, rng.integers(1, 25)))])
+        penalty = rng.choice([0, SENTENCE_CUT, HARD_CUT], len(pos))
+        best = [0.0] + [float("inf")] * (len(pos) - 1)
+
+        def cost(i, j):
+            n = pos[j] - pos[i]
+            return WINDOW_COST + penalty[j] + (0 if n & (n - 1) == 0 else capacity - n)
+
+        for j in range(1, len(pos)):
+            best[j] = min(best[i] + cost(i, j) for i in range(j) if pos[j] - pos[i] <= capacity)
+        cuts = [0, *best_cuts(pos, penalty, capacity)]
+        at = np.searchsorted(pos, cuts)
+        assert sum(cost(i, j) for i, j in zip(at, at[1:])) == pytest.approx(best[-1])
+
+
+def test_mixing(spark, sf, docs):
+    rows = run(spark, "op2_mix_sources", sf)
+    size = {}
+    for _, text, _, source in docs:
+        size[source] = size.get(source, 0) + len(WORD.findall(text or ""))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    target, rest, total = {}, set(order), sum(size.values())
+    while True:  # share, cap, share the excess again
+        level = (total - sum(target.values())) / sum(weight[s] for s in rest)
+        over = [s for s in rest if weight[s] * level > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            rest.remove(s)
+    target |= {s: weight[s] * level for s in rest}
+    by_total = {size[s]: target[s] for s in order}
+    assert len(rows) == len(docs)
+    taken = Counter()
+    for r in rows:
+        assert r.target == pytest.approx(by_total[r.source_size])
+        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[r.source_size] += r.taken
+    largest = max(len(WORD.findall(t or "")) for _, t, *_ in docs)
+    assert all(abs(taken[s] - t) <= largest for s, t in by_total.items())
+    assert Counter(rows) == Counter(run(spark, "op2_mix_sources", sf))
+
+
+def test_quality_rules(spark, sf, docs):
+    rows = {(key(r.doc_id), r.n_words, r.word_chars): r for r in run(spark, "op3_quality_rules", sf)}
+    for doc_id, text, *_ in docs:
+        text = text or ""
+        words = WORD.findall(text)
+        r = rows[key(doc_id), len(words), sum(map(len, words))]
+        windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+        count = Counter(windows)
+        covered = {i + j for i, w in enumerate(windows) if count[w] > 1 for j in range(5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
+        assert not (r.base_failed and r.kept)
+
+
+def test_ablations(spark):
+    from fleetspark.llm.quality_rules import POLICIES, ablations, mask
+    bits = [0, 0, 1, 2, 3, 4, 6, 64]
+    book = spark.createDataFrame([(b,) for b in bits], "fail_bits long")
+    got = {r.rule: r for r in ablations(book, "v1").collect()}
+    whole = mask(POLICIES["v1"])
+    for rule in POLICIES["v1"]:
+        bit = mask([rule])
+        assert got[rule].n_failed == sum(b & bit != 0 for b in bits)
+        assert got[rule].n_failed_alone == sum(b & whole == bit for b in bits)
+        assert got[rule].n_kept_without == sum(b & whole & ~bit == 0 for b in bits)
+
+
+@pytest.mark.parametrize("group,block", [(2048, 1 << 19), (1, 600)])
+def test_suffix_dedup(spark, sf, docs, monkeypatch, group, block):
+    from fleetspark.llm import suffix_dedup
+    monkeypatch.setattr(suffix_dedup, "GROUP_RUNS", group)  # one content per block: every repeat crosses blocks
+    rows = Counter(tuple(r) for r in run(spark, "op4_suffix_dedup", sf))
+    texts = [(t or "").encode() for _, t, *_ in docs]
+    count = Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
+    expected = Counter()
+    for (doc_id, *_), t in zip(docs, texts):
+        hit = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - 199):
+            if count[t[i:i + 200]] > 1:
+                hit[i] += 1
+                hit[i + 200] -= 1
+        covered = np.cumsum(hit)[:len(t)] > 0
+        kept = bytes(b for b, c in zip(t, covered) if not c)
+        spans = int((np.diff(np.r_[0, covered.astype(int)]) == 1).sum())
+        expected[doc_id, len(t), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest()] += 1
+    assert rows == expected
+
+
+def test_suffix_order():
+    from fleetspark.llm.suffixes import common_prefixes, suffix_order
+    rng = np.random.default_rng(0)
+    for t in range(150):
+        n, depth = int(rng.integers(1, 160)), int(rng.integers(1, 30))
+        a = (rng.integers(0, rng.integers(1, 4) + 1, n) + rng.choice([0, 97, 250])).astype(np.uint8)
+        wanted = np.ones(n, bool) if t % 2 else rng.random(n) < 0.5
+        order = suffix_order(a, wanted, depth)
+        whole = bytes(a) + b"\x00\xff" + bytes(depth)
+        assert sorted(order) == list(np.flatnonzero(wanted))
+        keys = [whole[i:i + depth] for i in order]
+        assert keys == sorted(keys)
+        padded = bytes(a) + bytes(depth)
+        for x, y, got in zip(order, order[1:], common_prefixes(a, order, depth)):
+            same = next((e for e in range(depth) if padded[x + e] != padded[y + e]), depth)
+            assert same == got
+
+
+def test_long_texts_are_read_in_overlapping_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from fleetspark.llm import suffix_dedup
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 700)
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abc "), 3000))
+    windows = set()
+    for rows, offsets, pieces in suffix_dedup._pieces(pa.array([text, None, "x" * 250]), 200):
+        of, lo, n, _, _ = suffix_dedup.anchor_runs(pieces, 200)
+        for o, a, k in zip(of, lo, n):
+            windows |= {(rows[o], offsets[o] + a + i) for i in range(k)}
+    assert windows == {(0, i) for i in range(2801)} | {(2, i) for i in range(51)}
+
+
+def test_toxicity(spark, sf, docs):
+    rows = run(spark, "op5_toxicity", sf)
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_toxicity_finds_words(spark):
+    rows = {r.doc_id: r for r in run(spark, "op5_toxicity", "/root/testdata/sf0.01")}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic is not null").collect()
+    held = [(rows[r.doc_id].predicted, r.toxic) for r in labels if rows[r.doc_id].held_out]
+    assert sum(p and not t for p, t in held) <= 0.02 * len(held)
+    assert sum(p and t for p, t in held) >= 0.5 * sum(t for _, t in held)
+
+
+def test_secret_scan(spark, sf, docs):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    expected = Counter()
+    for doc_id, text, *_ in docs:
+        text = text or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        n = [sum(s[1] == k for s in spans) for k in range(3)]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        expected[(doc_id, *n, hashlib.sha256(joined.encode()).hexdigest())] += 1
+    rows = run(spark, "op6_secret_scan", sf)
+    assert Counter(tuple(r)[:5] for r in rows) == expected
+
+
+def test_formats_generalise():
+    import random
+
+    from fleetspark.llm.secret_scan import MARK, MARGIN, Formats, find_spans, redact
+    rng = random.Random(1)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    plain = ["".join(rng.choice("aeioutrns") for _ in range(rng.randint(16, 24))) for _ in range(300)]
+    gain = Formats({2: hexes, -1: plain}).scorer()
+    assert gain("9f86d081884c7d659a2feaa0c55") > MARGIN > gain("aeioutrnsaeioutrns")
+    text = "see 9f86d081884c7d659a2feaa0c55 and token = abcdefgh12 end"
+    spans = find_spans(text, gain)
+    assert redact(text, spans) == f"see {MARK} and {MARK} end"
+    assert redact("plain", []) == "plain"
+    assert redact("abcdef", [(0, 0, 3), (2, 2, 5)]) == f"{MARK}f"
+
+
+def test_quality_classifier(spark, sf, docs):
+    rows = run(spark, "op7_quality_classifier", sf)
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").collect()
+    big = {r.doc_id: r for r in run(spark, "op7_quality_classifier", "/root/testdata/sf0.01")}
+    held = [(big[r.doc_id].predicted, r.quality) for r in labels if big[r.doc_id].held_out]
+    assert sum(p == q for p, q in held) >= 0.95 * len(held)
+
+
+def test_vote_is_exact():
+    from fleetspark.llm.quality_knn import Model, _unit, vote
+    rng = np.random.default_rng(4)
+    known, asked = _unit(rng.normal(size=(300, 8)).astype(np.float32)), _unit(rng.normal(size=(50, 8)).astype(np.float32))
+    labels = rng.integers(0, 2, 300).astype(np.float32)
+    got = vote(asked, Model(None, None, known, labels, 7))
+    for v, g in zip(asked, got):
+        cosine = known @ v
+        near = np.argsort(-cosine)[:7]
+        w = np.maximum(cosine[near], 0)
+        assert g == pytest.approx((w * labels[near]).sum() / w.sum(), abs=1e-5)
+
+
+def test_language_id(spark, sf, docs):
+    rows = run(spark, "op8_language_id", sf)
+    assert len(rows) == len(docs)
+    letters = {(key(d), t) for d, t, *_ in docs if t and any(map(str.isalpha, t))}
+    ids_with = {d for d, _ in letters}
+    for r in rows:
+        assert 0 <= r.score <= 1
+        assert (r.lang_pred != "und") == (key(r.doc_id) in ids_with)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    held = [r.lang_pred == truth[r.doc_id] for r in run(spark, "op8_language_id", "/root/testdata/sf0.01") if r.held_out]
+    assert sum(held) >= 0.97 * len(held)
+
+
+def test_language_features_do_not_depend_on_slices():
+    import pyarrow as pa
+
+    from fleetspark.llm import language_id, slices
+    texts = pa.array(["Über die brücke gehen wir, und zurück.", None, "1 2 3", "abc def " * 40])
+    langs, bits = ["a", "b"], 10
+    log_p = np.log(np.random.default_rng(0).random((1 << bits, 2)))
+    whole = language_id.score(texts, langs, np.zeros(2), log_p, bits)
+    small = slices.text_slices
+    try:
+        language_id.text_slices = lambda column: small(column, 24)
+        parts = language_id.score(texts, langs, np.zeros(2), log_p, bits)
+    finally:
+        language_id.text_slices = small
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
+
+
+@pytest.mark.parametrize("rows_per_cell", [4096, 3])
+def test_simhash(spark, sf, docs, rows_per_cell, monkeypatch):
+    import xxhash
+
+    from fleetspark.llm import simhash
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (4, simhash.GROUPS, rows_per_cell))
+    prints = []
+    for _, text, *_ in docs:
+        words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+        shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                parent[find(i)] = find(j)
+    smallest = {}
+    for i, (doc_id, *_) in enumerate(docs):
+        if doc_id is not None:
+            smallest[find(i)] = min(doc_id, smallest.get(find(i), doc_id))
+    expected = Counter((d[0], f"{p:016x}", smallest.get(find(i))) for i, (d, p) in enumerate(zip(docs, prints)))
+    assert Counter(tuple(r) for r in run(spark, "op9_simhash_near_dedup", sf)) == expected
+
+
+def test_near_links_connect_a_hot_group(spark):
+    """Thousands of near fingerprints, small cells: one component, no link lost."""
+    from fleetspark.llm import components, simhash
+    rng = np.random.default_rng(8)
+    centre = int(rng.integers(0, 1 << 62))
+    near = {centre}
+    while len(near) < 1500:
+        near.add(centre ^ sum(1 << int(b) for b in rng.integers(0, 62, 2)))
+    far = {int(x) for x in rng.integers(0, 1 << 62, 200)}
+    nodes = spark.createDataFrame([(int(x),) for x in near | far], "fp long")
+    links = simhash.near_links(nodes, 4, simhash.GROUPS, 64)
+    labels = {r.node: r.label for r in components.component_labels(spark, links).collect()}
+    assert {labels.get(x, x) for x in near} == {min(near)}
+
+
+def test_components(spark):
+    from fleetspark.llm.components import component_labels
+    rng = np.random.default_rng(3)
+    pairs = [(i, i + 1) for i in range(40)] + [tuple(map(int, p)) for p in rng.integers(100, 200, (60, 2))]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    labels = {r.node: r.label for r in component_labels(spark, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {x: labels.get(x, x) for x in parent} == {x: find(x) for x in parent}
+
+
+def test_topk(spark, sf):
+    import math
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    good = [(r.vec_id, tuple(math.floor(64 * x) for x in r.embedding)) for r in rows if r.vec_id is not None
+            and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    expected = set()
+    for q, v in {g for g in good if g[0] % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:20])}
+    got = [tuple(r) for r in run(spark, "op10_topk_search", sf)]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_threshold_stops_early_and_stays_exact():
+    from fleetspark.llm.topk_search import threshold_topk
+    rng = np.random.default_rng(6)
+    x = np.floor(64 * rng.standard_cauchy((4000, 4))).astype(np.int64)
+    ids, q = rng.permutation(4000), x[:5] * 3
+    at, found, score, scored = threshold_topk(ids, x, ids[:5], q, 10, step=64)
+    assert scored < 5 * 4000
+    for i in range(5):
+        s = x @ q[i]
+        best = sorted((-int(s[j]), int(ids[j])) for j in range(4000) if ids[j] != ids[i])[:10]
+        assert sorted((-int(b), int(a)) for a, b in zip(found[at == i], score[at == i])) == best
+
+
+def test_threshold_with_large_numbers():
+    from fleetspark.llm.topk_search import threshold_topk
+    rng = np.random.default_rng(7)
+    x = rng.integers(-1 << 29, 1 << 29, (300, 5))
+    at, found, score, _ = threshold_topk(np.arange(300), x, np.array([3]), x[3:4], 6, step=32)
+    s = x @ x[3]
+    best = sorted((-int(s[j]), j) for j in range(300) if j != 3)[:6]
+    assert sorted((-int(b), int(a)) for a, b in zip(found, score)) == best
