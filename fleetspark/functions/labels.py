@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import (FLEET_LABEL_PREFIX, NETWORK_POLICY, PROVIDER_LABEL, RUNNER_NAME_PREFIX,  # noqa: F401
-                     RUNNER_ROLE, SCOPE_ORGANIZATION, SCOPE_REPOSITORY)
+from ..fixed import (NETWORK_POLICY, PROJECT, PROVIDER_LABEL, Project, RUNNER_ROLE,  # noqa: F401
+                     SCOPE_ORGANIZATION, SCOPE_REPOSITORY)
 
 
 def label_map(**cols: Column) -> Column:
@@ -32,12 +32,12 @@ def fleet_sandbox(labels: Column, scope: str, owner: str, fleet: str) -> Column:
     return role_ok & F.coalesce(own, F.lit(False))
 
 
-def fleet_runner(labels: Column, scope: str, fleet: str) -> Column:
+def fleet_runner(labels: Column, scope: str, fleet: str, project: Project = PROJECT) -> Column:
     """Organization scope keeps every runner; repository scope requires
-    the exact ``FLEET_LABEL_PREFIX + fleet`` label.  ``labels`` is array<struct<name>>."""
+    the exact label of the project's fleet prefix and ``fleet``.  ``labels`` is array<struct<name>>."""
     if scope != SCOPE_REPOSITORY:
         return F.lit(True)
-    return F.coalesce(F.exists(labels, lambda l: l["name"] == FLEET_LABEL_PREFIX + fleet), F.lit(False))
+    return F.coalesce(F.exists(labels, lambda l: l["name"] == project.fleet_label_prefix + fleet), F.lit(False))
 
 
 def has_label(labels: Column, name: str) -> Column:

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import APP_NAME
+from ..fixed import PROJECT, Project
 from ..functions.core import floor_minutes, queue_wait_secs, sandbox_age_secs
-from ..functions.labels import (PROVIDER_LABEL, RUNNER_NAME_PREFIX, SCOPE_ORGANIZATION,
+from ..functions.labels import (PROVIDER_LABEL, SCOPE_ORGANIZATION,
                                 fleet_runner, fleet_sandbox, has_label)
 from .labels import match_class
 from .topk import joined_top_global
@@ -86,25 +86,26 @@ def orphan_sandboxes(sandboxes: DataFrame, live_ids: DataFrame, as_of: str, scop
             .filter(F.col("age_secs").isNull() | (F.col("age_secs") >= grace_secs)))
 
 
-def _stale_runner(scope: str, fleet: str):
-    return ((F.col("status") == "offline") & F.col("name").startswith(RUNNER_NAME_PREFIX)
-            & has_label(F.col("labels"), PROVIDER_LABEL) & fleet_runner(F.col("labels"), scope, fleet))
+def _stale_runner(scope: str, fleet: str, project: Project):
+    return ((F.col("status") == "offline") & F.col("name").startswith(project.runner_name_prefix)
+            & has_label(F.col("labels"), PROVIDER_LABEL) & fleet_runner(F.col("labels"), scope, fleet, project))
 
 
-def orphan_runners(runners: DataFrame, live: DataFrame, scope: str, fleet: str) -> DataFrame:
+def orphan_runners(runners: DataFrame, live: DataFrame, scope: str, fleet: str, project: Project = PROJECT) -> DataFrame:
     """Offline runners named with the fleet prefix, labelled for the provider (and fleet)
     that no live cycle owns.  Null-safe anti-join on (runner_id, repository)."""
-    cand = runners.filter(_stale_runner(scope, fleet))
+    cand = runners.filter(_stale_runner(scope, fleet, project))
     l = live.select(F.col("runner_id").alias("_lid"), F.col("repository").alias("_lrepo")).filter(
         F.col("_lid").isNotNull())
     cond = cand["runner_id"].eqNullSafe(l["_lid"]) & cand["repository"].eqNullSafe(l["_lrepo"])
     return cand.join(l, cond, "left_anti")
 
 
-def reap_candidates(runners: DataFrame, sandboxes: DataFrame, scope: str, owner: str, fleet: str) -> DataFrame:
+def reap_candidates(runners: DataFrame, sandboxes: DataFrame, scope: str, owner: str, fleet: str,
+                    project: Project = PROJECT) -> DataFrame:
     """The startup reap view, (kind, id): stale runners and every fleet
     sandbox, with no registry and no grace period."""
-    r = runners.filter(_stale_runner(scope, fleet)).select(
+    r = runners.filter(_stale_runner(scope, fleet, project)).select(
         F.lit("runner").alias("kind"), F.col("runner_id").cast("string").alias("id"))
     s = sandboxes.filter(fleet_sandbox(F.col("labels"), scope, owner, fleet)).select(
         F.lit("sandbox").alias("kind"), F.col("sandbox_id").alias("id"))
@@ -214,10 +215,10 @@ def repo_scope_findings(configured: DataFrame, private_roster: DataFrame, repo_g
     differs across repositories (A18)."""
     diff = profile_roster_diff(configured, private_roster)
     missing = roster_finding(diff.filter(F.col("kind") == "missing"), instance, "profile_missing",
-                             f"[{instance}] repository profile includes private {APP_NAME} "
+                             f"[{instance}] repository profile includes private App "
                              "repository/repositories no longer visible: %s")
     extra = roster_finding(diff.filter(F.col("kind") == "unconfigured"), instance, "profile_unconfigured",
-                           f"[{instance}] private {APP_NAME} repository/repositories are not covered by "
+                           f"[{instance}] private App repository/repositories are not covered by "
                            "this repository profile: %s")
     cons = group_id_consistency(repo_groups.join(configured.select(F.col("name").alias("repository")),
                                                  "repository", "left_semi"), group_name)

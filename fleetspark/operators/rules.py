@@ -3,7 +3,8 @@
 Each row rule is a boolean Spark expression; all of a table's rules are
 evaluated in a single projection and exploded into (entity, rule_id,
 detail) rows.  Uniqueness rules are grouped counts.  Every violation is
-reported, in rule order (W9 picks the first per entity).
+reported, in rule order (W9 picks the first per entity).  A missing value
+that a rule needs is a violation: each condition says what null means.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import (DOMAIN_NAME, ENV_NAME, FLEET_NAME, FORBIDDEN_CONFIG_KEYS, LOOPBACK_HOSTS,  # noqa: F401
-                     NETWORK_POLICY, ORG_RUNNER_GROUP, OWNER_NAME, PRIVATE_V4, PROFILE_SECTIONS,
+from ..fixed import (DOMAIN_NAME, ENV_NAME, FLEET_NAME, FORBIDDEN_CONFIG_KEYS, CLOSED_KEYS,  # noqa: F401
+                     GITHUB_KEYS, LIFECYCLE_POLLS, LIFECYCLE_SECS, LISTEN_HOSTS,
+                     NETWORK_POLICY, ORG_RUNNER_GROUP, OWNER_NAME, PRIVATE_V4,
                      PROVIDER_API_BASE, PROVIDER_TARGET, REPOSITORY_NAME, REQUIRED_CLASSES, RUNNER_GROUP_NAME,
-                     PROVIDER_LABEL, SCOPES, SHARED_LABELS)
+                     PROJECT, PROVIDER_LABEL, Project, SCOPES)
 
-# Octets: no leading zeros (rejected by Python's parser); prefix length:
-# any run of digits, so leading zeros are skipped before the value.
-_CIDR = r"^(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})/0*([0-9]{1,2})$"
+# Octets have no leading zeros; after the slash stands a prefix length (any
+# leading zeros skipped) or a dotted mask; without a slash it is one address.
+_OCTET = r"(0|[1-9][0-9]{0,2})"
+_ADDRESS = r"\.".join([_OCTET] * 4)
+_CIDR = rf"^{_ADDRESS}(?:/0*([0-9]{{1,2}})|/{_ADDRESS})?$"
 
 
 def _ip_int(text: str) -> int:
@@ -32,19 +36,42 @@ def _full(c: Column, pattern: str) -> Column:
 
 
 def cidr_checks(c: Column) -> Column:
-    """struct(valid, private, normalised) for one IPv4 CIDR text (strict:
-    no host bits)."""
-    parts = [F.regexp_extract(c, _CIDR, i).try_cast("long") for i in range(1, 6)]
-    shaped = c.rlike(_CIDR) & F.coalesce(F.greatest(*parts[:4]) <= 255, F.lit(False)) & (parts[4] <= 32)
-    ip = parts[0] * (1 << 24) + parts[1] * (1 << 16) + parts[2] * (1 << 8) + parts[3]
-    size = F.pow(F.lit(2.0), F.lit(32) - parts[4]).cast("long")
-    valid = shaped & ((ip % size) == 0)
+    """struct(valid, private, normalised) for one IPv4 network text.
+
+    Prefix lengths, netmasks, host masks and bare addresses are accepted;
+    host bits are not.  ``normalised`` is ``first address/prefix length``
+    with the address as an integer, null when invalid.
+    """
+    part = [F.regexp_extract(c, _CIDR, i).try_cast("long") for i in range(1, 10)]
+
+    def address(p: list[Column]) -> Column:
+        return p[0] * (1 << 24) + p[1] * (1 << 16) + p[2] * (1 << 8) + p[3]
+
+    full = F.lit((1 << 32) - 1)
+    mask = address(part[5:9])
+    zeros = full - mask
+    power = lambda x: x.bitwiseAND(x + 1) == 0  # noqa: E731  # all ones from the lowest bit
+    length = lambda x: F.lit(32) - F.round(F.log2((x + 1).cast("double"))).cast("long")
+    masked = part[5].isNotNull()
+    plen = (F.when(masked & power(zeros), length(zeros)).when(masked & power(mask), length(mask))
+            .when(masked, F.lit(None).cast("long")).when(part[4].isNotNull(), part[4]).otherwise(F.lit(32).cast("long")))
+    octets = F.greatest(*part[:4], F.coalesce(F.greatest(*part[5:9]), F.lit(0).cast("long")))
+    shaped = F.coalesce(c.rlike(_CIDR.removesuffix("$") + r"\z") & (octets <= 255) & (plen <= 32), F.lit(False))
+    ip = address(part)
+    size = F.pow(F.lit(2.0), F.lit(32) - plen).cast("long")
+    valid = shaped & F.coalesce(ip % size == 0, F.lit(False))
     last = ip + size - 1
     in_private = F.lit(False)
-    for first, plen in PRIVATE_V4:
-        lo, hi = _ip_int(first), _ip_int(first) + (1 << (32 - plen)) - 1
+    for first, bits in PRIVATE_V4:
+        lo, hi = _ip_int(first), _ip_int(first) + (1 << (32 - bits)) - 1
         in_private = in_private | ((ip >= lo) & (last <= hi))
-    return F.struct(F.coalesce(valid, F.lit(False)).alias("valid"), in_private.alias("private"))
+    return F.struct(valid.alias("valid"), F.coalesce(valid & in_private, F.lit(False)).alias("private"),
+                    F.when(valid, F.concat_ws("/", ip.cast("string"), plen.cast("string"))).alias("normalised"))
+
+
+def _is(cond: Column) -> Column:
+    """A condition with null as false, for use under ``~``."""
+    return F.coalesce(cond, F.lit(False))
 
 
 def _rows(df: DataFrame, entity: list[str], rules: list[tuple[int, str, Column]]) -> DataFrame:
@@ -63,13 +90,15 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
     c = F.col
     is_repo = c("scope") == "repository"
     cidrs = F.transform(F.split(c("cidr_allow_list"), ","), lambda x: cidr_checks(x))
-    cidr_texts = F.split(c("cidr_allow_list"), ",")
+    networks = F.filter(F.transform(cidrs, lambda x: x["normalised"]), lambda x: x.isNotNull())
     domains = F.split(c("domain_allow_list"), ",")
     has_net = c("network_policy").isNotNull()
     rules = [
         (2, "R2_fleet_name", ~_full(c("fleet"), FLEET_NAME)),
         (3, "R3_owner_name", ~_full(c("owner"), OWNER_NAME)),
-        (4, "R4_scope", ~c("scope").isin(*SCOPES)),
+        (4, "R4_scope", ~_is(c("scope").isin(*SCOPES))),
+        (4, "R4_profile_scope", ~_is(F.coalesce(c("profile_scope"), F.lit("organization")) == c("scope"))),
+        (6, "R6_owner", ~_is(c("profile_owner") == c("owner"))),
         (6, "R6_org_runner_group", (c("scope") == "organization") & ~F.coalesce(c("runner_group") == ORG_RUNNER_GROUP,
                                                                                F.lit(False))),
         (7, "R7_repo_group_exactly_one", is_repo & (c("runner_group").isNull() == c("runner_group_id").isNull())),
@@ -78,16 +107,19 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
         (9, "R9_target", ~_full(c("target"), PROVIDER_TARGET)),
         (10, "R10_network_scope", has_net & ~is_repo),
         (10, "R10_network_policy", has_net & (c("network_policy") != NETWORK_POLICY)),
-        (10, "R10_cidr_count", has_net & ((F.size(cidr_texts) < 1) | (F.size(cidr_texts) > 5))),
+        (10, "R10_cidr_count", has_net & (~F.coalesce(F.size(cidrs).between(1, 5), F.lit(False)))),
         (10, "R10_cidr_invalid", has_net & F.exists(cidrs, lambda x: ~x["valid"])),
         (10, "R10_cidr_public", has_net & F.exists(cidrs, lambda x: x["valid"] & ~x["private"])),
-        (10, "R10_cidr_duplicate", has_net & (F.size(F.array_distinct(cidr_texts)) != F.size(cidr_texts))),
+        (10, "R10_cidr_duplicate", has_net & (F.size(F.array_distinct(networks)) != F.size(networks))),
+        (11, "R11_domains_missing", has_net & (domains.isNull() | (c("domain_allow_list") == ""))),
         (11, "R11_domain_invalid", has_net & F.exists(domains, lambda d: ~_full(d, DOMAIN_NAME))),
         (11, "R11_domain_duplicate", has_net & (F.size(F.array_distinct(F.transform(domains, F.lower)))
                                                 != F.size(domains))),
-        (13, "R13_cache_volume", c("cache_volume").isNotNull() & (c("cache_volume") == "")),
+        (13, "R13_cache_volume", c("cache_volume").isNotNull() & (F.trim("cache_volume") == "")),
         (14, "R14_poll_interval", (c("poll_interval_secs") < 1) | (is_repo & (c("poll_interval_secs") < 60))),
         (14, "R14_request_spacing", c("request_spacing_secs") < 0),
+        (9, "R9_profile_path", ~_is((c("profile") != "") & ~c("profile").startswith("/") & ~c("profile").contains(".."))),
+        (9, "R9_installation_key", ~_is(c("installation_key").rlike(r"^[1-9][0-9]*$"))),
         (24, "R24_api_base", c("api_base") != PROVIDER_API_BASE),
     ]
     row = _rows(fleets, ["fleet_pos", "fleet"], rules)
@@ -97,25 +129,37 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
     dup_owner = (fleets.select("fleet_pos", "fleet", *owner_key)
                  .join(fleets.groupBy(*owner_key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), ["scope", "_lo"])
                  .select("fleet_pos", "fleet", F.lit(3).alias("rule_no"), F.lit("R3_scope_owner_unique").alias("rule_id")))
-    return row.unionByName(dup_name).unionByName(dup_owner)
+    none = fleets.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(
+        F.lit(None).cast(fleets.schema["fleet_pos"].dataType).alias("fleet_pos"), F.lit(None).cast("string").alias("fleet"),
+        F.lit(1).alias("rule_no"), F.lit("R1_no_fleet").alias("rule_id"))
+    return row.unionByName(dup_name).unionByName(dup_owner).unionByName(none)
 
 
-def class_rule_violations(classes: DataFrame, fleets: DataFrame) -> DataFrame:
+def class_rule_violations(classes: DataFrame, fleets: DataFrame, project: Project = PROJECT) -> DataFrame:
     """Size-class rules per profile: R18 labels include self-hosted and
-    the provider label, unique class name; R19 min_idle/max >= 0, min <= max,
+    the provider label (or, with routing labels, all of these and neither
+    the provider nor the project label), unique class name; R19 min_idle/max >= 0, min <= max,
     repository scope min_idle = 0; R20 warm_floor_reason iff min_idle > 0;
     R21 required classes present (large carrying label 'large')."""
     c = F.col
-    scope = fleets.select("profile", "scope").dropDuplicates(["profile"])
-    j = classes.join(scope, "profile", "left").withColumn("_labels", F.split("labels", ","))
+    scope = fleets.groupBy("profile").agg(F.min(F.struct("scope", "routing_labels")).alias("_p")).select(
+        "profile", "_p.scope", "_p.routing_labels")
+    j = (classes.join(scope, "profile", "left").withColumn("_labels", F.split("labels", ","))
+         .withColumn("_routing", F.split("routing_labels", ",")))
+    has = lambda label: _is(F.array_contains("_labels", label))
+    routed = c("routing_labels").isNotNull()
+    covered = _is(F.size(F.array_except("_routing", "_labels")) == 0)
     rules = [
-        (18, "R18_labels", ~(F.array_contains("_labels", "self-hosted") & F.array_contains("_labels", PROVIDER_LABEL))),
-        (19, "R19_min_idle", c("min_idle") < 0),
-        (19, "R19_max", c("max_live") < 0),
+        (18, "R18_labels", ~has("self-hosted") | (~routed & ~has(PROVIDER_LABEL))),
+        (18, "R18_routing_shared", routed & (has(PROVIDER_LABEL) | has(project.label))),
+        (18, "R18_routing_missing", routed & ~covered),
+        (19, "R19_min_idle", ~_is(c("min_idle") >= 0)),
+        (19, "R19_max", ~_is(c("max_live") >= 0)),
         (19, "R19_min_le_max", c("min_idle") > c("max_live")),
-        (19, "R19_repo_min_zero", (c("scope") == "repository") & (c("min_idle") != 0)),
-        (20, "R20_warm_floor_reason", (c("min_idle") > 0) != c("warm_floor_reason").isNotNull()),
-        (21, "R21_large_label", (c("name") == "large") & ~F.array_contains("_labels", "large")),
+        (19, "R19_repo_min_zero", (c("scope") == "repository") & ~_is(c("min_idle") == 0)),
+        (20, "R20_warm_floor_reason", F.when(_is(c("min_idle") > 0), ~_is(F.trim("warm_floor_reason") != ""))
+         .otherwise(c("warm_floor_reason").isNotNull())),
+        (21, "R21_large_label", (c("name") == "large") & ~has("large")),
     ]
     row = _rows(j, ["profile", "class_pos", "name"], rules)
     dup = (classes.join(classes.groupBy("profile", "name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"),
@@ -129,40 +173,59 @@ def class_rule_violations(classes: DataFrame, fleets: DataFrame) -> DataFrame:
     return row.unionByName(dup).unionByName(missing)
 
 
-def profile_rule_violations(profiles: DataFrame) -> DataFrame:
-    """Profile rules: R1 manifest version, R5 allowed sections, R8
+def profile_rule_violations(profiles: DataFrame, project: Project = PROJECT) -> DataFrame:
+    """Profile rules: R1 manifest version, R5 closed key lists per table, R8
     repositories (non-empty, pattern, unique ignoring case; repository
-    scope), R12 routing labels (pattern, not shared, unique, equal to the
-    runner group), R15 webhook listen host/port/secret env name, R16
+    scope), R12 routing labels (only and always with a network policy,
+    pattern, not shared, unique, together the runner group, which is
+    reserved for them), R15 webhook listen host/port/secret env name, R16
     lifecycle values, R17 watchdog flag, R22 credential-like keys anywhere,
-    R23 installation metadata (id, target type, login, selection 'all')."""
+    R23 installation metadata (configured id, target type, login, selection
+    'all')."""
     c = F.col
     is_repo = c("scope") == "repository"
-    repos = F.filter(F.split(c("repositories"), ","), lambda x: x != "")
+    repos = F.filter(F.coalesce(F.split(c("repositories"), ","), F.array().cast("array<string>")), lambda x: x != "")
+    has_net, has_routing = c("network_policy").isNotNull(), _is(c("routing_labels") != "")
     labels = F.split(c("routing_labels"), ",")
-    keys = F.split(c("config_keys"), ",")
     paths = F.split(c("config_paths"), ",")
     target = F.when(is_repo, "User").otherwise("Organization")
+    github = F.when(is_repo, F.array(*[F.lit(f"github.{k}") for k in GITHUB_KEYS["repository"]])).otherwise(
+        F.array(*[F.lit(f"github.{k}") for k in GITHUB_KEYS["organization"]]))
+
+    def unknown(path: Column) -> Column:
+        out = path.startswith("github.") & ~F.array_contains(github, path)
+        for table, names in CLOSED_KEYS.items():
+            out = out | (path.startswith(f"{table}.") & ~path.isin(*[f"{table}.{k}" for k in names]))
+        return out
+
+    negative, slow = F.lit(False), F.lit(False)
+    for key in LIFECYCLE_SECS:  # keys that are absent are null
+        negative = negative | _is(c(key) < 0)
+        if key in LIFECYCLE_POLLS:
+            slow = slow | _is(c(key) < 1)
     rules = [
-        (1, "R1_manifest_version", c("manifest_version") != 1),
-        (5, "R5_unknown_section", F.size(F.array_except(keys, F.array(*[F.lit(x) for x in PROFILE_SECTIONS]))) > 0),
+        (1, "R1_manifest_version", ~_is(c("manifest_version") == 1)),
+        (5, "R5_unknown_key", F.exists(paths, unknown)),
         (8, "R8_repositories_empty", is_repo & (F.size(repos) == 0)),
         (8, "R8_repository_name", is_repo & F.exists(repos, lambda r: ~_full(r, REPOSITORY_NAME))),
         (8, "R8_repository_duplicate", is_repo & (F.size(F.array_distinct(F.transform(repos, F.lower))) != F.size(repos))),
-        (12, "R12_label_name", F.exists(labels, lambda l: ~_full(l, RUNNER_GROUP_NAME))),
-        (12, "R12_label_shared", F.exists(labels, lambda l: l.isin(*SHARED_LABELS))),
-        (12, "R12_label_duplicate", F.size(F.array_distinct(labels)) != F.size(labels)),
-        (12, "R12_label_group", ~F.array_contains(labels, c("runner_group"))),
-        (15, "R15_listen_host", ~c("listen_host").isin(*LOOPBACK_HOSTS)),
-        (15, "R15_listen_port", (c("listen_port") < 1) | (c("listen_port") > 65535)),
+        (12, "R12_routing_without_network", ~has_net & c("routing_labels").isNotNull()),
+        (12, "R12_routing_missing", has_net & ~has_routing),
+        (12, "R12_label_name", has_net & has_routing & F.exists(labels, lambda l: ~_full(l, RUNNER_GROUP_NAME))),
+        (12, "R12_label_shared", has_net & has_routing & F.exists(labels, lambda l: l.isin(*project.shared_labels))),
+        (12, "R12_label_duplicate", has_net & has_routing & (F.size(F.array_distinct(labels)) != F.size(labels))),
+        (12, "R12_label_group", is_repo & has_net & has_routing & ~_is(F.array_distinct(labels) == F.array("runner_group"))),
+        (12, "R12_group_reserved", is_repo & ~has_net & c("runner_group").isNotNull()),
+        (15, "R15_listen_host", ~_is(F.lower(F.trim("listen_host")).isin(*LISTEN_HOSTS))),
+        (15, "R15_listen_port", ~_is(c("listen_port").between(1, 65535))),
         (15, "R15_secret_env", ~_full(c("secret_env"), ENV_NAME)),
-        (16, "R16_idle_refresh", c("idle_refresh_secs") < 0),
-        (16, "R16_poll", (c("idle_poll_secs") < 1) | (c("busy_poll_secs") < 1)),
-        (17, "R17_watchdog_bool", ~c("watchdog_enabled").isin("true", "false")),
+        (16, "R16_negative", negative),
+        (16, "R16_poll", slow),
+        (17, "R17_watchdog_bool", ~_is(F.coalesce(c("watchdog_enabled"), F.lit("true")).isin("true", "false"))),
         (22, "R22_forbidden_key", F.exists(paths, lambda p: p.rlike(FORBIDDEN_CONFIG_KEYS))),
-        (23, "R23_installation_id", c("installation_id").isNull()),
-        (23, "R23_target_type", c("target_type") != target),
-        (23, "R23_login", F.lower("login") != F.lower("owner")),
-        (23, "R23_selection", c("repository_selection") != "all"),
+        (23, "R23_installation_id", ~_is(c("installation_id") == c("configured_installation_id"))),
+        (23, "R23_target_type", ~_is(c("target_type") == target)),
+        (23, "R23_login", ~_is(F.lower("login") == F.lower("owner"))),
+        (23, "R23_selection", ~_is(c("repository_selection") == "all")),
     ]
     return _rows(profiles, ["fleet_pos", "profile"], rules)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import (FORBIDDEN_NAMES, PINNED_REF, PROVIDER_LABEL, REWRITE_ARRAY_LABELS, REWRITE_SCALAR,  # noqa: F401
+from ..fixed import (FORBIDDEN_NAMES, PINNED_REF, PROJECT, PROVIDER_LABEL, Project,  # noqa: F401
                      RUNS_ON_LINE, RUNS_ON_TARGET, SKIP_PLATFORMS, USES_LINE)
 
 
@@ -17,7 +17,7 @@ def _strip_quotes(c: Column) -> Column:
     return F.regexp_replace(c, r"^['\"]+|['\"]+$", "")
 
 
-def should_rewrite(val: Column) -> Column:
+def should_rewrite(val: Column, project: Project = PROJECT) -> Column:
     """P21 rule: expressions and already-retargeted values stay; arrays are
     retargeted when a self-hosted or project label or a rewritable scalar
     appears and no
@@ -27,20 +27,20 @@ def should_rewrite(val: Column) -> Column:
     inner = F.transform(F.split(F.substring(v, F.lit(2), F.length(v) - 2), ","),
                         lambda x: _strip_quotes(F.trim(x)))
     array_rule = (~F.exists(inner, lambda x: x.isin(*SKIP_PLATFORMS))
-                  & F.exists(inner, lambda x: x.isin(*REWRITE_ARRAY_LABELS) | x.rlike(REWRITE_SCALAR)))
-    scalar_rule = _strip_quotes(v).rlike(REWRITE_SCALAR)
+                  & F.exists(inner, lambda x: x.isin(*project.rewrite_array_labels) | x.rlike(project.rewrite_scalar)))
+    scalar_rule = _strip_quotes(v).rlike(project.rewrite_scalar)
     return (F.when(v.contains("${{"), False)
             .when(v.contains(PROVIDER_LABEL) & v.contains("self-hosted"), False)
             .when(is_array, array_rule).otherwise(scalar_rule))
 
 
-def runs_on_rewrite(lines: DataFrame, text_col: str = "text") -> DataFrame:
+def runs_on_rewrite(lines: DataFrame, text_col: str = "text", project: Project = PROJECT) -> DataFrame:
     """Lines whose ``runs-on`` value would be retargeted, with the old
     value and the new line (indent kept)."""
     t = F.col(text_col)
     val = F.regexp_extract(t, RUNS_ON_LINE, 2)
     indent = F.regexp_extract(t, RUNS_ON_LINE, 1)
-    hit = lines.filter(t.rlike(RUNS_ON_LINE)).withColumn("_val", val).filter(should_rewrite(F.col("_val")))
+    hit = lines.filter(t.rlike(RUNS_ON_LINE)).withColumn("_val", val).filter(should_rewrite(F.col("_val"), project))
     return hit.select(*[c for c in lines.columns], F.trim("_val").alias("old_value"),
                       F.concat(indent, F.lit("runs-on: " + RUNS_ON_TARGET)).alias("new_line"))
 

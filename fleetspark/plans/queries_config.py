@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..fixed import PROJECT
 from ..functions.labels import base_labels
 from ..operators import config as cf
 from ..operators import health as hl
@@ -93,11 +94,20 @@ def _full(col: str, pattern: str) -> str:
 _CIDR_RE = rl._CIDR
 _PRIV = " OR ".join(
     f"(ip >= {rl._ip_int(a)} AND ip + sz - 1 <= {rl._ip_int(a) + (1 << (32 - p)) - 1})" for a, p in rl.PRIVATE_V4)
+_NETS = "list_transform(list_filter(cidrs, lambda c: c.valid), lambda c: c.net)"
+_FORM = "([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})"
 _CIDR_SQL = f"""list_transform(string_split(cidr_allow_list, ','), lambda x: {{
-    'shaped': regexp_full_match(x, '{_CIDR_RE.strip('^$')}'),
-    'o': [TRY_CAST(regexp_extract(x, '{_CIDR_RE}', 1) AS BIGINT), TRY_CAST(regexp_extract(x, '{_CIDR_RE}', 2) AS BIGINT),
-          TRY_CAST(regexp_extract(x, '{_CIDR_RE}', 3) AS BIGINT), TRY_CAST(regexp_extract(x, '{_CIDR_RE}', 4) AS BIGINT),
-          TRY_CAST(regexp_extract(x, '{_CIDR_RE}', 5) AS BIGINT)]}})"""
+    'shaped': regexp_full_match(x, '{_FORM}(/([0-9]+|{_FORM}))?')
+              AND NOT regexp_matches(x, '(^|[./])0[0-9]+[.]|[.]0[0-9]+(/|$)') AND NOT regexp_matches(x, '/0*[0-9]{{{{3,}}}}$'),
+    'mask': CASE WHEN contains(x, '/') AND contains(split_part(x, '/', 2), '.') THEN
+        list_reduce(list_transform(string_split(split_part(x, '/', 2), '.'), lambda o: TRY_CAST(o AS BIGINT)), lambda a, b: a * 256 + b) END,
+    'bits': CASE WHEN NOT contains(x, '/') THEN 32 WHEN NOT contains(split_part(x, '/', 2), '.') THEN TRY_CAST(split_part(x, '/', 2) AS BIGINT) END,
+    'o': list_transform(string_split(replace(x, '/', '.'), '.'), lambda o: TRY_CAST(o AS BIGINT))}})"""
+# every mask of the form ones then zeros, and its inverse
+_MASKS = {((1 << 32) - 1) ^ ((1 << (32 - n)) - 1): n for n in range(33)}
+_PLEN = ("CASE WHEN e.mask IS NULL THEN e.bits "
+         + " ".join(f"WHEN e.mask = {m} THEN {n}" for m, n in _MASKS.items())
+         + " " + " ".join(f"WHEN e.mask = {(1 << 32) - 1 - m} THEN {n}" for m, n in _MASKS.items() if 0 < n < 32) + " END")
 
 
 def _fleet_rules_sql() -> str:
@@ -106,7 +116,9 @@ def _fleet_rules_sql() -> str:
     rules = [
         (2, "R2_fleet_name", f"NOT {_full('fleet', rl.FLEET_NAME)}"),
         (3, "R3_owner_name", f"NOT {_full('owner', rl.OWNER_NAME)}"),
-        (4, "R4_scope", "scope NOT IN ('organization', 'repository')"),
+        (4, "R4_scope", "scope IS NULL OR scope NOT IN ('organization', 'repository')"),
+        (4, "R4_profile_scope", "coalesce(profile_scope, 'organization') IS DISTINCT FROM scope"),
+        (6, "R6_owner", "profile_owner IS NULL OR owner IS NULL OR profile_owner <> owner"),
         (6, "R6_org_runner_group", f"scope = 'organization' AND NOT coalesce(runner_group = '{rl.ORG_RUNNER_GROUP}', false)"),
         (7, "R7_repo_group_exactly_one", f"{isrepo} AND ((runner_group IS NULL) = (runner_group_id IS NULL))"),
         (7, "R7_repo_group_id", f"{isrepo} AND runner_group_id IS NOT NULL AND runner_group_id < 1"),
@@ -114,15 +126,18 @@ def _fleet_rules_sql() -> str:
         (9, "R9_target", f"NOT {_full('target', rl.PROVIDER_TARGET)}"),
         (10, "R10_network_scope", f"{net} AND NOT {isrepo}"),
         (10, "R10_network_policy", f"{net} AND network_policy <> 'deny-by-default'"),
-        (10, "R10_cidr_count", f"{net} AND (len(string_split(cidr_allow_list, ',')) < 1 OR len(string_split(cidr_allow_list, ',')) > 5)"),
+        (10, "R10_cidr_count", f"{net} AND NOT coalesce(len(cidrs) BETWEEN 1 AND 5, false)"),
         (10, "R10_cidr_invalid", f"{net} AND list_bool_or(list_transform(cidrs, lambda c: NOT c.valid))"),
         (10, "R10_cidr_public", f"{net} AND list_bool_or(list_transform(cidrs, lambda c: c.valid AND NOT c.private))"),
-        (10, "R10_cidr_duplicate", f"{net} AND len(list_distinct(string_split(cidr_allow_list, ','))) <> len(string_split(cidr_allow_list, ','))"),
+        (10, "R10_cidr_duplicate", f"{net} AND len(list_distinct({_NETS})) <> len({_NETS})"),
+        (11, "R11_domains_missing", f"{net} AND (domain_allow_list IS NULL OR domain_allow_list = '')"),
         (11, "R11_domain_invalid", f"{net} AND list_bool_or(list_transform(string_split(domain_allow_list, ','), lambda d: NOT {_full('d', rl.DOMAIN_NAME)}))"),
         (11, "R11_domain_duplicate", f"{net} AND len(list_distinct(list_transform(string_split(domain_allow_list, ','), lambda d: lower(d)))) <> len(string_split(domain_allow_list, ','))"),
-        (13, "R13_cache_volume", "cache_volume IS NOT NULL AND cache_volume = ''"),
+        (13, "R13_cache_volume", "cache_volume IS NOT NULL AND trim(cache_volume) = ''"),
         (14, "R14_poll_interval", f"poll_interval_secs < 1 OR ({isrepo} AND poll_interval_secs < 60)"),
         (14, "R14_request_spacing", "request_spacing_secs < 0"),
+        (9, "R9_profile_path", "profile IS NULL OR profile = '' OR starts_with(profile, '/') OR contains(profile, '..')"),
+        (9, "R9_installation_key", "installation_key IS NULL OR NOT regexp_full_match(installation_key, '[1-9][0-9]*')"),
         (24, "R24_api_base", f"api_base <> '{cf.PROVIDER_API_BASE}'"),
     ]
     body = "\nUNION ALL ".join(
@@ -130,17 +145,20 @@ def _fleet_rules_sql() -> str:
         for n, rid, cond in rules)
     return f"""
 , fr AS (SELECT *, list_transform({_CIDR_SQL}, lambda e: {{
-      'valid': coalesce(e.shaped AND greatest(e.o[1], e.o[2], e.o[3], e.o[4]) <= 255 AND e.o[5] <= 32
-               AND (e.o[1] * 16777216 + e.o[2] * 65536 + e.o[3] * 256 + e.o[4]) % (CASE WHEN e.o[5] BETWEEN 0 AND 32 THEN 1::BIGINT << (32 - e.o[5]) END) = 0, false),
-      'ip': e.o[1] * 16777216 + e.o[2] * 65536 + e.o[3] * 256 + e.o[4],
-      'sz': CASE WHEN e.o[5] BETWEEN 0 AND 32 THEN 1::BIGINT << (32 - e.o[5]) END}}) AS c0 FROM fx_fleets),
-fc AS (SELECT *, list_transform(c0, lambda z: {{'valid': z.valid,
-      'private': coalesce({_PRIV.replace('ip', 'z.ip').replace('sz', 'z.sz')}, false)}}) AS cidrs FROM fr)
+      'shaped': e.shaped AND greatest(e.o[1], e.o[2], e.o[3], e.o[4]) <= 255
+                AND (e.mask IS NULL OR greatest(e.o[5], e.o[6], e.o[7], e.o[8]) <= 255),
+      'ip': e.o[1] * 16777216 + e.o[2] * 65536 + e.o[3] * 256 + e.o[4], 'p': {_PLEN}}}) AS c0 FROM fx_fleets),
+f2 AS (SELECT *, list_transform(c0, lambda e: {{'shaped': e.shaped, 'ip': e.ip, 'p': e.p,
+      'sz': CASE WHEN e.p BETWEEN 0 AND 32 THEN 1::BIGINT << (32 - e.p) END}}) AS c1 FROM fr),
+fc AS (SELECT *, list_transform(c1, lambda z: {{'valid': coalesce(z.shaped AND z.ip % z.sz = 0, false),
+      'net': CAST(z.ip AS VARCHAR) || '/' || CAST(z.p AS VARCHAR),
+      'private': coalesce({_PRIV.replace('ip', 'z.ip').replace('sz', 'z.sz')}, false)}}) AS cidrs FROM f2)
 SELECT * FROM (
 {body}
 UNION ALL SELECT fleet_pos, fleet, 2, 'R2_fleet_unique' FROM fx_fleets WHERE fleet IN (SELECT fleet FROM fx_fleets GROUP BY fleet HAVING count(*) > 1)
 UNION ALL SELECT fleet_pos, fleet, 3, 'R3_scope_owner_unique' FROM fx_fleets f
-  WHERE (scope, lower(owner)) IN (SELECT (scope, lower(owner)) FROM fx_fleets GROUP BY scope, lower(owner) HAVING count(*) > 1)) v
+  WHERE (scope, lower(owner)) IN (SELECT (scope, lower(owner)) FROM fx_fleets GROUP BY scope, lower(owner) HAVING count(*) > 1)
+UNION ALL SELECT NULL, NULL, 1, 'R1_no_fleet' FROM (SELECT count(*) AS n FROM fx_fleets) WHERE n = 0) v
 """
 
 
@@ -155,48 +173,69 @@ SELECT fleet_pos, fleet, arg_min(rule_id, struct_pack(n := rule_no, r := rule_id
     .withColumn("failed", F.lit(True)), ["fleet_pos", "fleet"]))
 
 register("class_rule_violations", oracle_with(["fx_fleet_classes", "fx_fleets"], """
-, sc AS (SELECT profile, any_value(scope) AS scope FROM fx_fleets GROUP BY profile),
-j AS (SELECT c.*, sc.scope, string_split(c.labels, ',') AS l FROM fx_fleet_classes c LEFT JOIN sc USING (profile))
-SELECT profile, class_pos, name, 18 AS rule_no, 'R18_labels' AS rule_id FROM j WHERE NOT (list_contains(l, 'self-hosted') AND list_contains(l, '<provider>'))
-UNION ALL SELECT profile, class_pos, name, 19, 'R19_min_idle' FROM j WHERE min_idle < 0
-UNION ALL SELECT profile, class_pos, name, 19, 'R19_max' FROM j WHERE max_live < 0
+, sc AS (SELECT profile, min(scope) AS scope, any_value(routing_labels) AS routing_labels FROM fx_fleets GROUP BY profile),
+j AS (SELECT c.*, sc.scope, sc.routing_labels, coalesce(string_split(c.labels, ','), []) AS l,
+             string_split(sc.routing_labels, ',') AS rt FROM fx_fleet_classes c LEFT JOIN sc USING (profile))
+SELECT profile, class_pos, name, 18 AS rule_no, 'R18_labels' AS rule_id FROM j
+  WHERE NOT list_contains(l, 'self-hosted') OR (routing_labels IS NULL AND NOT list_contains(l, 'daytona'))
+UNION ALL SELECT profile, class_pos, name, 18, 'R18_routing_shared' FROM j
+  WHERE routing_labels IS NOT NULL AND (list_contains(l, 'daytona') OR list_contains(l, 'cipool'))
+UNION ALL SELECT profile, class_pos, name, 18, 'R18_routing_missing' FROM j WHERE routing_labels IS NOT NULL AND NOT list_has_all(l, rt)
+UNION ALL SELECT profile, class_pos, name, 19, 'R19_min_idle' FROM j WHERE min_idle IS NULL OR min_idle < 0
+UNION ALL SELECT profile, class_pos, name, 19, 'R19_max' FROM j WHERE max_live IS NULL OR max_live < 0
 UNION ALL SELECT profile, class_pos, name, 19, 'R19_min_le_max' FROM j WHERE min_idle > max_live
-UNION ALL SELECT profile, class_pos, name, 19, 'R19_repo_min_zero' FROM j WHERE scope = 'repository' AND min_idle <> 0
-UNION ALL SELECT profile, class_pos, name, 20, 'R20_warm_floor_reason' FROM j WHERE (min_idle > 0) <> (warm_floor_reason IS NOT NULL)
+UNION ALL SELECT profile, class_pos, name, 19, 'R19_repo_min_zero' FROM j WHERE scope = 'repository' AND (min_idle IS NULL OR min_idle <> 0)
+UNION ALL SELECT profile, class_pos, name, 20, 'R20_warm_floor_reason' FROM j
+  WHERE CASE WHEN coalesce(min_idle, 0) > 0 THEN coalesce(trim(warm_floor_reason), '') = '' ELSE warm_floor_reason IS NOT NULL END
 UNION ALL SELECT profile, class_pos, name, 21, 'R21_large_label' FROM j WHERE name = 'large' AND NOT list_contains(l, 'large')
 UNION ALL SELECT profile, class_pos, name, 18, 'R18_unique_name' FROM fx_fleet_classes
   WHERE (profile, name) IN (SELECT (profile, name) FROM fx_fleet_classes GROUP BY profile, name HAVING count(*) > 1)
 UNION ALL SELECT p.profile, NULL, r.name, 21, 'R21_required_class' FROM (SELECT DISTINCT profile FROM fx_fleet_classes) p,
   (VALUES ('default'), ('large')) r(name)
   WHERE NOT EXISTS (SELECT 1 FROM fx_fleet_classes c WHERE c.profile = p.profile AND c.name = r.name)
-""".replace("<provider>", rl.PROVIDER_LABEL)))(lambda spark, sf: rl.class_rule_violations(fixture(spark, sf, "fx_fleet_classes"), fixture(spark, sf, "fx_fleets")))
+"""))(lambda spark, sf: rl.class_rule_violations(fixture(spark, sf, "fx_fleet_classes"), fixture(spark, sf, "fx_fleets")))
 
 
 def _profile_rules_sql() -> str:
-    sec = ", ".join(f"'{x}'" for x in rl.PROFILE_SECTIONS)
-    shared = ", ".join(f"'{x}'" for x in rl.SHARED_LABELS)
-    hosts = ", ".join(f"'{x}'" for x in rl.LOOPBACK_HOSTS)
-    isrepo = "scope = 'repository'"
-    repos = "list_filter(string_split(repositories, ','), lambda x: x <> '')"
+    isrepo, net, routing = "scope = 'repository'", "network_policy IS NOT NULL", "coalesce(routing_labels, '') <> ''"
+    repos = "list_filter(coalesce(string_split(repositories, ','), []), lambda x: x <> '')"
     labels = "string_split(routing_labels, ',')"
+    closed = """
+        CASE split_part(p, '.', 1)
+          WHEN 'github' THEN CASE WHEN scope = 'repository'
+            THEN p NOT IN ('github.scope', 'github.owner', 'github.runner_group_id', 'github.runner_group', 'github.repositories')
+            ELSE p NOT IN ('github.scope', 'github.org', 'github.runner_group') END
+          WHEN 'routing' THEN p <> 'routing.required_labels'
+          WHEN 'poller' THEN p NOT IN ('poller.interval_secs', 'poller.request_spacing_secs')
+          WHEN 'webhook' THEN p NOT IN ('webhook.listen', 'webhook.hmac_env')
+          WHEN 'watchdog' THEN p <> 'watchdog.github_queue_scan'
+          WHEN 'lifecycle' THEN p NOT IN ('lifecycle.ephemeral', 'lifecycle.auto_stop_minutes', 'lifecycle.auto_delete_interval',
+            'lifecycle.idle_refresh_secs', 'lifecycle.demand_idle_secs', 'lifecycle.job_max_secs', 'lifecycle.hold_on_failure_secs',
+            'lifecycle.idle_poll_secs', 'lifecycle.fast_idle_poll_secs', 'lifecycle.fast_idle_window_secs', 'lifecycle.busy_poll_secs')
+          ELSE false END"""
+    name = _full('l', "^[a-z0-9][a-z0-9-]*$")
     rules = [
-        (1, "R1_manifest_version", "manifest_version <> 1"),
-        (5, "R5_unknown_section", f"len(list_filter(string_split(config_keys, ','), lambda k: k NOT IN ({sec}))) > 0"),
+        (1, "R1_manifest_version", "manifest_version IS NULL OR manifest_version <> 1"),
+        (5, "R5_unknown_key", f"list_bool_or(list_transform(string_split(config_paths, ','), lambda p: {closed}))"),
         (8, "R8_repositories_empty", f"{isrepo} AND len({repos}) = 0"),
         (8, "R8_repository_name", f"{isrepo} AND list_bool_or(list_transform({repos}, lambda r: NOT {_full('r', rl.REPOSITORY_NAME)}))"),
         (8, "R8_repository_duplicate", f"{isrepo} AND len(list_distinct(list_transform({repos}, lambda r: lower(r)))) <> len({repos})"),
-        (12, "R12_label_name", f"list_bool_or(list_transform({labels}, lambda l: NOT {_full('l', rl.RUNNER_GROUP_NAME)}))"),
-        (12, "R12_label_shared", f"list_bool_or(list_transform({labels}, lambda l: l IN ({shared})))"),
-        (12, "R12_label_duplicate", f"len(list_distinct({labels})) <> len({labels})"),
-        (12, "R12_label_group", f"NOT list_contains({labels}, runner_group)"),
-        (15, "R15_listen_host", f"listen_host NOT IN ({hosts})"),
-        (15, "R15_listen_port", "listen_port < 1 OR listen_port > 65535"),
-        (15, "R15_secret_env", f"NOT {_full('secret_env', rl.ENV_NAME)}"),
-        (16, "R16_idle_refresh", "idle_refresh_secs < 0"),
-        (16, "R16_poll", "idle_poll_secs < 1 OR busy_poll_secs < 1"),
+        (12, "R12_routing_without_network", f"NOT ({net}) AND routing_labels IS NOT NULL"),
+        (12, "R12_routing_missing", f"{net} AND NOT ({routing})"),
+        (12, "R12_label_name", f"{net} AND {routing} AND list_bool_or(list_transform({labels}, lambda l: NOT {name}))"),
+        (12, "R12_label_shared", f"{net} AND {routing} AND list_bool_or(list_transform({labels}, lambda l: l IN ('self-hosted', 'daytona', 'cipool', 'large')))"),
+        (12, "R12_label_duplicate", f"{net} AND {routing} AND len(list_distinct({labels})) <> len({labels})"),
+        (12, "R12_label_group", f"{isrepo} AND {net} AND {routing} AND (runner_group IS NULL OR list_distinct({labels}) <> [runner_group])"),
+        (12, "R12_group_reserved", f"{isrepo} AND NOT ({net}) AND runner_group IS NOT NULL"),
+        (15, "R15_listen_host", "listen_host IS NULL OR listen_host NOT IN ('127.0.0.1', '0.0.0.0', '::1', 'localhost')"),
+        (15, "R15_listen_port", "listen_port IS NULL OR listen_port < 1 OR listen_port > 65535"),
+        (15, "R15_secret_env", "NOT regexp_full_match(secret_env, '[A-Z][A-Z0-9_]{0,63}')"),
+        (16, "R16_negative", "least(hold_on_failure_secs, idle_poll_secs, fast_idle_poll_secs, fast_idle_window_secs, busy_poll_secs, "
+                             "job_max_secs, idle_refresh_secs, demand_idle_secs, auto_stop_minutes) < 0"),
+        (16, "R16_poll", "idle_poll_secs < 1 OR busy_poll_secs < 1 OR fast_idle_poll_secs < 1"),
         (17, "R17_watchdog_bool", "watchdog_enabled NOT IN ('true', 'false')"),
         (22, "R22_forbidden_key", "list_bool_or(list_transform(string_split(config_paths, ','), lambda p: regexp_matches(p, '(?:api[_-]?key|token|secret|password|private)', 'i')))"),
-        (23, "R23_installation_id", "installation_id IS NULL"),
+        (23, "R23_installation_id", "installation_id IS NULL OR installation_id <> configured_installation_id"),
         (23, "R23_target_type", f"target_type <> CASE WHEN {isrepo} THEN 'User' ELSE 'Organization' END"),
         (23, "R23_login", "lower(login) <> lower(owner)"),
         (23, "R23_selection", "repository_selection <> 'all'"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..fixed import APP_NAME, FLEET_LABEL_PREFIX, PROVIDER_LABEL, RUNNER_NAME_PREFIX
+from ..fixed import PROJECT, PROVIDER_LABEL
 from ..functions.core import floor_minutes, queue_wait_secs, sandbox_age_secs
 from ..functions.labels import fleet_sandbox, label_map
 from ..operators import alerts as al
@@ -90,7 +90,7 @@ SELECT 'missing' AS kind, key, name FROM cfg ANTI JOIN visp USING (key)
 UNION ALL SELECT 'unconfigured' AS kind, key, name FROM visp ANTI JOIN cfg USING (key)
 """))(lambda spark, sf: hl.profile_roster_diff(_configured(spark, sf), visible(spark, sf, True)))
 
-_T_SNV = f"[{INSTANCE}] runner group '{GROUP}' selects repository/repositories not visible to the {APP_NAME}: %s"
+_T_SNV = f"[{INSTANCE}] runner group '{GROUP}' selects repository/repositories not visible to the {PROJECT.app_name}: %s"
 _T_UNC = f"[{INSTANCE}] private organization repository/repositories cannot reach runner group '{GROUP}': %s"
 
 
@@ -144,9 +144,9 @@ SELECT sandbox_id, age_secs FROM (SELECT sandbox_id, {_AGE} AS age_secs FROM sb
 """))(lambda spark, sf: hl.orphan_sandboxes(sandboxes(spark, sf), live_sandbox_ids(spark, sf), ORDERS_AS_OF,
                                             "repository", "", REPO_FLEET).select("sandbox_id", "age_secs"))
 
-_STALE = (f"status = 'offline' AND starts_with(name, '{RUNNER_NAME_PREFIX}') "
+_STALE = (f"status = 'offline' AND starts_with(name, '{PROJECT.runner_name_prefix}') "
           f"AND list_contains(string_split(labels, ','), '{PROVIDER_LABEL}')")
-_FLEET_RUNNER = f"list_contains(string_split(labels, ','), '{FLEET_LABEL_PREFIX}{REPO_FLEET}')"
+_FLEET_RUNNER = f"list_contains(string_split(labels, ','), '{PROJECT.fleet_label_prefix}{REPO_FLEET}')"
 
 register("orphan_runners", oracle_with(["fx_runners", "fx_registry"], f"""
 SELECT runner_id, repository FROM fx_runners u WHERE {_STALE} AND {_FLEET_RUNNER}
@@ -308,8 +308,8 @@ def _repo_findings(spark, sf):
                                   GROUP, INSTANCE, OWNER)
 
 
-_T_MISS = f"[{INSTANCE}] repository profile includes private {APP_NAME} repository/repositories no longer visible: %s"
-_T_EXTRA = f"[{INSTANCE}] private {APP_NAME} repository/repositories are not covered by this repository profile: %s"
+_T_MISS = f"[{INSTANCE}] repository profile includes private App repository/repositories no longer visible: %s"
+_T_EXTRA = f"[{INSTANCE}] private App repository/repositories are not covered by this repository profile: %s"
 
 
 def _top10(src: str) -> str:

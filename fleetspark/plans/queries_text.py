@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..catalog import register
-from ..fixed import PROVIDER_LABEL, REWRITE_ARRAY_LABELS, REWRITE_SCALAR, RUNS_ON_TARGET
+from ..fixed import PROJECT, PROVIDER_LABEL, RUNS_ON_TARGET
 from ..operators import textscan as ts
 from ..sources.fixtures import fixture, oracle_with
 
@@ -14,8 +14,8 @@ def lines_df(spark, sf):
 
 _L = "wl AS (SELECT * FROM fx_workflow_lines UNION ALL SELECT * FROM fx_workflow_extra)"
 _VIEWS = ["fx_workflow_lines", "fx_workflow_extra"]
-_ARR = ", ".join(f"'{x}'" for x in REWRITE_ARRAY_LABELS)
-_SCALAR = REWRITE_SCALAR.removeprefix("^").removesuffix("$")
+_ARR = ", ".join(f"'{x}'" for x in PROJECT.rewrite_array_labels)
+_SCALAR = PROJECT.rewrite_scalar.removeprefix("^").removesuffix("$")
 _SQ = "regexp_replace({x}, '^[''\"]+|[''\"]+$', '', 'g')"
 _RW = f"""
 m AS (SELECT *, trim(regexp_extract(text, '^(\\s*)runs-on:\\s*(.+?)\\s*$', 2)) AS v,

@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..fixed import FLEET_LABEL_PREFIX, PROVIDER_LABEL, REWRITE_ARRAY_LABELS, RUNNER_NAME_PREFIX
+from ..fixed import PROJECT, PROVIDER_LABEL
 from .tables import table
 
 # Fixed as-of instants (TIMESTAMP_NTZ): end of the events month, and a day
@@ -118,9 +118,9 @@ VIEWS["fx_runners"] = """
 SELECT event_id AS runner_id,
        CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'repo-' || CAST(user_id % 25 AS STRING) END AS repository,
        CASE WHEN event_id % 3 = 0 THEN 'offline' ELSE 'online' END AS status,
-       CASE WHEN event_id % 10 = 0 THEN 'other-' ELSE '""" + RUNNER_NAME_PREFIX + """' END || CAST(event_id AS STRING) AS name,
+       CASE WHEN event_id % 10 = 0 THEN 'other-' ELSE '""" + PROJECT.runner_name_prefix + """' END || CAST(event_id AS STRING) AS name,
        CASE WHEN event_id % 4 = 0 THEN '""" + PROVIDER_LABEL + """'
-            ELSE '""" + PROVIDER_LABEL + "," + FLEET_LABEL_PREFIX + """f' || CAST(user_id % 3 AS STRING) END AS labels,
+            ELSE '""" + PROVIDER_LABEL + "," + PROJECT.fleet_label_prefix + """f' || CAST(user_id % 3 AS STRING) END AS labels,
        event_id % 6 = 1 AS busy
 FROM events
 """
@@ -381,7 +381,7 @@ SELECT 'repo-' || source AS repo, doc_id + 1000000000 AS line_no,
          WHEN 3 THEN '      AWS_ACCESS_KEY_ID: ${{ secrets.KEY }}'
          WHEN 4 THEN '      aws-session-token: x'
          WHEN 5 THEN '  runs-on: "ubuntu-22.04"'
-         WHEN 6 THEN '  runs-on: [ self-hosted , "<project-label>", large ]'
+         WHEN 6 THEN '  runs-on: [ self-hosted , "cipool", large ]'
          WHEN 7 THEN '  runs-on: [self-hosted, daytona]'
          WHEN 8 THEN '  runs-on: blacksmith-4vcpu-ubuntu-2204  '
          WHEN 9 THEN '  runs-on: macos-latest'
@@ -389,7 +389,7 @@ SELECT 'repo-' || source AS repo, doc_id + 1000000000 AS line_no,
          WHEN 11 THEN '    uses: actions/cache@v4 # comment'
          ELSE 'runs-on: ' END AS text
 FROM documents
-""".replace("<project-label>", REWRITE_ARRAY_LABELS[1])
+"""
 
 
 # Fleet manifest rows (one per supplier) with deliberate configuration faults.
@@ -398,7 +398,13 @@ SELECT s_suppkey AS fleet_pos,
   CASE WHEN s_suppkey % 19 = 0 THEN 'Fleet_' || CAST(s_suppkey AS STRING) ELSE 'fleet-' || CAST(s_suppkey % 90 AS STRING) END AS fleet,
   CASE WHEN s_suppkey % 29 = 0 THEN 'enterprise' WHEN s_suppkey % 3 = 0 THEN 'repository' ELSE 'organization' END AS scope,
   CASE WHEN s_suppkey % 23 = 0 THEN '-bad' ELSE 'Org-' || CAST(s_nationkey AS STRING) END AS owner,
-  'profiles/' || CAST(s_suppkey AS STRING) || '.toml' AS profile,
+  CASE WHEN s_suppkey % 27 = 0 THEN '/etc/' WHEN s_suppkey % 28 = 0 THEN '../' ELSE '' END
+    || 'profiles/' || CAST(s_suppkey AS STRING) || '.toml' AS profile,
+  CASE WHEN s_suppkey % 25 = 0 THEN 'repository' WHEN s_suppkey % 3 = 0 THEN 'repository' WHEN s_suppkey % 5 = 0 THEN NULL
+       ELSE 'organization' END AS profile_scope,
+  CASE WHEN s_suppkey % 24 = 0 THEN NULL ELSE 'Org-' || CAST(s_nationkey AS STRING) END AS profile_owner,
+  CASE WHEN s_suppkey % 26 = 0 THEN 'x1' WHEN s_suppkey % 32 = 0 THEN NULL ELSE CAST(s_suppkey AS STRING) END AS installation_key,
+  CASE WHEN s_suppkey % 6 = 0 THEN 'edge-' || CAST(s_suppkey % 3 AS STRING) END AS routing_labels,
   CASE s_suppkey % 4 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'am-1' WHEN 2 THEN 'us' ELSE 'Eu_1' END AS target,
   CASE WHEN s_suppkey % 17 = 0 THEN 'https://app.daytona.io/api/' WHEN s_suppkey % 31 = 0 THEN 'https://other.example/api'
        ELSE 'https://app.daytona.io/api' END AS api_base,
@@ -410,7 +416,9 @@ SELECT s_suppkey AS fleet_pos,
   CASE WHEN s_suppkey % 13 = 0 THEN 'allow' WHEN s_suppkey % 2 = 0 THEN 'deny-by-default' END AS network_policy,
   CASE s_suppkey % 6 WHEN 0 THEN '10.0.0.0/8,192.168.1.0/24' WHEN 1 THEN '10.0.0.1/8' WHEN 2 THEN '8.8.8.0/24'
        WHEN 3 THEN '172.16.0.0/12,172.16.0.0/12' WHEN 4 THEN '10.1.0.0/16,10.2.0.0/16,10.3.0.0/16,10.4.0.0/16,10.5.0.0/16,10.6.0.0/16'
-       ELSE '192.168.0.0/33' END AS cidr_allow_list,
+       ELSE CASE s_suppkey % 5 WHEN 0 THEN '192.168.0.0/33' WHEN 1 THEN '10.0.0.1,10.0.0.0/255.0.0.0'
+            WHEN 2 THEN '10.0.0.0/255.0.0.0,10.0.0.0/8' WHEN 3 THEN '10.0.0.0/0.255.255.255' ELSE '10.0.0.0/255.0.255.0' END END
+       AS cidr_allow_list,
   CASE s_suppkey % 4 WHEN 0 THEN 'github.com,*.githubusercontent.com' WHEN 1 THEN 'GitHub.com,github.com'
        WHEN 2 THEN 'bad_domain' ELSE 'pypi.org' END AS domain_allow_list
 FROM supplier
@@ -421,10 +429,13 @@ VIEWS["fx_fleet_classes"] = """
 SELECT 'profiles/' || CAST(p_partkey % 100 AS STRING) || '.toml' AS profile, p_partkey AS class_pos,
   CASE WHEN p_partkey % 100 < 50 AND p_partkey < 100 THEN 'default' WHEN p_partkey % 100 < 80 AND p_partkey < 200 THEN 'large'
        ELSE 'c' || CAST(p_partkey % 7 AS STRING) END AS name,
-  CASE WHEN p_partkey % 9 = 0 THEN 'self-hosted,pool' ELSE 'self-hosted,daytona,' || p_type END AS labels,
+  CASE WHEN p_partkey % 9 = 0 THEN 'self-hosted,pool' WHEN p_partkey % 31 = 0 THEN NULL
+       WHEN p_partkey % 8 = 0 THEN 'self-hosted,edge-0' WHEN p_partkey % 10 = 1 THEN 'self-hosted,cipool,edge-0'
+       ELSE 'self-hosted,daytona,' || p_type END AS labels,
   p_name || ' ' || CAST(p_partkey % 50 AS STRING) AS snapshot,
-  p_size % 4 - 1 AS min_idle, p_size % 9 AS max_live,
-  CASE WHEN p_size % 3 = 0 THEN 'warm pool for bursts' END AS warm_floor_reason
+  CASE WHEN p_partkey % 33 = 0 THEN NULL ELSE p_size % 4 - 1 END AS min_idle,
+  CASE WHEN p_partkey % 34 = 0 THEN NULL ELSE p_size % 9 END AS max_live,
+  CASE WHEN p_size % 3 = 0 THEN 'warm pool for bursts' WHEN p_size % 7 = 0 THEN '  ' END AS warm_floor_reason
 FROM part
 """
 
@@ -478,18 +489,25 @@ SELECT s_suppkey AS fleet_pos, 'profiles/' || CAST(s_suppkey AS STRING) || '.tom
   'Org-' || CAST(s_nationkey AS STRING) AS owner,
   CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'app,.github,Tools' WHEN 2 THEN 'api,API' WHEN 3 THEN '.hidden,web'
        ELSE 'svc-' || CAST(s_suppkey AS STRING) END AS repositories,
-  CASE s_suppkey % 4 WHEN 0 THEN 'edge-' || CAST(s_suppkey AS STRING) WHEN 1 THEN 'self-hosted' WHEN 2 THEN 'gpu,gpu' ELSE 'Bad_Label' END AS routing_labels,
-  'edge-' || CAST(s_suppkey AS STRING) AS runner_group,
-  CASE WHEN s_suppkey % 6 = 0 THEN 'github,daytona,lifecycle,colour' ELSE 'github,daytona,lifecycle' END AS config_keys,
-  CASE WHEN s_suppkey % 8 = 0 THEN 'github.app_id,daytona.api_key,lifecycle.idle_poll_secs'
-       WHEN s_suppkey % 8 = 1 THEN 'github.app_id,notify.Webhook_Token'
-       ELSE 'github.app_id,lifecycle.idle_poll_secs' END AS config_paths,
+  CASE WHEN s_suppkey % 10 < 7 THEN 'deny-by-default' END AS network_policy,
+  CASE s_suppkey % 7 WHEN 0 THEN 'edge-' || CAST(s_suppkey AS STRING) WHEN 1 THEN 'self-hosted' WHEN 2 THEN 'gpu,gpu' WHEN 3 THEN 'Bad_Label'
+       WHEN 4 THEN 'other,edge-' || CAST(s_suppkey AS STRING) WHEN 5 THEN '' END AS routing_labels,
+  CASE WHEN s_suppkey % 11 <> 0 THEN 'edge-' || CAST(s_suppkey AS STRING) END AS runner_group,
+  CASE s_suppkey % 8 WHEN 0 THEN 'github.scope,daytona.api_key,lifecycle.idle_poll_secs' WHEN 1 THEN 'github.scope,notify.Webhook_Token'
+       WHEN 2 THEN 'github.scope,poller.interval_secs' WHEN 3 THEN 'poller.interval_secs,poller.colour'
+       WHEN 4 THEN 'github.owner,webhook.listen' WHEN 5 THEN 'watchdog.enabled' WHEN 6 THEN 'other.anything,routing.required_labels'
+       ELSE 'github.scope,lifecycle.job_max_secs' END AS config_paths,
+  CASE WHEN s_suppkey % 13 = 0 THEN -1 END AS hold_on_failure_secs, CASE WHEN s_suppkey % 17 = 0 THEN 0 ELSE 5 END AS fast_idle_poll_secs,
+  CASE WHEN s_suppkey % 19 = 0 THEN -5 ELSE 90 END AS fast_idle_window_secs, s_suppkey % 40 - 1 AS job_max_secs,
+  s_suppkey % 41 - 1 AS demand_idle_secs, CASE WHEN s_suppkey % 42 = 0 THEN -2 END AS auto_stop_minutes,
   s_suppkey % 7 - 1 AS idle_refresh_secs, s_suppkey % 5 AS idle_poll_secs, s_suppkey % 9 AS busy_poll_secs,
   CASE WHEN s_suppkey % 10 = 0 THEN 'yes' ELSE 'true' END AS watchdog_enabled,
-  CASE WHEN s_suppkey % 12 = 0 THEN '0.0.0.0' ELSE '127.0.0.1' END AS listen_host,
+  CASE WHEN s_suppkey % 12 = 0 THEN '0.0.0.0' WHEN s_suppkey % 21 = 0 THEN 'example.org' WHEN s_suppkey % 22 = 0 THEN NULL
+       ELSE '127.0.0.1' END AS listen_host,
   CASE WHEN s_suppkey % 14 = 0 THEN 70000 ELSE 8080 + s_suppkey % 10 END AS listen_port,
-  CASE WHEN s_suppkey % 15 = 0 THEN 'BAD-NAME' ELSE 'FLEET_WEBHOOK_SECRET' END AS secret_env,
+  CASE WHEN s_suppkey % 15 = 0 THEN 'BAD-NAME' WHEN s_suppkey % 23 = 0 THEN '_LEADING' WHEN s_suppkey % 29 = 0 THEN 'A' || repeat('B', 64) ELSE 'FLEET_WEBHOOK_SECRET' END AS secret_env,
   CASE WHEN s_suppkey % 16 = 0 THEN NULL ELSE s_suppkey + 1000 END AS installation_id,
+  CASE WHEN s_suppkey % 24 = 0 THEN s_suppkey ELSE s_suppkey + 1000 END AS configured_installation_id,
   CASE WHEN s_suppkey % 3 = 0 THEN 'User' ELSE 'Organization' END AS target_type,
   CASE WHEN s_suppkey % 18 = 0 THEN 'someone-else' ELSE 'org-' || CAST(s_nationkey AS STRING) END AS login,
   CASE WHEN s_suppkey % 20 = 0 THEN 'selected' ELSE 'all' END AS repository_selection
