@@ -1,24 +1,31 @@
-"""Token ids of whole texts, one BPE call per distinct word.
+"""Token ids of whole texts, with the ids of repeated words remembered.
 
-The vocabulary's normaliser and pre-tokeniser never look across a space or a
-line feed, so the ids of a text are the ids of its pieces in order.  Each
-Python worker keeps a bounded table of pieces it has met.
+The vocabulary's normaliser lower-cases and its pre-tokeniser never looks
+across a space, a line feed or the border of a letter and a mark, so the ids
+of a text are the ids of its pieces in order.  Each Python worker keeps a
+bounded table of pieces it has met; the new words of a slice are encoded in
+one call and told apart by the vocabulary's end-of-word tokens.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces remembered by a worker; beyond that the table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: Longer pieces are encoded each time.
 CACHE_WORD_CHARS = 64
 #: Characters of a text handled at once.
 SLICE_CHARS = 1 << 19
 
+# a run of marks after a letter and before white space; the apostrophe may belong to a contraction
+_MARKS = re.compile(r"(?<=[a-zà-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
+_STOPS = frozenset(("\n", ".", "!", "?", "..."))
+
 
 class WordIds(dict):
     """Word -> its ids as little-endian uint32 bytes, filled on demand."""
@@ -26,21 +33,42 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode
+        self._encode_batch = tokenizer.encode_batch_fast
+        self._specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = tokenizer.get_vocab()
+        self._word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
         self.update({"\n": b"", "": b""})
 
+    def has_special(self, text: str) -> bool:
+        """True if the text may hold one of the vocabulary's special strings."""
+        return any(s[:2] in text for s in self._specials)
+
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self._encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self._reset()
             self[word] = ids
         return ids
 
+    def learn(self, words: set[str]) -> None:
+        """Encodes the plain ones among new ``words`` in one call."""
+        if len(self) >= CACHE_WORDS:
+            self._reset()
+        new = [w for w in words if w.isalpha() and len(w) <= CACHE_WORD_CHARS]
+        if not new:
+            return
+        ids = np.array(self._encode_batch([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self._word_end[ids]) + 1
+        if len(ends) == len(new):  # else they are encoded one by one
+            data, cuts = ids.tobytes(), (4 * ends).tolist()
+            self.update(zip(new, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+
 
 _TABLES: dict[str, WordIds] = {}
 
@@ -71,11 +99,13 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
 
 def encode(text: str, table: WordIds) -> tuple[bytes, np.ndarray]:
     """Ids of a text (uint32 bytes) and the id counts before which a sentence or line ends."""
-    marked = text.replace("\n", " \n ")
-    for end in (". ", "! ", "? "):
-        marked = marked.replace(end, end + "\n ")
-    pieces = marked.split(" ")
-    ids = [table[w] for w in pieces]
+    if not table.has_special(text):
+        text = _MARKS.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    pieces = text.replace("\n", " \n ").split(" ")
+    ids = list(map(table.get, pieces))
+    if None in ids:
+        table.learn({w for w, known in zip(pieces, ids) if known is None})
+        ids = [table[w] if known is None else known for w, known in zip(pieces, ids)]
     ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-    stops = np.fromiter(map("\n".__eq__, pieces), bool, len(pieces))
+    stops = np.fromiter(map(_STOPS.__contains__, pieces), bool, len(pieces))
     return b"".join(ids), np.unique(ends[stops])
