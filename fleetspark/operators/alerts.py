@@ -41,23 +41,23 @@ def next_state(transitions: DataFrame) -> DataFrame:
 
 def alert_message(transitions: DataFrame, order_col: str = "key") -> DataFrame:
     """One row when any finding is fresh: the count and the findings text
-    (newline-joined, cut at 3500 characters).  Only the first 1750 findings
-    can reach the cut, so only those are gathered."""
+    (newline-joined, cut at 3500 characters).  Every finding adds at least its
+    line break, so the first 3501 decide the whole body."""
     cur = transitions.filter(F.col("status") != "recovered")
     stats = cur.agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("status") == "fresh").alias("fresh"))
-    head = top_k(cur.select(order_col, "text"), [], [F.col(order_col)], MESSAGE_CHARS // 2)
+    head = top_k(cur.select(order_col, "text"), [], [F.col(order_col)], MESSAGE_CHARS + 1)
     body = head.agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_t")).select(
         F.left(F.concat_ws("\n", F.transform("_t", lambda x: x["text"])), F.lit(MESSAGE_CHARS)).alias("body"))
     return stats.filter(F.col("fresh") > 0).crossJoin(body).select("findings", "fresh", "body")
 
 
 def recovered_message(transitions: DataFrame, order_col: str = "key") -> DataFrame:
-    """One row when any finding recovered: their previous keys, newline-joined
-    and cut at 3500 characters (the text of a recovered finding is its key
-    when keyed by text)."""
+    """One row when any finding recovered: how many, and their previous keys,
+    newline-joined and cut at 3500 characters (the text of a recovered
+    finding is its key when keyed by text)."""
     rec = transitions.filter(F.col("status") == "recovered")
-    head = top_k(rec.select(order_col), [], [F.col(order_col)], MESSAGE_CHARS // 2)
-    return (head.agg(F.array_sort(F.collect_list(F.struct("rank", order_col))).alias("_t"))
-            .filter(F.size("_t") > 0)
-            .select(F.size("_t").alias("recovered"),
-                    F.left(F.concat_ws("\n", F.transform("_t", lambda x: x[order_col])), F.lit(MESSAGE_CHARS)).alias("body")))
+    count = rec.agg(F.count(F.lit(1)).alias("recovered")).filter("recovered > 0")
+    head = top_k(rec.select(order_col), [], [F.col(order_col)], MESSAGE_CHARS + 1)
+    body = head.agg(F.array_sort(F.collect_list(F.struct("rank", order_col))).alias("_t")).select(
+        F.left(F.concat_ws("\n", F.transform("_t", lambda x: x[order_col])), F.lit(MESSAGE_CHARS)).alias("body"))
+    return count.crossJoin(body)

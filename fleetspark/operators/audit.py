@@ -97,7 +97,7 @@ def read_snapshot_payload(payloads: DataFrame, json_col: str = "payload", keep:
     arr = (F.when(kind.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
            .when(kind.startswith("OBJECT") & F.schema_of_variant(items_v).startswith("ARRAY"),
                  F.variant_get(items_v, "$", "array<variant>")))
-    err = F.when(arr.isNull(), F.lit("snapshot response must be a JSON array or an object with an items array"))
+    err = F.when(arr.isNull(), F.lit("payload holds neither a list of items nor an object with one"))
     return (payloads.select(*keep, arr.alias("_items"), err.alias("error"))
             .select(*keep, "error", F.explode_outer("_items").alias("_item"))
             .select(*keep, "error", F.when(F.col("_item").isNotNull(), F.to_json(F.col("_item"))).alias("raw")))
@@ -111,13 +111,13 @@ def union_inventory_pages(pages: DataFrame, items_col: str = "items") -> DataFra
     return pages.select("page", F.posexplode(items_col).alias("item_pos", "raw"))
 
 
-def page_consistency(pages: DataFrame) -> DataFrame:
+def page_consistency(pages: DataFrame, max_pages: int = MAX_TOTAL_PAGES) -> DataFrame:
     """Violations among captured page headers (position, page, total_pages):
-    total_pages must be an integer in 1..1000 and equal on every page, a
+    total_pages must be an integer in 1..``max_pages`` and equal on every page, a
     reported page number must equal its position (an unreported one is
     accepted), and pages 1..N must all be present."""
     t = F.col("total_pages")
-    bad_total = pages.filter(t.isNull() | (t < 1) | (t > MAX_TOTAL_PAGES) | (t != F.floor(t))).select(
+    bad_total = pages.filter(t.isNull() | (t < 1) | (t > max_pages) | (t != F.floor(t))).select(
         F.lit("invalid_total_pages").alias("violation"), F.col("position"))
     stats = pages.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n"),
                       F.count_distinct("page").alias("distinct_pages"))
@@ -186,13 +186,18 @@ def duplicate_candidates(snaps: DataFrame) -> DataFrame:
 def candidate_numbering(candidates: DataFrame) -> DataFrame:
     """``candidate-NNN`` in order of the key rendered as text.
 
-    The numbering needs one global order over *candidate groups* (not
-    snapshots); their count is the number of distinct shapes, small by
-    nature, so the single ordered window is cheap.
+    A candidate's number is its place among those with the same first
+    characters plus the candidates before those: every window holds one
+    prefix, and the running total is over one row per prefix.
     """
     order = F.concat_ws("|", *[F.col(c).cast("string") for c in CANDIDATE_KEY])
-    w = Window.orderBy(order)
-    return candidates.withColumn("candidate_id", F.format_string("candidate-%03d", F.row_number().over(w)))
+    keyed = candidates.withColumn("_key", order).withColumn("_prefix", F.substring("_key", 1, 12))
+    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_prefix").orderBy("_key"))
+    return (keyed.join(starts, "_prefix").withColumn("candidate_id", F.format_string("candidate-%03d", place))
+            .select(*candidates.columns, "candidate_id"))
 
 
 def candidate_members(snaps: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -245,7 +250,9 @@ def snapshot_reference_status(snaps: DataFrame, refs: DataFrame, collisions: Dat
     referenced > unreferenced) and its duplicate candidate id, if any."""
     ref_n = refs.groupBy(F.col("snapshot").alias("_rname")).agg(F.count(F.lit(1)).alias("references"))
     coll = collisions.select(F.col("snapshot_name").alias("_cname"), F.lit(True).alias("_collides"))
-    mem = members.select(F.col("snapshot_id").alias("_mid"), F.col("name").alias("_mname"), "candidate_id")
+    # one candidate per (id, name): members that repeat a key, null keys among them, must not multiply snapshots
+    mem = members.groupBy(F.col("snapshot_id").alias("_mid"), F.col("name").alias("_mname")).agg(
+        F.min("candidate_id").alias("candidate_id"))
     key = F.coalesce(snaps["name"], F.lit(""))
     j = (snaps.join(ref_n, key == ref_n["_rname"], "left")
          .join(coll, snaps["name"] == coll["_cname"], "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labels import match_class, ordered_classes
+from .labels import match_class
 from ..fixed import MAX_LIVE_DEFAULT  # noqa: F401
 
 RUN_LISTINGS = ("queued", "in_progress")
@@ -58,14 +58,13 @@ def demand_by_repo_class(jobs: DataFrame, classes: DataFrame, repos: DataFrame,
                          required: list[str] | None = None) -> DataFrame:
     """A10: matched count per (configured repository, class), zero-filled.
 
-    The zero-fill grid is every configured repository with every size
-    class (both configuration): each repository row expands the inlined,
-    size-checked class-name list, so no join builds the grid.
+    The zero-fill grid is the result itself: every configured repository
+    with every size class.
     """
     counts = (_matched(jobs, classes, required)
               .groupBy("repository", "size_class").agg(F.count(F.lit(1)).alias("queued")))
-    names = F.transform(ordered_classes(classes), lambda c: c["name"])
-    grid = repos.select("repository", F.explode(names).alias("size_class"))
+    names = classes.agg(F.collect_list("name").alias("_names"))  # one row
+    grid = repos.select("repository").crossJoin(names).select("repository", F.explode("_names").alias("size_class"))
     return (grid.join(counts, ["repository", "size_class"], "left")
             .select("repository", "size_class", F.coalesce("queued", F.lit(0)).alias("queued")))
 

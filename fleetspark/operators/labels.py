@@ -1,11 +1,12 @@
 """Label-set matching.
 
-Both matches are containment tests against the size classes.  Size classes
-are configuration (a handful of rows), so after a row-count check they are
-inlined as a literal array and every job is matched by a higher-order
-expression (``filter`` / ``exists`` over the classes) inside whole-stage
-codegen: no job x class join, no shuffle, one read of the job table, and
-the same expression works on streams.
+Both matches are containment tests between a job's labels and the size
+classes.  Jobs are reduced to their distinct label sets, sets and classes
+meet in an equi-join on the single labels, a count of the labels met tells
+which class contains which set, and the answer goes back to the jobs by an
+equi-join on the set.  Nothing is collected, and neither side needs to be
+small.  A stream, which cannot wait for all label sets, takes the classes'
+label sets as an explicit list instead (:func:`label_sets`).
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import MAX_BROADCAST_ROWS
-
 
 def label_set(c: Column) -> Column:
     """Normalised set key: distinct, sorted labels."""
@@ -47,30 +46,21 @@ def match_class(jobs: DataFrame, classes: DataFrame, labels_col: str = "labels",
     (duplicates counted, as list length), ties go to the earlier class.
     Jobs with null or empty labels, or missing a required label, get null.
 
-    Size classes are configuration: after a row-count check they are
-    inlined, ordered by (label count, position), and each job takes the
-    first class that covers it.  One projection: no join, no shuffle, the
-    job table is read once.
+    A class has to contain the whole set: the labels of a set that a class
+    has are as many as the set's labels.
     """
-    cls = ordered_classes(classes)
     job = label_set(F.col(labels_col))
-    covering = F.filter(cls, lambda c: F.size(F.array_except(job, c["labels"])) == 0)
     ok = F.coalesce(F.size(job) > 0, F.lit(False))
     if required:
         ok = ok & subset_of(F.array(*[F.lit(x) for x in required]), F.col(labels_col))
-    return jobs.withColumn(out_col, F.when(ok, F.try_element_at(covering, F.lit(1))["name"]))
-
-
-def ordered_classes(classes: DataFrame, max_rows: int | None = None) -> Column:
-    """Literal array<struct<name, labels>> in match order (label count, position)."""
-    bound = max_rows or MAX_BROADCAST_ROWS
-    rows = classes.select("name", "labels", "class_pos").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("size-class table exceeds the configuration bound")
-    rows = sorted(rows, key=lambda r: (len(r.labels or []), r.class_pos))
-    return F.array(*[F.struct(F.lit(r.name).alias("name"),
-                              F.array(*[F.lit(x) for x in (r.labels or [])]).cast("array<string>").alias("labels"))
-                     for r in rows])
+    keyed = jobs.withColumn("_set", F.when(ok, job))
+    sets = keyed.select("_set").where("_set is not null").distinct()
+    offered = classes.select(F.struct(F.size("labels").alias("n"), "class_pos", "name").alias("_class"),
+                             F.explode(F.array_distinct("labels")).alias("_label"))
+    met = (sets.select("_set", F.explode("_set").alias("_label")).join(offered, "_label")
+           .groupBy("_set", "_class").agg(F.count(F.lit(1)).alias("_met")).where(F.col("_met") == F.size("_set")))
+    best = met.groupBy("_set").agg(F.min("_class").alias("_best"))
+    return keyed.join(best, "_set", "left").select(*jobs.columns, F.col("_best.name").alias(out_col))
 
 
 def webhook_labels_match(df: DataFrame, classes: DataFrame, labels_col: str = "labels",
@@ -78,24 +68,25 @@ def webhook_labels_match(df: DataFrame, classes: DataFrame, labels_col: str = "l
     """True when some class's labels are all among the job's labels.
 
     The opposite direction from J1.  Null, empty, and non-string labels are
-    ignored; a job with no usable label never matches.  The class label
-    sets are inlined (configuration, size-checked): one projection.
-    """
-    return df.withColumn(out_col, covers_some_class(clean_labels(F.col(labels_col)), label_sets_literal(classes)))
-
-
-def label_sets_literal(classes: DataFrame, max_rows: int | None = None) -> Column:
-    """The class label sets as a literal ``array<array<string>>``.
-
-    Size classes are configuration (a handful of rows); after a row-count
-    check they are inlined so per-row matching is a plain expression: no
-    join, usable on streams, evaluated once per row inside codegen.
+    ignored; a job with no usable label never matches; a class without
+    labels matches any other job.
     """
-    bound = max_rows or MAX_BROADCAST_ROWS
-    rows = classes.select("labels").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("size-class table exceeds the configuration bound")
-    return F.array(*[F.array(*[F.lit(x) for x in (r.labels or [])]).cast("array<string>") for r in rows])
+    cleaned = label_set(clean_labels(F.col(labels_col)))
+    keyed = df.withColumn("_set", F.when(F.size(cleaned) > 0, cleaned))
+    sets = keyed.select("_set").where("_set is not null").distinct()
+    offered = classes.select(F.col("class_pos"), F.coalesce(F.size(F.array_distinct("labels")), F.lit(0)).alias("_n"),
+                             F.explode_outer(F.array_distinct("labels")).alias("_label"))
+    met = (sets.select("_set", F.explode("_set").alias("_label")).join(offered, "_label")
+           .groupBy("_set", "class_pos", "_n").agg(F.count(F.lit(1)).alias("_met")).where("_met = _n")
+           .select("_set").distinct().withColumn("_hit", F.lit(True)))
+    bare = offered.agg(F.coalesce(F.max(F.col("_n") == 0), F.lit(False)).alias("_bare"))
+    hit = F.coalesce(F.col("_hit") | F.col("_bare"), F.col("_bare")) & F.col("_set").isNotNull()
+    return (keyed.join(met, "_set", "left").crossJoin(bare).select(*df.columns, hit.alias(out_col)))
+
+
+def label_sets(sets: list[list[str]]) -> Column:
+    """An explicit list of label sets as a literal, for matching on a stream."""
+    return F.array(*[F.array(*[F.lit(x) for x in s]).cast("array<string>") for s in sets])
 
 
 def covers_some_class(labels: Column, label_sets: Column) -> Column:

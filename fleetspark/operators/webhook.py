@@ -14,7 +14,7 @@ def deliveries_status(requests: DataFrame, secret: bytes, label_sets: Column) ->
     workflow_job event, action queued, workflow_job an object whose string
     labels cover some class).  ``requests`` has path, content_length,
     signature, event, body (string); ``label_sets`` is
-    ``labels.label_sets_literal(classes)``.  Stateless: works on a batch or
+    ``labels.label_sets([[...], ...])``.  Stateless: works on a batch or
     a stream, one pass, no join.
 
     The body is parsed once (behind a generator so later expressions reuse

@@ -9,10 +9,14 @@ from ..operators import audit as au
 
 
 def audit_report(payloads: DataFrame, refs: DataFrame, payload_col: str = "payload",
-                 checkpoint: bool = False) -> dict[str, DataFrame]:
+                 checkpoint: bool = False, pages: DataFrame | None = None, strict: bool = False) -> dict[str, DataFrame]:
     """All report sections as DataFrames (write them with
     ``sources.report.write_audit_report``).
 
+    Items that are no objects, ids that repeat and, with ``pages`` given,
+    inconsistent page headers are errors; with ``strict`` the first error
+    stops the audit before anything is published.
+
     ``payloads``: one row per captured response (array or ``{items}``);
     ``refs``: (snapshot, fleet, profile, size_class).  The normalised
     inventory feeds six consumers; with ``checkpoint`` it is written once to
@@ -20,8 +24,16 @@ def audit_report(payloads: DataFrame, refs: DataFrame, payload_col: str = "paylo
     once.
     """
     items = au.read_snapshot_payload(payloads, payload_col)
-    errors = items.filter(F.col("error").isNotNull()).select("error")
-    snaps = au.normalize_snapshot(items.filter(F.col("raw").isNotNull()))
+    read = au.normalize_snapshot(items.filter(F.col("raw").isNotNull()))
+    errors = (items.filter(F.col("error").isNotNull()).select("error")
+              .unionByName(read.filter(~F.col("is_object")).select(F.lit("snapshot is not an object").alias("error")))
+              .unionByName(au.duplicate_ids(read).select(
+                  F.concat(F.lit("snapshot id occurs more than once: "), F.col("snapshot_id")).alias("error"))))
+    if pages is not None:
+        errors = errors.unionByName(au.page_consistency(pages).select(F.concat(F.lit("inventory pages: "), F.col("violation")).alias("error")))
+    if strict and (first := errors.take(1)):
+        raise ValueError(f"the inventory cannot be audited: {first[0].error}")
+    snaps = read.filter(F.col("is_object"))
     if checkpoint:
         snaps = snaps.checkpoint(eager=True)
     collisions = au.name_collisions(snaps)

@@ -67,7 +67,7 @@ register("duplicate_ids", oracle_with(["fx_snapshot_json"], f"""
 , {_NORM} SELECT snapshot_id, count(*) AS occurrences FROM norm WHERE snapshot_id IS NOT NULL
 GROUP BY snapshot_id HAVING count(*) > 1"""))(lambda spark, sf: au.duplicate_ids(snaps_json(spark, sf)))
 
-_PAYLOAD_ERR = "snapshot response must be a JSON array or an object with an items array"
+_PAYLOAD_ERR = "payload holds neither a list of items nor an object with one"
 
 
 def _payload(spark, sf):

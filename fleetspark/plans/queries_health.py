@@ -263,29 +263,39 @@ register("all_findings", oracle_with(_FINDINGS_VIEWS, _FINDINGS_SQL + "SELECT *
 def _transitions(spark, sf):
     f = _findings(spark, sf)
     cur = f.select(F.concat_ws("|", "instance", "check", "entity").alias("key"), "text")
-    # saved state of the previous pass: stuck findings (by entity key), one in
-    # three already alerted within the re-alert period, plus stale keys
-    prev = (_stuck(spark, sf).select(F.concat_ws("|", F.lit(INSTANCE), "kind", F.col("job_id").cast("string")).alias("key"),
-                                     "job_id")
-            .filter(F.col("job_id") % 2 == 0)
-            .select(F.when(F.col("job_id") % 3 == 0, F.concat(F.col("key"), F.lit("-old"))).otherwise(F.col("key")).alias("key"),
-                    (F.lit(AS_OF_EPOCH) - (F.col("job_id") % 120) * 60).cast("double").alias("last_alert"))
-            .dropDuplicates(["key"]))
+    # saved state of the previous pass: one key per job, some alerted within the re-alert period, a third under an old key
+    key = F.concat_ws("|", F.lit(INSTANCE), F.lit("waiting"), F.col("job_id").cast("string"))
+    prev = fixture(spark, sf, "fx_jobs").select(
+        F.when(F.col("job_id") % 3 == 0, F.concat(key, F.lit("-old"))).otherwise(key).alias("key"),
+        (F.lit(AS_OF_EPOCH) - (F.col("job_id") % 120) * 60).cast("double").alias("last_alert")).dropDuplicates(["key"])
     return al.alert_transitions(cur.dropDuplicates(["key"]), prev, AS_OF_EPOCH, REALERT)
 
 
-register("alert_transitions", oracle_with(_FINDINGS_VIEWS, _FINDINGS_SQL + f""",
+_TRANSITIONS_SQL = _FINDINGS_SQL + f""",
 cur AS (SELECT DISTINCT ON (key) instance || '|' || "check" || '|' || entity AS key, text FROM fnd ORDER BY key),
-prev AS (SELECT DISTINCT CASE WHEN job_id % 3 = 0 THEN key || '-old' ELSE key END AS key,
-                CAST({AS_OF_EPOCH} - (job_id % 120) * 60 AS DOUBLE) AS last_alert
-         FROM (SELECT '{INSTANCE}|' || kind || '|' || CAST(job_id AS STRING) AS key, job_id FROM stuck) s WHERE job_id % 2 = 0)
+prev AS (SELECT DISTINCT '{INSTANCE}|waiting|' || CAST(job_id AS STRING) || CASE WHEN job_id % 3 = 0 THEN '-old' ELSE '' END AS key,
+                CAST({AS_OF_EPOCH} - (job_id % 120) * 60 AS DOUBLE) AS last_alert FROM fx_jobs),
+tr AS (
 SELECT coalesce(cur.key, prev.key) AS key, cur.text,
        CASE WHEN cur.key IS NULL THEN 'recovered'
             WHEN {AS_OF_EPOCH} - coalesce(prev.last_alert, 0) >= {REALERT} THEN 'fresh' ELSE 'suppressed' END AS status,
        CASE WHEN cur.key IS NULL THEN NULL
             WHEN {AS_OF_EPOCH} - coalesce(prev.last_alert, 0) >= {REALERT} THEN {AS_OF_EPOCH} ELSE prev.last_alert END AS last_alert
-FROM cur FULL OUTER JOIN prev ON cur.key = prev.key
-"""))(_transitions)
+FROM cur FULL OUTER JOIN prev ON cur.key = prev.key)
+"""
+
+register("alert_transitions", oracle_with(_FINDINGS_VIEWS, _TRANSITIONS_SQL + "SELECT * FROM tr"))(_transitions)
+
+register("alert_message", oracle_with(_FINDINGS_VIEWS, _TRANSITIONS_SQL + """
+SELECT count(*) AS findings, count(*) FILTER (status = 'fresh') AS fresh,
+       left(string_agg(text, chr(10) ORDER BY key), 3500) AS body
+FROM tr WHERE status <> 'recovered' HAVING count(*) FILTER (status = 'fresh') > 0
+"""))(lambda spark, sf: al.alert_message(_transitions(spark, sf)))
+
+register("recovered_message", oracle_with(_FINDINGS_VIEWS, _TRANSITIONS_SQL + """
+SELECT count(*) AS recovered, left(string_agg(key, chr(10) ORDER BY key), 3500) AS body
+FROM tr WHERE status = 'recovered' HAVING count(*) > 0
+"""))(lambda spark, sf: al.recovered_message(_transitions(spark, sf)))
 
 
 def _queue_wait_text(spark, sf):

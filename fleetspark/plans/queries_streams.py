@@ -6,13 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import ORACLES, register
-from ..operators.labels import label_sets_literal
+from ..operators.labels import label_sets
 from ..sources.fixtures import fixture_stream
 from ..streaming import cycle_state as cs
 from ..streaming import deliveries as ds
 from ..streaming.runner import read_all, read_latest, run_to_table
-from .queries_demand import classes_df
-from .queries_webhook import SECRET, WAKE_INTERVAL, _sender_signature
+from .queries_webhook import CLASS_LABELS, SECRET, WAKE_INTERVAL, _sender_signature
 
 
 def _requests_stream(spark, sf):
@@ -21,7 +20,7 @@ def _requests_stream(spark, sf):
 
 
 def _delivery_stream(spark, sf):
-    sets = label_sets_literal(classes_df(spark, sf))
+    sets = label_sets(CLASS_LABELS)
     return ds.delivery_stream(_requests_stream(spark, sf), SECRET, sets)
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions.webhook import _pads, hmac_sha256_hex, signature_ok
 from ..operators import webhook as wh
-from ..operators.labels import label_sets_literal
+from ..operators.labels import label_sets
 from ..sources.fixtures import fixture, oracle_with
-from .queries_demand import classes_df
+
+#: The label sets of ``fx_size_classes``, as a stream is given them.
+CLASS_LABELS = [["self-hosted", "pool", "ci"], ["self-hosted", "pool", "ci", "large"], ["self-hosted", "pool", "ci", "xl"]]
 
 SECRET = b"fixture-webhook-secret"
 WAKE_INTERVAL = "1 hour"
@@ -32,7 +34,7 @@ def requests_df(spark, sf):
 
 
 def _statuses(spark, sf):
-    return wh.deliveries_status(requests_df(spark, sf), SECRET, label_sets_literal(classes_df(spark, sf)))
+    return wh.deliveries_status(requests_df(spark, sf), SECRET, label_sets(CLASS_LABELS))
 
 
 _IPAD, _OPAD = _pads(SECRET)

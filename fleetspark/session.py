@@ -39,12 +39,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/S3/ABFS) folder there.  Only when the
-    setting is missing (local tests) do we pick a folder ourselves.
+    A cluster names a shared (HDFS/S3/ABFS) folder there.  Only a local
+    session without the setting gets a folder of its own; on a cluster a
+    missing setting is an error, since executors share no local folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = os.path.join(os.environ.get("TMPDIR", "/tmp"), "fleetspark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc.getCheckpointDir() is None:

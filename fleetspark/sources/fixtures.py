@@ -110,8 +110,9 @@ SELECT event_id AS cycle_id, CASE WHEN user_id % 3 = 0 THEN 'large' ELSE 'defaul
        CASE WHEN event_id % 5 = 0 THEN 'SPAWNING' WHEN event_id % 5 = 1 THEN 'BUSY'
             WHEN event_id % 5 = 2 THEN 'CLEANUP_PENDING' ELSE 'IDLE' END AS state,
        CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'repo-' || CAST(user_id % 25 AS STRING) END AS repository,
-       event_id AS runner_id, event_id * 3 AS sandbox_no, ts AS spawned_at
-FROM events WHERE event_id % 20 < 7
+       CASE WHEN event_id % 20 < 7 THEN event_id ELSE event_id + 1000000000 END AS runner_id,
+       CASE WHEN event_id % 20 < 7 THEN event_id * 3 ELSE event_id * 3 + 1000000000 END AS sandbox_no, ts AS spawned_at
+FROM events
 """
 
 VIEWS["fx_runners"] = """
@@ -157,7 +158,7 @@ FROM customer
 """
 
 VIEWS["fx_group_repos"] = """
-SELECT 'repo-' || CAST(c_custkey + 7 AS STRING) AS name FROM customer WHERE c_custkey % 4 <> 0
+SELECT CASE WHEN c_custkey % 4 = 0 THEN 'elsewhere-' ELSE 'repo-' END || CAST(c_custkey + 7 AS STRING) AS name FROM customer
 """
 
 # Runner groups visible to each configured repository.
@@ -232,11 +233,12 @@ FROM part
 """
 
 VIEWS["fx_profile_refs"] = """
-SELECT CASE WHEN p_partkey % 6 = 0 THEN 'missing-' || CAST(p_partkey AS STRING)
+SELECT CASE WHEN p_partkey % 3 <> 0 THEN 'retired-' || CAST(p_partkey % 100 AS STRING)
+            WHEN p_partkey % 6 = 0 THEN 'missing-' || CAST(p_partkey AS STRING)
             ELSE p_name || ' ' || CAST(p_partkey % 50 AS STRING) END AS snapshot,
        'fleet-' || CAST(p_partkey % 5 AS STRING) AS fleet,
        CASE WHEN p_partkey % 2 = 0 THEN 'default' ELSE 'large' END AS size_class
-FROM part WHERE p_partkey % 3 = 0
+FROM part
 """
 
 VIEWS["fx_api_log"] = """
