@@ -19,33 +19,38 @@ from ..schemas import STAGE_FIELDS
 OUTCOMES = ("job", "idle", "failed", "unknown")
 
 
-def nearest_rank(c: str, p: float) -> Column:
-    """A3 as an aggregate expression: ``sorted(x)[max(0, ceil(p*n) - 1)]``
-    over non-null ``c`` (``percentile_disc`` is exactly this rank).  Fine
-    for bounded groups; for groups that may hold a large share of the data
-    use ``nearest_rank_table``, which never merges a group in one task."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)")
+#: Value ranges to a factor of e in the nearest-rank search.
+RANGES = 64
 
 
 def nearest_rank_table(df: DataFrame, keys: list[str], fields: list[str], p: float,
                        suffix: str = "_p") -> DataFrame:
     """A3 for many fields at once, exact and skew-safe.
 
-    Values are counted per (keys, field, value): a partial (map-side)
-    aggregate, shuffled by value, so a group holding a third of all rows
-    is spread over many tasks.  A running count over the *distinct* values
-    of each (keys, field) then finds the first value whose cumulative count
-    reaches ``max(1, ceil(p * n))``.  Output: keys + one ``<field><suffix>``
+    Values are counted per (keys, field, value) map-side and shuffled by
+    value.  The counts are added up per value range (``RANGES`` ranges to a
+    factor of e, so some thousand per field whatever the data), a running
+    total over the ranges finds the one that holds rank
+    ``max(1, ceil(p * n))``, and only that range's values are ranked.  No
+    window sees a whole group.  Output: keys + one ``<field><suffix>``
     column per field (null when the field has no value in the group).
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])
     long = df.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.field", "_x.v").filter(F.col("v").isNotNull())
-    counts = long.groupBy(*keys, "field", "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys, "field")
-    cum = counts.select("*", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                        .alias("cum"), F.sum("c").over(w).alias("n"))
+    counts = (long.groupBy(*keys, "field", "v").agg(F.count(F.lit(1)).alias("c"))
+              .withColumn("r", F.floor(F.asinh("v") * RANGES)))
+    group = Window.partitionBy(*keys, "field")
+    ranges = counts.groupBy(*keys, "field", "r").agg(F.sum("c").alias("c")).select(
+        "*", F.sum("c").over(group).alias("n"),
+        F.sum("c").over(group.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
     target = F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n")))
-    picked = cum.filter(F.col("cum") >= target).groupBy(*keys, "field").agg(F.min("v").alias("v"))
+    held = ranges.filter((F.col("upto") >= target) & (F.col("upto") - F.col("c") < target)).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.col("field").alias("_h_field"), F.col("r").alias("_h_r"),
+        (target - F.col("upto") + F.col("c")).alias("need"))
+    on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in [*keys, "field", "r"]]
+    inside = Window.partitionBy(*keys, "field").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = (counts.join(held, on).withColumn("cum", F.sum("c").over(inside)).filter(F.col("cum") >= F.col("need"))
+              .groupBy(*keys, "field").agg(F.min("v").alias("v")))
     out = picked.groupBy(*keys).pivot("field", list(fields)).agg(F.first("v"))
     return out.select(*keys, *[F.col(f).alias(f + suffix) for f in fields])
 
@@ -89,8 +94,28 @@ def _hours(c: str) -> Column:
     return F.round(F.coalesce(F.sum(c), F.lit(0).cast("decimal(38,6)")) / F.lit(3600), 2).cast("double")
 
 
+def _counts(cycles: DataFrame, keys: list[str], prepared: DataFrame | None = None) -> DataFrame:
+    """The plain aggregate behind A1, A2 and A4: no percentile, one pass."""
+    p = _prepared(cycles, keys) if prepared is None else prepared
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+    # seconds as DECIMAL so the mean does not depend on row order
+    aggs += [F.count("v_total").alias("duration_count"), F.sum(F.col("v_total").cast("decimal(38,6)")).alias("_total")]
+    for f in STAGE_FIELDS:
+        aggs += [F.count("v_" + f).alias("_n_" + f)]
+    aggs += [F.count_if("alloc_counted").alias("alloc_count"),
+             _hours("cpu_s").alias("_cpu"), _hours("ram_s").alias("_ram"), _hours("disk_s").alias("_disk")]
+    return (p.groupBy(*keys, "snapshot").agg(*aggs)
+            .withColumn("_avg", F.col("_total").cast("double") / F.col("duration_count")))
+
+
+def _hour_columns() -> list[Column]:
+    full = F.col("alloc_count") == F.col("n")
+    return [F.when(full, F.col("_" + r)).alias(r + "_hours") for r in ("cpu", "ram", "disk")]
+
+
 def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A1+A2+A4+A5 in one aggregate; one row per (keys, snapshot).
+    """A1+A2+A4+A5 joined; one row per (keys, snapshot).
 
     Columns: n, job, idle, failed, unknown, duration_count, avg_minutes,
     p95_minutes, <stage>_p95 (secs), alloc_count, cpu_hours, ram_hours,
@@ -98,15 +123,7 @@ def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame
     """
     keys = keys or []
     p = _prepared(cycles, keys)
-    n = F.count(F.lit(1))
-    aggs = [n.alias("n")]
-    aggs += [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    aggs += [F.count("v_total").alias("duration_count"), F.avg("v_total").alias("_avg")]
-    for f in STAGE_FIELDS:
-        aggs += [F.count("v_" + f).alias("_n_" + f)]
-    aggs += [F.count_if("alloc_counted").alias("alloc_count"),
-             _hours("cpu_s").alias("_cpu"), _hours("ram_s").alias("_ram"), _hours("disk_s").alias("_disk")]
-    g = p.groupBy(*keys, "snapshot").agg(*aggs)
+    g = _counts(cycles, keys, p)
     value_cols = ["v_total"] + ["v_" + f for f in STAGE_FIELDS]
     ranks = nearest_rank_table(p, [*keys, "snapshot"], value_cols, 0.95, suffix="")
     # join on renamed keys (null-safe: a group key such as instance may be null)
@@ -116,7 +133,6 @@ def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame
     on = [F.col(k).eqNullSafe(F.col("_rk_" + k)) for k in gk]
     g = g.join(ranks, on, "left").drop(*["_rk_" + k for k in gk])
     full_dur = F.col("duration_count") == F.col("n")
-    full_alloc = F.col("alloc_count") == F.col("n")
     out = [F.col(k) for k in keys] + [
         "snapshot", "n", *OUTCOMES, "duration_count",
         F.when(full_dur, F.round(F.col("_avg") / 60, 2)).alias("avg_minutes"),
@@ -125,14 +141,14 @@ def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame
     for f in STAGE_FIELDS:
         out.append(F.when(F.col("_n_" + f) == F.col("n"), F.round(F.col("_p_" + f), 2))
                    .alias(f.removesuffix("_secs") + "_p95"))
-    out += ["alloc_count"] + [F.when(full_alloc, F.col("_" + r)).alias(r + "_hours") for r in ("cpu", "ram", "disk")]
+    out += ["alloc_count", *_hour_columns()]
     return g.select(*out)
 
 
 def usage_by_snapshot(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A1: record count and outcome pivot per non-empty snapshot."""
     keys = keys or []
-    return usage_summary(cycles, keys).select(*keys, "snapshot", "n", *OUTCOMES)
+    return _counts(cycles, keys).select(*keys, "snapshot", "n", *OUTCOMES)
 
 
 def duration_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -147,8 +163,7 @@ def duration_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFr
 def allocation_hours(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A4: CPU/RAM/disk allocation-hours at full coverage."""
     keys = keys or []
-    return usage_summary(cycles, keys).select(*keys, "snapshot", "n", "alloc_count",
-                                              "cpu_hours", "ram_hours", "disk_hours")
+    return _counts(cycles, keys).select(*keys, "snapshot", "n", "alloc_count", *_hour_columns())
 
 
 def stage_p95(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame:
