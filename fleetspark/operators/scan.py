@@ -9,8 +9,10 @@ values; the per-slice totals (one row per key and slice, small) give each
 slice its carry-in from the slices before it.  sum and max are
 associative, so combining the carry-in with the local value gives the
 global running value.  The bucket is a pure function of the row, so every
-re-evaluation (retries, lost executors, the two consumers of the input)
-assigns rows to the same slices.
+re-evaluation (retries, lost executors) assigns rows to the same slices.
+
+The slice-local values are written once to the shared folder and read for
+both uses, so the input is evaluated once per call however calls are nested.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 @dataclass(frozen=True)
 class Running:
@@ -48,12 +52,13 @@ def running(df: DataFrame, key: list[str], order: list[str], specs: list[Running
     w = Window.partitionBy(*key, "_slice").orderBy(*order)
     incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     excl = w.rowsBetween(Window.unboundedPreceding, -1)
-    local = x.select("*", *[_agg(s.op, F.col(f"_v_{s.name}")).over(incl if s.inclusive else excl)
-                            .alias(f"_l_{s.name}") for s in specs])
-    totals = x.groupBy(*key, "_slice").agg(*[_agg(s.op, F.col(f"_v_{s.name}")).alias(f"_t_{s.name}") for s in specs])
+    x = x.select("*", *[_agg(s.op, F.col(f"_v_{s.name}")).over(incl if s.inclusive else excl)
+                        .alias(f"_l_{s.name}") for s in specs])
+    local = stored(df.sparkSession, x, "scan")
+    totals = local.groupBy(*key, "_slice").agg(*[_agg(s.op, F.col(f"_v_{s.name}")).alias(f"_t_{s.name}") for s in specs])
     before = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*key, "_slice", *[_agg(s.op, F.col(f"_t_{s.name}")).over(before).alias(f"_c_{s.name}")
-                                            for s in specs])
-    joined = local.join(carry, [*key, "_slice"])
-    return joined.select(*df.columns, *[_combine(s.op, F.col(f"_c_{s.name}"), F.col(f"_l_{s.name}")).alias(s.name)
-                                        for s in specs])
+    carry = totals.select(*[F.col(k).alias(f"_k_{k}") for k in [*key, "_slice"]],
+                          *[_agg(s.op, F.col(f"_t_{s.name}")).over(before).alias(f"_c_{s.name}") for s in specs])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*key, "_slice"]]
+    return local.join(carry, on).select(*df.columns, *[_combine(s.op, F.col(f"_c_{s.name}"), F.col(f"_l_{s.name}")).alias(s.name)
+                                                       for s in specs])

@@ -55,6 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def stored(spark: SparkSession, df, kind: str):
+    """Write a frame once as Parquet under the shared folder and read it back:
+    a plan that uses it several times, or builds on itself, stays small, and
+    the copy survives lost executors."""
+    path = scratch_path(spark, kind)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh path under the shared checkpoint folder (stream sinks, state)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
