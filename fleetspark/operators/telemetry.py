@@ -99,14 +99,16 @@ def _counts(cycles: DataFrame, keys: list[str], prepared: DataFrame | None = Non
     p = _prepared(cycles, keys) if prepared is None else prepared
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    # seconds as DECIMAL so the mean does not depend on row order
-    aggs += [F.count("v_total").alias("duration_count"), F.sum(F.col("v_total").cast("decimal(38,6)")).alias("_total")]
+    # whole microseconds, so that the mean depends neither on row order nor on binary fractions
+    aggs += [F.count("v_total").alias("duration_count"),
+             F.sum(F.round(F.col("v_total") * 1e6).cast("decimal(20,0)")).alias("_micros")]
     for f in STAGE_FIELDS:
         aggs += [F.count("v_" + f).alias("_n_" + f)]
     aggs += [F.count_if("alloc_counted").alias("alloc_count"),
              _hours("cpu_s").alias("_cpu"), _hours("ram_s").alias("_ram"), _hours("disk_s").alias("_disk")]
     return (p.groupBy(*keys, "snapshot").agg(*aggs)
-            .withColumn("_avg", F.col("_total").cast("double") / F.col("duration_count")))
+            # mean minutes in hundredths, half up
+            .withColumn("_avg", F.expr("(200 * _micros + 60000000 * duration_count) div (120000000 * duration_count)") / 100))
 
 
 def _hour_columns() -> list[Column]:
@@ -135,7 +137,7 @@ def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame
     full_dur = F.col("duration_count") == F.col("n")
     out = [F.col(k) for k in keys] + [
         "snapshot", "n", *OUTCOMES, "duration_count",
-        F.when(full_dur, F.round(F.col("_avg") / 60, 2)).alias("avg_minutes"),
+        F.when(full_dur, F.col("_avg")).alias("avg_minutes"),
         F.when(full_dur, F.round(F.col("_p95") / 60, 2)).alias("p95_minutes"),
     ]
     for f in STAGE_FIELDS:

@@ -69,7 +69,7 @@ def _summary_sql(keys: list[str]) -> str:
   SELECT {kc}, count(*) AS n,
          count(*) FILTER (WHERE outcome = 'job') AS job, count(*) FILTER (WHERE outcome = 'idle') AS idle,
          count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'unknown') AS unknown,
-         count(v_total) AS duration_count, avg(v_total) AS avg_total,
+         count(v_total) AS duration_count, sum(CAST(round(v_total * 1000000) AS HUGEINT)) AS micros,
          {', '.join(f'count(v_{f}) AS n_{s}' for s, f in zip(_STAGES, STAGE_FIELDS))},
          count(*) FILTER (WHERE alloc_counted) AS alloc_count,
          CAST(round(coalesce(sum(CASE WHEN full_alloc = 1 THEN CAST(cpu * allocated_secs AS DECIMAL(38,6)) END), 0) / 3600, 2) AS DOUBLE) AS cpu_h,
@@ -81,7 +81,7 @@ def _summary_sql(keys: list[str]) -> str:
     stage_sel = ", ".join(f"CASE WHEN n_{s} = n THEN round(p95_{s}, 2) END AS {s}_p95" for s in _STAGES)
     body = f"""
 SELECT {', '.join('g.' + c if c in k else c for c in k)}, n, job, idle, failed, unknown, duration_count,
-       CASE WHEN duration_count = n THEN round(avg_total / 60, 2) END AS avg_minutes,
+       CASE WHEN duration_count = n THEN ((200 * micros + 60000000 * duration_count) // (120000000 * duration_count)) / 100 END AS avg_minutes,
        CASE WHEN duration_count = n THEN round(q_total.p95 / 60, 2) END AS p95_minutes,
        {stage_sel}, alloc_count,
        CASE WHEN alloc_count = n THEN cpu_h END AS cpu_hours,

@@ -1,12 +1,14 @@
 """Alert state snapshots, one Parquet folder per run id.
 
-Loading a run that is missing (or unreadable) gives an empty state; saving
+Loading a run that was never saved gives an empty state; any other failure
+to read is raised, since an empty state would send every alert again.  Saving
 writes the whole next state as a new folder, never in place, so a lost
 executor or a retried job cannot leave a half-written state behind.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 STATE_SCHEMA = "key string, last_alert double"
@@ -16,10 +18,17 @@ def state_path(base: str, run_id: int) -> str:
     return f"{base.rstrip('/')}/run={int(run_id)}"
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """True if a read failed because nothing was written at the path."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def load_alert_state(spark: SparkSession, base: str, run_id: int) -> DataFrame:
     try:
         return spark.read.schema(STATE_SCHEMA).parquet(state_path(base, run_id))
-    except Exception:  # missing or corrupt -> empty, like the reference
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         return spark.createDataFrame([], STATE_SCHEMA)
 
 

@@ -1,38 +1,57 @@
 """T-1 on a stream: alert transitions per watchdog pass with ``foreachBatch``.
 
-Findings arrive as rows (pass_id, now_epoch, key, text).  Each micro-batch
-may carry several passes; they are applied in pass order, each against the
-state saved by the previous pass (Parquet under the checkpoint folder, one
-folder per pass), so a restarted query resumes from the last saved pass.
+Rows are (pass_id, now_epoch, key, text); a row without a key ends its pass.
+A pass may arrive in several micro-batches: findings are kept in a log, one
+folder per micro-batch and pass, and a pass is worked out once, whole, when
+its end arrives; a pass without findings is its end row alone, and reports
+what recovered.  Passes are applied in order, each against the state that
+the previous one saved.  Every folder is overwritten on replay, so a
+restarted query repeats nothing twice.
+
+Only the end rows of a micro-batch come to the driver, one per pass; bound
+them with ``maxFilesPerTrigger`` on the source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as al
 from ..session import scratch_path
-from ..sources.state import load_alert_state, save_alert_state
+from ..sources.state import is_missing, load_alert_state, save_alert_state
+
+
+def _findings_of(spark: SparkSession, log: str, pass_id: int) -> DataFrame:
+    """The findings of one pass from all micro-batches so far."""
+    try:
+        rows = spark.read.schema("key string, text string, pass_id long").option("basePath", log).parquet(
+            f"{log}/batch=*/pass_id={int(pass_id)}")
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        rows = spark.createDataFrame([], "key string, text string")
+    return rows.groupBy("key").agg(F.min("text").alias("text"))
 
 
 def alert_stream(findings: DataFrame, realert_secs: int, state_base: str, out_path: str,
                  checkpoint: str | None = None):
-    """Start the query (``availableNow``); transitions are appended to
-    ``out_path`` with their pass id.  Returns the started query."""
+    """Start the query (``availableNow``); the transitions of each ended pass
+    are a folder of ``out_path``.  Returns the started query."""
     spark = findings.sparkSession
+    log = f"{state_base.rstrip('/')}/findings"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        passes = [(r.pass_id, r.now_epoch) for r in
-                  batch.select("pass_id", "now_epoch").distinct().orderBy("pass_id").collect()]  # a few passes
-        for pass_id, now in passes:
-            cur = (batch.filter(F.col("pass_id") == pass_id).groupBy("key")
-                   .agg(F.min("text").alias("text")))
-            prev = load_alert_state(spark, state_base, pass_id - 1)
-            t = al.alert_transitions(cur, prev, float(now), realert_secs)
-            # one folder per pass, overwritten on replay: exactly-once output
-            t.write.mode("overwrite").parquet(f"{out_path}/pass_id={pass_id}")
-            save_alert_state(al.next_state(t), state_base, pass_id)
+        (batch.filter(F.col("key").isNotNull()).select("pass_id", "key", "text")
+         .write.mode("overwrite").partitionBy("pass_id").parquet(f"{log}/batch={batch_id}"))
+        ended = batch.filter(F.col("key").isNull()).select("pass_id", "now_epoch").distinct().orderBy("pass_id")
+        for r in ended.toLocalIterator():
+            prev = load_alert_state(spark, state_base, r.pass_id - 1)
+            t = al.alert_transitions(_findings_of(spark, log, r.pass_id), prev, float(r.now_epoch), realert_secs)
+            out = f"{out_path}/pass_id={r.pass_id}"
+            t.write.mode("overwrite").parquet(out)
+            save_alert_state(al.next_state(spark.read.schema(t.schema).parquet(out)), state_base, r.pass_id)
 
     return (findings.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint or scratch_path(spark, "alerts-ckpt"))

@@ -2,8 +2,9 @@
 
 ``applyInPandasWithState`` keeps, per cycle, the first time each event was
 seen (and the first busy after going online); the state machine only moves
-forward, so those times decide the state.  Cycles that reach REMOVED drop
-their state.
+forward, so those times decide the state.  A removed cycle's state is kept
+until the watermark passes its deletion, since events may come late by the
+watermark's delay, and is dropped then.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.core import EPOCH_NTZ
+
 OUTPUT_SCHEMA = ("cycle_id long, state string, spawned_at timestamp_ntz, online_at timestamp_ntz, "
                  "busy_at timestamp_ntz")
 STATE_SCHEMA = ("spawned_at timestamp_ntz, online_at timestamp_ntz, completed_at timestamp_ntz, "
@@ -29,6 +33,9 @@ def _min(a, b):
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     spawned = online = completed = deleted = None
     busy_events: list = []
     if state.exists:
@@ -65,11 +72,23 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     else:
         st = "SPAWNING"
     state.update((spawned, online, completed, deleted, busy_events))
+    if st == "REMOVED":
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(deleted).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"cycle_id": [key[0]], "state": [st], "spawned_at": [spawned], "online_at": [online],
                         "busy_at": [busy]})
 
 
-def cycle_state_stream(events: DataFrame) -> DataFrame:
-    """Update-mode stream of (cycle_id, state, spawned_at, online_at, busy_at)."""
-    return (events.select("cycle_id", "ts", "event").groupBy("cycle_id")
-            .applyInPandasWithState(_fold, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
+def event_time(ts: str = "ts"):
+    """A zone-less event time as the instant that watermarks need."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col(ts)))
+
+
+def cycle_state_stream(events: DataFrame, late: str = "7 days") -> DataFrame:
+    """Update-mode stream of (cycle_id, state, spawned_at, online_at, busy_at).
+
+    ``late``: how late an event may come; rows later than that are dropped,
+    and removed cycles are forgotten after that time.
+    """
+    return (events.select("cycle_id", "ts", "event", event_time().alias("_event_time"))
+            .withWatermark("_event_time", late).groupBy("cycle_id")
+            .applyInPandasWithState(_fold, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout))

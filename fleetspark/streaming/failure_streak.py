@@ -2,7 +2,8 @@
 
 Keyed state holds the current run of unreadable-and-idle polls; any other
 poll resets it.  The verdict row is emitted once, when the run reaches the
-limit, and the key is then marked done.  Polls of one cycle are processed
+limit, and the key is then marked done and forgotten once the watermark
+passes the verdict.  Polls of one cycle are processed
 in (ts, event_id) order within a micro-batch.
 """
 
@@ -15,12 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.cycles import SESSION_READ_MAX_ERRS
+from .cycle_state import event_time
 
 OUTPUT_SCHEMA = "cycle_id long, event_id long, verdict_at timestamp_ntz"
 STATE_SCHEMA = "streak long, done boolean"
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     streak, done = state.get if state.exists else (0, False)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     hit = None
@@ -32,10 +37,15 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 done = True
                 break
     state.update((int(streak), bool(done)))
+    if done:
+        last = int(pd.Timestamp(rows["ts"].max()).value // 1_000_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
     if hit is not None:
         yield pd.DataFrame({"cycle_id": [key[0]], "event_id": [hit[0]], "verdict_at": [hit[1]]})
 
 
-def failure_streak_stream(polls: DataFrame) -> DataFrame:
-    return (polls.select("cycle_id", "event_id", "ts", "result").groupBy("cycle_id")
-            .applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+def failure_streak_stream(polls: DataFrame, late: str = "7 days") -> DataFrame:
+    """Append-mode stream of verdicts; ``late`` as in ``cycle_state_stream``."""
+    return (polls.select("cycle_id", "event_id", "ts", "result", event_time().alias("_event_time"))
+            .withWatermark("_event_time", late).groupBy("cycle_id")
+            .applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))

@@ -65,7 +65,7 @@ def make_timer_fn(idle_deadline_secs: int, job_max_secs: int):
         busy = _first_after(busy_events, online)
         st = _state(online, busy, completed, deleted)
         if state.hasTimedOut:
-            state.update((spawned, online, completed, deleted, busy_events, True))
+            state.update((spawned, online, completed, deleted, busy_events, True))  # events may still come
             yield pd.DataFrame({"cycle_id": [key[0]], "state": [st],
                                 "timer": ["idle_deadline" if st == "IDLE" else "job_max_secs"]})
             return

@@ -48,13 +48,31 @@ def test_health_check_passes(spark):
     assert m2.count() == 0
 
 
-def test_alert_stream_two_passes(spark):
+def test_alert_stream_split_and_empty_passes(spark):
+    """Pass 1 comes in two files, pass 2 in one, pass 3 found nothing."""
     from fleetspark.streaming.alerts import alert_stream
     src = scratch_path(spark, "alert-src")
-    rows = [(1, 1.7e9, "a", "A"), (1, 1.7e9, "b", "B"), (2, 1.7e9 + 60, "a", "A")]
-    spark.createDataFrame(rows, "pass_id long, now_epoch double, key string, text string").write.parquet(src)
-    stream = spark.readStream.schema("pass_id long, now_epoch double, key string, text string").parquet(src)
-    out = scratch_path(spark, "alert-out")
-    alert_stream(stream, 3600, scratch_path(spark, "alert-state"), out).awaitTermination()
+    schema = "pass_id long, now_epoch double, key string, text string"
+    t = 1.7e9
+    files = [[(1, t, "a", "A")], [(1, t, "b", "B"), (1, t, None, None)],
+             [(2, t + 60, "a", "A"), (2, t + 60, None, None)], [(3, t + 120, None, None)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part{i}")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out, state = scratch_path(spark, "alert-out"), scratch_path(spark, "alert-state")
+    alert_stream(stream, 3600, state, out).awaitTermination()
     got = {(r.pass_id, r.key): r.status for r in spark.read.parquet(out).collect()}
-    assert got == {(1, "a"): "fresh", (1, "b"): "fresh", (2, "a"): "suppressed", (2, "b"): "recovered"}
+    assert got == {(1, "a"): "fresh", (1, "b"): "fresh", (2, "a"): "suppressed", (2, "b"): "recovered", (3, "a"): "recovered"}
+
+
+def test_only_a_missing_state_is_empty(spark, tmp_path):
+    import pytest
+    from fleetspark.sources.state import load_alert_state, state_path
+    assert load_alert_state(spark, str(tmp_path), 5).count() == 0
+    broken = state_path(str(tmp_path), 6)
+    (tmp_path / "run=6").mkdir()
+    (tmp_path / "run=6" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        load_alert_state(spark, str(tmp_path), 6).count()
+    assert broken.endswith("run=6")
