@@ -338,14 +338,22 @@ FROM (
   FROM events) d
 """
 
-VIEWS["fx_workflow_lines"] = """
-SELECT 'repo-' || source AS repo, doc_id AS line_no,
-       CASE WHEN doc_id % 7 = 0 THEN '    runs-on: ubuntu-latest' WHEN doc_id % 7 = 1 THEN '  runs-on: [self-hosted, old]'
-            WHEN doc_id % 7 = 2 THEN 'runs-on: ${{ matrix.os }}' WHEN doc_id % 7 = 3 THEN '      uses: actions/checkout@v4'
-            WHEN doc_id % 7 = 4 THEN '      uses: ./local' WHEN doc_id % 7 = 5 THEN 'runs-on: [self-hosted, windows]'
-            ELSE 'name: ' || lang END AS text
-FROM documents
-"""
+# Every line of every text, half of them replaced by workflow shapes.  The
+# engines split a text differently, so only that part has two spellings.
+_LINES = """
+SELECT 'repo-' || source AS repo, doc_id * 1000000 + i AS line_no,
+       CASE (doc_id + i) % 14 WHEN 0 THEN '    runs-on: ubuntu-latest' WHEN 1 THEN '  runs-on: [self-hosted, old]'
+            WHEN 2 THEN 'runs-on: ${{ matrix.os }}' WHEN 3 THEN '      uses: actions/checkout@v4 # ' || line
+            WHEN 4 THEN '      uses: ./local' WHEN 5 THEN 'runs-on: [self-hosted, windows]'
+            WHEN 6 THEN 'name: ' || line ELSE line END AS text
+"""
+VIEWS["fx_workflow_lines"] = _LINES + """
+FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+             generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+"""
+SPARK_VIEWS = {"fx_workflow_lines": _LINES + """
+FROM (SELECT doc_id, source, line, i0 + 1 AS i FROM documents LATERAL VIEW posexplode(split(text, '\\n')) AS i0, line)
+"""}
 
 _TABLE_RE = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b", re.IGNORECASE)
 
@@ -359,7 +367,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Bind a fixture view to the driver tables under ``sf_dir``."""
     # Escape literal braces (workflow text holds ``${{ … }}``) before the
     # table names become ``{placeholders}`` for ``spark.sql``.
-    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    text = SPARK_VIEWS.get(name, VIEWS[name]).replace("{", "{{").replace("}", "}}")
     frames = {t: table(spark, sf_dir, t) for t in view_tables(name)}
     for t in frames:
         text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
