@@ -187,6 +187,37 @@ def group_id_consistency(repo_groups: DataFrame, group_name: str) -> DataFrame:
         "repository", "matches", (F.col("matches") == 1).alias("ok"), "distinct_ids")
 
 
+def group_id_available(repo_groups: DataFrame, group_id: int) -> DataFrame:
+    """A18 with a configured id: per repository, whether a group of that id is
+    available to it.  Output (repository, ok)."""
+    hit = F.coalesce(F.col("group_id") == F.lit(group_id), F.lit(False))
+    return repo_groups.groupBy("repository").agg(F.bool_or(hit).alias("ok"))
+
+
+def inactive_units(instances: DataFrame) -> DataFrame:
+    """Findings for instances whose unit is set but not active; their other
+    checks are skipped, see ``active_instances``."""
+    down = instances.filter((F.coalesce(F.col("unit"), F.lit("")) != "") & ~F.coalesce(F.col("active"), F.lit(False)))
+    return down.select("instance", F.lit("unit").alias("check"), F.col("unit").alias("entity"),
+                       F.concat(F.lit("["), F.col("instance"), F.lit("] systemd unit "), F.col("unit"),
+                                F.lit(" is NOT active")).alias("text"))
+
+
+def active_instances(instances: DataFrame) -> DataFrame:
+    """Instances to check: without a unit, or with an active one."""
+    return instances.filter((F.coalesce(F.col("unit"), F.lit("")) == "") | F.coalesce(F.col("active"), F.lit(False)))
+
+
+def installation_findings(instances: DataFrame) -> DataFrame:
+    """Findings for organization installations that see selected repositories
+    only (``repository_selection`` other than 'all', or unknown)."""
+    bad = instances.filter((F.col("scope") == SCOPE_ORGANIZATION)
+                           & ~F.coalesce(F.col("repository_selection") == "all", F.lit(False)))
+    return bad.select("instance", F.lit("installation").alias("check"), F.lit("").alias("entity"),
+                      F.concat(F.lit("["), F.col("instance"),
+                               F.lit("] the app installation does not cover all repositories")).alias("text"))
+
+
 def selected_group_check(groups: DataFrame) -> DataFrame:
     """Per group name, how many groups carry it and whether it is usable:
     exactly one group, integer id, visibility 'selected' and
@@ -208,7 +239,7 @@ def all_findings(*checks: DataFrame) -> DataFrame:
 
 
 def repo_scope_findings(configured: DataFrame, private_roster: DataFrame, repo_groups: DataFrame,
-                        group_name: str, instance: str, owner: str) -> DataFrame:
+                        group_name: str | None, instance: str, owner: str, group_id: int | None = None) -> DataFrame:
     """Repository-scope watchdog findings: the roster difference (J7) as two
     list findings, one finding per configured repository the named runner
     group is not exactly once available to, and one when the group's id
@@ -220,6 +251,14 @@ def repo_scope_findings(configured: DataFrame, private_roster: DataFrame, repo_g
     extra = roster_finding(diff.filter(F.col("kind") == "unconfigured"), instance, "profile_unconfigured",
                            f"[{instance}] private App repository/repositories are not covered by "
                            "this repository profile: %s")
+    if group_name is None:  # the profile names the group by id
+        groups = repo_groups.join(configured.select(F.col("name").alias("repository")), "repository", "left_semi")
+        lacking = group_id_available(groups, group_id).filter(~F.col("ok")).select(
+            F.lit(instance).alias("instance"), F.lit("group_unavailable").alias("check"),
+            F.col("repository").alias("entity"),
+            F.concat(F.lit(f"[{instance}] configured runner group {group_id} is unavailable to {owner}/"),
+                     F.col("repository")).alias("text"))
+        return all_findings(missing, extra, lacking)
     cons = group_id_consistency(repo_groups.join(configured.select(F.col("name").alias("repository")),
                                                  "repository", "left_semi"), group_name)
     unavailable = cons.filter(~F.col("ok")).select(

@@ -231,6 +231,20 @@ ids AS (SELECT count(DISTINCT group_id) AS distinct_ids FROM fx_repo_groups WHER
 SELECT repository, matches, matches = 1 AS ok, distinct_ids FROM pr, ids
 """))(lambda spark, sf: hl.group_id_consistency(fixture(spark, sf, "fx_repo_groups"), GROUP))
 
+register("group_id_available", oracle_with(["fx_repo_groups"], """
+SELECT repository, bool_or(coalesce(group_id = 2, false)) AS ok FROM fx_repo_groups GROUP BY repository
+"""))(lambda spark, sf: hl.group_id_available(fixture(spark, sf, "fx_repo_groups"), 2))
+
+register("instance_findings", oracle_with(["fx_instances"], """
+SELECT instance, 'unit' AS "check", unit AS entity, '[' || instance || '] systemd unit ' || unit || ' is NOT active' AS text
+FROM fx_instances WHERE coalesce(unit, '') <> '' AND NOT coalesce(active, false)
+UNION ALL SELECT instance, 'installation', '', '[' || instance || '] the app installation does not cover all repositories'
+FROM fx_instances WHERE (coalesce(unit, '') = '' OR coalesce(active, false)) AND scope = 'organization'
+  AND coalesce(repository_selection, '') <> 'all'
+"""))(lambda spark, sf: hl.all_findings(
+    hl.inactive_units(fixture(spark, sf, "fx_instances")),
+    hl.installation_findings(hl.active_instances(fixture(spark, sf, "fx_instances")))))
+
 register("selected_group_check", oracle_with(["fx_runner_groups"], """
 SELECT name, count(*) AS matches,
        count(*) = 1 AND bool_and(id IS NOT NULL AND visibility = 'selected' AND coalesce(allows_public_repositories = false, false)) AS ok

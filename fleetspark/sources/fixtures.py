@@ -170,6 +170,16 @@ SELECT DISTINCT 'repo-' || CAST(c_custkey % 25 AS STRING) AS repository, c_natio
 FROM customer
 """
 
+# Watchdog instances: units up, down and unset, installations of either selection.
+VIEWS["fx_instances"] = """
+SELECT 'inst-' || CAST(s_suppkey AS STRING) AS instance, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL
+         ELSE 'runner-' || CAST(s_suppkey AS STRING) || '.service' END AS unit,
+       CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_suppkey % 3 <> 0 END AS active,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'repository' ELSE 'organization' END AS scope,
+       CASE WHEN s_suppkey % 7 = 0 THEN 'selected' WHEN s_suppkey % 13 = 0 THEN NULL ELSE 'all' END AS repository_selection
+FROM supplier
+"""
+
 # Organization runner groups (one per supplier, so the table grows with
 # the data): repeated names, missing ids, public or non-selected groups.
 VIEWS["fx_runner_groups"] = """

@@ -76,3 +76,28 @@ def test_only_a_missing_state_is_empty(spark, tmp_path):
     with pytest.raises(Exception):
         load_alert_state(spark, str(tmp_path), 6).count()
     assert broken.endswith("run=6")
+
+
+def test_a_failing_instance_is_a_finding(spark):
+    from fleetspark.plans.health_check import run_checks
+    schema = "instance string, check string, entity string, text string"
+
+    def broken():
+        return spark.createDataFrame([("b", "c", "e", "t")], schema).selectExpr(
+            "instance", "check", "entity", "cast(raise_error('no access') as string) as text")
+
+    found = run_checks(spark, {"a": lambda: spark.createDataFrame([("a", "cap", "", "too many")], schema), "b": broken,
+                               "c": lambda: 1 / 0})
+    rows = {r.instance: (r.check, r.text) for r in found.collect()}
+    assert rows["a"] == ("cap", "too many")
+    assert rows["b"][0] == rows["c"][0] == "error"
+    assert rows["c"][1] == "[c] watchdog check errored: ZeroDivisionError: division by zero"
+
+
+def test_group_by_id_findings(spark):
+    from fleetspark.operators import health as hl
+    configured = spark.createDataFrame([("app", "app"), ("api", "api")], "key string, name string")
+    groups = spark.createDataFrame([("app", 4, "g"), ("api", 5, "g"), ("api", None, "h")],
+                                   "repository string, group_id int, group_name string")
+    found = hl.repo_scope_findings(configured, configured, groups, None, "i", "acme", group_id=4).collect()
+    assert [r.text for r in found] == ["[i] configured runner group 4 is unavailable to acme/api"]
