@@ -236,6 +236,23 @@ def unresolved_refs(refs: DataFrame, snaps: DataFrame) -> DataFrame:
     return refs.join(present, "snapshot", "left_anti")
 
 
+def references_of(snaps: DataFrame, refs: DataFrame) -> DataFrame:
+    """The profile references (snapshot, fleet, profile, size_class as given)
+    that name a snapshot of ``snaps``; rows, so no snapshot carries a list."""
+    names = snaps.select(F.coalesce("name", F.lit("")).alias("snapshot")).distinct()
+    return refs.join(names, "snapshot", "left_semi")
+
+
+def full_snapshot_rows(snaps: DataFrame, status: DataFrame) -> DataFrame:
+    """Every allow-listed snapshot field plus the reference status columns."""
+    key = ["snapshot_id", "name"]
+    one = status.groupBy(*[F.col(k).alias(f"_s_{k}") for k in key]).agg(
+        F.first("references").alias("references"), F.first("reference_status").alias("reference_status"),
+        F.first("duplicate_candidate").alias("duplicate_candidate"))
+    on = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in key]
+    return snaps.join(one, on, "left").drop(*[f"_s_{k}" for k in key])
+
+
 def unreferenced_snapshots(snaps: DataFrame, refs: DataFrame) -> DataFrame:
     """Snapshots whose name (null as '') no reference uses; colliding
     names without a reference are included."""

@@ -229,6 +229,23 @@ def selected_group_check(groups: DataFrame) -> DataFrame:
             .select("name", "matches", ((F.col("matches") == 1) & F.col("_good")).alias("ok")))
 
 
+def group_selection_check(groups: DataFrame, selected: DataFrame, visible: DataFrame, group_name: str) -> DataFrame:
+    """What keeps an organization's runner group from being used, as
+    (rule_id, detail): the named group (the one of least id, if several) has
+    to exist, select repositories and not allow public ones; it must have
+    repositories selected (``selected.name``), all visible to the app
+    (``visible.key``, lower-cased).  No row: usable."""
+    one = groups.filter(F.col("name") == group_name).agg(
+        F.min(F.struct(F.col("id").isNull().alias("_n"), "id", "visibility", "allows_public_repositories")).alias("g"))
+    usable = F.coalesce((F.col("g.visibility") == "selected") & (F.col("g.allows_public_repositories") == F.lit(False)), F.lit(False))
+    group = one.filter(~usable).select(F.lit("R25_group").alias("rule_id"), F.lit(group_name).alias("detail"))
+    none = selected.agg(F.count("name").alias("n")).filter("n = 0").select(
+        F.lit("R25_no_repositories").alias("rule_id"), F.lit(group_name).alias("detail"))
+    unseen = (selected.filter(F.col("name").isNotNull()).join(visible.select("key"), F.lower("name") == F.col("key"), "left_anti")
+              .select(F.lit("R25_not_visible").alias("rule_id"), F.col("name").alias("detail")))
+    return group.unionByName(none).unionByName(unseen)
+
+
 def all_findings(*checks: DataFrame) -> DataFrame:
     """Union of per-check findings (instance, check, entity, text)."""
     out = None

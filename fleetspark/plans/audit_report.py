@@ -47,7 +47,9 @@ def audit_report(payloads: DataFrame, refs: DataFrame, payload_col: str = "paylo
         "errors": errors,
         "duplicate_ids": au.duplicate_ids(snaps),
         "summary": au.audit_summary(status, unresolved, unreferenced, collisions, rollup),
-        "snapshots": status,
+        "snapshots": au.full_snapshot_rows(snaps.drop("is_object"), status),
+        "profile_references": au.references_of(snaps, refs),
+        "collision_references": refs.join(collisions.select(F.col("snapshot_name").alias("snapshot")), "snapshot", "left_semi"),
         "duplicate_candidates": numbered.join(rollup, "candidate_id"),
         "candidate_members": members,
         "name_collisions": collisions,

@@ -172,6 +172,27 @@ SELECT candidate_id, members, all_active, array_to_string(fleets, ',') AS fleets
        potential_reclaimable_size FROM roll"""))(
     lambda spark, sf: _rollup(spark, sf).withColumn("fleets", F.array_join("fleets", ",")))
 
+register("snapshot_rows", oracle_with(_AUD_VIEWS, f"""
+, {_SNP}, {_REFS},
+rc AS (SELECT snapshot, count(*) AS n, count(DISTINCT fleet) AS fleets FROM refs GROUP BY snapshot)
+SELECT s.snapshot_id, s.name, s.state, s.size, s.image_name, s.cpu, s.memory_gib, s.disk_gib, s.gpu, s.sandbox_class,
+       coalesce(rc.n, 0) AS n_references,
+       coalesce(rc.fleets, 0) AS n_fleets
+FROM snp s LEFT JOIN rc ON rc.snapshot = coalesce(s.name, '')
+"""))(lambda spark, sf: _snapshot_rows(spark, sf))
+
+
+def _snapshot_rows(spark, sf):
+    """The report's snapshot rows with their references counted (the reference rows are a section of their own)."""
+    refs = refs_df(spark, sf)
+    rows = snaps_typed(spark, sf)
+    named = au.references_of(rows, refs).groupBy("snapshot").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("fleet").alias("f"))
+    return (rows.join(named, F.coalesce(rows["name"], F.lit("")) == named["snapshot"], "left")
+            .select("snapshot_id", "name", "state", "size", "image_name", "cpu", "memory_gib", "disk_gib", "gpu", "sandbox_class",
+                    F.coalesce("n", F.lit(0)).alias("n_references"), F.coalesce("f", F.lit(0)).alias("n_fleets")))
+
+
 register("unresolved_refs", oracle_with(_AUD_VIEWS, f"""
 , {_SNP}, {_REFS} SELECT snapshot, fleet, size_class FROM refs
 WHERE snapshot NOT IN (SELECT name FROM snp WHERE coalesce(name, '') <> '')
@@ -240,13 +261,18 @@ register("read_regions", oracle_with(["fx_regions"], "SELECT id, name FROM fx_re
 def _retire(spark, sf):
     from ..operators import retirement as rt
     status = _status(spark, sf)
-    succ = rt.replacement_successes(fixture(spark, sf, "fx_cycles"))
-    return rt.retirement_candidates(status, fixture(spark, sf, "fx_snapshot_history"), succ)
-
-
-register("retirement_candidates", oracle_with(_AUD_VIEWS + ["fx_snapshot_history", "fx_cycles"], _STATUS + """,
-succ AS (SELECT snapshot AS replacement, count(*) AS successes FROM fx_cycles WHERE outcome = 'job' GROUP BY snapshot),
-h AS (SELECT h.*, s.successes FROM fx_snapshot_history h LEFT JOIN succ s USING (replacement)),
+    history = fixture(spark, sf, "fx_snapshot_history")
+    succ = rt.replacement_successes(fixture(spark, sf, "fx_cycles").withColumnRenamed("instance", "fleet"), history,
+                                    fixture(spark, sf, "fx_snapshot_fleets"))
+    return rt.retirement_candidates(status, history, succ)
+
+
+register("retirement_candidates", oracle_with(_AUD_VIEWS + ["fx_snapshot_history", "fx_cycles", "fx_snapshot_fleets"], _STATUS + """,
+per AS (SELECT snapshot AS replacement, instance AS fleet, count(*) AS n FROM fx_cycles WHERE outcome = 'job' GROUP BY ALL),
+succ AS (SELECT a.snapshot_id, min(coalesce(per.n, 0)) AS successes FROM fx_snapshot_fleets a
+         JOIN fx_snapshot_history h USING (snapshot_id) LEFT JOIN per ON per.replacement = h.replacement AND per.fleet = a.fleet
+         GROUP BY a.snapshot_id),
+h AS (SELECT h.*, s.successes FROM fx_snapshot_history h LEFT JOIN succ s USING (snapshot_id)),
 j AS (SELECT st.snapshot_id, st.reference_status, h.* EXCLUDE (snapshot_id),
              CASE WHEN incident = 'resolved' THEN least(unreferenced_days, incident_resolved_days) ELSE unreferenced_days END AS age
       FROM status st LEFT JOIN h USING (snapshot_id)),

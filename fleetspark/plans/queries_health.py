@@ -231,6 +231,16 @@ ids AS (SELECT count(DISTINCT group_id) AS distinct_ids FROM fx_repo_groups WHER
 SELECT repository, matches, matches = 1 AS ok, distinct_ids FROM pr, ids
 """))(lambda spark, sf: hl.group_id_consistency(fixture(spark, sf, "fx_repo_groups"), GROUP))
 
+register("group_selection_check", oracle_with(["fx_runner_groups", "fx_group_repos", "fx_repos"], f"""
+, g AS (SELECT * FROM fx_runner_groups WHERE name = '{GROUP}' ORDER BY id NULLS LAST LIMIT 1)
+SELECT 'R25_group' AS rule_id, '{GROUP}' AS detail
+  WHERE NOT EXISTS (SELECT 1 FROM g WHERE visibility = 'selected' AND allows_public_repositories = false)
+UNION ALL SELECT 'R25_no_repositories', '{GROUP}' WHERE NOT EXISTS (SELECT 1 FROM fx_group_repos)
+UNION ALL SELECT 'R25_not_visible', name FROM fx_group_repos WHERE lower(name) NOT IN (SELECT lower(name) FROM fx_repos)
+"""))(lambda spark, sf: hl.group_selection_check(
+    fixture(spark, sf, "fx_runner_groups"), fixture(spark, sf, "fx_group_repos"),
+    fixture(spark, sf, "fx_repos").select(F.lower("name").alias("key")), GROUP))
+
 register("group_id_available", oracle_with(["fx_repo_groups"], """
 SELECT repository, bool_or(coalesce(group_id = 2, false)) AS ok FROM fx_repo_groups GROUP BY repository
 """))(lambda spark, sf: hl.group_id_available(fixture(spark, sf, "fx_repo_groups"), 2))

@@ -535,6 +535,13 @@ FROM supplier
 """
 
 
+# Fleets that referenced each snapshot: one to three of the instances.
+VIEWS["fx_snapshot_fleets"] = """
+SELECT DISTINCT 'snapshot-' || CAST(p_partkey AS STRING) AS snapshot_id,
+       CASE WHEN k.k = 3 AND p_partkey % 4 = 0 THEN 'retired' ELSE 'inst-' || CAST((p_partkey + k.k) % 4 AS STRING) END AS fleet
+FROM part, (VALUES (1), (2), (3)) AS k(k) WHERE k.k <= p_partkey % 3 + 1
+"""
+
 # Reference history per snapshot (days unreferenced at as_of, failed build,
 # replacement snapshot, incident state) for the retirement policy.
 VIEWS["fx_snapshot_history"] = """
