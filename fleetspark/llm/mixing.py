@@ -71,13 +71,14 @@ def copies(rank: Column, rate: Column, offset: Column, max_repeat: int = MAX_REP
 def mix(spark: SparkSession, sized: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Adds ``source_size, target, copies`` to ``row_id, doc_id, source, size``.
 
-    ``row_id`` tells repeated rows apart.  The ranked rows are staged once:
-    partition numbers of a range partitioning must not change between their
-    two uses.
+    ``row_id`` tells repeated rows apart.  The sized rows are staged, so that
+    the sampling of the range partitioning does not count words again, and
+    the ranked rows are: partition numbers must not change between their two
+    uses.
     """
     order = ["source", "size", "doc_id", "row_id"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (sized.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = (stage(spark, sized.select(*order), "mixing-sizes").repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("part", F.spark_partition_id())
               .withColumn("slot", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))))
     placed = stage(spark, placed, "mixing")
