@@ -21,7 +21,9 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
         # (each task keeps its own k best, then one merge of k x tasks rows).
         best = df.orderBy(*order).limit(k)
         return best.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
-    salt = (F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % salts).alias("_salt")
+    # the partition spreads equal rows, which share a hash; both are the same when a task is repeated
+    own = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+    salt = ((own + F.spark_partition_id()) % salts).alias("_salt")
     staged = df.select("*", salt)
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
     pre = staged.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
