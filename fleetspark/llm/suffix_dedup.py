@@ -286,13 +286,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
         "doc_id", "text", F.coalesce("doc_id", F.lit(0).cast("long")).alias("k1"),
         F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("k2"))
     runs = _runs(keyed, length)
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # what is joined by anchor is staged first: only between plain exchanges can a hot anchor's rows be split
+    twice = stage(spark, runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"),
+                  "suffix-anchors")
     candidates = stage(spark, runs.join(twice, "anchor"), "suffix-candidates")
     contents = candidates.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "code")).alias("r"))
     contents = stage(spark, contents, "suffix-contents")
-    groups = (contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-              .select("anchor", F.ceil(F.col("m") / F.lit(GROUP_RUNS)).cast("int").alias("blocks")))
+    groups = stage(spark, contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+                   .select("anchor", F.ceil(F.col("m") / F.lit(GROUP_RUNS)).cast("int").alias("blocks")), "suffix-groups")
     asked = contents.join(groups, "anchor").select(
         "r.k1", "r.k2", "r.code", "anchor", "blocks", (F.col("n") == 1).alias("single"),
         F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int").alias("block"))
