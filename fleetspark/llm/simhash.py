@@ -172,7 +172,11 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS,
     cells = F.explode(F.array(*[
         F.struct(F.lit(i).alias("choice"), F.col("u").bitwiseAND(F.lit(m)).alias("cell"))
         for i, m in enumerate(cell_masks(max_bits, groups))])).alias("c")
-    points = (nodes.select("fp", embed(F.col("fp")).alias("u")).select("fp", cells).select("fp", "c.choice", "c.cell"))
+    # few bytes become many rows: spread the nodes first, by another key than the one they are grouped by
+    # (that exchange would be dropped) and to a number of tasks that adaptive execution does not merge
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = (nodes.select("fp", embed(F.col("fp")).alias("u")).repartition(n, "u")
+              .select("fp", cells).select("fp", "c.choice", "c.cell"))
     shared = (points.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
               .select("choice", "cell", F.ceil(F.col("n") / F.lit(cell_rows)).cast("int").alias("blocks")))
     met = points.join(shared, ["choice", "cell"])
