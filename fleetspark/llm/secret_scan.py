@@ -3,11 +3,15 @@ r"""Secret scan: fixed patterns plus formats inferred from labelled credentials.
 Base spans come from three patterns (assignments, access keys, long hex).
 Their values, gathered from all documents, are the labelled credentials: a
 bounded sample per kind (``SAMPLE`` distinct values, by hash) trains one
-probabilistic automaton per kind, and as large a sample of other long tokens
-trains the automaton of ordinary text.  Every other token of
-``MIN_TOKEN`` characters or more is a candidate: it is added as a span
+probabilistic automaton per kind, and as large a sample of candidates trains
+one automaton of ordinary text per sort of token (short or long; with or
+without digits, small letters, capitals), so that common sorts do not crowd
+out rare ones.  Candidates are the tokens of ``MIN_TOKEN``
+characters or more, as short as a labelled value may be; base spans are cut
+out of a token, and each part that remains is a candidate of its own, as it
+is and without the marks at its ends.  A candidate is added as a span
 ``format`` where some credential automaton explains its characters better
-than ordinary text by ``MARGIN`` nats.  Base spans always stay.
+than all of ordinary text by ``MARGIN`` nats.  Base spans always stay.
 
 Defined cases: null and empty texts have no span; whole texts are read,
 positions count code points; repeated rows are scanned each; with too few
@@ -32,8 +36,13 @@ from .registry import read, register
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-MIN_TOKEN = 16
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Fewest characters of an assigned value, and so of a candidate.
+MIN_TOKEN = 8
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_TOKEN)
+_MARKS = "+/_.=-"
+#: Ordinary tokens of this length or more are a sample of their own.
+LONG_TOKEN = 16
+_SORTS = [re.compile(p) for p in ("[0-9]", "[a-z]", "[A-Z]")]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a shorter first match never hides a longer one of the same run
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Values per kind that train an automaton, and the fewest that do.
@@ -47,13 +56,13 @@ Span = tuple[int, int, int]  # start, kind number, end
 
 
 def base_spans(text: str) -> tuple[list[Span], list[tuple[int, str]], list[tuple[int, int]]]:
-    """Base spans in order, labelled values ``(kind number, value)`` and the other long tokens' places."""
+    """Base spans in order, labelled values ``(kind number, value)`` and the places of the candidates."""
     spans: list[Span] = []
     values: list[tuple[int, str]] = []
     lowered = text.lower()
     if any(w in lowered for w in _WORDS):
         for m in ASSIGN.finditer(text):
-            if len(m[2]) >= 8:
+            if len(m[2]) >= MIN_TOKEN:
                 spans.append((m.start(), 0, m.end()))
                 values.append((0, m[2]))
     tokens = [m.span() for m in _TOKEN.finditer(text)]
@@ -64,29 +73,57 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, str]], list[tuple
                 values.append((kind, m[0]))
     spans.sort()
     if spans:
-        tokens = [(lo, hi) for lo, hi in tokens if not any(a < hi and lo < b for a, _, b in spans)]
+        tokens = _uncovered(tokens, spans)
     return spans, values, tokens
 
 
+def _uncovered(tokens: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """The parts of the tokens that no span covers, of ``MIN_TOKEN`` characters or more; both lists are in order."""
+    out, at, covered = [], 0, 0
+    for lo, hi in tokens:
+        while at < len(spans) and spans[at][0] < hi:  # covered: the furthest end of the spans so far
+            start, _, end = spans[at]
+            if start - max(lo, covered) >= MIN_TOKEN:
+                out.append((max(lo, covered), start))
+            covered = max(covered, end)
+            at += 1
+        if hi - max(lo, covered) >= MIN_TOKEN:
+            out.append((max(lo, covered), hi))
+    return out
+
+
+def _ordinary(token: str) -> int:
+    """Kind number of a candidate's sample: negative, by length and sorts of characters."""
+    return -1 - sum(1 << i for i, p in enumerate(_SORTS) if p.search(token)) - 8 * (len(token) < LONG_TOKEN)
+
+
 class Formats:
     """The trained automata; scores a token against ordinary text."""
 
     def __init__(self, values: dict[int, list[str]]):
         trained = {k: Automaton([shape(v[:TRAIN_CHARS]) for v in vs]) for k, vs in values.items() if len(vs) >= FEWEST}
-        self.ordinary = trained.pop(-1, None)
-        self.kinds = list(trained.values()) if self.ordinary else []
+        self.ordinary = [a for k, a in trained.items() if k < 0]
+        self.kinds = [a for k, a in trained.items() if k >= 0] if self.ordinary else []
 
     def scorer(self):
         @lru_cache(maxsize=1 << 16)
         def gain(classes: str) -> float:
-            return max(a.log_likelihood(classes) for a in self.kinds) - self.ordinary.log_likelihood(classes)
+            return max(a.log_likelihood(classes) for a in self.kinds) - max(a.log_likelihood(classes) for a in self.ordinary)
         return (lambda token: gain(shape(token))) if self.kinds else (lambda token: float("-inf"))
 
 
+def _explained(token: str, gain) -> bool:
+    """True where the token, or what its end marks enclose, looks like a credential."""
+    if gain(token) >= MARGIN:
+        return True
+    inner = token.strip(_MARKS)
+    return MIN_TOKEN <= len(inner) < len(token) and gain(inner) >= MARGIN
+
+
 def find_spans(text: str, gain) -> list[Span]:
     """All spans of a text, by start and kind."""
     spans, _, tokens = base_spans(text)
-    found = [(lo, 3, hi) for lo, hi in tokens if gain(text[lo:hi]) >= MARGIN]
+    found = [(lo, 3, hi) for lo, hi in tokens if _explained(text[lo:hi], gain)]
     return sorted(spans + found) if found else spans
 
 
@@ -102,8 +139,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Formats:
                     kinds.append(kind)
                     values.append(value[:TRAIN_CHARS])
                 for lo, hi in tokens:
-                    kinds.append(-1)
                     values.append(text[lo:min(hi, lo + TRAIN_CHARS)])
+                    kinds.append(_ordinary(values[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "value"])
 
     found = docs.select("text").mapInArrow(run, "kind int, value string")
