@@ -27,9 +27,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.topk import top_k
 from .grammar import Automaton, shape
 from .registry import read, register
 
@@ -144,12 +145,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Formats:
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "value"])
 
     found = docs.select("text").mapInArrow(run, "kind int, value string")
-    # the values with the smallest hashes per kind; each task passes on no more than that many
+    # the values with the smallest hashes per kind, ranked per salt of a kind before a kind is in one task
     best = found.groupBy("kind", "value").agg(F.min(F.xxhash64("value", "kind")).alias("h"))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    rows = best.withColumn("place", place).where(F.col("place") <= sample)
     values: dict[int, list[str]] = {}
-    for r in rows.select("kind", "value").collect():
+    for r in top_k(best, ["kind"], [F.col("h"), F.col("value")], sample).select("kind", "value").collect():
         values.setdefault(r["kind"], []).append(r["value"])
     return Formats(values)
 

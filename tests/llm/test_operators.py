@@ -247,6 +247,24 @@ def test_formats_generalise():
     assert redact("abcdef", [(0, 0, 3), (2, 2, 5)]) == f"{MARK}f"
 
 
+def test_secret_samples_are_ranked_in_two_stages(spark, monkeypatch):
+    from fleetspark.llm import secret_scan
+    taken, ranked = {}, []
+    monkeypatch.setattr(secret_scan, "Formats", taken.update)
+
+    def kept(df, keys, *rest):
+        ranked.append(keys)
+        return top_k(df, keys, *rest)
+
+    top_k = secret_scan.top_k
+    monkeypatch.setattr(secret_scan, "top_k", kept)
+    words = [f"{'abcdefghij'[i % 10]}kLmnopqr{i:05d}" for i in range(3000)]
+    secret_scan.fit(spark.createDataFrame([(w,) for w in words * 2], "text string").repartition(7), 40)
+    by_hash = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"xxhash64(w, {min(taken)}) h")
+    assert ranked == [["kind"]] and len(taken) == 1
+    assert sorted(taken[min(taken)]) == sorted(r.w for r in by_hash.orderBy("h", "w").limit(40).collect())
+
+
 def test_secrets_beside_base_spans_and_short_ones():
     import random
     import string
