@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import read, register
@@ -125,14 +125,15 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     n_blocks = max(1, math.ceil(n_rows / candidate_block))
     n_query_blocks = max(1, math.ceil(n_queries / query_block))
 
-    def dealt(df: DataFrame, own: int, other: int, own_col: str, other_col: str) -> DataFrame:
-        # the row's own block from its whole content, so copies of an id spread as well
+    def dealt(df: DataFrame, block: Column, own: int, other: int, own_col: str, other_col: str) -> DataFrame:
         return (df.withColumn("dims", F.size("q"))
-                .withColumn(own_col, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(own)).cast("int"))
+                .withColumn(own_col, F.pmod(block, F.lit(own)).cast("int"))
                 .withColumn(other_col, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))))
 
-    left = dealt(vectors, n_blocks, n_query_blocks, "c_block", "q_block")
-    right = dealt(queries, n_query_blocks, n_blocks, "q_block", "c_block")
+    # candidates by their place in the scan as well, so that copies of a row spread; queries differ in content and
+    # come out of a shuffle, whose order a repeated task need not keep, so their block is data
+    left = dealt(vectors, F.xxhash64("vec_id", F.monotonically_increasing_id()), n_blocks, n_query_blocks, "c_block", "q_block")
+    right = dealt(queries, F.xxhash64("vec_id", "q"), n_query_blocks, n_blocks, "q_block", "c_block")
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:

@@ -419,6 +419,25 @@ def test_topk(spark, sf):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_query_blocks_are_data(spark):
+    """Several blocks on both sides, and no row number drawn after the queries' shuffle."""
+    from fleetspark.llm.topk_search import top_k
+    rng = np.random.default_rng(9)
+    x = rng.integers(-50, 50, (300, 4))
+    rows = [(i % 290, [int(c) for c in x[i]]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    found = top_k(spark, vectors, vectors.where("vec_id % 3 = 0"), 5, candidate_block=40, query_block=20)
+    assert found._jdf.queryExecution().analyzed().toString().count("monotonically_increasing_id()") == 1  # candidates
+    expected = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 3 == 0}:
+        expected += [(q, -sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q]
+    got = sorted((r.query_id, r["rank"], -r.score, r.vec_id) for r in found.collect())
+    best = {}
+    for q, s, i in sorted(expected):
+        best.setdefault(q, []).append((s, i))
+    assert got == [(q, n + 1, *best[q][n]) for q in sorted(best) for n in range(5)]
+
+
 def test_threshold_stops_early_and_stays_exact():
     from fleetspark.llm.topk_search import threshold_topk
     rng = np.random.default_rng(6)
