@@ -9,14 +9,16 @@ in blocks of exact cosine products, and its ``NEIGHBOURS`` nearest vote with
 their similarity as weight.
 
 Document frequencies count all documents.  The labelled sample is the
-``SAMPLE`` ids with the smallest hash, a documented bound of the classifier.
+``SAMPLE`` labelled ids of documents with the smallest hash, and of their
+distinct texts the ``SAMPLE`` with the smallest hash, a documented bound of
+the classifier; repeated labels and rows change nothing.
 
 Defined cases: null and empty texts have the zero vector, are nearest to
 nothing and get the sample's share of label 1; rows without ``doc_id`` are
 scored, never learnt from; without labels every score is 0.5; texts of any
-length are read whole, in slices cut at white space (a group of characters
-or a repeat across two slices is not counted); an empty table gives an empty
-result; extra columns are ignored.
+length are read whole, in slices cut at white space (repeats are counted over
+all slices of a text, a group of characters across two slices is not); an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,6 +79,14 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     counts, totals = np.zeros((n, TERMS), np.float32), np.zeros((n, 2))
     shift = np.uint32(32 - TERM_BITS)
+    tail, tail_of, held = np.zeros(0, np.uint64), -1, []  # the last words and the triples of a text that may go on
+
+    def count_held() -> None:
+        if held:
+            triples = np.sort(np.concatenate(held))
+            counts[tail_of, -1] += np.count_nonzero(triples[1:] == triples[:-1])
+            held.clear()
+
     for numbers, part in text_slices(texts):
         rows = np.array(numbers)
         joined = "\x00".join(part) + "\x00"
@@ -96,17 +106,28 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             counts[rows[0]:rows[-1] + 1] += got.reshape(-1, TERMS)
             totals[:, 0] += np.bincount(own[ok], minlength=n)
         words, at = word_hashes(part)
-        if len(words):
-            of = rows[at]
-            totals[:, 1] += np.bincount(of, minlength=n)
-            same = np.r_[False, (words[1:] == words[:-1]) & (at[1:] == at[:-1])]
-            counts[:, -2] += np.bincount(of[same], minlength=n)
-            triple = mix(words[2:] ^ mix(words[1:-1] ^ mix(words[:-2] + at[2:].astype(np.uint64))))
-            whole = at[2:] == at[:-2]
-            triple, own = triple[whole], of[2:][whole]
-            order = np.argsort(triple, kind="stable")
-            again = np.r_[False, triple[order][1:] == triple[order][:-1]] if len(order) else np.zeros(0, bool)
-            counts[:, -1] += np.bincount(own[order][again], minlength=n)
+        if rows[0] != tail_of:
+            count_held()
+            tail, tail_of = tail[:0], rows[0]
+        totals[:, 1] += np.bincount(rows[at], minlength=n)
+        words, of = np.r_[tail, words], np.r_[np.full(len(tail), tail_of), rows[at]]
+        new = np.arange(len(words)) >= len(tail)
+        same = np.r_[False, (words[1:] == words[:-1]) & (of[1:] == of[:-1])][:len(words)] & new
+        counts[:, -2] += np.bincount(of[same], minlength=n)
+        triple = mix(words[2:] ^ mix(words[1:-1] ^ mix(words[:-2])))
+        whole = (of[2:] == of[:-2]) & new[2:]
+        triple, own = triple[whole], of[2:][whole]
+        held.append(triple[own == tail_of])
+        if rows[-1] != tail_of:
+            count_held()
+            order = np.lexsort((triple, own))
+            triple, own = triple[order], own[order]
+            again = (triple[1:] == triple[:-1]) & (own[1:] == own[:-1]) & (own[1:] != tail_of) & (own[1:] != rows[-1])
+            counts[:, -1] += np.bincount(own[1:][again], minlength=n)
+            tail_of = rows[-1]
+            held.append(triple[own == tail_of])
+        tail = words[of == tail_of][-2:]
+    count_held()
     return counts, totals
 
 
@@ -154,17 +175,19 @@ class Model:
 
 
 def fit(rows: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``text, label`` rows (at most ``sample``) and all ``docs``."""
+    """A model from ``doc_id, text, label`` rows (at most ``sample`` of the distinct ones) and all ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches):
             counts, totals = term_counts(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.FixedSizeListArray.from_arrays(counts.ravel(), TERMS).cast(pa.list_(pa.float32())),
-                 pa.array(totals[:, 0]), pa.array(totals[:, 1])], ["label", "counts", "n_terms", "n_words"])
+                [part.column("h"), part.column("doc_id"), part.column("label"), pa.FixedSizeListArray.from_arrays(counts.ravel(), TERMS).cast(pa.list_(pa.float32())),
+                 pa.array(totals[:, 0]), pa.array(totals[:, 1])], ["h", "doc_id", "label", "counts", "n_terms", "n_words"])
 
     idf = inverse_frequencies(docs)
-    found = (rows.select("text", "label").mapInArrow(run, "label int, counts array<float>, n_terms double, n_words double")
-             .limit(sample).toArrow())  # an id may stand in several rows
+    found = (rows.groupBy("doc_id", "text").agg(F.max("label").alias("label"))  # an id may stand in several rows
+             .select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text", "label")
+             .mapInArrow(run, "h long, doc_id long, label int, counts array<float>, n_terms double, n_words double")
+             .orderBy("h", "doc_id", "n_terms", "n_words").limit(sample).toArrow())
     if not found.num_rows:
         return Model(idf, np.zeros((TERMS, AXES), np.float32), np.zeros((0, AXES), np.float32), np.zeros(0, np.float32))
     counts = found.column("counts").combine_chunks().flatten().to_numpy().reshape(found.num_rows, TERMS)
@@ -206,9 +229,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
         run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The ``sample`` label rows with the smallest hashes of their ids."""
-    return labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def sample_labels(labels: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, quality`` of the ``sample`` labelled ids of ``docs`` with the smallest hashes; the greatest label of an id."""
+    known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    return (known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
 
 @register("op7_quality_classifier")
@@ -216,5 +241,5 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt outside the held-out quarter."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = read(spark, sf_dir, "labels").where(learnable(F.col("doc_id"), 4, 2) & F.col("quality").isin(0, 1))
-    model = fit(with_label(docs, sample_labels(labels), "quality"), docs)
+    model = fit(with_label(docs, sample_labels(labels, docs), "quality"), docs)
     return score(spark, docs.withColumn("held_out", held_out(F.col("doc_id"), 4, 2)), model)

@@ -311,6 +311,41 @@ def test_vote_is_exact():
         assert g == pytest.approx((w * labels[near]).sum() / w.sum(), abs=1e-5)
 
 
+def test_quality_sample_holds_distinct_labelled_documents(spark):
+    from fleetspark.llm.labelled import with_label
+    from fleetspark.llm.quality_knn import fit, sample_labels
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7 + 3)) for i in range(40)] + [(3, "text 3 " * 6)] * 400,
+                                 "doc_id long, text string").repartition(5)
+    labels = [(i, i % 2) for i in range(40)] + [(3, 1)] * 300 + [(i, 1) for i in range(1000, 1200)]  # the last have no document
+    labels = spark.createDataFrame(labels, "doc_id long, quality int").repartition(5)
+    chosen = sample_labels(labels, docs, 30)
+    ids = {r.doc_id for r in chosen.collect()}
+    assert len(ids) == 30 and ids <= set(range(40))
+    for _ in range(2):  # copies of a row take no place, and neither the deal nor the arrival of rows matters
+        model = fit(with_label(docs, chosen, "quality"), docs, 30)
+        assert sorted(model.labels) == sorted(i % 2 for i in ids)
+        docs = docs.repartition(3, "text")
+    assert len(fit(with_label(docs, labels, "quality"), docs, 60).labels) == 40
+
+
+def test_repeats_are_counted_over_slices(monkeypatch):
+    import pyarrow as pa
+
+    from fleetspark.llm import quality_knn, slices
+    rng = np.random.default_rng(3)
+    words = [" ".join(rng.choice(["ab", "cd", "ef"], n)) for n in (200, 0, 3, 1, 2, 90)]
+    texts = pa.array([*words, None, "x y z x y z", "x y z", words[0]])
+    whole, totals = quality_knn.term_counts(texts)
+    lists = [(t or "").split() for t in texts.to_pylist()]
+    triples = [list(zip(w, w[1:], w[2:])) for w in lists]
+    assert list(whole[:, -1]) == [len(t) - len(set(t)) for t in triples]
+    assert list(whole[:, -2]) == [sum(a == b for a, b in zip(w, w[1:])) for w in lists]
+    for size in (16, 64, 300):
+        monkeypatch.setattr(quality_knn, "text_slices", lambda column: slices.text_slices(column, size))
+        counts, sliced = quality_knn.term_counts(texts)
+        assert np.array_equal(counts[:, -2:], whole[:, -2:]) and np.array_equal(sliced[:, 1], totals[:, 1])
+
+
 def test_language_id(spark, sf, docs):
     rows = run(spark, "op8_language_id", sf)
     assert len(rows) == len(docs)
