@@ -348,22 +348,28 @@ FROM (
   FROM events) d
 """
 
-# Every line of every text, half of them replaced by workflow shapes.  The
-# engines split a text differently, so only that part has two spellings.
+# Every line of every text as it is, and a workflow shape beside half of them
+# as a further row, numbered below zero.  The engines split a text
+# differently, so only that part has two spellings.
 _LINES = """
-SELECT 'repo-' || source AS repo, doc_id * 1000000 + i AS line_no,
-       CASE (doc_id + i) % 14 WHEN 0 THEN '    runs-on: ubuntu-latest' WHEN 1 THEN '  runs-on: [self-hosted, old]'
+SELECT 'repo-' || source AS repo, CASE WHEN shape THEN -1 - k ELSE k END AS line_no,
+       CASE WHEN NOT shape THEN line ELSE
+       CASE k0 %% 14 WHEN 0 THEN '    runs-on: ubuntu-latest' WHEN 1 THEN '  runs-on: [self-hosted, old]'
             WHEN 2 THEN 'runs-on: ${{ matrix.os }}' WHEN 3 THEN '      uses: actions/checkout@v4 # ' || line
             WHEN 4 THEN '      uses: ./local' WHEN 5 THEN 'runs-on: [self-hosted, windows]'
-            WHEN 6 THEN 'name: ' || line ELSE line END AS text
-"""
-VIEWS["fx_workflow_lines"] = _LINES + """
-FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-             generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-"""
-SPARK_VIEWS = {"fx_workflow_lines": _LINES + """
-FROM (SELECT doc_id, source, line, i0 + 1 AS i FROM documents LATERAL VIEW posexplode(split(text, '\\n')) AS i0, line)
+            ELSE 'name: ' || line END END AS text
+FROM (SELECT source, line, doc_id * 1000000 + i AS k, doc_id + i AS k0, false AS shape FROM (%(split)s) a
+      UNION ALL
+      SELECT source, line, doc_id * 1000000 + i AS k, doc_id + i AS k0, true AS shape FROM (%(split)s) b
+      WHERE (doc_id + i) %% 14 < 7) l
+"""
+VIEWS["fx_workflow_lines"] = _LINES % {"split": """
+SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+       generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
 """}
+SPARK_VIEWS = {"fx_workflow_lines": _LINES % {"split": """
+SELECT doc_id, source, line, i0 + 1 AS i FROM documents LATERAL VIEW posexplode(split(text, '\\n')) AS i0, line
+"""}}
 
 _TABLE_RE = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b", re.IGNORECASE)
 
