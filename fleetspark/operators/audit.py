@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import MAX_TOTAL_PAGES  # noqa: F401
+from .numbering import number_rows
 
 CANDIDATE_KEY = ("image_name", "cpu", "memory_gib", "disk_gib", "gpu", "sandbox_class", "regions_key")
 
@@ -186,18 +187,13 @@ def duplicate_candidates(snaps: DataFrame) -> DataFrame:
 def candidate_numbering(candidates: DataFrame) -> DataFrame:
     """``candidate-NNN`` in order of the key rendered as text.
 
-    A candidate's number is its place among those with the same first
-    characters plus the candidates before those: every window holds one
-    prefix, and the running total is over one row per prefix.
+    Numbers come from sampled ranges of the whole key, so candidates that all
+    share a registry host (or any other beginning) still spread over tasks.
     """
     order = F.concat_ws("|", *[F.col(c).cast("string") for c in CANDIDATE_KEY])
-    keyed = candidates.withColumn("_key", order).withColumn("_prefix", F.substring("_key", 1, 12))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("_prefix").orderBy("_key"))
-    return (keyed.join(starts, "_prefix").withColumn("candidate_id", F.format_string("candidate-%03d", place))
-            .select(*candidates.columns, "candidate_id"))
+    numbered = number_rows(candidates.withColumn("_key", order), ["_key"], name="_number")
+    return numbered.withColumn("candidate_id", F.format_string("candidate-%03d", F.col("_number"))).select(
+        *candidates.columns, "candidate_id")
 
 
 def candidate_members(snaps: DataFrame, numbered: DataFrame) -> DataFrame:
