@@ -36,6 +36,8 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
     labels = [(r[0], i % 2, int(i % 5 == 0)) for i, r in enumerate(rows)] + [(1, None, None), (None, 1, 1), (2, 0, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    bench = [(0, rows[0][1], "x"), (1, rows[1][1], "y"), (2, None, "z"), (2, None, "z"), (None, "", None), (3, "Ab ab 12 é", "w")]
+    spark.createDataFrame(bench, "item_id long, text string, doc_id string").write.parquet(f"{path}/benchmark.parquet")
     nan, inf = float("nan"), float("inf")
     rng = random.Random(5)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(130)]
@@ -51,6 +53,7 @@ def empty_sf(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
