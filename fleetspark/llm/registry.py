@@ -33,4 +33,4 @@ def load_all() -> None:
 
 
 MODULES = ["packing", "mixing", "quality_rules", "suffix_dedup", "toxicity", "secret_scan", "quality_knn", "language_id",
-           "simhash", "topk_search", "periodic", "importance"]
+           "simhash", "topk_search", "sanitise", "periodic", "importance"]
