@@ -19,7 +19,7 @@ becomes a span ``term`` wherever it stands outside base spans: it is
 generalised to its shape where that stays below the threshold, else removed.
 
 The texts are read twice.  The first pass emits evidence with the terms of
-passages that hold an entity, and the terms of every 64th passage by hash:
+passages that hold an entity, and the terms of every 16th passage by hash:
 these give each term a certain lower bound of n(t), and only terms that may
 still reach the threshold go on (nothing is lost, the bound is exact).  The
 second pass counts those in all passages and remembers where they stand.  The
@@ -48,7 +48,9 @@ from .terms import Terms, term_blocks
 
 THRESHOLD = 0.85
 #: One passage in so many, by hash, gives the lower bound of a term's count.
-SAMPLED = 64
+SAMPLED = 16
+#: Parts into which the rows of one key are dealt where they meet the one row that all of them look up.
+SALTS = 32
 #: Bits of the table that tells tasks which terms to remember (a broadcast of at most 4 MB).
 TABLE_BITS = 22
 
@@ -137,14 +139,21 @@ def _may_reach(m: Column, n_e: Column, least_t: Column, n: Column, threshold: fl
     return (n > n_e) & (_trust(m) * _trust(n_e) * pmi / ic >= threshold)
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
+    """``rows`` joined with the one row of ``table`` for their ``key``; a key's rows are split by ``by``."""
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(table, [key, "_salt"]).drop("_salt")
+
+
 def candidates(observed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``term, entity, m, n_e, n`` of the pairs that may reach the threshold."""
     n = observed.where(F.col("what") == _PASSAGE).agg(F.count(F.lit(1)).alias("n"))
     evidence = observed.where(F.col("what") == _EVIDENCE).groupBy(F.col("a").alias("entity"), "term").agg(F.count(F.lit(1)).alias("m"))
     sizes = evidence.where("term = 0").select("entity", F.col("m").alias("n_e"))
     bound = observed.where(F.col("what") == _BOUND).groupBy("term").agg(F.count(F.lit(1)).alias("least_t"))
-    # m alone decides for most pairs; one row of n joins by cross product
-    pairs = evidence.where(F.col("term") != 0).where(_trust(F.col("m")) >= threshold).join(sizes, "entity")
+    # m alone decides for most pairs; a kind or a common value has many terms; n is one row
+    pairs = _looked_up(evidence.where(F.col("term") != 0).where(_trust(F.col("m")) >= threshold),
+                       sizes.where(_trust(F.col("n_e")) >= threshold), "entity", F.col("term"))
     pairs = pairs.join(bound, "term", "left").crossJoin(F.broadcast(n))
     least_t = F.coalesce("least_t", F.lit(1))
     return (pairs.where(_may_reach(F.col("m"), F.col("n_e"), least_t, F.col("n"), threshold))
@@ -232,13 +241,13 @@ def find(spark: SparkSession, rows: DataFrame, threshold: float = THRESHOLD) ->
     pairs = stage(spark, candidates(stage(spark, observe(rows), "sanitise-observed"), threshold), "sanitise-pairs")
     scanned = stage(spark, scan(rows, bit_table(pairs)), "sanitise-scan")
     known = disclosing(scanned, pairs, threshold).select("term")
-    free = _places(scanned).where("free").select("row_id", "starts", "ends", "terms", "shapes")
-    as_term = known.select(F.col("term").alias("terms"), F.lit(True).alias("by_term"))
-    as_shape = known.select(F.col("term").alias("shapes"), F.lit(True).alias("by_shape"))
-    hits = free.join(as_term, "terms", "left").join(as_shape, "shapes", "left").where("by_term or by_shape")
-    general = F.col("by_shape").isNull() & F.col("digits")
-    hits = hits.withColumn("digits", F.col("shapes") != 0).select(
-        "row_id", F.struct(F.col("starts").alias("start"), F.col("ends").alias("end"), general.alias("general")).alias("f"))
+    words = _places(scanned).where("free").select("row_id", "starts", "ends", (F.col("shapes") != 0).alias("digits"), F.explode(F.array(
+        F.struct(F.col("terms").alias("term"), F.lit(False).alias("by_shape")),
+        F.struct(F.col("shapes").alias("term"), F.lit(True).alias("by_shape")))).alias("k"))
+    words = words.select("row_id", "starts", "ends", "digits", "k.*").where("term <> 0")
+    hits = _looked_up(words, known, "term", F.col("row_id")).groupBy("row_id", "starts", "ends").agg(
+        (F.bool_and("digits") & ~F.bool_or("by_shape")).alias("general"))
+    hits = hits.select("row_id", F.struct(F.col("starts").alias("start"), F.col("ends").alias("end"), "general").alias("f"))
     grouped = hits.groupBy("row_id").agg(F.array_sort(F.collect_list("f")).alias("found"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,general:boolean>>)")
     return scanned.select("row_id", "doc_id", *_KEPT).join(grouped, "row_id", "left").withColumn("found", F.coalesce("found", none))
