@@ -160,7 +160,8 @@ def test_rare_numbers_follow_their_shape(spark):
     assert all("1234567890123456" not in got[i].text and "<removed>" in got[i].text for i in (3, 8))
     assert got[500].text is None and got[501].text == "" and got[502].text == " \n\t" and got[3].base == "kept"
     assert "<card>" in got[0].text and "<email>" in got[9].text
-    clean = [i for i, t in rows[:220] if i is not None and not naive_spans(t) and i not in (3, 8, 12)]
+    # id 1 stands for several texts
+    clean = [i for i, t in rows[:220] if not naive_spans(t) and i not in (1, 3, 8, 12)]
     assert len(clean) > 100 and all(got[i].text == rows[i][1] for i in clean)
 
 
