@@ -46,6 +46,8 @@ LONG_STRETCH = 128
 #: Tokens per block of the dynamic programme, and windows of a block left open for the next.
 BLOCK = 1 << 17
 OPEN_WINDOWS = 4
+#: Characters of texts that are encoded in one go.
+GROUP_CHARS = 1 << 17
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -56,13 +58,18 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY) ->
     ``pos`` ascends in steps of at most ``capacity``; ``penalty[j]`` is the
     cost of a cut at ``pos[j]``.
     """
-    exact: dict[int, list[int]] = {}
+    ends, starts = [], []  # pairs of places exactly a power of two apart
     length = 1
     while length <= capacity:
         i = np.searchsorted(pos, pos - length)
-        for j in np.flatnonzero((pos >= pos[0] + length) & (pos[i] == pos - length)).tolist():
-            exact.setdefault(j, []).append(int(i[j]))
+        j = np.flatnonzero((pos >= pos[0] + length) & (pos[i] == pos - length))
+        ends.append(j)
+        starts.append(i[j])
         length *= 2
+    pairs = np.concatenate(ends)
+    exact = np.concatenate(starts)[np.argsort(pairs, kind="stable")].tolist()
+    upto = np.cumsum(np.bincount(pairs, minlength=len(pos))).tolist()
+    paired = 0
     at, pen = pos.tolist(), penalty.tolist()
     best, back, key = [0] * len(at), [0] * len(at), [at[0]] * len(at)
     queue = deque([0])  # cut candidates by position, their key = best + position ascending
@@ -72,9 +79,11 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY) ->
             queue.popleft()
         i = queue[0]
         cost = key[i] + capacity - here
-        for e in exact.get(j, ()):
-            if best[e] < cost:
-                cost, i = best[e], e
+        if upto[j] > paired:
+            for e in exact[paired:upto[j]]:
+                if best[e] < cost:
+                    cost, i = best[e], e
+            paired = upto[j]
         best[j] = cost = cost + pen[j] + WINDOW_COST
         back[j] = i
         key[j] = k = cost + here
@@ -112,19 +121,22 @@ class Packer:
         self.end = 0
         self.pieces: list[list] = []
 
-    def add(self, ids: bytes, sentence_ends: np.ndarray) -> None:
+    def add(self, doc_ids: list, ids: bytes, sentence_ends: np.ndarray, doc_ends: np.ndarray) -> None:
+        """Tokens of some texts: the open one goes on first, the texts ``doc_ids`` begin, ``doc_ends`` tells where texts end."""
+        ends = deque((self.end + doc_ends).tolist())
+        start = self.end
+        if self.docs and self.docs[-1][2] is None and ends:
+            start = self.docs[-1][2] = ends.popleft()
+        for doc_id in doc_ids:
+            end = ends.popleft() if ends else None
+            self.docs.append([doc_id, start, end])
+            start = end
         self.places.append(self.end + sentence_ends)
         self.ids += ids
         self.end += len(ids) // 4
         if self.end - self.base >= BLOCK:
             self.pack(final=False)
 
-    def open(self, doc_id) -> None:
-        self.docs.append([doc_id, self.end, None])
-
-    def close(self) -> None:
-        self.docs[-1][2] = self.end
-
     def pack(self, final: bool) -> None:
         if self.end == self.base:
             return
@@ -184,20 +196,35 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str], list[bool]]]:
+    """``(ids of the texts that begin, parts of texts, whether a part is its text's last)``, ``GROUP_CHARS`` or one part at a time."""
+    ids, parts, closes, size = [], [], [], 0
+    for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+        begins = True
+        for part in slices(text.as_py() or ""):
+            if not begins:
+                closes[-1:] = [False]
+            if parts and size + len(part) > GROUP_CHARS:
+                yield ids, parts, closes
+                ids, parts, closes, size = [], [], [], 0
+            if begins:
+                ids.append(doc_id.as_py())
+            parts.append(part)
+            closes.append(True)
+            size += len(part)
+            begins = False
+    if parts:
+        yield ids, parts, closes
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """The pieces of ``doc_id, text`` in windows; see ``SCHEMA``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_ids(tokenizer)
+        table = word_ids(tokenizer, end_id)
         packer = Packer(TaskContext.get().partitionId() << 33, capacity)
-        closing = np.array([end_id], "<u4").tobytes()
-        nowhere = np.zeros(0, np.int64)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                packer.open(doc_id.as_py())
-                for part in slices(text.as_py() or ""):
-                    packer.add(*encode(part, table))
-                packer.add(closing, nowhere)
-                packer.close()
+            for ids, texts, closes in _groups(batch):
+                packer.add(ids, *encode(texts, closes, table))
             if (out := packer.take()) is not None:
                 yield out
         packer.pack(final=True)

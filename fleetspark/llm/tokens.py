@@ -10,6 +10,7 @@ one call and told apart by the vocabulary's end-of-word tokens.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,20 +18,24 @@ import numpy as np
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces remembered by a worker; beyond that the table starts anew.
 CACHE_WORDS = 1_000_000
+CACHE_IDS = 8_000_000
 #: Longer pieces are encoded each time.
 CACHE_WORD_CHARS = 64
 #: Characters of a text handled at once.
 SLICE_CHARS = 1 << 19
 
-# a run of marks after a letter and before white space; the apostrophe may belong to a contraction
-_MARKS = re.compile(r"(?<=[a-zà-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
+# a run of marks after a letter and before white space (the first mark is sought first, which is the rarer one);
+# the apostrophe may belong to a contraction
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-zà-öø-ÿ].)[!-&(-/:-@\[-`{-~]*(?=[ \n])", re.S)
 _STOPS = frozenset(("\n", ".", "!", "?", "..."))
+#: Stands for the end of a text among its pieces, which hold no space.
+_END = " end"
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian uint32 bytes, filled on demand."""
+    """Piece -> its number, filled on demand; arrays hold each number's ids, their count and whether a sentence or line ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
@@ -40,46 +45,72 @@ class WordIds(dict):
         vocabulary = tokenizer.get_vocab()
         self._word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self._word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._end_id = end_id
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.update({"\n": b"", "": b""})
+        self._ids, self._first, self._count, self._stops = array("I"), array("q"), array("q"), array("b")
+        self["\n"] = self._add([], True)
+        self[""] = self._add([], False)
+        self[_END] = self._add([self._end_id], False)
+
+    def _add(self, ids, stops: bool) -> int:
+        self._first.append(len(self._ids))
+        self._count.append(len(ids))
+        self._stops.append(stops)
+        self._ids.extend(ids)
+        return len(self._first) - 1
 
     def has_special(self, text: str) -> bool:
         """True if the text may hold one of the vocabulary's special strings."""
         return any(s[:2] in text for s in self._specials)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHE_WORD_CHARS:
-            self[word] = ids
-        return ids
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the plain ones among new ``words`` in one call."""
-        if len(self) >= CACHE_WORDS:
+    def number(self, piece: str) -> int:
+        """The number of a piece; one of a long piece holds until the table starts anew."""
+        known = self.get(piece)
+        if known is None:
+            known = self._add(self._encode(piece, add_special_tokens=False).ids, piece in _STOPS)
+            if len(piece) <= CACHE_WORD_CHARS:
+                self[piece] = known
+        return known
+
+    def make_room(self) -> None:
+        """Starts anew when too much is remembered; numbers given out before no longer hold."""
+        if len(self._first) >= CACHE_WORDS or len(self._ids) >= CACHE_IDS:
             self._reset()
-        new = [w for w in words if w.isalpha() and len(w) <= CACHE_WORD_CHARS]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes the plain ones among new ``pieces`` in one call."""
+        new = [w for w in pieces if w.isalpha() and len(w) <= CACHE_WORD_CHARS]
         if not new:
             return
         ids = np.array(self._encode_batch([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self._word_end[ids]) + 1
         if len(ends) == len(new):  # else they are encoded one by one
-            data, cuts = ids.tobytes(), (4 * ends).tolist()
-            self.update(zip(new, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+            listed, at = ids.tolist(), 0
+            for piece, end in zip(new, ends.tolist()):
+                self[piece] = self._add(listed[at:end], False)
+                at = end
+
+    def lines(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the numbered pieces one after another, the id counts after each, and where a sentence or line ends."""
+        first, count = np.frombuffer(self._first, np.int64)[numbers], np.frombuffer(self._count, np.int64)[numbers]
+        ends = np.cumsum(count)
+        where = np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+        return np.frombuffer(self._ids, np.uint32)[where].astype("<u4", copy=False), ends, np.frombuffer(self._stops, bool)[numbers]
 
 
-_TABLES: dict[str, WordIds] = {}
+_TABLES: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(name: str = TOKENIZER) -> WordIds:
+def word_ids(name: str = TOKENIZER, end_id: int = 2) -> WordIds:
     """This worker's table for a vocabulary file of the public tokenizers."""
     import public_tokenizers
-    path = public_tokenizers.path(name)
-    if path not in _TABLES:
-        _TABLES[path] = WordIds(path)
-    return _TABLES[path]
+    key = public_tokenizers.path(name), end_id
+    if key not in _TABLES:
+        _TABLES[key] = WordIds(*key)
+    return _TABLES[key]
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
@@ -97,15 +128,29 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[lo:]
 
 
-def encode(text: str, table: WordIds) -> tuple[bytes, np.ndarray]:
-    """Ids of a text (uint32 bytes) and the id counts before which a sentence or line ends."""
+def _pieces(text: str, table: WordIds) -> list[str]:
     if not table.has_special(text):
-        text = _MARKS.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-    pieces = text.replace("\n", " \n ").split(" ")
-    ids = list(map(table.get, pieces))
-    if None in ids:
-        table.learn({w for w, known in zip(pieces, ids) if known is None})
-        ids = [table[w] if known is None else known for w, known in zip(pieces, ids)]
-    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-    stops = np.fromiter(map(_STOPS.__contains__, pieces), bool, len(pieces))
-    return b"".join(ids), np.unique(ends[stops])
+        text = _MARKS.sub(r" \g<0>", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    return text.replace("\n", " \n ").split(" ")
+
+
+def encode(texts: list[str], closes: list[bool], table: WordIds) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Ids of texts one after another, the end id after each that ``closes``.
+
+    Returns the ids (uint32 bytes), the id counts before which a sentence or
+    line ends, and those at which each closing text ends.
+    """
+    table.make_room()
+    pieces: list[str] = []
+    last = []
+    for text, ends in zip(texts, closes):
+        pieces += _pieces(text, table)
+        if ends:
+            last.append(len(pieces))
+            pieces.append(_END)
+    numbers = list(map(table.get, pieces))
+    if None in numbers:
+        table.learn({w for w, known in zip(pieces, numbers) if known is None})
+        numbers = [table.number(w) if known is None else known for w, known in zip(pieces, numbers)]
+    ids, ends, stops = table.lines(np.array(numbers, np.int64))
+    return ids.tobytes(), np.unique(ends[stops]), ends[last]
