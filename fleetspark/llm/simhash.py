@@ -218,9 +218,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+#: Up to so many dropped rows are told by broadcast (8 bytes each); beyond that they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group."""
     rows = numbered(spark, docs, "simhash-rows")
     texts = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
-    keepers = near_duplicates(spark, texts).where("row_id = keeper").select("row_id")
-    return rows.join(keepers, "row_id", "left_semi").select("row.*")
+    dropped = near_duplicates(spark, texts).where("row_id <> keeper").select("row_id")
+    dropped = stage(spark, dropped, "simhash-dropped")
+    few = dropped.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return rows.join(F.broadcast(dropped) if few else dropped, "row_id", "left_anti").select("row.*")
