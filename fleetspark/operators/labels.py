@@ -1,11 +1,12 @@
 """Label-set matching.
 
 Both matches are containment tests between a job's labels and the size
-classes.  Jobs are reduced to their distinct label sets, sets and classes
-meet in an equi-join on the single labels, a count of the labels met tells
-which class contains which set, and the answer goes back to the jobs by an
-equi-join on the set.  Nothing is collected, and neither side needs to be
-small.  A stream, which cannot wait for all label sets, takes the classes'
+classes.  Jobs are reduced to their distinct label sets.  The contained side
+is filed under its rarest label alone, rarity counted on the containing side,
+so that labels which everything shares (every runner is self-hosted) bring no
+pairs together; the pairs that meet there are verified with ``array_except``,
+and the answer goes back to the jobs by an equi-join on the set.  Nothing is
+collected, and neither side needs to be small.  A stream, which cannot wait for all label sets, takes the classes'
 label sets as an explicit list instead (:func:`label_sets`).
 """
 
@@ -38,6 +39,29 @@ def required_labels_filter(jobs: DataFrame, required: list[str], labels_col: str
     return jobs.filter(subset_of(req, F.col(labels_col)))
 
 
+def rarest_label(parts: DataFrame, containing: DataFrame) -> DataFrame:
+    """``part, label``: the label of each set ``part`` that the fewest sets of ``containing`` have.
+
+    Both frames hold one array column of distinct labels, ``part`` and
+    ``whole``.  A part with a label that no containing set has is left out:
+    nothing can contain it.  Ties go to the first label by code point.
+    """
+    n = containing.select(F.explode("whole").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    found = parts.select("part", F.explode("part").alias("label")).join(n, "label").groupBy("part").agg(
+        F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "label")).alias("least"))
+    return found.where(F.col("known") == F.size("part")).select("part", F.col("least.label").alias("label"))
+
+
+def contained_pairs(parts: DataFrame, containing: DataFrame) -> DataFrame:
+    """All ``part, whole`` (and further columns of ``containing``) where ``whole`` has every label of ``part``.
+
+    A part meets only the sets that have its rarest label.
+    """
+    filed = rarest_label(parts, containing.select("whole").distinct())
+    offered = containing.withColumn("label", F.explode("whole"))
+    return filed.join(offered, "label").where(subset_of(F.col("part"), F.col("whole"))).drop("label")
+
+
 def match_class(jobs: DataFrame, classes: DataFrame, labels_col: str = "labels",
                 required: list[str] | None = None, out_col: str = "size_class") -> DataFrame:
     """The smallest class whose labels contain all of the job's labels.
@@ -45,22 +69,18 @@ def match_class(jobs: DataFrame, classes: DataFrame, labels_col: str = "labels",
     ``classes`` has (name, labels array, class_pos).  Fewest labels wins
     (duplicates counted, as list length), ties go to the earlier class.
     Jobs with null or empty labels, or missing a required label, get null.
-
-    A class has to contain the whole set: the labels of a set that a class
-    has are as many as the set's labels.
     """
     job = label_set(F.col(labels_col))
     ok = F.coalesce(F.size(job) > 0, F.lit(False))
     if required:
         ok = ok & subset_of(F.array(*[F.lit(x) for x in required]), F.col(labels_col))
     keyed = jobs.withColumn("_set", F.when(ok, job))
-    sets = keyed.select("_set").where("_set is not null").distinct()
-    offered = classes.select(F.struct(F.size("labels").alias("n"), "class_pos", "name").alias("_class"),
-                             F.explode(F.array_distinct("labels")).alias("_label"))
-    met = (sets.select("_set", F.explode("_set").alias("_label")).join(offered, "_label")
-           .groupBy("_set", "_class").agg(F.count(F.lit(1)).alias("_met")).where(F.col("_met") == F.size("_set")))
-    best = met.groupBy("_set").agg(F.min("_class").alias("_best"))
-    return keyed.join(best, "_set", "left").select(*jobs.columns, F.col("_best.name").alias(out_col))
+    sets = keyed.select(F.col("_set").alias("part")).where("part is not null").distinct()
+    offered = classes.select(F.array_distinct("labels").alias("whole"),
+                             F.struct(F.size("labels").alias("n"), "class_pos", "name").alias("_class"))
+    best = contained_pairs(sets, offered).groupBy("part").agg(F.min("_class").alias("_best"))
+    return (keyed.join(best, F.col("_set") == F.col("part"), "left")
+            .select(*[keyed[c] for c in jobs.columns], F.col("_best.name").alias(out_col)))
 
 
 def webhook_labels_match(df: DataFrame, classes: DataFrame, labels_col: str = "labels",
@@ -73,15 +93,14 @@ def webhook_labels_match(df: DataFrame, classes: DataFrame, labels_col: str = "l
     """
     cleaned = label_set(clean_labels(F.col(labels_col)))
     keyed = df.withColumn("_set", F.when(F.size(cleaned) > 0, cleaned))
-    sets = keyed.select("_set").where("_set is not null").distinct()
-    offered = classes.select(F.col("class_pos"), F.coalesce(F.size(F.array_distinct("labels")), F.lit(0)).alias("_n"),
-                             F.explode_outer(F.array_distinct("labels")).alias("_label"))
-    met = (sets.select("_set", F.explode("_set").alias("_label")).join(offered, "_label")
-           .groupBy("_set", "class_pos", "_n").agg(F.count(F.lit(1)).alias("_met")).where("_met = _n")
-           .select("_set").distinct().withColumn("_hit", F.lit(True)))
-    bare = offered.agg(F.coalesce(F.max(F.col("_n") == 0), F.lit(False)).alias("_bare"))
+    sets = keyed.select(F.col("_set").alias("whole")).where("whole is not null").distinct()
+    listed = classes.select(label_set(F.coalesce("labels", F.array().cast("array<string>"))).alias("part")).distinct()
+    met = (contained_pairs(listed.where(F.size("part") > 0), sets).select(F.col("whole").alias("_whole")).distinct()
+           .withColumn("_hit", F.lit(True)))
+    bare = listed.agg(F.coalesce(F.max(F.size("part") == 0), F.lit(False)).alias("_bare"))
     hit = F.coalesce(F.col("_hit") | F.col("_bare"), F.col("_bare")) & F.col("_set").isNotNull()
-    return (keyed.join(met, "_set", "left").crossJoin(bare).select(*df.columns, hit.alias(out_col)))
+    return (keyed.join(met, F.col("_set") == F.col("_whole"), "left").crossJoin(bare)
+            .select(*[keyed[c] for c in df.columns], hit.alias(out_col)))
 
 
 def label_sets(sets: list[list[str]]) -> Column:
