@@ -128,6 +128,27 @@ def deadline_timers(states: DataFrame, as_of: Column, idle_deadline_secs: int, j
         "cycle_id", "state", F.when(idle_due, "idle_deadline").otherwise("job_max_secs").alias("timer"))
 
 
+def deadline_firings(events: DataFrame, until: Column, idle_deadline_secs: int, job_max_secs: int) -> DataFrame:
+    """T-4 (batch): cycles that missed a deadline before ``until``, as the stream of timers reports them.
+
+    A cycle is judged by the events up to its due time: IDLE at
+    ``spawned_at + idle_deadline`` (or when it comes online later), else BUSY
+    at ``busy_at + job_max``; at most one row each.
+    """
+    states = cycle_state(events)
+    ends = events.where(F.col("event").isin("completed", "deleted")).groupBy("cycle_id").agg(F.min("ts").alias("ended_at"))
+    j = states.where("online_at is not null").join(ends, "cycle_id", "left")
+    idle_due = F.greatest(F.col("spawned_at") + F.make_dt_interval(secs=F.lit(idle_deadline_secs)), "online_at")
+    busy_due = F.col("busy_at") + F.make_dt_interval(secs=F.lit(job_max_secs))
+    never = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+    ended, busy = F.coalesce("ended_at", never), F.coalesce("busy_at", never)
+    idle = (busy > idle_due) & (ended > idle_due)
+    due = F.when(idle, idle_due).when(ended > busy_due, busy_due)
+    return (j.withColumn("_idle", idle).withColumn("_due", due).where(F.col("_due") < until)
+            .select("cycle_id", F.when(F.col("_idle"), "IDLE").otherwise("BUSY").alias("state"),
+                    F.when(F.col("_idle"), "idle_deadline").otherwise("job_max_secs").alias("timer")))
+
+
 def failure_runs(polls: DataFrame, limit: int = SESSION_READ_MAX_ERRS) -> DataFrame:
     """The poll at which a cycle reaches ``limit`` consecutive unreadable
     polls with the runner confirmed idle (any other poll resets the streak).

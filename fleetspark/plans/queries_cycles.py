@@ -102,18 +102,40 @@ register("cycle_state", oracle_with(["fx_cycle_events"], _STATE_SQL + "SELECT *
 
 
 def _timers(spark, sf):
-    # the state as of the first week: more cycles are still live then
-    early = "2024-01-03 00:00:00"
-    states = cy.cycle_state(fixture(spark, sf, "fx_cycle_events"), ts_lit(early))
-    return cy.deadline_timers(states, ts_lit(early), IDLE_DEADLINE, JOB_MAX)
+    states = cy.cycle_state(fixture(spark, sf, "fx_timer_events"), ts_lit(EVENTS_AS_OF))
+    return cy.deadline_timers(states, ts_lit(EVENTS_AS_OF), IDLE_DEADLINE, JOB_MAX)
 
 
-register("deadline_timers", oracle_with(["fx_cycle_events"], _STATE_SQL.replace(EVENTS_AS_OF, "2024-01-03 00:00:00") + f"""
+register("deadline_timers", oracle_with(["fx_timer_events"], _STATE_SQL.replace("fx_cycle_events", "fx_timer_events") + f"""
 SELECT cycle_id, state, CASE WHEN state = 'IDLE' THEN 'idle_deadline' ELSE 'job_max_secs' END AS timer FROM st
-WHERE (state = 'IDLE' AND epoch(TIMESTAMP '2024-01-03 00:00:00') - epoch(spawned_at) > {IDLE_DEADLINE})
-   OR (state = 'BUSY' AND epoch(TIMESTAMP '2024-01-03 00:00:00') - epoch(busy_at) > {JOB_MAX})
+WHERE (state = 'IDLE' AND epoch(TIMESTAMP '{EVENTS_AS_OF}') - epoch(spawned_at) > {IDLE_DEADLINE})
+   OR (state = 'BUSY' AND epoch(TIMESTAMP '{EVENTS_AS_OF}') - epoch(busy_at) > {JOB_MAX})
 """))(_timers)
 
+#: What the stream of timers reports: the deadlines missed before the last event, by the events up to them.
+TIMER_ORACLE = oracle_with(["fx_timer_events"], f"""
+, e AS (SELECT cycle_id, min(ts) AS spawned, min(ts) FILTER (event = 'online') AS online,
+               min(ts) FILTER (event IN ('completed', 'deleted')) AS ended FROM fx_timer_events GROUP BY cycle_id),
+b AS (SELECT t.cycle_id, min(t.ts) AS busy FROM fx_timer_events t JOIN e USING (cycle_id)
+      WHERE t.event = 'busy' AND t.ts > e.online GROUP BY t.cycle_id),
+d AS (SELECT cycle_id, busy, ended, greatest(spawned + INTERVAL {IDLE_DEADLINE} SECOND, online) AS idle_due,
+             busy + INTERVAL {JOB_MAX} SECOND AS busy_due FROM e LEFT JOIN b USING (cycle_id) WHERE online IS NOT NULL),
+f AS (SELECT *, (busy IS NULL OR busy > idle_due) AND (ended IS NULL OR ended > idle_due) AS idle FROM d),
+w AS (SELECT max(ts) AS upto FROM fx_timer_events)
+SELECT cycle_id, 'IDLE' AS state, 'idle_deadline' AS timer FROM f, w WHERE idle AND idle_due < upto
+UNION ALL SELECT cycle_id, 'BUSY', 'job_max_secs' FROM f, w
+WHERE NOT idle AND busy IS NOT NULL AND (ended IS NULL OR ended > busy_due) AND busy_due < upto
+""")
+
+
+def _firings(spark, sf):
+    events = fixture(spark, sf, "fx_timer_events")
+    last = events.agg(F.max("ts").alias("ts")).first()["ts"]
+    return cy.deadline_firings(events, ts_lit(str(last)), IDLE_DEADLINE, JOB_MAX)
+
+
+register("deadline_firings", TIMER_ORACLE)(_firings)
+
 register("failure_runs", oracle_with(["fx_polls"], """
 , isl AS (SELECT *, sum(CASE WHEN result = 'unreadable_idle' THEN 0 ELSE 1 END)
                   OVER (PARTITION BY cycle_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island

@@ -1,5 +1,5 @@
 """Registered streaming queries: each drains a file stream of the driver
-table with ``availableNow`` and returns the written result (T-2, T-3, T-7)."""
+table with ``availableNow`` and returns the written result (T-1 to T-7)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..sources.fixtures import fixture_stream
 from ..streaming import cycle_state as cs
 from ..streaming import deliveries as ds
 from ..streaming.runner import read_all, read_latest, run_to_table
+from .queries_cycles import IDLE_DEADLINE, JOB_MAX, TIMER_ORACLE
 from .queries_webhook import CLASS_LABELS, SECRET, WAKE_INTERVAL, _sender_signature
 
 
@@ -70,3 +71,12 @@ def _streak(spark, sf):
 
 register("usage_report_stream", _usage_stream_oracle())(_usage_stream)
 register("failure_streak_stream", ORACLES["failure_runs"])(_streak)
+
+
+def _timers(spark, sf):
+    from ..streaming.timers import OUTPUT_SCHEMA, deadline_timer_stream
+    stream = deadline_timer_stream(fixture_stream(spark, sf, "fx_timer_events"), IDLE_DEADLINE, JOB_MAX)
+    return read_all(spark, run_to_table(stream, "append", "timers"), OUTPUT_SCHEMA)
+
+
+register("deadline_timers_stream", TIMER_ORACLE)(_timers)

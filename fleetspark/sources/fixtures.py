@@ -298,6 +298,18 @@ SELECT user_id AS cycle_id, event_id, ts,
 FROM events
 """
 
+# Lifecycle events of many short-lived cycles: four events each (ids follow
+# time), the spawn, the online mark, then what the last two types say; a
+# deletion comes last.
+VIEWS["fx_timer_events"] = """
+SELECT CAST(floor(event_id / 4.0) AS BIGINT) AS cycle_id, event_id, ts,
+       CASE event_id % 4 WHEN 0 THEN 'spawned' WHEN 1 THEN 'online'
+            WHEN 2 THEN CASE WHEN event_type IN ('click', 'view') THEN 'busy' WHEN event_type = 'purchase' THEN 'completed' ELSE 'online' END
+            ELSE CASE WHEN event_type = 'signup' THEN 'deleted' WHEN event_type = 'purchase' THEN 'completed'
+                      WHEN event_type = 'click' THEN 'busy' ELSE 'online' END END AS event
+FROM events
+"""
+
 # Session polls per cycle: an unreadable session with the runner confirmed
 # idle advances the failure streak; anything else resets it.
 VIEWS["fx_polls"] = """

@@ -3,7 +3,8 @@
 Keyed state holds the current run of unreadable-and-idle polls; any other
 poll resets it.  The verdict row is emitted once, when the run reaches the
 limit, and the key is then marked done and forgotten once the watermark
-passes the verdict.  Polls of one cycle are processed
+passes the verdict.  A cycle that never reaches the limit is forgotten
+``forget_secs`` after its last poll.  Polls of one cycle are processed
 in (ts, event_id) order within a micro-batch.
 """
 
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.cycles import SESSION_READ_MAX_ERRS
-from .cycle_state import event_time
+from .cycle_state import FORGET_SECS, event_time, forget_at
 
 OUTPUT_SCHEMA = "cycle_id long, event_id long, verdict_at timestamp_ntz"
 STATE_SCHEMA = "streak long, done boolean"
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, forget_secs: int) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -40,12 +41,17 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if done:
         last = int(pd.Timestamp(rows["ts"].max()).value // 1_000_000)
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+    else:
+        state.setTimeoutTimestamp(forget_at(rows["ts"].max(), state, forget_secs))
     if hit is not None:
         yield pd.DataFrame({"cycle_id": [key[0]], "event_id": [hit[0]], "verdict_at": [hit[1]]})
 
 
-def failure_streak_stream(polls: DataFrame, late: str = "7 days") -> DataFrame:
-    """Append-mode stream of verdicts; ``late`` as in ``cycle_state_stream``."""
+def failure_streak_stream(polls: DataFrame, late: str = "7 days", forget_secs: int = FORGET_SECS) -> DataFrame:
+    """Append-mode stream of verdicts; ``late`` and ``forget_secs`` as in ``cycle_state_stream``."""
+    def step(key, batches, state):
+        yield from _step(key, batches, state, forget_secs)
+
     return (polls.select("cycle_id", "event_id", "ts", "result", event_time().alias("_event_time"))
             .withWatermark("_event_time", late).groupBy("cycle_id")
-            .applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))

@@ -1,10 +1,16 @@
 """T-4 on a stream: lifecycle deadline timers with event-time timeouts.
 
-Keyed state per cycle folds its events (as in ``cycle_state``) and arms an
-event-time timer: an IDLE cycle at ``spawned + idle_deadline``, a BUSY one
-at ``busy_at + job_max``.  The timer fires when the watermark passes it
-(strictly later, like the reference's ``now - t > limit``); the cycle is
-then reported once.  A deadline already behind the watermark fires at once.
+Keyed state per cycle folds its events (as in ``cycle_state``).  An IDLE cycle
+is due at ``spawned + idle_deadline`` (once it is online), a BUSY one at
+``busy_at + job_max``; it is reported, once, if it is still in that state
+then, strictly later, like the reference's ``now - t > limit``.  Whether it
+is, is decided by the events up to the due time, when the watermark has
+passed it: the result depends on the events alone, not on how they are dealt
+to micro-batches.
+
+State goes away: behind the watermark once a cycle is deleted, and for any
+other cycle ``forget`` after its last event.  An event that comes later still
+starts the cycle anew.
 """
 
 from __future__ import annotations
@@ -19,7 +25,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.core import EPOCH_NTZ
 
 OUTPUT_SCHEMA = "cycle_id long, state string, timer string"
-STATE_SCHEMA = "spawned long, online long, completed long, deleted long, busy_times array<long>, fired boolean"
+STATE_SCHEMA = "spawned long, online long, completed long, deleted long, busy_times array<long>, fired boolean, last long"
+#: A cycle without any event for so long is forgotten.
+FORGET_SECS = 45 * 86400
 
 
 def _ms(ts) -> int:
@@ -42,70 +50,57 @@ def _first_after(times: list[int], online):
     return min(after) if after else None
 
 
-def _state(online, busy, completed, deleted) -> str:
-    if deleted is not None:
-        return "REMOVED"
-    if completed is not None:
-        return "CLEANUP_PENDING"
-    if busy is not None:
-        return "BUSY"
-    return "IDLE" if online is not None else "SPAWNING"
+def _due(spawned, online, busy, ended, idle_ms: int, job_ms: int):
+    """``(time, state, timer)`` of the deadline that a cycle misses, or None."""
+    if online is None:
+        return None
+    idle = max(spawned + idle_ms, online)
+    if (busy is None or busy > idle) and (ended is None or ended > idle):
+        return idle, "IDLE", "idle_deadline"
+    if busy is not None and (ended is None or ended > busy + job_ms):
+        return busy + job_ms, "BUSY", "job_max_secs"
+    return None
 
 
-def make_timer_fn(idle_deadline_secs: int, job_max_secs: int):
+def make_timer_fn(idle_deadline_secs: int, job_max_secs: int, forget_secs: int = FORGET_SECS):
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spawned = online = completed = deleted = None
+        spawned = online = completed = deleted = last = None
         busy_events: list[int] = []
         fired = False
         if state.exists:
-            spawned, online, completed, deleted, kept, fired = state.get
-            spawned, online, completed, deleted = (
-                None if x is None or pd.isna(x) else int(x) for x in (spawned, online, completed, deleted))
+            spawned, online, completed, deleted, kept, fired, last = state.get
+            spawned, online, completed, deleted, last = (
+                None if x is None or pd.isna(x) else int(x) for x in (spawned, online, completed, deleted, last))
             busy_events = [int(t) for t in (kept if kept is not None else [])]
-        busy = _first_after(busy_events, online)
-        st = _state(online, busy, completed, deleted)
-        if state.hasTimedOut:
-            state.update((spawned, online, completed, deleted, busy_events, True))  # events may still come
-            yield pd.DataFrame({"cycle_id": [key[0]], "state": [st],
-                                "timer": ["idle_deadline" if st == "IDLE" else "job_max_secs"]})
-            return
-        for pdf in batches:
+        for pdf in () if state.hasTimedOut else batches:
             ms = pdf["ts"].map(_ms)
             spawned = _min(spawned, int(ms.min()))
-            for name in ("online", "completed", "deleted"):
-                sel = ms[pdf["event"] == name]
-                if len(sel):
-                    first = int(sel.min())
-                    if name == "online":
-                        online = _min(online, first)
-                    elif name == "completed":
-                        completed = _min(completed, first)
-                    else:
-                        deleted = _min(deleted, first)
-            busy_events += [int(x) for x in ms[pdf["event"] == "busy"]]
-        busy_events = sorted(set(busy_events))
-        busy = _first_after(busy_events, online)
-        st = _state(online, busy, completed, deleted)
-        due = None
-        if not fired and st == "IDLE":
-            due = spawned + idle_deadline_secs * 1000
-        elif not fired and st == "BUSY":
-            due = busy + job_max_secs * 1000
-        if due is not None and due < state.getCurrentWatermarkMs():
+            last = max(int(ms.max()), spawned if last is None else last)
+            firsts = ms.groupby(pdf["event"]).min()
+            online, completed, deleted = (_min(t, None if name not in firsts else int(firsts[name]))
+                                          for t, name in ((online, "online"), (completed, "completed"), (deleted, "deleted")))
+            busy_events = sorted({*busy_events, *(int(x) for x in ms[pdf["event"] == "busy"])})
+        now = state.getCurrentWatermarkMs()
+        due = None if fired else _due(spawned, online, _first_after(busy_events, online), _min(completed, deleted),
+                                      idle_deadline_secs * 1000, job_max_secs * 1000)
+        if due is not None and due[0] < now:
             fired = True
-            yield pd.DataFrame({"cycle_id": [key[0]], "state": [st],
-                                "timer": ["idle_deadline" if st == "IDLE" else "job_max_secs"]})
-        elif due is not None:
-            state.setTimeoutTimestamp(due)
-        state.update((spawned, online, completed, deleted, busy_events, fired))
+            yield pd.DataFrame({"cycle_id": [key[0]], "state": [due[1]], "timer": [due[2]]})
+            due = None
+        ends = deleted if deleted is not None else last + forget_secs * 1000
+        if ends < now:
+            state.remove()
+            return
+        state.update((spawned, online, completed, deleted, busy_events, fired, last))
+        state.setTimeoutTimestamp(max(ends if due is None else min(due[0], ends), now + 1))
     return fn
 
 
 def deadline_timer_stream(events: DataFrame, idle_deadline_secs: int, job_max_secs: int,
-                          watermark: str = "0 seconds") -> DataFrame:
+                          watermark: str = "0 seconds", forget_secs: int = FORGET_SECS) -> DataFrame:
     """Append-mode stream of (cycle_id, state, timer) as timers fire."""
     instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col("ts")))
     return (events.select("cycle_id", "ts", "event", instant.alias("_event_time"))
             .withWatermark("_event_time", watermark).groupBy("cycle_id")
-            .applyInPandasWithState(make_timer_fn(idle_deadline_secs, job_max_secs), OUTPUT_SCHEMA, STATE_SCHEMA,
+            .applyInPandasWithState(make_timer_fn(idle_deadline_secs, job_max_secs, forget_secs), OUTPUT_SCHEMA, STATE_SCHEMA,
                                     "append", GroupStateTimeout.EventTimeTimeout))
