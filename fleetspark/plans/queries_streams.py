@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import ORACLES, register
 from ..operators.labels import label_sets
-from ..sources.fixtures import fixture_stream
+from ..sources.fixtures import fixture_stream, oracle_with
 from ..streaming import cycle_state as cs
 from ..streaming import deliveries as ds
 from ..streaming.runner import read_all, read_latest, run_to_table
@@ -55,7 +55,6 @@ def _usage_stream(spark, sf):
 
 def _usage_stream_oracle() -> str:
     from .queries_telemetry import _summary_sql
-    from ..sources.fixtures import oracle_with
     ctes, body = _summary_sql(["window_start"])
     return oracle_with(["fx_cycles"], f"""
 , cyc AS (SELECT date_trunc('day', completed_at) AS window_start, * FROM fx_cycles),
@@ -80,3 +79,28 @@ def _timers(spark, sf):
 
 
 register("deadline_timers_stream", TIMER_ORACLE)(_timers)
+
+
+REALERT_DAYS = 7
+
+
+def _alert_passes(spark, sf):
+    from ..session import scratch_path
+    from ..streaming.alerts import alert_stream
+    out = scratch_path(spark, "alerts-out")
+    alert_stream(fixture_stream(spark, sf, "fx_alert_passes"), REALERT_DAYS * 86400, scratch_path(spark, "alerts-state"), out
+                 ).awaitTermination()
+    return (spark.read.option("basePath", out).schema("key string, text string, status string, last_alert double, pass_id long")
+            .parquet(f"{out}/pass_id=*").select("pass_id", "key", "text", "status", "last_alert"))
+
+
+# Passes are five days apart, so of a stretch of passes with a key every second one alerts anew.
+register("alert_transitions_stream", oracle_with(["fx_alert_passes"], """
+, k AS (SELECT DISTINCT pass_id, now_epoch, key, text FROM fx_alert_passes WHERE key IS NOT NULL),
+g AS (SELECT *, pass_id - row_number() OVER (PARTITION BY key ORDER BY pass_id) AS island FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY key, island ORDER BY pass_id) - 1 AS nth FROM g),
+ends AS (SELECT key, max(pass_id) + 1 AS pass_id FROM g GROUP BY key, island)
+SELECT pass_id, key, text, CASE WHEN nth % 2 = 0 THEN 'fresh' ELSE 'suppressed' END AS status,
+       now_epoch - 432000.0 * (nth % 2) AS last_alert FROM p
+UNION ALL SELECT pass_id, key, NULL, 'recovered', NULL FROM ends WHERE pass_id <= (SELECT max(pass_id) FROM fx_alert_passes)
+"""))(_alert_passes)

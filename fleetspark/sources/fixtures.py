@@ -310,6 +310,18 @@ SELECT CAST(floor(event_id / 4.0) AS BIGINT) AS cycle_id, event_id, ts,
 FROM events
 """
 
+# Watchdog passes of five days: errors and purchases are findings, and every event tells its pass's end.
+VIEWS["fx_alert_passes"] = """
+SELECT CAST(floor((day(ts) - 1) / 5.0) AS BIGINT) + 1 AS pass_id,
+       CAST(1704067200 + 432000 * (CAST(floor((day(ts) - 1) / 5.0) AS BIGINT) + 1) AS DOUBLE) AS now_epoch,
+       event_type || '|' || CAST(user_id AS STRING) AS key, 'finding ' || event_type || ' of ' || CAST(user_id AS STRING) AS text
+FROM events WHERE event_type IN ('error', 'purchase')
+UNION ALL
+SELECT CAST(floor((day(ts) - 1) / 5.0) AS BIGINT) + 1, CAST(1704067200 + 432000 * (CAST(floor((day(ts) - 1) / 5.0) AS BIGINT) + 1) AS DOUBLE),
+       CAST(NULL AS STRING), CAST(NULL AS STRING)
+FROM events
+"""
+
 # Session polls per cycle: an unreadable session with the runner confirmed
 # idle advances the failure streak; anything else resets it.
 VIEWS["fx_polls"] = """

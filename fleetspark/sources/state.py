@@ -36,3 +36,30 @@ def save_alert_state(state: DataFrame, base: str, run_id: int) -> str:
     path = state_path(base, run_id)
     state.select("key", "last_alert").write.mode("overwrite").parquet(path)
     return path
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; empty where it does not exist."""
+    fs, where = _folder(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it; a missing one is left at that."""
+    fs, where = _folder(spark, path)
+    fs.delete(where, True)
+
+
+def saved_runs(spark: SparkSession, base: str) -> list[int]:
+    """Run ids whose state is complete, ascending."""
+    out = []
+    for name in subfolders(spark, base):
+        if name.startswith("run=") and _folder(spark, base)[0].exists(_folder(spark, f"{base.rstrip('/')}/{name}/_SUCCESS")[1]):
+            out.append(int(name.removeprefix("run=")))
+    return sorted(out)

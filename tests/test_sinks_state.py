@@ -101,3 +101,28 @@ def test_group_by_id_findings(spark):
                                    "repository string, group_id int, group_name string")
     found = hl.repo_scope_findings(configured, configured, groups, None, "i", "acme", group_id=4).collect()
     assert [r.text for r in found] == ["[i] configured runner group 4 is unavailable to acme/api"]
+
+
+def test_applied_passes_leave_the_log_and_replays_change_nothing(spark):
+    from fleetspark.sources.state import saved_runs, subfolders
+    from fleetspark.streaming.alerts import KEPT_STATES, alert_stream
+    src = scratch_path(spark, "alert-src")
+    schema = "pass_id long, now_epoch double, key string, text string"
+    t = 1.7e9
+    files = [[(1, t, "a", "A")], [(1, t, None, None), (2, t + 60, "a", "A")], [(2, t + 60, "b", "B"), (2, t + 60, None, None)],
+             [(3, t + 120, "b", "B"), (3, t + 120, None, None)], [(3, t + 120, "late", "L"), (5, t + 180, "c", "C")]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part{i}")
+
+    def start(checkpoint):
+        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").parquet(src))
+        alert_stream(stream, 3600, state, out, checkpoint).awaitTermination()
+        return {(r.pass_id, r.key): r.status for r in spark.read.parquet(out).collect()}
+
+    out, state = scratch_path(spark, "alert-out"), scratch_path(spark, "alert-state")
+    expected = {(1, "a"): "fresh", (2, "a"): "suppressed", (2, "b"): "fresh", (3, "b"): "suppressed", (3, "a"): "recovered"}
+    assert start(scratch_path(spark, "alert-ckpt")) == expected
+    assert subfolders(spark, f"{state}/findings") == ["pass_id=5"]  # the open pass
+    assert saved_runs(spark, f"{state}/states") == [2, 3] and KEPT_STATES == 2
+    assert start(scratch_path(spark, "alert-ckpt")) == expected  # every micro-batch again
