@@ -51,6 +51,7 @@ LIFECYCLE_SECS = ("hold_on_failure_secs", "idle_poll_secs", "fast_idle_poll_secs
 LIFECYCLE_POLLS = ("idle_poll_secs", "fast_idle_poll_secs", "busy_poll_secs")
 # Tables with a closed list of keys; other tables take any.  The github table's list depends on the scope.
 CLOSED_KEYS = {
+    "network": ("policy", "cidr_allow_list", "domain_allow_list"),
     "routing": ("required_labels",),
     "poller": ("interval_secs", "request_spacing_secs"),
     "webhook": ("listen", "hmac_env"),

@@ -18,7 +18,7 @@ def flatten_profile_refs(fleets: DataFrame, profile_classes: DataFrame) -> DataF
     fleet's profile, ordered by (fleet, size_class, profile)."""
     return (fleets.select("fleet", "profile")
             .join(profile_classes.select("profile", F.col("name").alias("size_class"), "snapshot"), "profile")
-            .select("snapshot", "fleet", "profile", "size_class"))
+            .select("snapshot", "fleet", "profile", "size_class").orderBy("fleet", "size_class", "profile", "snapshot"))
 
 
 def target_available(fleets: DataFrame, regions: DataFrame) -> DataFrame:

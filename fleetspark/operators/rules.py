@@ -42,31 +42,48 @@ def cidr_checks(c: Column) -> Column:
     host bits are not.  ``normalised`` is ``first address/prefix length``
     with the address as an integer, null when invalid.
     """
-    part = [F.regexp_extract(c, _CIDR, i).try_cast("long") for i in range(1, 10)]
+    return cidr_list_checks(F.array(c))[0]
 
-    def address(p: list[Column]) -> Column:
-        return p[0] * (1 << 24) + p[1] * (1 << 16) + p[2] * (1 << 8) + p[3]
 
+def cidr_list_checks(texts: Column) -> Column:
+    """:func:`cidr_checks` for each text of an array, null for a null array.
+
+    Every text is matched once: the matches, what follows from them and the
+    verdict are three transforms one after another, so no step repeats the
+    work of the one before.
+    """
     full = F.lit((1 << 32) - 1)
-    mask = address(part[5:9])
-    zeros = full - mask
     power = lambda x: x.bitwiseAND(x + 1) == 0  # noqa: E731  # all ones from the lowest bit
     length = lambda x: F.lit(32) - F.round(F.log2((x + 1).cast("double"))).cast("long")
-    masked = part[5].isNotNull()
-    plen = (F.when(masked & power(zeros), length(zeros)).when(masked & power(mask), length(mask))
-            .when(masked, F.lit(None).cast("long")).when(part[4].isNotNull(), part[4]).otherwise(F.lit(32).cast("long")))
-    octets = F.greatest(*part[:4], F.coalesce(F.greatest(*part[5:9]), F.lit(0).cast("long")))
-    shaped = F.coalesce(c.rlike(_CIDR.removesuffix("$") + r"\z") & (octets <= 255) & (plen <= 32), F.lit(False))
-    ip = address(part)
-    size = F.pow(F.lit(2.0), F.lit(32) - plen).cast("long")
-    valid = shaped & F.coalesce(ip % size == 0, F.lit(False))
-    last = ip + size - 1
-    in_private = F.lit(False)
-    for first, bits in PRIVATE_V4:
-        lo, hi = _ip_int(first), _ip_int(first) + (1 << (32 - bits)) - 1
-        in_private = in_private | ((ip >= lo) & (last <= hi))
-    return F.struct(valid.alias("valid"), F.coalesce(valid & in_private, F.lit(False)).alias("private"),
-                    F.when(valid, F.concat_ws("/", ip.cast("string"), plen.cast("string"))).alias("normalised"))
+
+    def address(p: Column, at: int) -> Column:
+        return p[at] * (1 << 24) + p[at + 1] * (1 << 16) + p[at + 2] * (1 << 8) + p[at + 3]
+
+    def matched(c: Column) -> Column:
+        # the groups stand behind their place, so that missing ones stay told apart
+        groups = F.regexp_replace(c, _CIDR.removesuffix("$") + r"\z", ",".join(f"${i}" for i in range(1, 10)))
+        found = F.coalesce(c.rlike(_CIDR.removesuffix("$") + r"\z"), F.lit(False))
+        return F.when(found, F.transform(F.split(groups, ","), lambda g: g.try_cast("long")))
+
+    def parsed(p: Column) -> Column:
+        mask = address(p, 5)
+        masked = p[5].isNotNull()
+        plen = (F.when(masked & power(full - mask), length(full - mask)).when(masked & power(mask), length(mask))
+                .when(masked, F.lit(None).cast("long")).when(p[4].isNotNull(), p[4]).otherwise(F.lit(32).cast("long")))
+        return F.when(p.isNotNull() & (F.array_max(F.concat(F.slice(p, 1, 4), F.slice(p, 6, 4))) <= 255),
+                      F.struct(address(p, 0).alias("ip"), plen.alias("plen")))
+
+    def judged(x: Column) -> Column:
+        size = F.pow(F.lit(2.0), F.lit(32) - x["plen"]).cast("long")
+        valid = F.coalesce((x["plen"] <= 32) & (x["ip"] % size == 0), F.lit(False))
+        in_private = F.lit(False)
+        for first, bits in PRIVATE_V4:
+            lo, hi = _ip_int(first), _ip_int(first) + (1 << (32 - bits)) - 1
+            in_private = in_private | ((x["ip"] >= lo) & (x["ip"] + size - 1 <= hi))
+        return F.struct(valid.alias("valid"), F.coalesce(valid & in_private, F.lit(False)).alias("private"),
+                        F.when(valid, F.concat_ws("/", x["ip"].cast("string"), x["plen"].cast("string"))).alias("normalised"))
+
+    return F.transform(F.transform(F.transform(texts, matched), parsed), judged)
 
 
 def _is(cond: Column) -> Column:
@@ -89,7 +106,8 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
     R13 cache volume, R14 poll interval and request spacing, R24 API base."""
     c = F.col
     is_repo = c("scope") == "repository"
-    cidrs = F.transform(F.split(c("cidr_allow_list"), ","), lambda x: cidr_checks(x))
+    fleets = fleets.withColumn("_cidrs", cidr_list_checks(F.split("cidr_allow_list", ",")))
+    cidrs = c("_cidrs")
     networks = F.filter(F.transform(cidrs, lambda x: x["normalised"]), lambda x: x.isNotNull())
     domains = F.split(c("domain_allow_list"), ",")
     has_net = c("network_policy").isNotNull()
@@ -138,9 +156,10 @@ def fleet_rule_violations(fleets: DataFrame) -> DataFrame:
 def class_rule_violations(classes: DataFrame, fleets: DataFrame, project: Project = PROJECT) -> DataFrame:
     """Size-class rules per profile: R18 labels include self-hosted and
     the provider label (or, with routing labels, all of these and neither
-    the provider nor the project label), unique class name; R19 min_idle/max >= 0, min <= max,
+    the provider nor the project label), unique class name, at least one class for every
+    profile of ``fleets`` or ``classes``; R19 snapshot text, min_idle/max >= 0, min <= max,
     repository scope min_idle = 0; R20 warm_floor_reason iff min_idle > 0;
-    R21 required classes present (large carrying label 'large')."""
+    R21 required classes present in each of these profiles (large carrying label 'large')."""
     c = F.col
     scope = fleets.groupBy("profile").agg(F.min(F.struct("scope", "routing_labels")).alias("_p")).select(
         "profile", "_p.scope", "_p.routing_labels")
@@ -153,6 +172,7 @@ def class_rule_violations(classes: DataFrame, fleets: DataFrame, project: Projec
         (18, "R18_labels", ~has("self-hosted") | (~routed & ~has(PROVIDER_LABEL))),
         (18, "R18_routing_shared", routed & (has(PROVIDER_LABEL) | has(project.label))),
         (18, "R18_routing_missing", routed & ~covered),
+        (19, "R19_snapshot", ~_is(F.trim("snapshot") != "")),
         (19, "R19_min_idle", ~_is(c("min_idle") >= 0)),
         (19, "R19_max", ~_is(c("max_live") >= 0)),
         (19, "R19_min_le_max", c("min_idle") > c("max_live")),
@@ -166,11 +186,15 @@ def class_rule_violations(classes: DataFrame, fleets: DataFrame, project: Projec
                         ["profile", "name"])
            .select("profile", "class_pos", "name", F.lit(18).alias("rule_no"), F.lit("R18_unique_name").alias("rule_id")))
     present = classes.filter(c("name").isin(*REQUIRED_CLASSES)).select("profile", "name").distinct()
-    need = classes.select("profile").distinct().withColumn("name", F.explode(F.array(*[F.lit(x) for x in REQUIRED_CLASSES])))
+    profiles = fleets.select("profile").unionByName(classes.select("profile")).distinct()
+    empty = profiles.join(classes.select("profile").distinct(), "profile", "left_anti").select(
+        "profile", F.lit(None).cast("long").alias("class_pos"), F.lit(None).cast("string").alias("name"),
+        F.lit(18).alias("rule_no"), F.lit("R18_no_class").alias("rule_id"))
+    need = profiles.withColumn("name", F.explode(F.array(*[F.lit(x) for x in REQUIRED_CLASSES])))
     missing = need.join(present, ["profile", "name"], "left_anti").select(
         "profile", F.lit(None).cast("long").alias("class_pos"), "name", F.lit(21).alias("rule_no"),
         F.lit("R21_required_class").alias("rule_id"))
-    return row.unionByName(dup).unionByName(missing)
+    return row.unionByName(dup).unionByName(empty).unionByName(missing)
 
 
 def profile_rule_violations(profiles: DataFrame, project: Project = PROJECT) -> DataFrame:
@@ -178,7 +202,9 @@ def profile_rule_violations(profiles: DataFrame, project: Project = PROJECT) ->
     repositories (non-empty, pattern, unique ignoring case; repository
     scope), R12 routing labels (only and always with a network policy,
     pattern, not shared, unique, together the runner group, which is
-    reserved for them), R15 webhook listen host/port/secret env name, R16
+    reserved for them), R15 webhook listen host/port/secret env name where
+    the profile has a webhook section (any of the three; the secret's name
+    has a default), R16
     lifecycle values, R17 watchdog flag, R22 credential-like keys anywhere,
     R23 installation metadata (configured id, target type, login, selection
     'all')."""
@@ -198,6 +224,7 @@ def profile_rule_violations(profiles: DataFrame, project: Project = PROJECT) ->
             out = out | (path.startswith(f"{table}.") & ~path.isin(*[f"{table}.{k}" for k in names]))
         return out
 
+    has_hook = F.coalesce("listen_host", c("listen_port").cast("string"), "secret_env").isNotNull()
     negative, slow = F.lit(False), F.lit(False)
     for key in LIFECYCLE_SECS:  # keys that are absent are null
         negative = negative | _is(c(key) < 0)
@@ -216,9 +243,9 @@ def profile_rule_violations(profiles: DataFrame, project: Project = PROJECT) ->
         (12, "R12_label_duplicate", has_net & has_routing & (F.size(F.array_distinct(labels)) != F.size(labels))),
         (12, "R12_label_group", is_repo & has_net & has_routing & ~_is(F.array_distinct(labels) == F.array("runner_group"))),
         (12, "R12_group_reserved", is_repo & ~has_net & c("runner_group").isNotNull()),
-        (15, "R15_listen_host", ~_is(F.lower(F.trim("listen_host")).isin(*LISTEN_HOSTS))),
-        (15, "R15_listen_port", ~_is(c("listen_port").between(1, 65535))),
-        (15, "R15_secret_env", ~_full(c("secret_env"), ENV_NAME)),
+        (15, "R15_listen_host", has_hook & ~_is(F.lower(F.trim("listen_host")).isin(*LISTEN_HOSTS))),
+        (15, "R15_listen_port", has_hook & ~_is(c("listen_port").between(1, 65535))),
+        (15, "R15_secret_env", c("secret_env").isNotNull() & ~_full(c("secret_env"), ENV_NAME)),
         (16, "R16_negative", negative),
         (16, "R16_poll", slow),
         (17, "R17_watchdog_bool", ~_is(F.coalesce(c("watchdog_enabled"), F.lit("true")).isin("true", "false"))),

@@ -91,9 +91,21 @@ def _full(col: str, pattern: str) -> str:
     return f"coalesce(regexp_full_match({col}, '{pattern.strip('^$')}'), false)"
 
 
-_CIDR_RE = rl._CIDR
-_PRIV = " OR ".join(
-    f"(ip >= {rl._ip_int(a)} AND ip + sz - 1 <= {rl._ip_int(a) + (1 << (32 - p)) - 1})" for a, p in rl.PRIVATE_V4)
+_TARGET = "[a-z0-9][a-z0-9-]{0,62}"
+_DOMAIN = "([*][.])?([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?[.])+[a-z]{2,63}"
+_REPOSITORY = "[.]github|[A-Za-z0-9][A-Za-z0-9._-]*"
+# private space by first and last address, typed as numbers of 256
+_PRIV = """(ip >= 0 AND e < 16777216) OR (ip >= 10::BIGINT * 16777216 AND e < 11::BIGINT * 16777216)
+ OR (ip >= 127::BIGINT * 16777216 AND e < 128::BIGINT * 16777216)
+ OR (ip >= (169::BIGINT * 256 + 254) * 65536 AND e < (169::BIGINT * 256 + 255) * 65536)
+ OR (ip >= (172::BIGINT * 256 + 16) * 65536 AND e < (172::BIGINT * 256 + 32) * 65536)
+ OR (ip >= 192::BIGINT * 16777216 AND e < 192::BIGINT * 16777216 + 256)
+ OR (ip >= (192::BIGINT * 65536 + 2) * 256 AND e < (192::BIGINT * 65536 + 3) * 256)
+ OR (ip >= (192::BIGINT * 256 + 168) * 65536 AND e < (192::BIGINT * 256 + 169) * 65536)
+ OR (ip >= (198::BIGINT * 256 + 18) * 65536 AND e < (198::BIGINT * 256 + 20) * 65536)
+ OR (ip >= ((198::BIGINT * 256 + 51) * 256 + 100) * 256 AND e < ((198::BIGINT * 256 + 51) * 256 + 101) * 256)
+ OR (ip >= (203::BIGINT * 65536 + 113) * 256 AND e < (203::BIGINT * 65536 + 114) * 256)
+ OR (ip >= 240::BIGINT * 16777216 AND e < 256::BIGINT * 16777216)"""
 _NETS = "list_transform(list_filter(cidrs, lambda c: c.valid), lambda c: c.net)"
 _FORM = "([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})"
 _CIDR_SQL = f"""list_transform(string_split(cidr_allow_list, ','), lambda x: {{
@@ -114,16 +126,16 @@ def _fleet_rules_sql() -> str:
     isrepo = "scope = 'repository'"
     net = "network_policy IS NOT NULL"
     rules = [
-        (2, "R2_fleet_name", f"NOT {_full('fleet', rl.FLEET_NAME)}"),
-        (3, "R3_owner_name", f"NOT {_full('owner', rl.OWNER_NAME)}"),
+        (2, "R2_fleet_name", f"NOT {_full('fleet', '[a-z0-9][a-z0-9-]*')}"),
+        (3, "R3_owner_name", f"NOT {_full('owner', '[A-Za-z0-9][A-Za-z0-9-]*')}"),
         (4, "R4_scope", "scope IS NULL OR scope NOT IN ('organization', 'repository')"),
         (4, "R4_profile_scope", "coalesce(profile_scope, 'organization') IS DISTINCT FROM scope"),
         (6, "R6_owner", "profile_owner IS NULL OR owner IS NULL OR profile_owner <> owner"),
-        (6, "R6_org_runner_group", f"scope = 'organization' AND NOT coalesce(runner_group = '{rl.ORG_RUNNER_GROUP}', false)"),
+        (6, "R6_org_runner_group", f"scope = 'organization' AND NOT coalesce(runner_group = 'daytona', false)"),
         (7, "R7_repo_group_exactly_one", f"{isrepo} AND ((runner_group IS NULL) = (runner_group_id IS NULL))"),
         (7, "R7_repo_group_id", f"{isrepo} AND runner_group_id IS NOT NULL AND runner_group_id < 1"),
-        (7, "R7_repo_group_name", f"{isrepo} AND runner_group IS NOT NULL AND NOT {_full('runner_group', rl.RUNNER_GROUP_NAME)}"),
-        (9, "R9_target", f"NOT {_full('target', rl.PROVIDER_TARGET)}"),
+        (7, "R7_repo_group_name", f"{isrepo} AND runner_group IS NOT NULL AND NOT {_full('runner_group', '[a-z0-9][a-z0-9-]*')}"),
+        (9, "R9_target", f"NOT {_full('target', _TARGET)}"),
         (10, "R10_network_scope", f"{net} AND NOT {isrepo}"),
         (10, "R10_network_policy", f"{net} AND network_policy <> 'deny-by-default'"),
         (10, "R10_cidr_count", f"{net} AND NOT coalesce(len(cidrs) BETWEEN 1 AND 5, false)"),
@@ -131,14 +143,14 @@ def _fleet_rules_sql() -> str:
         (10, "R10_cidr_public", f"{net} AND list_bool_or(list_transform(cidrs, lambda c: c.valid AND NOT c.private))"),
         (10, "R10_cidr_duplicate", f"{net} AND len(list_distinct({_NETS})) <> len({_NETS})"),
         (11, "R11_domains_missing", f"{net} AND (domain_allow_list IS NULL OR domain_allow_list = '')"),
-        (11, "R11_domain_invalid", f"{net} AND list_bool_or(list_transform(string_split(domain_allow_list, ','), lambda d: NOT {_full('d', rl.DOMAIN_NAME)}))"),
+        (11, "R11_domain_invalid", f"{net} AND list_bool_or(list_transform(string_split(domain_allow_list, ','), lambda d: NOT {_full('d', _DOMAIN)}))"),
         (11, "R11_domain_duplicate", f"{net} AND len(list_distinct(list_transform(string_split(domain_allow_list, ','), lambda d: lower(d)))) <> len(string_split(domain_allow_list, ','))"),
         (13, "R13_cache_volume", "cache_volume IS NOT NULL AND trim(cache_volume) = ''"),
         (14, "R14_poll_interval", f"poll_interval_secs < 1 OR ({isrepo} AND poll_interval_secs < 60)"),
         (14, "R14_request_spacing", "request_spacing_secs < 0"),
         (9, "R9_profile_path", "profile IS NULL OR profile = '' OR starts_with(profile, '/') OR contains(profile, '..')"),
         (9, "R9_installation_key", "installation_key IS NULL OR NOT regexp_full_match(installation_key, '[1-9][0-9]*')"),
-        (24, "R24_api_base", f"api_base <> '{cf.PROVIDER_API_BASE}'"),
+        (24, "R24_api_base", "api_base <> 'https://app.daytona.io/api'"),
     ]
     body = "\nUNION ALL ".join(
         f"SELECT fleet_pos, fleet, {n} AS rule_no, '{rid}' AS rule_id FROM fc WHERE coalesce({cond}, false)"
@@ -152,7 +164,7 @@ f2 AS (SELECT *, list_transform(c0, lambda e: {{'shaped': e.shaped, 'ip': e.ip,
       'sz': CASE WHEN e.p BETWEEN 0 AND 32 THEN 1::BIGINT << (32 - e.p) END}}) AS c1 FROM fr),
 fc AS (SELECT *, list_transform(c1, lambda z: {{'valid': coalesce(z.shaped AND z.ip % z.sz = 0, false),
       'net': CAST(z.ip AS VARCHAR) || '/' || CAST(z.p AS VARCHAR),
-      'private': coalesce({_PRIV.replace('ip', 'z.ip').replace('sz', 'z.sz')}, false)}}) AS cidrs FROM f2)
+      'private': coalesce({_PRIV.replace('ip', 'z.ip').replace('e <', 'z.ip + z.sz - 1 <')}, false)}}) AS cidrs FROM f2)
 SELECT * FROM (
 {body}
 UNION ALL SELECT fleet_pos, fleet, 2, 'R2_fleet_unique' FROM fx_fleets WHERE fleet IN (SELECT fleet FROM fx_fleets GROUP BY fleet HAVING count(*) > 1)
@@ -181,6 +193,7 @@ SELECT profile, class_pos, name, 18 AS rule_no, 'R18_labels' AS rule_id FROM j
 UNION ALL SELECT profile, class_pos, name, 18, 'R18_routing_shared' FROM j
   WHERE routing_labels IS NOT NULL AND (list_contains(l, 'daytona') OR list_contains(l, 'cipool'))
 UNION ALL SELECT profile, class_pos, name, 18, 'R18_routing_missing' FROM j WHERE routing_labels IS NOT NULL AND NOT list_has_all(l, rt)
+UNION ALL SELECT profile, class_pos, name, 19, 'R19_snapshot' FROM j WHERE snapshot IS NULL OR trim(snapshot) = ''
 UNION ALL SELECT profile, class_pos, name, 19, 'R19_min_idle' FROM j WHERE min_idle IS NULL OR min_idle < 0
 UNION ALL SELECT profile, class_pos, name, 19, 'R19_max' FROM j WHERE max_live IS NULL OR max_live < 0
 UNION ALL SELECT profile, class_pos, name, 19, 'R19_min_le_max' FROM j WHERE min_idle > max_live
@@ -190,7 +203,9 @@ UNION ALL SELECT profile, class_pos, name, 20, 'R20_warm_floor_reason' FROM j
 UNION ALL SELECT profile, class_pos, name, 21, 'R21_large_label' FROM j WHERE name = 'large' AND NOT list_contains(l, 'large')
 UNION ALL SELECT profile, class_pos, name, 18, 'R18_unique_name' FROM fx_fleet_classes
   WHERE (profile, name) IN (SELECT (profile, name) FROM fx_fleet_classes GROUP BY profile, name HAVING count(*) > 1)
-UNION ALL SELECT p.profile, NULL, r.name, 21, 'R21_required_class' FROM (SELECT DISTINCT profile FROM fx_fleet_classes) p,
+UNION ALL SELECT DISTINCT profile, NULL, NULL, 18, 'R18_no_class' FROM fx_fleets f
+  WHERE NOT EXISTS (SELECT 1 FROM fx_fleet_classes c WHERE c.profile IS NOT DISTINCT FROM f.profile)
+UNION ALL SELECT p.profile, NULL, r.name, 21, 'R21_required_class' FROM (SELECT profile FROM fx_fleet_classes UNION SELECT profile FROM fx_fleets) p,
   (VALUES ('default'), ('large')) r(name)
   WHERE NOT EXISTS (SELECT 1 FROM fx_fleet_classes c WHERE c.profile = p.profile AND c.name = r.name)
 """))(lambda spark, sf: rl.class_rule_violations(fixture(spark, sf, "fx_fleet_classes"), fixture(spark, sf, "fx_fleets")))
@@ -200,12 +215,14 @@ def _profile_rules_sql() -> str:
     isrepo, net, routing = "scope = 'repository'", "network_policy IS NOT NULL", "coalesce(routing_labels, '') <> ''"
     repos = "list_filter(coalesce(string_split(repositories, ','), []), lambda x: x <> '')"
     labels = "string_split(routing_labels, ',')"
+    hook = "(listen_host IS NOT NULL OR listen_port IS NOT NULL OR secret_env IS NOT NULL)"
     closed = """
         CASE split_part(p, '.', 1)
           WHEN 'github' THEN CASE WHEN scope = 'repository'
             THEN p NOT IN ('github.scope', 'github.owner', 'github.runner_group_id', 'github.runner_group', 'github.repositories')
             ELSE p NOT IN ('github.scope', 'github.org', 'github.runner_group') END
           WHEN 'routing' THEN p <> 'routing.required_labels'
+          WHEN 'network' THEN p NOT IN ('network.policy', 'network.cidr_allow_list', 'network.domain_allow_list')
           WHEN 'poller' THEN p NOT IN ('poller.interval_secs', 'poller.request_spacing_secs')
           WHEN 'webhook' THEN p NOT IN ('webhook.listen', 'webhook.hmac_env')
           WHEN 'watchdog' THEN p <> 'watchdog.github_queue_scan'
@@ -218,7 +235,7 @@ def _profile_rules_sql() -> str:
         (1, "R1_manifest_version", "manifest_version IS NULL OR manifest_version <> 1"),
         (5, "R5_unknown_key", f"list_bool_or(list_transform(string_split(config_paths, ','), lambda p: {closed}))"),
         (8, "R8_repositories_empty", f"{isrepo} AND len({repos}) = 0"),
-        (8, "R8_repository_name", f"{isrepo} AND list_bool_or(list_transform({repos}, lambda r: NOT {_full('r', rl.REPOSITORY_NAME)}))"),
+        (8, "R8_repository_name", f"{isrepo} AND list_bool_or(list_transform({repos}, lambda r: NOT {_full('r', _REPOSITORY)}))"),
         (8, "R8_repository_duplicate", f"{isrepo} AND len(list_distinct(list_transform({repos}, lambda r: lower(r)))) <> len({repos})"),
         (12, "R12_routing_without_network", f"NOT ({net}) AND routing_labels IS NOT NULL"),
         (12, "R12_routing_missing", f"{net} AND NOT ({routing})"),
@@ -227,8 +244,8 @@ def _profile_rules_sql() -> str:
         (12, "R12_label_duplicate", f"{net} AND {routing} AND len(list_distinct({labels})) <> len({labels})"),
         (12, "R12_label_group", f"{isrepo} AND {net} AND {routing} AND (runner_group IS NULL OR list_distinct({labels}) <> [runner_group])"),
         (12, "R12_group_reserved", f"{isrepo} AND NOT ({net}) AND runner_group IS NOT NULL"),
-        (15, "R15_listen_host", "listen_host IS NULL OR listen_host NOT IN ('127.0.0.1', '0.0.0.0', '::1', 'localhost')"),
-        (15, "R15_listen_port", "listen_port IS NULL OR listen_port < 1 OR listen_port > 65535"),
+        (15, "R15_listen_host", f"{hook} AND (listen_host IS NULL OR listen_host NOT IN ('127.0.0.1', '0.0.0.0', '::1', 'localhost'))"),
+        (15, "R15_listen_port", f"{hook} AND (listen_port IS NULL OR listen_port < 1 OR listen_port > 65535)"),
         (15, "R15_secret_env", "NOT regexp_full_match(secret_env, '[A-Z][A-Z0-9_]{0,63}')"),
         (16, "R16_negative", "least(hold_on_failure_secs, idle_poll_secs, fast_idle_poll_secs, fast_idle_window_secs, busy_poll_secs, "
                              "job_max_secs, idle_refresh_secs, demand_idle_secs, auto_stop_minutes) < 0"),

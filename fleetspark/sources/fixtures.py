@@ -482,7 +482,7 @@ SELECT 'profiles/' || CAST(p_partkey % 100 AS STRING) || '.toml' AS profile, p_p
   CASE WHEN p_partkey % 9 = 0 THEN 'self-hosted,pool' WHEN p_partkey % 31 = 0 THEN NULL
        WHEN p_partkey % 8 = 0 THEN 'self-hosted,edge-0' WHEN p_partkey % 10 = 1 THEN 'self-hosted,cipool,edge-0'
        ELSE 'self-hosted,daytona,' || p_type END AS labels,
-  p_name || ' ' || CAST(p_partkey % 50 AS STRING) AS snapshot,
+  CASE WHEN p_partkey % 35 = 0 THEN NULL WHEN p_partkey % 36 = 0 THEN ' ' ELSE p_name || ' ' || CAST(p_partkey % 50 AS STRING) END AS snapshot,
   CASE WHEN p_partkey % 33 = 0 THEN NULL ELSE p_size % 4 - 1 END AS min_idle,
   CASE WHEN p_partkey % 34 = 0 THEN NULL ELSE p_size % 9 END AS max_live,
   CASE WHEN p_size % 3 = 0 THEN 'warm pool for bursts' WHEN p_size % 7 = 0 THEN '  ' END AS warm_floor_reason
@@ -545,7 +545,7 @@ SELECT s_suppkey AS fleet_pos, 'profiles/' || CAST(s_suppkey AS STRING) || '.tom
   CASE WHEN s_suppkey % 11 <> 0 THEN 'edge-' || CAST(s_suppkey AS STRING) END AS runner_group,
   CASE s_suppkey % 8 WHEN 0 THEN 'github.scope,daytona.api_key,lifecycle.idle_poll_secs' WHEN 1 THEN 'github.scope,notify.Webhook_Token'
        WHEN 2 THEN 'github.scope,poller.interval_secs' WHEN 3 THEN 'poller.interval_secs,poller.colour'
-       WHEN 4 THEN 'github.owner,webhook.listen' WHEN 5 THEN 'watchdog.enabled' WHEN 6 THEN 'other.anything,routing.required_labels'
+       WHEN 4 THEN 'github.owner,webhook.listen' WHEN 5 THEN 'watchdog.enabled' WHEN 6 THEN 'other.anything,routing.required_labels,network.policy' WHEN 7 THEN 'network.cidr_allow_list,network.bogus'
        ELSE 'github.scope,lifecycle.job_max_secs' END AS config_paths,
   CASE WHEN s_suppkey % 13 = 0 THEN -1 END AS hold_on_failure_secs, CASE WHEN s_suppkey % 17 = 0 THEN 0 ELSE 5 END AS fast_idle_poll_secs,
   CASE WHEN s_suppkey % 19 = 0 THEN -5 ELSE 90 END AS fast_idle_window_secs, s_suppkey % 40 - 1 AS job_max_secs,
@@ -553,9 +553,9 @@ SELECT s_suppkey AS fleet_pos, 'profiles/' || CAST(s_suppkey AS STRING) || '.tom
   s_suppkey % 7 - 1 AS idle_refresh_secs, s_suppkey % 5 AS idle_poll_secs, s_suppkey % 9 AS busy_poll_secs,
   CASE WHEN s_suppkey % 10 = 0 THEN 'yes' ELSE 'true' END AS watchdog_enabled,
   CASE WHEN s_suppkey % 12 = 0 THEN '0.0.0.0' WHEN s_suppkey % 21 = 0 THEN 'example.org' WHEN s_suppkey % 22 = 0 THEN NULL
-       ELSE '127.0.0.1' END AS listen_host,
-  CASE WHEN s_suppkey % 14 = 0 THEN 70000 ELSE 8080 + s_suppkey % 10 END AS listen_port,
-  CASE WHEN s_suppkey % 15 = 0 THEN 'BAD-NAME' WHEN s_suppkey % 23 = 0 THEN '_LEADING' WHEN s_suppkey % 29 = 0 THEN 'A' || repeat('B', 64) ELSE 'FLEET_WEBHOOK_SECRET' END AS secret_env,
+       WHEN s_suppkey % 25 <> 3 THEN '127.0.0.1' END AS listen_host,
+  CASE WHEN s_suppkey % 14 = 0 THEN 70000 WHEN s_suppkey % 25 <> 3 THEN 8080 + s_suppkey % 10 END AS listen_port,
+  CASE WHEN s_suppkey % 25 = 3 OR s_suppkey % 27 = 0 THEN NULL WHEN s_suppkey % 15 = 0 THEN 'BAD-NAME' WHEN s_suppkey % 23 = 0 THEN '_LEADING' WHEN s_suppkey % 29 = 0 THEN 'A' || repeat('B', 64) ELSE 'FLEET_WEBHOOK_SECRET' END AS secret_env,
   CASE WHEN s_suppkey % 16 = 0 THEN NULL ELSE s_suppkey + 1000 END AS installation_id,
   CASE WHEN s_suppkey % 24 = 0 THEN s_suppkey ELSE s_suppkey + 1000 END AS configured_installation_id,
   CASE WHEN s_suppkey % 3 = 0 THEN 'User' ELSE 'Organization' END AS target_type,

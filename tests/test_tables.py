@@ -184,6 +184,10 @@ PROFILES = [  # change, rules that fail
     ({"secret_env": "_A"}, {"R15_secret_env"}),
     ({"secret_env": "A" * 65}, {"R15_secret_env"}),
     ({"listen_host": None, "listen_port": None}, {"R15_listen_host", "R15_listen_port"}),
+    ({"listen_host": None, "listen_port": None, "secret_env": None}, set()),  # no webhook section
+    ({"secret_env": None}, set()),
+    ({"config_paths": "network.policy,network.domain_allow_list"}, set()),
+    ({"config_paths": "network.policy,network.bogus"}, {"R5_unknown_key"}),
     ({"demand_idle_secs": -1}, {"R16_negative"}),
     ({"fast_idle_poll_secs": 0}, {"R16_poll"}),
     ({"repositories": None}, {"R8_repositories_empty"}),
@@ -220,10 +224,11 @@ CLASSES = [  # labels, min_idle, max, reason, routing labels of the fleet, rules
 
 
 def test_class_rules(spark):
-    classes = spark.createDataFrame([(f"p{i}", i, f"c{i}", *c[:4]) for i, c in enumerate(CLASSES)],
+    classes = spark.createDataFrame([(f"p{i}", i, f"c{i}", *c[:4], "snap") for i, c in enumerate(CLASSES)]
+                                    + [("s", 90, "x", "self-hosted,daytona", 0, 1, None, s) for s in (None, " ")],
                                     "profile string, class_pos long, name string, labels string, min_idle int, max_live int, "
-                                    "warm_floor_reason string")
-    fleets = spark.createDataFrame([(f"p{i}", "organization", c[4]) for i, c in enumerate(CLASSES)],
+                                    "warm_floor_reason string, snapshot string")
+    fleets = spark.createDataFrame([(f"p{i}", "organization", c[4]) for i, c in enumerate(CLASSES)] + [("bare", "organization", None)],
                                    "profile string, scope string, routing_labels string")
     got = {}
     for r in rl.class_rule_violations(classes, fleets).collect():
@@ -231,6 +236,9 @@ def test_class_rules(spark):
             got.setdefault(r.profile, set()).add(r.rule_id)
     for i, c in enumerate(CLASSES):
         assert got.get(f"p{i}", set()) == c[5], c
+    assert got["s"] == {"R19_snapshot", "R18_unique_name"} and got["bare"] == {"R18_no_class"}
+    missing = {r.name for r in rl.class_rule_violations(classes, fleets).where("profile = 'bare' and rule_no = 21").collect()}
+    assert missing == {"default", "large"}
 
 
 def test_reference_status_with_null_names(spark):
