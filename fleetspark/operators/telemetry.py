@@ -15,6 +15,7 @@ from pyspark.sql import Window
 
 from ..functions.core import finite_nonnegative
 from ..schemas import STAGE_FIELDS
+from ..session import stored
 
 OUTCOMES = ("job", "idle", "failed", "unknown")
 
@@ -37,8 +38,12 @@ def nearest_rank_table(df: DataFrame, keys: list[str], fields: list[str], p: flo
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])
     long = df.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.field", "_x.v").filter(F.col("v").isNotNull())
-    counts = (long.groupBy(*keys, "field", "v").agg(F.count(F.lit(1)).alias("c"))
-              .withColumn("r", F.floor(F.asinh("v") * RANGES)))
+    return _ranked(long.groupBy(*keys, "field", "v").agg(F.count(F.lit(1)).alias("c")), keys, fields, p, suffix)
+
+
+def _ranked(counts: DataFrame, keys: list[str], fields: list[str], p: float, suffix: str = "_p") -> DataFrame:
+    """:func:`nearest_rank_table` of values that are counted already: keys, field, v, c."""
+    counts = counts.withColumn("r", F.floor(F.asinh("v") * RANGES))
     group = Window.partitionBy(*keys, "field")
     ranges = counts.groupBy(*keys, "field", "r").agg(F.sum("c").alias("c")).select(
         "*", F.sum("c").over(group).alias("n"),
@@ -63,8 +68,8 @@ def _flat_resources(cycles: DataFrame) -> DataFrame:
     return cycles
 
 
-def _prepared(cycles: DataFrame, keys: list[str]) -> DataFrame:
-    """Narrow, validated projection: only what the aggregate reads."""
+def _prepared(cycles: DataFrame, keys: list[str], all_rows: bool = False) -> DataFrame:
+    """Narrow, validated projection: only what the aggregate reads; rows without a snapshot only on demand."""
     cycles = _flat_resources(cycles)
     snap = F.col("snapshot").cast("string")
     cols = [F.col(k) for k in keys] + [
@@ -87,7 +92,8 @@ def _prepared(cycles: DataFrame, keys: list[str]) -> DataFrame:
         F.when(full, (ram * alloc).cast("decimal(38,6)")).alias("ram_s"),
         F.when(full, (disk * alloc).cast("decimal(38,6)")).alias("disk_s"),
     ]
-    return cycles.select(*cols).filter(F.col("snapshot").isNotNull() & (F.col("snapshot") != ""))
+    narrow = cycles.select(*cols)
+    return narrow if all_rows else narrow.filter(F.col("snapshot").isNotNull() & (F.col("snapshot") != ""))
 
 
 def _hours(c: str) -> Column:
@@ -106,9 +112,12 @@ def _counts(cycles: DataFrame, keys: list[str], prepared: DataFrame | None = Non
         aggs += [F.count("v_" + f).alias("_n_" + f)]
     aggs += [F.count_if("alloc_counted").alias("alloc_count"),
              _hours("cpu_s").alias("_cpu"), _hours("ram_s").alias("_ram"), _hours("disk_s").alias("_disk")]
-    return (p.groupBy(*keys, "snapshot").agg(*aggs)
-            # mean minutes in hundredths, half up
-            .withColumn("_avg", F.expr("(200 * _micros + 60000000 * duration_count) div (120000000 * duration_count)") / 100))
+    return _with_average(p.groupBy(*keys, "snapshot").agg(*aggs))
+
+
+def _with_average(totals: DataFrame) -> DataFrame:
+    """Mean minutes in hundredths, half up."""
+    return totals.withColumn("_avg", F.expr("(200 * _micros + 60000000 * duration_count) div (120000000 * duration_count)") / 100)
 
 
 def _hour_columns() -> list[Column]:
@@ -127,7 +136,11 @@ def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame
     p = _prepared(cycles, keys)
     g = _counts(cycles, keys, p)
     value_cols = ["v_total"] + ["v_" + f for f in STAGE_FIELDS]
-    ranks = nearest_rank_table(p, [*keys, "snapshot"], value_cols, 0.95, suffix="")
+    return _published(g, nearest_rank_table(p, [*keys, "snapshot"], value_cols, 0.95, suffix=""), keys)
+
+
+def _published(g: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """The summary's columns from totals and ranks; figures only at full coverage."""
     # join on renamed keys (null-safe: a group key such as instance may be null)
     gk = [*keys, "snapshot"]
     ranks = ranks.select(*[F.col(k).alias("_rk_" + k) for k in gk], F.col("v_total").alias("_p95"),
@@ -147,6 +160,64 @@ def usage_summary(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame
     return g.select(*out)
 
 
+_SUMS = ("cpu_s", "ram_s", "disk_s")
+_VALUES = ("v_total", *("v_" + f for f in STAGE_FIELDS))
+
+
+def usage_facts(cycles: DataFrame, keys: list[str]) -> DataFrame:
+    """Everything the summary needs in one aggregate that can be merged.
+
+    keys, snapshot, field, v, c and resource sums: how often each outcome
+    (field ``outcome``'s name), each valid value of a duration or stage
+    (``v`` its value), and each counted allocation (``alloc``) occurred.
+    Facts of two sets of records are merged by :func:`merge_facts`.
+    """
+    return _tagged(_prepared(cycles, keys), keys).groupBy(*keys, "snapshot", "field", "v").agg(*_merged())
+
+
+def _merged() -> list[Column]:
+    return [F.sum("c").alias("c"), *[F.sum(s).cast("decimal(38,6)").alias(s) for s in _SUMS]]
+
+
+def merge_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts of the union of the records behind several facts tables (united by name)."""
+    return facts.groupBy(*keys, "snapshot", "field", "v").agg(*_merged())
+
+
+def _tag(field: Column, v: Column | None = None, when: Column | None = None, sums: bool = False) -> Column:
+    """One fact of a record as a struct; null where it does not hold."""
+    null = F.lit(None)
+    s = F.struct(field.alias("field"), (null if v is None else v).cast("double").alias("v"), F.lit(1).cast("long").alias("c"),
+                 *[(F.col(x) if sums else null).cast("decimal(38,6)").alias(x) for x in _SUMS])
+    return s if when is None else F.when(when, s)
+
+
+def _fact_array() -> Column:
+    facts = [_tag(F.col("outcome")), _tag(F.lit("alloc"), when=F.col("alloc_counted"), sums=True)]
+    facts += [_tag(F.lit(f), F.col(f), F.col(f).isNotNull()) for f in _VALUES]
+    return F.filter(F.array(*facts), lambda x: x.isNotNull())
+
+
+def _tagged(prepared: DataFrame, keys: list[str]) -> DataFrame:
+    return prepared.select(*keys, "snapshot", F.explode(_fact_array()).alias("_f")).select(*keys, "snapshot", "_f.*")
+
+
+def summary_from_facts(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``usage_summary`` from :func:`usage_facts`; see there for the columns."""
+    keys = keys or []
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    is_value = lambda f: F.col("field") == f
+    aggs = [count(F.col("field").isin(*OUTCOMES)).alias("n"), *[count(is_value(o)).alias(o) for o in OUTCOMES],
+            count(is_value("v_total")).alias("duration_count"),
+            F.sum(F.when(is_value("v_total"), F.round(F.col("v") * 1e6).cast("decimal(20,0)") * F.col("c"))).cast("decimal(38,0)").alias("_micros"),
+            *[count(is_value("v_" + f)).alias("_n_" + f) for f in STAGE_FIELDS], count(is_value("alloc")).alias("alloc_count"),
+            _hours("cpu_s").alias("_cpu"), _hours("ram_s").alias("_ram"), _hours("disk_s").alias("_disk")]
+    totals = _with_average(facts.groupBy(*keys, "snapshot").agg(*aggs))
+    ranks = _ranked(facts.where(F.col("field").isin(*_VALUES)).select(*keys, "snapshot", "field", "v", "c"),
+                    [*keys, "snapshot"], list(_VALUES), 0.95, suffix="")
+    return _published(totals, ranks, keys)
+
+
 def usage_by_snapshot(cycles: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A1: record count and outcome pivot per non-empty snapshot."""
     keys = keys or []
@@ -217,6 +288,23 @@ def legacy_spawn_counts(journal: DataFrame, keys: list[str] | None = None, line_
             .groupBy(*keys, "size_class").agg(F.count(F.lit(1)).alias("spawns")))
 
 
+def journal_facts(parsed_lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """:func:`usage_facts` per instance of all journal lines, with the fields
+    ``spawn`` (``snapshot`` holds the size class) and ``valid`` (any record)."""
+    line = F.col(line_col)
+    is_spawn = line.contains(RUNNER_UP) & line.contains("[")
+    own = [F.col("instance"), F.col("valid"), is_spawn.alias("_spawn"), legacy_spawn_class(line).alias("_class")]
+    prepared = _prepared(parsed_lines.select("*", F.struct(*own).alias("_line")), ["_line"], all_rows=True)
+    named = F.coalesce(F.col("snapshot"), F.lit("")) != ""
+    facts = F.concat(
+        F.when(F.col("_line.valid") & named, _fact_array()).otherwise(F.filter(F.array(_tag(F.lit("none"))), lambda x: F.lit(False))),
+        F.filter(F.array(_tag(F.lit("valid"), when=F.col("_line.valid")), _tag(F.lit("spawn"), when=F.col("_line._spawn"))),
+                 lambda x: x.isNotNull()))
+    long = prepared.select("_line", "snapshot", F.explode(facts).alias("_f"))
+    key = (F.when(F.col("_f.field") == "spawn", F.col("_line._class")).when(F.col("_f.field") != "valid", F.col("snapshot")))
+    return long.select("_line.instance", key.alias("snapshot"), "_f.*").groupBy("instance", "snapshot", "field", "v").agg(*_merged())
+
+
 def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str = "line") -> DataFrame:
     """The per-instance report as (instance, line_no, text).
 
@@ -228,8 +316,10 @@ def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str =
     line count) and one indented line per snapshot; otherwise one legacy
     line with the spawn counts per class, or ``no spawns``.
 
-    The journal is read twice: once for the per-snapshot summary and once
-    for a (instance, spawn class) count that also yields the header totals.
+    The journal is parsed once: every line becomes tagged facts (outcome,
+    values and allocation of a valid record, its spawn class), one aggregate
+    adds them up, and its result, a row per distinct value, is stored; all
+    figures come from that.
     """
     exit_col = F.col("journal_exit") if "journal_exit" in instances.columns else F.lit(0)
     inst_all = instances.filter(F.coalesce(F.col("unit"), F.lit("")) != "").select("instance", exit_col.alias("_exit"))
@@ -237,19 +327,16 @@ def usage_report(instances: DataFrame, parsed_lines: DataFrame, line_col: str =
         "instance", F.lit(0).cast("long").alias("line_no"),
         F.format_string("%s: journal unavailable (exit %d)", "instance", "_exit").alias("text"))
     inst = inst_all.filter(F.coalesce(F.col("_exit"), F.lit(0)) == 0).select("instance").distinct()
-    line = F.col(line_col)
-    is_spawn = line.contains(RUNNER_UP) & line.contains("[")
-    per_cls = (parsed_lines.select("instance", legacy_spawn_class(line).alias("size_class"),
-                                   is_spawn.alias("_spawn"), "valid")
-               .groupBy("instance", "size_class")
-               .agg(F.count_if("_spawn").alias("spawns"), F.count_if("valid").alias("completions")))
-    totals = per_cls.groupBy("instance").agg(F.sum("spawns").alias("runner_up"),
-                                             F.sum("completions").alias("completions"))
+    facts = stored(parsed_lines.sparkSession, journal_facts(parsed_lines, line_col), "usage-facts")
+    totals = facts.groupBy("instance").agg(F.sum(F.when(F.col("field") == "spawn", F.col("c"))).alias("runner_up"),
+                                           F.sum(F.when(F.col("field") == "valid", F.col("c"))).alias("completions"))
+    per_cls = facts.filter("field = 'spawn'").select("instance", F.col("snapshot").alias("size_class"), F.col("c").alias("spawns"))
     legacy = (per_cls.filter(F.col("size_class").isNotNull()).groupBy("instance")
               .agg(F.array_sort(F.collect_list(F.struct("size_class", "spawns"))).alias("c"))
               .select("instance", F.concat_ws(", ", F.transform(
                   "c", lambda x: F.concat(x["spawns"].cast("string"), F.lit(" "), x["size_class"]))).alias("legacy")))
-    lines = usage_report_lines(usage_summary(parsed_lines.filter("valid"), ["instance"]), ["instance"])
+    records = facts.filter(~F.col("field").isin("spawn", "valid"))
+    lines = usage_report_lines(summary_from_facts(records, ["instance"]), ["instance"])
     w = Window.partitionBy("instance").orderBy("snapshot")
     snap_lines = lines.select("instance", F.row_number().over(w).cast("long").alias("line_no"),
                               F.concat(F.lit("  "), F.col("line")).alias("text"))

@@ -30,10 +30,6 @@ STATE_SCHEMA = "spawned long, online long, completed long, deleted long, busy_ti
 FORGET_SECS = 45 * 86400
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
-
-
 def _min(a, b):
     if a is None:
         return b
@@ -73,13 +69,17 @@ def make_timer_fn(idle_deadline_secs: int, job_max_secs: int, forget_secs: int =
                 None if x is None or pd.isna(x) else int(x) for x in (spawned, online, completed, deleted, last))
             busy_events = [int(t) for t in (kept if kept is not None else [])]
         for pdf in () if state.hasTimedOut else batches:
-            ms = pdf["ts"].map(_ms)
-            spawned = _min(spawned, int(ms.min()))
-            last = max(int(ms.max()), spawned if last is None else last)
-            firsts = ms.groupby(pdf["event"]).min()
-            online, completed, deleted = (_min(t, None if name not in firsts else int(firsts[name]))
-                                          for t, name in ((online, "online"), (completed, "completed"), (deleted, "deleted")))
-            busy_events = sorted({*busy_events, *(int(x) for x in ms[pdf["event"] == "busy"])})
+            for event, t in zip(pdf["event"].tolist(), pdf["ts"].astype("datetime64[ms]").astype("int64").tolist()):
+                spawned, last = _min(spawned, t), t if last is None else max(last, t)
+                if event == "online":
+                    online = _min(online, t)
+                elif event == "completed":
+                    completed = _min(completed, t)
+                elif event == "deleted":
+                    deleted = _min(deleted, t)
+                elif event == "busy":
+                    busy_events.append(t)
+        busy_events = sorted(set(busy_events))
         now = state.getCurrentWatermarkMs()
         due = None if fired else _due(spawned, online, _first_after(busy_events, online), _min(completed, deleted),
                                       idle_deadline_secs * 1000, job_max_secs * 1000)

@@ -79,21 +79,55 @@ def test_failure_streak_carries_across_batches(spark):
     assert got == want == {(1, 5)}
 
 
-def test_usage_stream_over_several_batches(spark):
+US_SCHEMA = "snapshot string, outcome string, cleanup_status string, total_secs double, completed_at timestamp_ntz"
+
+
+def _records(spark, rows):
+    return spark.createDataFrame(rows, US_SCHEMA.replace("timestamp_ntz", "string")).withColumn(
+        "completed_at", F.col("completed_at").cast("timestamp_ntz"))
+
+
+def _usage(spark, src, base):
+    from fleetspark.streaming.usage import usage_report_stream
+    stream = spark.readStream.schema(US_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    return {tuple(r) for r in usage_report_stream(stream, 86400, base).collect()}
+
+
+def test_usage_stream_goes_on_and_reads_touched_windows_only(spark, monkeypatch):
     from fleetspark.operators import telemetry as tm
-    from fleetspark.streaming.usage import usage_facts, usage_report_stream
-    src = scratch_path(spark, "us-src")
-    schema = "snapshot string, outcome string, cleanup_status string, total_secs double, completed_at timestamp_ntz"
-    batches = [[("a", "job", "deleted", 60.0, "2024-01-01 10:00:00"), ("a", "idle", "deleted", 120.0, "2024-01-01 11:00:00")],
-               [("a", "job", "deleted", 30.0, "2024-01-02 10:00:00"), ("b", "failed", "deleted", None, "2024-01-01 12:00:00")]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema.replace("timestamp_ntz", "string")) \
-            .withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{src}/part{i}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
-    got = {(str(r.window_start), r.snapshot): (r.n, r.avg_minutes) for r in usage_report_stream(stream, 86400).collect()}
-    batch = spark.createDataFrame([r for b in batches for r in b], schema.replace("timestamp_ntz", "string")) \
-        .withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))
-    want = {(str(r.window_start), r.snapshot): (r.n, r.avg_minutes)
-            for r in tm.usage_summary(usage_facts(batch, 86400), ["window_start"]).collect()}
-    assert got == want
-    assert got[("2024-01-01 00:00:00", "a")] == (2, 1.5)
+    from fleetspark.sources.state import subfolders
+    from fleetspark.streaming.usage import FactTable, windowed_records
+    src, base = scratch_path(spark, "us-src"), scratch_path(spark, "us-base")
+    first = [[("a", "job", "deleted", 60.0, "2024-01-01 10:00:00"), ("a", "idle", "deleted", 120.0, "2024-01-01 11:00:00"),
+              ("", "job", "deleted", 5.0, "2024-01-01 11:00:00")],
+             [("a", "job", "deleted", 30.0, "2024-01-02 10:00:00"), ("b", "failed", "deleted", None, "2024-01-01 12:00:00")]]
+    later = [[("a", "odd", "create_not_attempted", 90.0, "2024-01-02 11:00:00"), ("a", "job", "deleted", 30.0, "2024-01-02 10:00:00")]]
+
+    def want(batches):
+        rows = _records(spark, [r for b in batches for r in b])
+        return {tuple(r) for r in tm.usage_summary(windowed_records(rows, 86400), ["window_start"]).collect()}
+
+    for i, rows in enumerate(first):
+        _records(spark, rows).coalesce(1).write.parquet(f"{src}/part{i}")
+    assert _usage(spark, src, base) == want(first)
+    opened = []
+    read = FactTable.read
+    monkeypatch.setattr(FactTable, "read", lambda self, versions: opened.append(dict(versions)) or read(self, versions))
+    for i, rows in enumerate(later):
+        _records(spark, rows).coalesce(1).write.parquet(f"{src}/later{i}")
+    assert _usage(spark, src, base) == want(first + later)
+    day2 = 1704153600
+    assert [sorted(v) for v in opened] == [[day2], [day2 - 86400, day2]]  # the merge opens one window, the report all
+    kept = {(n, w) for n in subfolders(spark, f"{base}/facts") for w in subfolders(spark, f"{base}/facts/{n}")}
+    assert len(kept) == 3 and len(subfolders(spark, f"{base}/index")) == 2  # two windows, and the version before of one
+
+
+def test_replayed_batch_adds_nothing_twice(spark):
+    from fleetspark.streaming.usage import FactTable, windowed_records
+    table = FactTable(spark, scratch_path(spark, "us-base"))
+    one, two = (windowed_records(_records(spark, [("a", "job", "deleted", v, "2024-01-01 10:00:00")]), 86400) for v in (10.0, 20.0))
+    table.add(one, 0)
+    table.add(two, 1)
+    before = sorted(map(tuple, table.read(table.versions()).collect()), key=str)
+    table.add(two, 1)
+    assert sorted(map(tuple, table.read(table.versions()).collect()), key=str) == before and len(before) == 3

@@ -92,3 +92,28 @@ def test_non_string_snapshot_is_not_grouped(spark):
     assert parsed.count() == 3
     rows = tm.usage_by_snapshot(parsed).collect()
     assert [(r.snapshot, r.n, r.unknown) for r in rows] == [("s", 1, 1)]
+
+
+def test_facts_merge_to_the_summary_of_all_records(spark):
+    from fleetspark.operators import telemetry as tm
+    import random
+    rng = random.Random(9)
+    rows = [(rng.choice(["i", None]), rng.choice(["s1", "s2", "", None]), rng.choice(["job", "idle", "failed", "?"]),
+             rng.choice(["deleted", "create_not_attempted", "failed"]), rng.choice([None, -1.0, round(rng.expovariate(0.01), 3)]),
+             rng.choice([5.0, None]), 2.0, 4.0, 8.0, rng.choice([None, 1.25, 3.0])) for _ in range(400)]
+    rows += [("full", "s", "job", "deleted", float(i), 3.0, 1.0, 1.0, 1.0, 0.5 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "instance string, snapshot string, outcome string, cleanup_status string, total_secs double, "
+                                     "allocated_secs double, cpu double, memory_gib double, disk_gib double, launch_secs double")
+    halves = [tm.usage_facts(df.where(f"pmod(xxhash64(total_secs, snapshot), 2) = {k}"), ["instance"]) for k in (0, 1)]
+    merged = tm.merge_facts(halves[0].unionByName(halves[1]), ["instance"])
+    got = {tuple(r) for r in tm.summary_from_facts(merged, ["instance"]).collect()}
+    assert got == {tuple(r) for r in tm.usage_summary(df, ["instance"]).collect()} and len(got) >= 4
+
+
+def test_journal_is_aggregated_in_one_pass(spark):
+    from fleetspark.operators import telemetry as tm
+    from fleetspark.sources.journal import parse_cycle_telemetry
+    journal = spark.createDataFrame([("i", "x"), ("i", "[c] runner up: y")], "instance string, line string")
+    parsed = parse_cycle_telemetry(journal, "line", keep=["instance"], keep_all=True)
+    plan = tm.journal_facts(parsed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ExistingRDD") <= 2
