@@ -81,6 +81,54 @@ def desired_state_diff(actual: DataFrame, desired: DataFrame, key: str, attrs: l
     return j.select(F.coalesce("_ka", "_kd").alias(key), action.alias("action"))
 
 
+def canonical(body: Column) -> Column:
+    """A nested rule body (VARIANT) as text that does not depend on the order of keys or list entries.
+
+    Every leaf becomes ``path=value`` with list places left out of the path,
+    and the leaves are sorted, repeats kept.  Bodies with the same leaves
+    under the same paths are the same; numbers compare by value.
+    """
+    return F.array_join(F.array_sort(_leaves(body, DEPTH)), "\n")
+
+
+#: Levels of nesting that a rule body may have; deeper ones compare as their JSON text.
+DEPTH = 5
+
+
+def _leaves(v: Column, depth: int) -> Column:
+    kind = F.schema_of_variant(v)
+    leaf = F.array(F.concat(F.lit("="), F.coalesce(F.variant_get(v, "$", "string"), F.lit("null"))))
+    if not depth:
+        return leaf
+    named = F.try_variant_get(v, "$", "map<string, variant>")
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    from_map = F.flatten(F.transform(F.map_entries(named), lambda e: F.transform(
+        _leaves(e["value"], depth - 1), lambda x: F.concat(F.lit("."), e["key"], x))))
+    from_list = F.flatten(F.transform(listed, lambda e: F.transform(_leaves(e, depth - 1), lambda x: F.concat(F.lit("[]"), x))))
+    empty = F.array(F.lit("={}"))
+    return (F.when(v.isNull(), F.array(F.lit("=null"))).when(kind.startswith("OBJECT"), F.when(F.size(named) == 0, empty).otherwise(from_map))
+            .when(kind.startswith("ARRAY"), F.when(F.size(listed) == 0, F.array(F.lit("=[]"))).otherwise(from_list)).otherwise(leaf))
+
+
+def policy_diff(actual: DataFrame, desired: DataFrame, key: str = "name", type_col: str = "type", body_col: str = "body") -> DataFrame:
+    """J17 for policies: the actions that bring ``actual`` to ``desired``, in ``step`` order.
+
+    Bodies are JSON text and compare by :func:`canonical`.  A policy whose
+    type differs cannot be changed in place: it is deleted (step 1) and
+    created anew (step 2).  One with another body is updated, one that is
+    not desired deleted, and an equal one kept.
+    """
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(F.col(key).alias(p + "k"), F.col(type_col).alias(p + "t"), canonical(F.parse_json(F.col(body_col))).alias(p + "b"))
+
+    j = side(actual, "a_").join(side(desired, "d_"), F.col("a_k") == F.col("d_k"), "full_outer")
+    step = lambda n, name: F.struct(F.lit(n).alias("step"), F.lit(name).alias("action"))
+    steps = (F.when(F.col("a_k").isNull(), F.array(step(1, "create"))).when(F.col("d_k").isNull(), F.array(step(1, "delete")))
+             .when(~F.col("a_t").eqNullSafe(F.col("d_t")), F.array(step(1, "delete"), step(2, "create")))
+             .when(~F.col("a_b").eqNullSafe(F.col("d_b")), F.array(step(1, "update"))).otherwise(F.array(step(1, "keep"))))
+    return j.select(F.coalesce("a_k", "d_k").alias(key), F.explode(steps).alias("s")).select(key, "s.step", "s.action")
+
+
 def volume_lookup(wanted: DataFrame, volumes: DataFrame, name_col: str = "cache_volume") -> DataFrame:
     """The first volume (by listing position) carrying each wanted name, else null."""
     first = volumes.groupBy(F.col("name").alias("_vname")).agg(F.min_by("id", "pos").alias("volume_id"))

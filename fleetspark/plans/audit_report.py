@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit as au
+from ..sources.report import publish_report
 
 
 def audit_report(payloads: DataFrame, refs: DataFrame, payload_col: str = "payload",
@@ -50,10 +51,17 @@ def audit_report(payloads: DataFrame, refs: DataFrame, payload_col: str = "paylo
         "snapshots": au.full_snapshot_rows(snaps.drop("is_object"), status),
         "profile_references": au.references_of(snaps, refs),
         "collision_references": refs.join(collisions.select(F.col("snapshot_name").alias("snapshot")), "snapshot", "left_semi"),
-        "duplicate_candidates": numbered.join(rollup, "candidate_id"),
+        "duplicate_candidates": numbered.drop("members").join(rollup, "candidate_id"),
         "candidate_members": members,
         "name_collisions": collisions,
         "collision_members": au.collision_members(snaps, collisions),
         "unresolved_profile_references": unresolved,
         "unreferenced_snapshots": unreferenced,
     }
+
+
+def publish_audit(payloads: DataFrame, refs: DataFrame, base: str, payload_col: str = "payload",
+                  pages: DataFrame | None = None) -> int:
+    """Audit and publish under ``base``; errors of the inventory leave the published report as it is."""
+    sections = audit_report(payloads, refs, payload_col, checkpoint=True, pages=pages)
+    return publish_report(payloads.sparkSession, sections, base)

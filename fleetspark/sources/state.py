@@ -56,10 +56,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """True if a job finished writing this folder."""
+    fs, where = _folder(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return fs.exists(where)
+
+
 def saved_runs(spark: SparkSession, base: str) -> list[int]:
     """Run ids whose state is complete, ascending."""
-    out = []
-    for name in subfolders(spark, base):
-        if name.startswith("run=") and _folder(spark, base)[0].exists(_folder(spark, f"{base.rstrip('/')}/{name}/_SUCCESS")[1]):
-            out.append(int(name.removeprefix("run=")))
-    return sorted(out)
+    runs = [int(n.removeprefix("run=")) for n in subfolders(spark, base) if n.startswith("run=")]
+    return sorted(r for r in runs if complete(spark, state_path(base, r)))
