@@ -53,6 +53,15 @@ FROM fx_rulesets_actual a FULL OUTER JOIN fx_rulesets_desired d ON a.name = d.na
     fixture(spark, sf, "fx_rulesets_actual"), fixture(spark, sf, "fx_rulesets_desired"), "name",
     ["target", "enforcement"], delete_scope=(F.col("target") == "branch") & (F.col("source_type") == "Repository")))
 
+register("policy_diff", oracle_with(["fx_policies_actual", "fx_policies_desired"], """
+, j AS (SELECT coalesce(a.name, d.name) AS name, a.name AS an, d.name AS dn, a.type AS ta, d.type AS td,
+               regexp_extract(a.body, '"n": ([0-9]+)', 1) AS av, regexp_extract(d.body, '"n": ([0-9]+)', 1) AS dv
+        FROM fx_policies_actual a FULL OUTER JOIN fx_policies_desired d ON a.name = d.name)
+SELECT name, 1 AS step, CASE WHEN an IS NULL THEN 'create' WHEN dn IS NULL OR ta <> td THEN 'delete'
+                             WHEN av <> dv THEN 'update' ELSE 'keep' END AS action FROM j
+UNION ALL SELECT name, 2, 'create' FROM j WHERE ta <> td
+"""))(lambda spark, sf: cf.policy_diff(fixture(spark, sf, "fx_policies_actual"), fixture(spark, sf, "fx_policies_desired")))
+
 register("volume_lookup", oracle_with(["fx_fleets", "fx_volumes"], """
 SELECT f.fleet_pos, f.cache_volume, v.volume_id FROM fx_fleets f
 LEFT JOIN (SELECT name, arg_min(id, pos) AS volume_id FROM fx_volumes GROUP BY name) v ON v.name = f.cache_volume

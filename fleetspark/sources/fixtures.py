@@ -322,6 +322,21 @@ SELECT CAST(floor((day(ts) - 1) / 5.0) AS BIGINT) + 1, CAST(1704067200 + 432000
 FROM events
 """
 
+# Policies with nested bodies, the desired ones in another order; some names, types and values differ.
+VIEWS["fx_policies_actual"] = """
+SELECT 'policy-' || CAST(s_suppkey AS STRING) AS name, CASE WHEN s_suppkey % 9 = 0 THEN 'tag' ELSE 'branch' END AS type,
+       '{"rules": [{"type": "checks", "with": {"strict": true, "names": ["lint", "test"], "n": ' || CAST(s_nationkey AS STRING)
+       || '}}, {"type": "deletion"}], "on": []}' AS body
+FROM supplier
+"""
+VIEWS["fx_policies_desired"] = """
+SELECT 'policy-' || CAST(CASE WHEN s_suppkey % 11 = 0 THEN -s_suppkey ELSE s_suppkey END AS STRING) AS name,
+       CASE WHEN s_suppkey % 6 = 0 THEN 'tag' ELSE 'branch' END AS type,
+       '{"on": [], "rules": [{"type": "deletion"}, {"with": {"n": ' || CAST(s_nationkey + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS STRING)
+       || ', "names": ["test", "lint"], "strict": true}, "type": "checks"}]}' AS body
+FROM supplier
+"""
+
 # Session polls per cycle: an unreadable session with the runner confirmed
 # idle advances the failure streak; anything else resets it.
 VIEWS["fx_polls"] = """
