@@ -31,5 +31,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from .plans import (queries_audit, queries_config, queries_cycles, queries_demand,  # noqa: F401
-                        queries_health, queries_telemetry, queries_text, queries_webhook)
+                        queries_health, queries_profiles, queries_telemetry, queries_text, queries_webhook)
     from .plans import queries_streams  # noqa: F401  (reuses oracles registered above)

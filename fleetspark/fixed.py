@@ -62,6 +62,12 @@ GITHUB_KEYS = {
     "organization": ("scope", "org", "runner_group"),
     "repository": ("scope", "owner", "runner_group_id", "runner_group", "repositories"),
 }
+# The owner's key per scope, and the keys that every manifest entry may have beside it.
+OWNER_KEYS = {
+    "profile": {"organization": "org", "repository": "owner"},
+    "manifest": {"organization": "organization", "repository": "owner"},
+}
+MANIFEST_KEYS = ("name", "scope", "profile", "installation_id_key")
 LISTEN_HOSTS = ("127.0.0.1", "0.0.0.0", "::1", "localhost")
 PROVIDER_API_BASE = "https://app.daytona.io/api"
 # IPv4 ranges Python's ipaddress treats as private (IANA special-purpose

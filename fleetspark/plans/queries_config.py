@@ -131,6 +131,20 @@ _PLEN = ("CASE WHEN e.mask IS NULL THEN e.bits "
          + " " + " ".join(f"WHEN e.mask = {(1 << 32) - 1 - m} THEN {n}" for m, n in _MASKS.items() if 0 < n < 32) + " END")
 
 
+def cidr_ctes(source: str) -> str:
+    """CTEs ending in ``fc``: ``source`` with its comma text ``cidr_allow_list`` judged as ``cidrs``."""
+    return f"""
+, fr AS (SELECT *, list_transform({_CIDR_SQL}, lambda e: {{
+      'shaped': e.shaped AND greatest(e.o[1], e.o[2], e.o[3], e.o[4]) <= 255
+                AND (e.mask IS NULL OR greatest(e.o[5], e.o[6], e.o[7], e.o[8]) <= 255),
+      'ip': e.o[1] * 16777216 + e.o[2] * 65536 + e.o[3] * 256 + e.o[4], 'p': {_PLEN}}}) AS c0 FROM {source}),
+f2 AS (SELECT *, list_transform(c0, lambda e: {{'shaped': e.shaped, 'ip': e.ip, 'p': e.p,
+      'sz': CASE WHEN e.p BETWEEN 0 AND 32 THEN 1::BIGINT << (32 - e.p) END}}) AS c1 FROM fr),
+fc AS (SELECT *, list_transform(c1, lambda z: {{'valid': coalesce(z.shaped AND z.ip % z.sz = 0, false),
+      'net': CAST(z.ip AS VARCHAR) || '/' || CAST(z.p AS VARCHAR),
+      'private': coalesce({_PRIV.replace('ip', 'z.ip').replace('e <', 'z.ip + z.sz - 1 <')}, false)}}) AS cidrs FROM f2)"""
+
+
 def _fleet_rules_sql() -> str:
     isrepo = "scope = 'repository'"
     net = "network_policy IS NOT NULL"
@@ -164,16 +178,7 @@ def _fleet_rules_sql() -> str:
     body = "\nUNION ALL ".join(
         f"SELECT fleet_pos, fleet, {n} AS rule_no, '{rid}' AS rule_id FROM fc WHERE coalesce({cond}, false)"
         for n, rid, cond in rules)
-    return f"""
-, fr AS (SELECT *, list_transform({_CIDR_SQL}, lambda e: {{
-      'shaped': e.shaped AND greatest(e.o[1], e.o[2], e.o[3], e.o[4]) <= 255
-                AND (e.mask IS NULL OR greatest(e.o[5], e.o[6], e.o[7], e.o[8]) <= 255),
-      'ip': e.o[1] * 16777216 + e.o[2] * 65536 + e.o[3] * 256 + e.o[4], 'p': {_PLEN}}}) AS c0 FROM fx_fleets),
-f2 AS (SELECT *, list_transform(c0, lambda e: {{'shaped': e.shaped, 'ip': e.ip, 'p': e.p,
-      'sz': CASE WHEN e.p BETWEEN 0 AND 32 THEN 1::BIGINT << (32 - e.p) END}}) AS c1 FROM fr),
-fc AS (SELECT *, list_transform(c1, lambda z: {{'valid': coalesce(z.shaped AND z.ip % z.sz = 0, false),
-      'net': CAST(z.ip AS VARCHAR) || '/' || CAST(z.p AS VARCHAR),
-      'private': coalesce({_PRIV.replace('ip', 'z.ip').replace('e <', 'z.ip + z.sz - 1 <')}, false)}}) AS cidrs FROM f2)
+    return f"""{cidr_ctes('fx_fleets')}
 SELECT * FROM (
 {body}
 UNION ALL SELECT fleet_pos, fleet, 2, 'R2_fleet_unique' FROM fx_fleets WHERE fleet IN (SELECT fleet FROM fx_fleets GROUP BY fleet HAVING count(*) > 1)

@@ -579,6 +579,71 @@ SELECT s_suppkey AS fleet_pos, 'profiles/' || CAST(s_suppkey AS STRING) || '.tom
 FROM supplier
 """
 
+# Profile documents as JSON text, one per customer: sections and keys that are
+# absent, null or of a wrong type, unknown and credential-like keys at several
+# depths, nested lists, texts that are no JSON.
+VIEWS["fx_profile_documents"] = """
+SELECT c_custkey AS profile_no,
+  CASE WHEN c_custkey % 3 = 0 THEN 'repository' ELSE 'organization' END AS scope,
+  'Org-' || CAST(c_nationkey AS STRING) AS owner,
+  CASE WHEN c_custkey % 53 = 0 THEN NULL WHEN c_custkey % 59 = 0 THEN 'not json' WHEN c_custkey % 61 = 0 THEN '[{"github":{}}]' ELSE
+  '{"title":"p [' || CAST(c_custkey AS STRING) || '"'
+  || CASE WHEN c_custkey % 31 = 0 THEN '' WHEN c_custkey % 37 = 0 THEN ',"github":"none"' WHEN c_custkey % 3 = 0 THEN
+     ',"github":{"scope":"repository","owner":"Org-' || CAST(c_nationkey AS STRING) || '"'
+     || CASE c_custkey % 5 WHEN 0 THEN ',"runner_group":"edge-' || CAST(c_custkey % 4 AS STRING) || '"' WHEN 1 THEN ',"runner_group_id":'
+        || CAST(c_custkey % 4 AS STRING) WHEN 2 THEN ',"runner_group_id":"7","runner_group":null' WHEN 3 THEN ',"runner_group":"Bad Name"' ELSE '' END
+     || CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN ',"repositories":[]' WHEN 2 THEN ',"repositories":"app"'
+        WHEN 3 THEN ',"repositories":["app",7]' WHEN 4 THEN ',"repositories":["api","API"]' ELSE ',"repositories":["app",".github"]' END || '}'
+     ELSE ',"github":{"org":"' || CASE WHEN c_custkey % 23 = 0 THEN 'Other' ELSE 'Org-' || CAST(c_nationkey AS STRING) END || '"'
+     || CASE c_custkey % 6 WHEN 4 THEN ',"scope":"repository"' WHEN 1 THEN ',"scope":"organization"' WHEN 2 THEN ',"repositories":[]' ELSE '' END
+     || CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN ',"runner_group":"other"' ELSE ',"runner_group":"daytona"' END || '}' END
+  || CASE c_custkey % 11 WHEN 0 THEN '' WHEN 1 THEN ',"daytona":{}' WHEN 2 THEN ',"daytona":{"target":9}' WHEN 3 THEN ',"daytona":{"target":"Eu_1"}'
+     WHEN 4 THEN ',"daytona":{"target":"us","deep":[{"x":[[{"api-key":1}]]}]}' ELSE ',"daytona":{"target":"us"}' END
+  || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE CASE c_custkey % 13 WHEN 0 THEN ',"network":null' WHEN 1 THEN ',"network":[]' WHEN 2 THEN ',"network":{}'
+     WHEN 3 THEN ',"network":{"policy":"allow","cidr_allow_list":["10.0.0.0/8"],"domain_allow_list":[],"bogus":1}'
+     WHEN 4 THEN ',"network":{"policy":"deny-by-default","cidr_allow_list":"10.0.0.0/8","domain_allow_list":["pypi.org",3]}'
+     WHEN 5 THEN ',"network":{"policy":"deny-by-default","cidr_allow_list":["8.8.8.0/24","10.0.0.1/8"],"domain_allow_list":["a.org","A.org"]}'
+     WHEN 6 THEN ',"network":{"policy":"deny-by-default","cidr_allow_list":["10.0.0.0/8",5,"10.0.0.0/8"],"domain_allow_list":["bad_domain"]}'
+     WHEN 7 THEN ',"network":{"policy":true,"cidr_allow_list":[],"domain_allow_list":["pypi.org"]}' ELSE
+     ',"network":{"policy":"deny-by-default","cidr_allow_list":["10.0.0.0/8","192.168.0.0/16"],"domain_allow_list":["pypi.org","*.b.org"]}' END END
+  || CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN ',"routing":{}' WHEN 2 THEN ',"routing":null' WHEN 3 THEN ',"routing":{"required_labels":["large"],"more":1}'
+     WHEN 4 THEN '' WHEN 5 THEN ',"routing":{"required_labels":["edge-' || CAST(c_custkey % 4 AS STRING) || '"]}' WHEN 6 THEN '' WHEN 7 THEN ',"routing":{"required_labels":["x","x","No"]}'
+     WHEN 8 THEN '' ELSE ',"routing":{"required_labels":[]}' END
+  || CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN ',"cache":{}' WHEN 2 THEN ',"cache":{"volume":"  "}' WHEN 3 THEN ',"cache":true'
+     WHEN 4 THEN ',"cache":{"volume":4}' ELSE ',"cache":{"volume":"v"}' END
+  || CASE c_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN ',"poller":{}' WHEN 2 THEN ',"poller":{"interval_secs":1.5}' WHEN 3 THEN ',"poller":{"interval_secs":30}'
+     WHEN 4 THEN ',"poller":{"interval_secs":0,"request_spacing_secs":-1}' WHEN 5 THEN ',"poller":{"interval_secs":"60","colour":2}'
+     WHEN 6 THEN ',"poller":{"interval_secs":90,"request_spacing_secs":null}' WHEN 7 THEN ',"poller":7' ELSE ',"poller":{"interval_secs":60,"request_spacing_secs":0}' END
+  || CASE c_custkey % 12 WHEN 0 THEN '' WHEN 1 THEN ',"webhook":{}' WHEN 2 THEN ',"webhook":{"listen":8080}' WHEN 3 THEN ',"webhook":{"listen":"localhost"}'
+     WHEN 4 THEN ',"webhook":{"listen":" LocalHost :80"}' WHEN 5 THEN ',"webhook":{"listen":"::1:99999"}' WHEN 6 THEN ',"webhook":{"listen":"example.org:80"}'
+     WHEN 7 THEN ',"webhook":{"listen":"0.0.0.0:http"}' WHEN 8 THEN ',"webhook":{"listen":"127.0.0.1:8080","hmac_env":"bad-name"}'
+     WHEN 9 THEN ',"webhook":{"listen":"127.0.0.1:8080","hmac_env":3,"secret":"s"}' ELSE ',"webhook":{"listen":"127.0.0.1:8080","hmac_env":"HOOK"}' END
+  || CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN ',"lifecycle":[1]' WHEN 2 THEN ',"lifecycle":{"ephemeral":true,"idle_poll_secs":0}'
+     WHEN 3 THEN ',"lifecycle":{"job_max_secs":-1,"busy_poll_secs":null}' WHEN 4 THEN ',"lifecycle":{"idle_refresh_secs":"5","colour":"red"}'
+     ELSE ',"lifecycle":{"hold_on_failure_secs":900,"fast_idle_poll_secs":5}' END
+  || CASE c_custkey % 7 WHEN 0 THEN ',"watchdog":{"github_queue_scan":"yes"}' WHEN 1 THEN ',"watchdog":{"github_queue_scan":false,"Auth_Token":{"a":1}}' ELSE '' END
+  || CASE c_custkey % 14 WHEN 0 THEN '' WHEN 1 THEN ',"size_class":{}' WHEN 2 THEN ',"size_class":[]' WHEN 3 THEN ',"size_class":["default",{"name":"large"}]'
+     ELSE ',"size_class":[{"name":"default","labels":["self-hosted","daytona"],"snapshot":"s1","min_idle":' || CASE c_custkey % 5 WHEN 0 THEN '"0"' WHEN 1 THEN 'true' ELSE '1' END
+     || ',"max":3,"warm_floor_reason":"bursts"},{"name":"large","labels":["self-hosted",' || CASE c_custkey % 6 WHEN 0 THEN '""' WHEN 1 THEN '5' ELSE '"daytona","large"' END
+     || '],"snapshot":' || CASE c_custkey % 4 WHEN 0 THEN 'null' ELSE '"s2"' END || ',"min_idle":0,"max":2}]' END
+  || '}' END AS body
+FROM customer
+"""
+
+# Fleet manifests as JSON text, one per supplier, three entries each.
+VIEWS["fx_manifests"] = """
+SELECT s_suppkey AS manifest_no,
+  CASE WHEN s_suppkey % 41 = 0 THEN NULL WHEN s_suppkey % 17 = 0 THEN '{"manifest":{"version":1},"fleet":[]}' WHEN s_suppkey % 19 = 0 THEN '{"fleet":{}}' ELSE
+  '{"manifest":{"version":' || CASE s_suppkey % 7 WHEN 0 THEN '2' WHEN 1 THEN '"1"' WHEN 2 THEN 'true' ELSE '1' END || '},"fleet":['
+  || '{"name":"alder","organization":"Org-' || CAST(s_nationkey AS STRING) || '","profile":"config/fleets/alder/runners.toml","installation_id_key":"'
+  || CASE s_suppkey % 5 WHEN 0 THEN '0' ELSE CAST(s_suppkey AS STRING) END || '"' || CASE s_suppkey % 6 WHEN 0 THEN ',"owner":"x"' WHEN 1 THEN ',"colour":1' ELSE '' END || '},'
+  || '{"name":"' || CASE s_suppkey % 4 WHEN 0 THEN 'alder' WHEN 1 THEN 'Birch' ELSE 'birch' END || '","scope":"repository","owner":"'
+  || CASE s_suppkey % 3 WHEN 0 THEN '-bad' ELSE 'me' END || '","profile":"config/fleets/birch/runners.toml"' || CASE s_suppkey % 8 WHEN 0 THEN '' ELSE ',"installation_id_key":"12"' END || '},'
+  || CASE s_suppkey % 10 WHEN 0 THEN '"cedar"' WHEN 1 THEN '{"name":"cedar","scope":"enterprise","other":1}' WHEN 2 THEN '{"name":3,"scope":null,"profile":true}'
+     ELSE '{"name":"cedar","scope":"repository","owner":"ME","profile":"/etc/cedar","installation_id_key":5}' END || ']}' END AS body
+FROM supplier
+"""
+
 
 # Fleets that referenced each snapshot: one to three of the instances.
 VIEWS["fx_snapshot_fleets"] = """
