@@ -41,12 +41,15 @@ CLASS_KEYS = (("name", "string", 18), ("labels", "array", 18), ("snapshot", "str
               ("max", "integer", 19))
 
 
+_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer",
+          "DECIMAL(,)": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number"}
+
+
 def kind(v: Column) -> Column:
     """object, array, string, integer, number, boolean or null; null where nothing stands."""
-    t = F.schema_of_variant(v)
-    return (F.when(v.isNull(), F.lit(None)).when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array")
-            .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null")
-            .when(t.rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))$"), "integer").otherwise("number"))
+    # one look at the schema: its first word, with the brackets of a decimal that has no fraction
+    head = F.regexp_replace(F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+(\([0-9]+,0\))?", 0), "[0-9]+", "")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), head)
 
 
 def read_documents(documents: DataFrame, body: str = "body") -> DataFrame:
@@ -86,7 +89,7 @@ def _open(nodes: DataFrame, keys: list[str]) -> DataFrame:
             F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), n["path"], F.lit(None).cast("string"),
             n["depth"] + 1, v)))
     closed = F.array(n.withField("rest", F.lit(None).cast("variant")))
-    return nodes.select(*keys, F.explode(F.when(children.isNull(), closed).otherwise(F.concat(closed, children))).alias("n"))
+    return nodes.select(*keys, F.explode(F.concat(closed, F.coalesce(children, F.slice(closed, 1, 0)))).alias("n"))
 
 
 def walk(documents: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
@@ -133,11 +136,17 @@ def profile_document_violations(documents: DataFrame, keys: list[str], project:
     get = lambda path: F.try_variant_get(doc, f"$.{path}", "variant")
     paths = sorted({*SECTIONS, "size_class", *(f"{s}.{k}" for s, k, _, _ in KEYS),
                     *(f"github.{k}" for names in GITHUB_KEYS.values() for k in names)})
-    # types and values are made once, behind a generator
-    held = F.struct(*[F.struct(kind(get(p)).alias("type"), F.try_variant_get(doc, f"$.{p}", "string").alias("text"),
-                               F.transform(F.try_variant_get(doc, f"$.{p}", "array<variant>"), lambda v: F.when(
-                                   kind(v) == "string", F.try_variant_get(v, "$", "string"))).alias("items")).alias(p.replace(".", "__"))
-                      for p in paths])
+    lists = {"github.repositories", "size_class", *(f"{s}.{k}" for s, k, t, _ in KEYS if t == "array")}
+
+    def read(p: str) -> Column:
+        if p in lists:  # the items that are texts, null for the others
+            held = F.transform(F.try_variant_get(doc, f"$.{p}", "array<variant>"), lambda v: F.when(
+                kind(v) == "string", F.try_variant_get(v, "$", "string"))).alias("items")
+        else:
+            held = F.try_variant_get(doc, f"$.{p}", "string").alias("text")
+        return F.struct(kind(get(p)).alias("type"), held).alias(p.replace(".", "__"))
+
+    held = F.struct(*map(read, paths))  # types and values are made once, behind a generator
     rows = parsed.select(*keys, "scope", "owner", doc.isNull().alias("unreadable"), F.explode(F.array(held)).alias("h"))
     cell = lambda path: F.col("h")[path.replace(".", "__")]
     type_of = lambda path: cell(path)["type"]
