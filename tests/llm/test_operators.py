@@ -365,16 +365,62 @@ def test_language_features_do_not_depend_on_slices():
 
     from fleetspark.llm import language_id, slices
     texts = pa.array(["Über die brücke gehen wir, und zurück.", None, "1 2 3", "abc def " * 40])
-    langs, bits = ["a", "b"], 10
+    prior, bits = np.zeros(2), 10
     log_p = np.log(np.random.default_rng(0).random((1 << bits, 2)))
-    whole = language_id.score(texts, langs, np.zeros(2), log_p, bits)
+    whole = language_id.log_likelihoods(texts, prior, log_p, bits)
     small = slices.text_slices
     try:
         language_id.text_slices = lambda column: small(column, 24)
-        parts = language_id.score(texts, langs, np.zeros(2), log_p, bits)
+        parts = language_id.log_likelihoods(texts, prior, log_p, bits)
     finally:
         language_id.text_slices = small
-    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
+    assert list(whole[1]) == list(parts[1]) and np.allclose(whole[0], parts[0])
+
+
+@pytest.mark.parametrize("block", [64, 7, 1])
+def test_language_blocks_equal_brute_force(spark, block):
+    """Bayes by hand over dictionaries; the size of a block changes nothing, copies of a language's texts tie."""
+    import math
+    import random
+    from collections import Counter
+
+    from fleetspark.llm import language_id
+    rng = random.Random(11)
+    learn = [(f"l{n:02d}", " ".join("".join(rng.choice("abcdeéß"[n % 5:]) for _ in range(4)) + rng.choice(["", ".", "7"])
+                                    for _ in range(6))) for n in [*range(20), *range(20), 3, 3]]
+    learn += [("twin-a", "zz top"), ("twin-b", "zz top"), ("mute", None)]
+    texts = [t for _, t in learn[:30]] + ["", None, "12 3", "zz", "zz top", "Éß AB", "abc " * 500]
+
+    def grams(text):
+        c = [ord(x.lower()[0]) if x.isalpha() else 0 for x in text or ""] + [0]
+        a = b = 0
+        for z in c:
+            pair = ((b * 0x9E3779B1 & 0xFFFFFFFF) ^ (z * 0x85EBCA77 & 0xFFFFFFFF)) * 0xC2B2AE3D & 0xFFFFFFFF
+            if b or z:
+                yield pair >> 16
+            if b and (a or z):
+                yield (((pair ^ (a * 0x27D4EB2F & 0xFFFFFFFF)) * 0x165667B1 + 1) & 0xFFFFFFFF) >> 16
+            a, b = b, z
+
+    langs = sorted({lang for lang, _ in learn})
+    prior, counts = Counter(lang for lang, _ in learn), {lang: Counter() for lang in langs}
+    for lang, text in learn:
+        counts[lang].update(grams(text))
+    size = {lang: sum(c.values()) + 0.5 * 2**16 for lang, c in counts.items()}
+    expected = []
+    for text in texts:
+        found = Counter(grams(text))
+        logs = [math.log(prior[lang] / len(learn)) + sum(n * math.log((counts[lang][g] + 0.5) / size[lang]) for g, n in found.items())
+                for lang in langs]
+        known = any(map(str.isalpha, text or ""))
+        best = max(logs)
+        expected.append((langs[[x > best - 1e-9 for x in logs].index(True)] if known else "und",
+                         1 / sum(math.exp(x - best) for x in logs) if known else 0.0))
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    models = language_id.fit(spark, spark.createDataFrame(learn, "lang string, text string").repartition(3), block=block)
+    rows = {r.doc_id: r for r in language_id.predict(spark, docs, models).collect()}
+    assert [rows[i].lang_pred for i in range(len(texts))] == [lang for lang, _ in expected]
+    assert np.allclose([rows[i].score for i in range(len(texts))], [p for _, p in expected], atol=1e-9)
 
 
 @pytest.mark.parametrize("rows_per_cell", [4096, 3])
