@@ -139,11 +139,20 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _contents(listed: DataFrame, length: int) -> DataFrame:
-    """The bytes of the listed runs: ``anchor, block, blocks, k1, k2, lo, single, bytes``."""
+    """The bytes of the listed runs: ``anchor, block, blocks, k1, k2, lo, single, bytes``.
+
+    Repeated rows list the same runs, so a task passes on the first of them
+    only; what remains of a row, however often it is repeated, is one a task.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for text, k1, k2, entries in zip(*(batch.column(c) for c in ("text", "k1", "k2", "entries"))):
+                own = (k1.as_py(), k2.as_py())
+                if own in seen:
+                    continue
+                seen.add(own)
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for e in entries.as_py():
                     lo, n = e["code"] >> 10, (e["code"] >> 2) & 255

@@ -167,6 +167,27 @@ def test_suffix_dedup(spark, sf, docs, monkeypatch, group, block):
     assert rows == expected
 
 
+def test_thousands_of_repeated_rows_put_one_content_a_task(spark, monkeypatch):
+    from fleetspark.llm import suffix_dedup
+    rng = np.random.default_rng(4)
+    hot, shared = ("".join(rng.choice(list("abcdef "), n)) for n in (900, 260))
+    rows = [(1, hot + shared)] * 3000 + [(2, shared + "tail"), (3, "x" + shared), (4, hot[:500])]
+    passed = []
+    plain = suffix_dedup._sorted_blocks
+
+    def counted(contents, length):
+        passed.append(contents.where("k1 = 1").groupBy("anchor", "block", "lo").count().agg({"count": "max"}).first()[0])
+        return plain(contents, length)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_blocks", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup._cut(suffix_dedup.repeated_spans(spark, docs).select("doc_id", "text", "codes"), 200)
+    kept = Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in got.collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert kept == {(1, 1160, sha("")): 3000, (2, 260, sha("tail")): 1, (3, 260, sha("x")): 1, (4, 500, sha("")): 1}
+    assert passed[0] <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 4
+
+
 def test_suffix_order():
     from fleetspark.llm.suffixes import common_prefixes, suffix_order
     rng = np.random.default_rng(0)
