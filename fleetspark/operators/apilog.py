@@ -25,13 +25,41 @@ def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
+# Zone names of mail dates, in hours from UTC; other names count as UTC.
+_ZONES = {"AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_C_DATE = r"^(?:[A-Za-z]+,?\s+)?([A-Za-z]{3,9})\s+([0-9]{1,2})\s+([0-9]{1,2}:[0-9]{2}:[0-9]{2})\s+([0-9]{4})\z"
+_MAIL_DATE = (r"^(?:[A-Za-z]+,?\s*)?([0-9]{1,2})[\s-]+([A-Za-z]{3,9})[\s-]+([0-9]{2}|[0-9]{4})\s+"
+              r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:\s+([A-Za-z]+|[+-][0-9]{4})(?:\s[\s\S]*)?)?\z")
+
+
 def _http_date_epoch(text: Column) -> Column:
-    """RFC 7231 date (``Wed, 31 Jan 2024 00:00:00 GMT``) to epoch seconds.
+    """A date header in any mail layout to epoch seconds, null for anything else.
 
-    The weekday is dropped (Spark's datetime patterns cannot parse ``EEE``)
-    and the rest read as an instant."""
-    body = F.trim(F.regexp_replace(text, r"^\s*[A-Za-z]{3},", ""))
-    return F.unix_micros(F.try_to_timestamp(body, F.lit("dd MMM yyyy HH:mm:ss z"))) / F.lit(1e6)
+    ``Wed, 31 Jan 2024 00:00:00 GMT``; without the weekday or the seconds;
+    with a zone name or an offset (none: UTC); with dashes and a two-digit
+    year (69 to 99 are of the last century); and the C library's order
+    ``Wed Jan 31 00:00:00 2024``.  The weekday is not compared with the day,
+    what follows the zone is not read.
+    """
+    body = F.regexp_replace(F.trim(text), _C_DATE, "$2 $1 $4 $3")
+    parts = F.split(F.regexp_replace(body, _MAIL_DATE, "$1,$2,$3,$4,$5,$6,$7"), ",")
+    month_at = F.create_map(*[x for i, m in enumerate(_MONTHS) for x in (F.lit(m), F.lit(i + 1))])
+    zone_at = F.create_map(*[x for z, h in _ZONES.items() for x in (F.lit(z), F.lit(h * 3600))])
+
+    def epoch(p: Column) -> Column:
+        number = lambda i: p[i].try_cast("int")
+        year = F.when(F.length(p[2]) == 4, number(2)).otherwise(number(2) + F.when(number(2) > 68, 1900).otherwise(2000))
+        second = F.coalesce(number(5), F.lit(0))
+        at = F.try_make_timestamp(year, F.try_element_at(month_at, F.lower(F.left(p[1], F.lit(3)))), number(0), number(3), number(4),
+                                  second.cast("decimal(16,6)"), F.lit("UTC"))
+        offset = F.when(p[6].rlike("^[+-]"), F.when(p[6].startswith("-"), -1).otherwise(1) * (
+            F.substring(p[6], 2, 2).try_cast("int") * 3600 + F.substring(p[6], 4, 2).try_cast("int") * 60))
+        zone = F.coalesce(offset, F.try_element_at(zone_at, F.upper(p[6])), F.lit(0))
+        return F.when((second < 60) & (F.size(p) == 7), F.unix_micros(at) / F.lit(1e6) - zone)
+
+    # the parts stand behind a transform, so that they are matched once
+    return F.transform(F.array(F.when(body.rlike(_MAIL_DATE), parts)), epoch)[0]
 
 
 def directed_delay(retry_after: Column, reset: Column, remaining: Column, now_epoch: Column) -> Column:
