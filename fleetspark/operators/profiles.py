@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from ..fixed import (CLOSED_KEYS, DOMAIN_NAME, ENV_NAME, FLEET_NAME, FORBIDDEN_CONFIG_KEYS, GITHUB_KEYS, LIFECYCLE_POLLS,
                      LIFECYCLE_SECS, LISTEN_HOSTS, MANIFEST_KEYS, NETWORK_POLICY, ORG_RUNNER_GROUP, OWNER_KEYS, OWNER_NAME,
                      PROJECT, PROVIDER_TARGET, REPOSITORY_NAME, RUNNER_GROUP_NAME, SCOPES, Project)
+from ..session import stored
 from .rules import _full, _is, cidr_list_checks
 
-#: Levels that one stage of the walk opens; deeper documents take another stage.
-LEVELS = 8
+#: Levels that one stage of the walk opens; deeper documents take another stage.  The code generated for more
+#: levels is too long to be compiled well.
+LEVELS = 4
 
 #: Sections of a profile and the rule that each belongs to.
 SECTIONS = {"github": 6, "daytona": 9, "network": 10, "routing": 12, "cache": 13, "poller": 14, "webhook": 15, "lifecycle": 16,
@@ -72,45 +74,74 @@ def nesting(text: Column) -> Column:
     return F.aggregate(marks, at, step)["top"]
 
 
-def _node(path: Column, parent: Column, key: Column, depth: Column, v: Column) -> Column:
-    t = kind(v)
-    return F.struct(path.alias("path"), parent.alias("parent"), key.alias("key"), depth.alias("depth"), t.alias("type"),
-                    F.when(~t.isin("object", "array", "null"), F.try_variant_get(v, "$", "string")).alias("value"),
-                    F.when(t.isin("object", "array"), v).alias("rest"))
+def dealt(documents: DataFrame, columns: list[str], body: str = "body") -> DataFrame:
+    """``columns, body, levels`` in a staged copy, dealt over all tasks; ``levels`` is null where the text is no JSON.
+
+    A table of short rows is one or a few tasks, and each row costs much
+    more than its bytes: the texts are made, parsed and walked by all tasks.
+    """
+    spark = documents.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents.select(*dict.fromkeys([*columns, body])).repartition(tasks)
+    return stored(spark, rows.withColumn("levels", F.when(F.try_parse_json(body).isNotNull(), nesting(F.col(body)))), "profiles")
 
 
 def _open(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Each node with a rest becomes itself, closed, and its children."""
-    n = F.col("n")
-    children = F.coalesce(
-        F.transform(F.map_entries(F.try_variant_get(n["rest"], "$", "map<string,variant>")), lambda e: _node(
-            F.concat_ws(".", F.when(n["path"] != "", n["path"]), e["key"]), n["path"], e["key"], n["depth"] + 1, e["value"])),
-        F.transform(F.try_variant_get(n["rest"], "$", "array<variant>"), lambda v, i: _node(
-            F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), n["path"], F.lit(None).cast("string"),
-            n["depth"] + 1, v)))
-    closed = F.array(n.withField("rest", F.lit(None).cast("variant")))
-    return nodes.select(*keys, F.explode(F.concat(closed, F.coalesce(children, F.slice(closed, 1, 0)))).alias("n"))
+    c = F.col
+    opens = F.when(c("rest").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    twice = nodes.select("*", F.explode(opens).alias("opens")).withColumn("rest", F.when(c("opens"), c("rest")))
+    items = twice.sparkSession.tvf.variant_explode_outer(c("rest").outer()).select(
+        c("pos").alias("c_pos"), c("key").alias("c_key"), c("value").alias("v"))
+    met = twice.lateralJoin(items).where(~c("opens") | c("c_pos").isNotNull())
+    own = F.when(c("c_key").isNull(), F.concat(c("path"), F.lit("["), c("c_pos").cast("string"), F.lit("]"))).otherwise(
+        F.concat_ws(".", F.when(c("path") != "", c("path")), c("c_key")))
+    t, v = F.when(c("opens"), c("c_type")).otherwise(c("type")), c("v")
+    return met.withColumn("c_type", kind(v)).select(
+        *keys, F.when(c("opens"), own).otherwise(c("path")).alias("path"),
+        F.when(c("opens"), c("path")).otherwise(c("parent")).alias("parent"),
+        F.when(c("opens"), c("c_key")).otherwise(c("key")).alias("key"),
+        F.when(c("opens"), c("depth") + 1).otherwise(c("depth")).alias("depth"), t.alias("type"),
+        F.when(~c("opens"), c("value")).when(~c("c_type").isin("object", "array", "null"), F.try_variant_get(v, "$", "string")).alias("value"),
+        F.when(c("c_type").isin("object", "array"), v).alias("rest"))
 
 
 def walk(documents: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Every node below the root of each document: ``keys, path, parent, key, depth, type, value``.
 
     ``value`` is the text of a string, number or boolean.  List items have no
-    ``key``; their path ends in ``[number]``.  Levels are opened one after
-    another by a generator, without a shuffle; the number of levels comes
-    from one pass over the texts, and after every ``LEVELS`` of them the
-    nodes are checkpointed, so that neither the plan nor the work per node
-    grows with the depth.
+    ``key``; their path ends in ``[number]``.  The texts are dealt over all
+    tasks once; levels are opened one after another by a generator, without
+    a shuffle.  After every ``LEVELS`` of them the closed nodes are done and
+    the open ones, of deeper documents alone, are checkpointed, so that
+    neither the plan nor the work per node grows with the depth.
     """
-    deepest = documents.where(F.try_parse_json(body).isNotNull()).agg(F.max(nesting(F.col(body)))).first()[0] or 0
-    root = _node(F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0), F.col("doc"))
-    nodes = read_documents(documents, body).where("doc IS NOT NULL").select(*keys, root.alias("n"))
-    for level in range(deepest):
-        if level and level % LEVELS == 0:
-            nodes = nodes.checkpoint()
+    return _walk(dealt(documents, keys, body), keys, body)
+
+
+def _walk(documents: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """:func:`walk` over documents that :func:`dealt` has staged."""
+    deepest = documents.agg(F.max("levels")).first()[0] or 0
+    kept = [*keys, "levels"]
+    none = F.lit(None).cast("string")
+    left = read_documents(documents, body).where("doc IS NOT NULL").select(
+        *kept, F.lit("").alias("path"), none.alias("parent"), none.alias("key"), F.lit(0).alias("depth"),
+        F.lit("object").alias("type"), none.alias("value"), F.col("doc").alias("rest"))
+    done = None
+    for first in range(0, max(deepest, 1), LEVELS):
+        last = min(first + LEVELS, deepest)
+        if first:
+            left = _open_levels(left.where(F.col("levels") > first), kept, LEVELS).where("rest IS NOT NULL").checkpoint()
+        closed = _open_levels(left, kept, last - first).where("rest IS NULL AND depth > 0").select(
+            *keys, "path", "parent", "key", "depth", "type", "value")
+        done = closed if done is None else done.unionByName(closed)
+    return done
+
+
+def _open_levels(nodes: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    for _ in range(levels):
         nodes = _open(nodes, keys)
-    return nodes.where("n.depth > 0").select(*keys, *[F.col(f"n.{x}").alias(x) for x in (
-        "path", "parent", "key", "depth", "type", "value")])
+    return nodes
 
 
 def _findings(rows: DataFrame, keys: list[str], rules: list[tuple[int, str, str, Column]]) -> DataFrame:
@@ -130,7 +161,8 @@ def profile_document_violations(documents: DataFrame, keys: list[str], project:
     lifecycle (R16).  A rule on a value speaks only where the value has its
     type; an absent optional section has no finding.
     """
-    nodes = walk(documents, [*keys, "scope"])
+    documents = dealt(documents, [*keys, "scope", "owner"])
+    nodes = _walk(documents, [*keys, "scope"])
     parsed = read_documents(documents)
     doc = F.col("doc")
     get = lambda path: F.try_variant_get(doc, f"$.{path}", "variant")

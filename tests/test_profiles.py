@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fleetspark.operators import profiles as pf
 from fleetspark.operators import rules as rl
@@ -49,6 +50,15 @@ def test_walk_goes_on_below_one_stage(spark):
     assert _walked(spark, [json.dumps(tree)]) == sorted([(0, *n) for n in _nodes(tree)], key=repr)
 
 
+def test_texts_of_one_task_are_walked_by_all(spark):
+    trees = [{"a": {"b": [i, {"c": {"d": {"e": i}}}]}} for i in range(200)]
+    docs = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "id long, body string").coalesce(1)
+    nodes = pf.walk(docs, ["id"])
+    spread = {r.task: r.n for r in nodes.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("id").alias("n")).collect()}
+    assert len(spread) >= 4 and max(spread.values()) < 100
+    assert nodes.count() == sum(1 for t in trees for _ in _nodes(t))
+
+
 @pytest.mark.parametrize("text", [None, "", "no", "[]", '"x"', '{"a":1,"a":2}', '{"a":'])
 def test_what_cannot_be_read(spark, text):
     docs = spark.createDataFrame([(1, "organization", "o", text)], "id long, scope string, owner string, body string")
