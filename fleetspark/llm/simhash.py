@@ -41,6 +41,8 @@ SEED = 42
 GROUPS = 8
 #: Rows of a cell compared in one block; larger cells are split into pairs of blocks.
 CELL_ROWS = 4096
+#: Links of a task held before they are reduced to a forest.
+FOREST_LINKS = 1 << 17
 #: Shingles hashed at once, so that very long texts take bounded memory.
 _CHUNK = 1 << 16
 _LOW = 0x5555555555555555
@@ -127,7 +129,7 @@ def _links_in(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndar
         held_a.append(fp[near])
         held_b.append(fp[near + shift])
         held += near.size
-        if held > 1 << 20:  # keep a forest, not all pairs
+        if held > max(FOREST_LINKS, 4 * len(fp)):  # keep a forest, not all pairs
             a, b = spanning(np.concatenate(held_a), np.concatenate(held_b))
             held_a, held_b, held = [a], [b], 0
         shift += 1
