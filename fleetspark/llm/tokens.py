@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces remembered by a worker; beyond that the table starts anew.
-CACHE_WORDS = 1_000_000
-CACHE_IDS = 8_000_000
+#: Pieces remembered by a worker (some 50 MB); beyond that the table starts anew.  Most pieces of a corpus are rare,
+#: the frequent ones are soon met again.
+CACHE_WORDS = 200_000
+CACHE_IDS = 1_600_000
 #: Longer pieces are encoded each time.
 CACHE_WORD_CHARS = 64
 #: Characters of a text handled at once.

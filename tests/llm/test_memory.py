@@ -1,10 +1,22 @@
-"""What a worker holds stays bounded: links of near copies."""
+"""What a worker holds stays bounded: remembered pieces, links of near copies."""
 
 import tracemalloc
 
 import numpy as np
 
-from fleetspark.llm import simhash
+from fleetspark.llm import simhash, tokens
+
+
+def test_remembered_pieces_are_bounded():
+    table = tokens.word_ids()
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    most = 0
+    for lo in range(0, 300_000, 20_000):
+        words = ["".join(letters[[n // 20**k % 20 for k in range(5)]]) for n in range(lo, lo + 20_000)]
+        ids, _, _ = tokens.encode([" ".join(words)], [True], table)
+        assert np.frombuffer(ids, "<u4")[-1] == 2
+        most = max(most, len(table))
+    assert most <= 250_000
 
 
 def test_links_of_near_copies_take_little_memory():
