@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces remembered by a worker (some 50 MB); beyond that the table starts anew.  Most pieces of a corpus are rare,
-#: the frequent ones are soon met again.
+#: Pieces remembered by a worker (some 50 MB); beyond that the half in use most often stays.  Most pieces of a corpus
+#: are rare, the frequent ones are met in nearly every group of texts.
 CACHE_WORDS = 200_000
 CACHE_IDS = 1_600_000
 #: Longer pieces are encoded each time.
@@ -34,7 +35,7 @@ _END = " end"
 
 
 class WordIds(dict):
-    """Piece -> its number, filled on demand; arrays hold each number's ids, their count and whether a sentence or line ends."""
+    """Piece -> its number, filled on demand; arrays hold each number's ids, their count, whether a sentence or line ends, and its uses."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -52,6 +53,7 @@ class WordIds(dict):
     def _reset(self) -> None:
         self.clear()
         self._ids, self._first, self._count, self._stops = array("I"), array("q"), array("q"), array("b")
+        self._uses = np.zeros(0, np.int32)
         self["\n"] = self._add([], True)
         self[""] = self._add([], False)
         self[_END] = self._add([self._end_id], False)
@@ -67,19 +69,41 @@ class WordIds(dict):
         """True if the text may hold one of the vocabulary's special strings."""
         return any(s[:2] in text for s in self._specials)
 
-    def number(self, piece: str) -> int:
-        """The number of a piece; one of a long piece holds until the table starts anew."""
-        known = self.get(piece)
-        if known is None:
-            known = self._add(self._encode(piece, add_special_tokens=False).ids, piece in _STOPS)
-            if len(piece) <= CACHE_WORD_CHARS:
-                self[piece] = known
+    def __missing__(self, piece: str) -> int:
+        """The number of a new piece; that of a long one is not remembered."""
+        known = self._add(self._encode(piece, add_special_tokens=False).ids, piece in _STOPS)
+        if len(piece) <= CACHE_WORD_CHARS:
+            self[piece] = known
         return known
 
     def make_room(self) -> None:
-        """Starts anew when too much is remembered; numbers given out before no longer hold."""
-        if len(self._first) >= CACHE_WORDS or len(self._ids) >= CACHE_IDS:
-            self._reset()
+        """Keeps the pieces used most often when too much is remembered; numbers given out before no longer hold."""
+        if len(self._first) < CACHE_WORDS and len(self._ids) < CACHE_IDS:
+            return
+        pieces, numbers = list(self), np.fromiter(self.values(), np.int64, len(self))
+        uses = self._grown_uses()[numbers]
+        order = np.argsort(-uses, kind="stable")[:CACHE_WORDS // 2]
+        order = order[np.cumsum(np.frombuffer(self._count, np.int64)[numbers[order]]) <= CACHE_IDS // 2]
+        order = order[numbers[order] > self[_END]]  # the three that every table begins with
+        ids, ends, stops = self.lines(numbers[order])
+        self._reset()
+        self._append([pieces[i] for i in order.tolist()], ids, ends, stops)
+        self._grown_uses()[-len(order):] = uses[order] >> 1
+
+    def _grown_uses(self) -> np.ndarray:
+        """In how many calls each number was used; numbers since the last call are added."""
+        self._uses = np.concatenate([self._uses, np.zeros(len(self._first) - len(self._uses), np.int32)])
+        return self._uses
+
+    def _append(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> None:
+        """New pieces with their ids one after another and the id counts after each."""
+        numbers = range(len(self._first), len(self._first) + len(pieces))
+        starts = np.r_[0, ends[:-1]].astype(np.int64)
+        self._first.frombytes((starts + len(self._ids)).tobytes())
+        self._count.frombytes((ends - starts).tobytes())
+        self._stops.frombytes(stops.astype(np.int8).tobytes())
+        self._ids.frombytes(ids.astype(np.uint32, copy=False).tobytes())
+        self.update(zip(pieces, numbers))
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the plain ones among new ``pieces`` in one call."""
@@ -89,13 +113,11 @@ class WordIds(dict):
         ids = np.array(self._encode_batch([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self._word_end[ids]) + 1
         if len(ends) == len(new):  # else they are encoded one by one
-            listed, at = ids.tolist(), 0
-            for piece, end in zip(new, ends.tolist()):
-                self[piece] = self._add(listed[at:end], False)
-                at = end
+            self._append(new, ids, ends, np.zeros(len(new), bool))
 
     def lines(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the numbered pieces one after another, the id counts after each, and where a sentence or line ends."""
+        self._grown_uses()[numbers] += 1
         first, count = np.frombuffer(self._first, np.int64)[numbers], np.frombuffer(self._count, np.int64)[numbers]
         ends = np.cumsum(count)
         where = np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
@@ -149,9 +171,12 @@ def encode(texts: list[str], closes: list[bool], table: WordIds) -> tuple[bytes,
         if ends:
             last.append(len(pieces))
             pieces.append(_END)
-    numbers = list(map(table.get, pieces))
-    if None in numbers:
-        table.learn({w for w, known in zip(pieces, numbers) if known is None})
-        numbers = [table.number(w) if known is None else known for w, known in zip(pieces, numbers)]
-    ids, ends, stops = table.lines(np.array(numbers, np.int64))
-    return ids.tobytes(), np.unique(ends[stops]), ends[last]
+    numbers = np.fromiter(map(table.get, pieces, repeat(-1)), np.int64, len(pieces))
+    unknown = np.flatnonzero(numbers < 0)
+    if len(unknown):
+        new = [pieces[i] for i in unknown.tolist()]
+        table.learn(set(new))
+        numbers[unknown] = np.fromiter(map(table.__getitem__, new), np.int64, len(new))
+    ids, ends, stops = table.lines(numbers)
+    stops = ends[stops]
+    return ids.tobytes(), stops[np.diff(stops, prepend=-1) > 0], ends[last]

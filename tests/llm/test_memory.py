@@ -28,3 +28,23 @@ def test_links_of_near_copies_take_little_memory():
     tracemalloc.stop()
     assert len(a) == len(fp) - 1 and set(b.tolist()) == {0}
     assert peak < 30_000_000
+
+
+def test_frequent_pieces_stay_when_the_table_is_full():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    table = tokens.WordIds(public_tokenizers.path(tokens.TOKENIZER), 2)
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    frequent = ["frequent", "words", "überall", "x1y2", "stay"]
+    lo, full = 0, False
+    while not full:
+        full = len(table) >= tokens.CACHE_WORDS
+        rare = ["".join(letters[[n // 20**k % 20 for k in range(5)]]) for n in range(lo, lo + 20_000)]
+        text = " ".join(rare if full else frequent + rare)
+        ids, _, ends = tokens.encode([text], [True], table)
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+        lo += 20_000
+    assert len(table) < tokens.CACHE_WORDS and all(w in table for w in frequent)
+    ids, _, _ = tokens.encode([" ".join(frequent)], [True], table)
+    assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(" ".join(frequent), add_special_tokens=False).ids, 2]
