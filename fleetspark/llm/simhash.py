@@ -181,7 +181,8 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS,
               .select("fp", cells).select("fp", "c.choice", "c.cell"))
     shared = (points.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
               .select("choice", "cell", F.ceil(F.col("n") / F.lit(cell_rows)).cast("int").alias("blocks")))
-    met = points.join(shared, ["choice", "cell"])
+    # both sides have up to a row per node and mask, but are sized as the nodes before the explode: never broadcast
+    met = points.join(shared.hint("merge"), ["choice", "cell"])
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         F.least(F.col("own"), k).alias("lo"), F.greatest(F.col("own"), k).alias("hi"))))

@@ -1,4 +1,4 @@
-"""What a worker holds stays bounded: remembered pieces, links of near copies."""
+"""What a worker holds stays bounded: remembered pieces, links of near copies; exploded tables are not broadcast."""
 
 import tracemalloc
 
@@ -48,3 +48,12 @@ def test_frequent_pieces_stay_when_the_table_is_full():
     assert len(table) < tokens.CACHE_WORDS and all(w in table for w in frequent)
     ids, _, _ = tokens.encode([" ".join(frequent)], [True], table)
     assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(" ".join(frequent), add_special_tokens=False).ids, 2]
+
+
+def test_exploded_nodes_are_not_broadcast(spark):
+    nodes = spark.range(3000).selectExpr("xxhash64(id) fp").union(spark.range(3000).selectExpr("xxhash64(id) ^ 5 fp"))
+    links = simhash.near_links(nodes)
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(sorted(r)) for r in links.collect()}
+    assert found == {tuple(sorted(r)) for r in nodes.limit(3000).selectExpr("fp a", "fp ^ 5 b").collect()}
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
