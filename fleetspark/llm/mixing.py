@@ -29,6 +29,8 @@ from .text import n_words
 
 MAX_REPEAT = 3
 SEED = 20
+#: Up to so many runs (a source in a partition) are broadcast; beyond that they are joined by shuffle.
+BROADCAST_RUNS = 100_000
 _SLOT_BITS = 33  # monotonically_increasing_id counts rows of a partition in these bits
 
 
@@ -68,13 +70,15 @@ def copies(rank: Column, rate: Column, offset: Column, max_repeat: int = MAX_REP
     return F.least(crossed, F.lit(max_repeat).cast("long"))
 
 
-def mix(spark: SparkSession, sized: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def mix(spark: SparkSession, sized: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT,
+        broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """Adds ``source_size, target, copies`` to ``row_id, doc_id, source, size``.
 
     ``row_id`` tells repeated rows apart.  The sized rows are staged, so that
     the sampling of the range partitioning does not count words again, and
     the ranked rows are: partition numbers must not change between their two
-    uses.
+    uses.  The ranked rows, a few bytes each as a sorted file, are never
+    broadcast; the runs are while they are few.
     """
     order = ["source", "size", "doc_id", "row_id"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -89,6 +93,9 @@ def mix(spark: SparkSession, sized: DataFrame, seed: int = SEED, max_repeat: int
     sources = source_targets(runs.groupBy("source").agg(F.sum("part_size").alias("source_size")), max_repeat)
     runs = (runs.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
             .select("r.source", "r.part", "first_slot", "start", "source_size", "target"))
+    runs = stage(spark, runs, "mixing-runs")
+    few = runs.limit(broadcast_runs + 1).count() <= broadcast_runs
+    runs = F.broadcast(runs) if few else runs.hint("merge")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (placed.alias("d")
             .join(runs.alias("r"), (F.col("d.part") == F.col("r.part")) & F.col("d.source").eqNullSafe(F.col("r.source")))

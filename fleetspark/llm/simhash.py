@@ -205,7 +205,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
         "fp", "first", F.coalesce("label", "fp").alias("label"))
     groups = named.groupBy("label").agg(F.min("first").alias("f"))
     named = named.join(groups, "label").select("fp", F.col("f.id").alias("component_id"), F.col("f.row").alias("keeper"))
-    return marked.join(named, "fp").select("row_id", "doc_id", "fp", "component_id", "keeper")
+    # a row per document and one per fingerprint: small as files, not in the driver's memory
+    return marked.join(named.hint("merge"), "fp").select("row_id", "doc_id", "fp", "component_id", "keeper")
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import tracemalloc
 
 import numpy as np
 
-from fleetspark.llm import simhash, tokens
+from pyspark.sql import functions as F
+
+from fleetspark.llm import mixing, simhash, tokens
 
 
 def test_remembered_pieces_are_bounded():
@@ -57,3 +59,23 @@ def test_exploded_nodes_are_not_broadcast(spark):
     found = {tuple(sorted(r)) for r in links.collect()}
     assert found == {tuple(sorted(r)) for r in nodes.limit(3000).selectExpr("fp a", "fp ^ 5 b").collect()}
     assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def _outer_join(df):
+    return next(line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_documents_are_not_broadcast(spark):
+    docs = spark.range(300).selectExpr("id row_id", "id doc_id", "concat('some words of text ', id div 2) text")
+    found = simhash.near_duplicates(spark, docs)
+    assert found.count() == 300 and found.where("row_id <> keeper").count() >= 150
+    assert "SortMergeJoin" in _outer_join(found)  # of all rows with their groups
+
+
+def test_mixed_rows_are_not_broadcast(spark):
+    rows = spark.range(500).selectExpr("id row_id", "id doc_id", "if(id % 3 = 0, null, concat('s', id % 7)) source", "id % 11 size")
+    mixed, shuffled = mixing.mix(spark, rows), mixing.mix(spark, rows, broadcast_runs=3)
+    assert "BroadcastHashJoin" in (join := _outer_join(mixed)) and "BuildRight" in join  # the runs
+    assert "SortMergeJoin" in _outer_join(shuffled)
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, shuffled.collect()))
+    assert mixed.agg(F.count("*"), F.countDistinct("row_id")).first() == (500, 500)
