@@ -81,3 +81,25 @@ def test_timers_do_not_depend_on_batches(spark, files):
     events = spark.createDataFrame(rows, EVENTS.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     want = cy.deadline_firings(events, ts_lit(_at(380)), 5 * 3600, 2 * 3600).collect()
     assert sorted(got) == sorted(map(tuple, want)) and len({r[2] for r in got}) == 2
+
+
+def test_timers_share_states(spark):
+    """Cycles of a bucket share one state and one call; null cycles, null events and null times go on as before."""
+    rng = random.Random(4)
+    rows = []
+    for cycle in [None, -5, 2**60, *range(400)]:
+        at = rng.uniform(0, 60)
+        rows += [(cycle, _at(at), None), (cycle, _at(at + rng.uniform(0, 1)), "online")]
+        rows += [(cycle, _at(at + rng.uniform(0.1, 9)), rng.choice(["busy", "busy", "completed", "deleted"])) for _ in range(rng.randint(0, 3))]
+    rows += [(7777, _at(70), "busy"), (7777, None, "busy"), (7777, _at(70), "online"), (999, _at(400), "spawned")]
+    batches = [[r for r in rows if r[1] is None or r[1] < _at(25)], [r for r in rows if r[1] is not None and r[1] >= _at(25)]]
+    got, state = _drain(deadline_timer_stream(_write(spark, batches, EVENTS), 5 * 3600, 2 * 3600, watermark="9 hours", buckets=8), "append")
+    events = spark.createDataFrame(rows, EVENTS.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = cy.deadline_firings(events.where("cycle_id is not null and cycle_id <> 7777"), ts_lit(_at(380)), 5 * 3600, 2 * 3600).collect()
+    assert max(state) <= 9  # one of them is the null cycle's
+    by_id = sorted(r for r in got if r[0] is not None and r[0] != 7777)
+    assert by_id == sorted(map(tuple, want)) and len({r[2] for r in by_id}) == 2
+    alone = [(1, ts, event) for cycle, ts, event in rows if cycle is None]
+    null = spark.createDataFrame(alone, EVENTS.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert [r[1:] for r in got if r[0] is None] == [tuple(r)[1:] for r in cy.deadline_firings(null, ts_lit(_at(380)), 5 * 3600, 2 * 3600).collect()]
+    assert [r for r in got if r[0] == 7777] == [(7777, "IDLE", "idle_deadline")]
